@@ -1,5 +1,12 @@
-"""Queries of the market-analytics operators."""
+"""Queries of the market-analytics operators and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from ..operators import accounts, boards, cleaning, evidence, trailing
 
 FLAGSHIP = "entry_board_ranking"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES = {name: plan.frame for name, plan in trailing.PLANS.items()}
+ORACLE_SQL = {name: plan.oracle() for name, plan in trailing.PLANS.items()}
+for _module in (boards, cleaning, evidence, accounts):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE
