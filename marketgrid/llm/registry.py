@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, packing, quality, secrets, substring_dedup
+from . import bpe, chat, jaccard_join, licenses, packing, quality, secrets, site_style, substring_dedup, topk
 
 QUERIES = {
     f.__name__: f
     for f in (
         bpe.op1_bpe,
         substring_dedup.op2_substring_dedup,
+        site_style.op3_site_style_tree,
+        chat.op4_quotation_linking,
         secrets.op5_secret_scan,
+        topk.op6_exact_topk,
         jaccard_join.op7_jaccard_join,
         quality.op8_quality_rules,
         packing.op9_best_fit_packing,
+        licenses.op10_license_scan,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_exact_topk": topk.OP6_SQL}
