@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from ..operators import accounts, boards, cleaning, evidence, trailing
+from ..operators import accounts, boards, cleaning, events, evidence, trailing
+from ..sources import stores
+from ..streaming import jobs
+from . import sql
 
 FLAGSHIP = "entry_board_ranking"
 QUERIES = {name: plan.frame for name, plan in trailing.PLANS.items()}
 ORACLE_SQL = {name: plan.oracle() for name, plan in trailing.PLANS.items()}
-for _module in (boards, cleaning, evidence, accounts):
+for _module in (boards, cleaning, evidence, accounts, stores):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE
+QUERIES |= events.QUERIES | jobs.QUERIES
+ORACLE_SQL |= {name: text for name, text in jobs.ORACLE.items() if text}
+ORACLE_SQL = {n: t.replace("BARS:", sql.with_(sql.BARS)) if t.startswith("BARS:") else t for n, t in ORACLE_SQL.items()}
+ORACLE_SQL["t01_stream_trailing"] = sql.with_(sql.BARS) + (
+    "SELECT symbol, date, round(CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END, 6) AS mean FROM bars"
+    " WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+)
