@@ -109,6 +109,19 @@ def pair_counts(frame: DataFrame, text_col: str) -> np.ndarray:
     return counts.reshape(65, 65)
 
 
+def text_model(pairs: np.ndarray, weight: float = 20.0) -> np.ndarray:
+    """Log probabilities of a character after another in ordinary text.
+
+    Each count leaves one occurrence out, the one being judged, so that a rare pair does not vouch for itself;
+    pairs are drawn towards the characters' own frequencies by ``weight`` observations.
+    """
+    single = np.maximum(pairs.sum(0) - 1, 0) + 0.5
+    single /= single.sum()
+    return np.log(
+        (np.maximum(pairs - 1, 0) + weight * single[None, :]) / (np.maximum(pairs.sum(1, keepdims=True) - 1, 0) + weight)
+    )
+
+
 def span_finder(log_text: np.ndarray):
     """A function from a text to its base counts, base spans and tested candidates."""
     share = math.log(len(ENCODINGS))
@@ -186,8 +199,7 @@ def find(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     within length bands over the whole corpus.  A null text is empty; repeated rows are scanned one
     by one; an empty table gives no rows.
     """
-    pairs = pair_counts(frame, text_col) + 0.5
-    log_text = np.log(pairs / pairs.sum(1, keepdims=True))
+    log_text = text_model(pair_counts(frame, text_col))
     scratch = Scratch(frame.sparkSession)
     scanned = scratch.write(scan(frame, id_col, text_col, log_text), "scanned")
     least = thresholds(scanned)
@@ -212,8 +224,7 @@ def find(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def redact(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """All rows and columns, with every found span replaced by ``mask`` (overlaps as one)."""
-    pairs = pair_counts(frame, text_col) + 0.5
-    log_text = np.log(pairs / pairs.sum(1, keepdims=True))
+    log_text = text_model(pair_counts(frame, text_col))
     # The battery looks at the same rows twice, first for the thresholds, so no join brings spans back to texts.
     least = thresholds(scan(frame, id_col, text_col, log_text))
 

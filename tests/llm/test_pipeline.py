@@ -1,0 +1,30 @@
+"""The pipeline stage by stage on the smallest documents, and the registered queries' schemas."""
+
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+from marketgrid.llm import jaccard_join, quality, registry
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_keep_the_columns_and_only_drop_what_they_must(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    steps = dict(corpus_pipeline.STAGES)
+    good = steps["quality_rules"](spark, docs, SF)
+    want = {r.doc_id for r in quality.measure(docs).filter("kept").collect()}
+    assert good.columns == docs.columns and {r.doc_id for r in good.collect()} == want
+    one = steps["ngram_jaccard_join"](spark, good, SF)
+    groups = {r.doc_id: r.component_id for r in jaccard_join.link(good).collect()}
+    assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == {d for d, c in groups.items() if d == c}
+    cut = steps["substring_dedup"](spark, one, SF)
+    assert cut.columns == docs.columns and cut.count() == one.count()
+    safe = steps["secret_scan"](spark, cut, SF)
+    assert safe.columns == docs.columns and safe.filter(F.col("text").rlike("AKIA[A-Z0-9]{12}")).count() == 0
+    assert safe.filter(F.length("text") != F.col("n_chars")).count() == 0
+    packed = corpus_pipeline.run(spark, SF)
+    assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in safe.select("doc_id").collect()}
+
+
+def test_queries_cover_all_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
