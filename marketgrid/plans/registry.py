@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import accounts, boards, cleaning, events, evidence, trailing
+from ..operators import accounts, boards, cleaning, events, evidence, models, more, trailing
 from ..sources import stores
 from ..streaming import jobs
 from . import sql
@@ -10,7 +10,7 @@ from . import sql
 FLAGSHIP = "entry_board_ranking"
 QUERIES = {name: plan.frame for name, plan in trailing.PLANS.items()}
 ORACLE_SQL = {name: plan.oracle() for name, plan in trailing.PLANS.items()}
-for _module in (boards, cleaning, evidence, accounts, stores):
+for _module in (boards, cleaning, evidence, accounts, more, models, stores):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE
 QUERIES |= events.QUERIES | jobs.QUERIES
