@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,12 @@ def _where(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
 
 
+def shared(spark: SparkSession, kind: str = "store") -> str:
+    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marketgrid-")
+    return f"{root}/{kind}-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     files, where = _where(spark, path)
     return files.exists(where)
@@ -74,6 +83,67 @@ def read_csv_bars(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def replace_snapshot(spark: SparkSession, rows: DataFrame, path: str, key: str, run: str) -> None:
+    """A whole new table beside the old one; readers follow the pointer's last row once keys are unique."""
+    rows.write.mode("errorifexists").parquet(f"{path}/{run}")
+    doubled = spark.read.parquet(f"{path}/{run}").groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    if doubled:
+        raise ValueError(f"{key} is not unique in snapshot {run}")
+    spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{path}/pointer")
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    run = spark.read.parquet(f"{path}/pointer").agg(F.max_by("run", "at")).first()[0]
+    return spark.read.parquet(f"{path}/{run}")
+
+
+def s05_csv_bars(spark, sf_dir):
+    """Daily closes written as CSV by symbol and read back through the aliasing source."""
+    at = shared(spark)
+    rows = bars_daily(spark, sf_dir).select("symbol", F.col("date").alias("trade_date"), F.col("close").alias("close_price"), F.col("volume").alias("vol"))
+    rows.write.option("header", True).partitionBy("symbol").csv(at)
+    raw = spark.read.option("header", True).csv(at)
+    return raw.select(
+        F.col("symbol").cast("long").alias("symbol"), F.try_to_date("trade_date").alias("date"), F.expr("try_cast(close_price AS double)").alias("close"),
+    )
+
+
+def s08_upsert(spark, sf_dir):
+    """Orders upserted twice: the second write carries corrected totals of every third order."""
+    at = shared(spark)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy").alias("year"))
+    upsert(spark, rows, at, ["o_orderkey"], "o_totalprice", "year")
+    upsert(spark, rows.filter("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1), at, ["o_orderkey"], "o_totalprice", "year")
+    return spark.read.parquet(at).select("o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"))
+
+
+def s10_snapshot(spark, sf_dir):
+    at = shared(spark)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    replace_snapshot(spark, rows, at, "c_custkey", "run-1")
+    replace_snapshot(spark, rows.filter("c_custkey % 2 = 0"), at, "c_custkey", "run-2")
+    return read_snapshot(spark, at)
+
+
+def s11_publish(spark, sf_dir):
+    """Two runs' facts appended; only the complete one is published."""
+    at = shared(spark)
+    facts = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    append_run(spark, facts, at, "full", facts.count())
+    append_run(spark, facts.filter("doc_id % 2 = 0"), at, "part", facts.count())
+    good = spark.read.parquet(f"{at}/status").filter("published").select("run_id")
+    return spark.read.parquet(f"{at}/facts").join(good, "run_id", "left_semi").groupBy("run_id").agg(F.count("*").alias("n"))
+
+
+def s13_import(spark, sf_dir):
+    """The same snapshot rows imported twice are there once."""
+    at = shared(spark)
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("symbol"), "s_name")
+    for _ in range(2):
+        import_snapshot(spark, rows, at, ["symbol", "s_name"])
+    return spark.read.parquet(at).select("symbol", "s_name")
+
+
 def s01_scan_symbol(spark, sf_dir):
     """One symbol's range; the filters on the raw columns reach the parquet scan."""
     rows = table(spark, sf_dir, "lineitem").filter("l_suppkey = 7 AND l_shipdate >= TIMESTAMP_NTZ '1996-01-01' AND l_shipdate < TIMESTAMP_NTZ '1998-01-01'")
@@ -115,6 +185,11 @@ def s15_latest_status(spark, sf_dir):
 
 
 ORACLE = {
+    "s05_csv_bars": "BARS:SELECT symbol, date, close FROM bars",
+    "s08_upsert": "SELECT o_orderkey, round(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END, 2) AS o_totalprice FROM orders",
+    "s10_snapshot": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 0",
+    "s11_publish": "SELECT 'full' AS run_id, count(*) AS n FROM labels",
+    "s13_import": "SELECT CAST(s_suppkey AS VARCHAR) AS symbol, s_name FROM supplier",
     "s01_scan_symbol": 'SELECT l_orderkey AS "order", CAST(l_shipdate AS DATE) AS date, l_extendedprice AS price FROM lineitem WHERE l_suppkey = 7 AND l_shipdate >= TIMESTAMP \'1996-01-01\' AND l_shipdate < TIMESTAMP \'1998-01-01\'',
     "s02_scan_batch": "BARS:SELECT symbol, date, close FROM bars WHERE symbol IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)",
     "s03_market_window": "SELECT CAST(l_shipdate AS DATE) AS date, count(DISTINCT l_suppkey) AS symbols, count(*) FILTER (l_quantity > 0 AND l_extendedprice > 0) AS valid FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1997-04-01' GROUP BY 1",

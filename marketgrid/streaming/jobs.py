@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,13 +11,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import events
 from ..sources.tables import bars_daily
-from ..sources.stores import is_folder, upsert
-
-
-def shared(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marketgrid-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+from ..sources.stores import is_folder, shared, upsert
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,13 +133,31 @@ def t07_closed_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(spark, weekly)
 
 
-T05_SQL = """SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, date_trunc('minute', ts) ORDER BY ts, event_id) AS k FROM events) WHERE k = 1"""
+def t08_refresh_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only boards with changed members are recomputed, batch by batch, into their partitions."""
+    at = shared(spark, "stream")
+    rows = source(spark, sf_dir, "orders")
+    owner = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("board"))
+
+    def land(batch: DataFrame, number: int) -> None:
+        batch.select("o_orderkey", "o_custkey", "o_totalprice").write.mode("overwrite").parquet(f"{at}/seen/batch={number}")
+        changed = batch.select("o_custkey").join(owner, "o_custkey").select("board").distinct()
+        seen = batch.sparkSession.read.parquet(f"{at}/seen").join(owner, "o_custkey").join(changed, "board", "left_semi")
+        fresh = seen.groupBy("board").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 1).alias("total"))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("board").parquet(f"{at}/boards")
+
+    query = rows.writeStream.foreachBatch(land).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{at}/boards").select("board", "n", "total")
+
+
 ORACLE = {
     "t01_stream_trailing": None,
     "t03_stream_upsert": "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(sum(o_totalprice), 1) AS total FROM orders GROUP BY 1",
+    "t08_refresh_boards": "SELECT c_mktsegment AS board, count(*) AS n, round(sum(o_totalprice), 1) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     "t04_late_evidence": "SELECT event_id, user_id, CAST(ts AS DATE) + CASE WHEN strftime(ts, '%H:%M:%S') > '15:00:00' THEN 1 ELSE 0 END AS session FROM events",
 }
 QUERIES = {
     f.__name__: f
-    for f in (t01_stream_trailing, t02_stream_events, t03_stream_upsert, t04_late_evidence, t05_stream_dedupe, t06_stream_rollup, t07_closed_weeks)
+    for f in (t01_stream_trailing, t02_stream_events, t03_stream_upsert, t04_late_evidence, t05_stream_dedupe, t06_stream_rollup, t07_closed_weeks, t08_refresh_boards)
 }
