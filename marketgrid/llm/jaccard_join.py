@@ -2,9 +2,10 @@
 
 Size-banded tiles: a set's band fixes a number of segments into which hashing deals its shingles.
 Sets that link differ in so few shingles that some segment is the same in both, so sets that share
-no (band, segment, contents) tile are never compared.  Tiles that many sets share are first tied to
-one of their sets and only what that leaves apart is compared further.  A comparison bounds the
-overlap from above by the bits of hashed bitmaps before it intersects sorted arrays.
+no (band, segment, contents) tile are never compared.  Tiles that hang together form a group, and
+groups are compared in blocks of bounded size: bits of hashed bitmaps bound each pair's overlap from
+above, what is left is decided by intersecting sorted arrays, and what is already tied together is
+not compared again.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_schema, read
@@ -23,12 +24,12 @@ from .graph import components
 
 #: Words in a shingle; sets link when 100 * intersection >= PERCENT * union.
 WIDTH, PERCENT = 4, 85
-#: Tiles of so many sets are compared in full at once; larger ones go by pivots first.
-FULL_TILE = 16
-#: Sets that one comparing task holds from either side, and bits of a bitmap.
-TASK_SETS, BITS = 256, 1024
-#: Rounds of pivots before whatever is still apart in a large tile is compared in full.
-PIVOT_ROUNDS = 4
+#: Sets that a comparing task holds from either side of a large group, and pivots that all its tasks share.
+BLOCK, PIVOTS = 256, 4
+#: Sets of small groups that one task takes one group after the other.
+SMALL_PER_TASK = 400
+#: Least and most bits of a bitmap; in between, four for each shingle of the largest set at hand.
+BITS = (1024, 65536)
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -99,13 +100,6 @@ def tiles(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """Hashed bitmap of a set, as bytes."""
-    bits = np.zeros(BITS, bool)
-    bits[(hashes % np.uint64(BITS)).astype(np.int64)] = True
-    return np.packbits(bits)
-
-
 def _sets(frame: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     spark_schema, schema = arrow_schema(
         f"{id_col} long, n_shingles long, h1 long, h2 long, tiles array<long>"
@@ -136,115 +130,116 @@ def _sets(frame: DataFrame, id_col: str, text_col: str, width: int, percent: int
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of small tiles (a < b); members of large ones and of a task's first and last tile, which may go on elsewhere."""
+    """Ties of each tile's sets to its first one; the first sets of a task's outer tiles, which may go on elsewhere."""
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
     if not parts:
         return
     tile, node = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((node, tile))
     tile, node = tile[order], node[order]
-    fresh = np.r_[True, (tile[1:] != tile[:-1]) | (node[1:] != node[:-1])]
-    tile, node = tile[fresh], node[fresh]
     start = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
-    size = np.diff(np.r_[start, len(tile)])
-    large = size > FULL_TILE
-    large[[0, -1]] = True
-    of = np.repeat(large, size)
-    small_tile, small_node = tile[~of], node[~of]
-    a, b = [], []
-    for step in range(1, FULL_TILE):
-        same = small_tile[step:] == small_tile[:-step]
-        if not same.any():
-            break
-        a.append(small_node[:-step][same])
-        b.append(small_node[step:][same])
-    if a:
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-        yield from _rows(np.zeros(pairs.shape[1], np.int64), False, pairs[0], pairs[1])
-    yield from _rows(tile[of], True, node[of], node[of])
-
-
-def _rows(tile: np.ndarray, member: bool, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    names = ["tile", "member", "a", "b"]
-    for at in range(0, len(a), 100_000):
-        cut = slice(at, at + 100_000)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(tile[cut]), pa.array(np.full(len(a[cut]), member)), pa.array(a[cut]), pa.array(b[cut])], names=names
-        )
+    first = np.repeat(node[start], np.diff(np.r_[start, len(tile)]))
+    ties = np.stack([first, node])[:, first != node]
+    if ties.shape[1]:
+        ties = np.unique(ties, axis=1)
+        for at in range(0, ties.shape[1], 100_000):
+            a, b = ties[0, at : at + 100_000], ties[1, at : at + 100_000]
+            yield _rows(np.zeros(len(a), np.int64), False, a, b)
+    outer = start[[0, -1]]
+    yield _rows(tile[outer], True, node[outer], node[outer])
+
+
+def _rows(tile: np.ndarray, outer: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(tile), pa.array(np.full(len(a), outer)), pa.array(a), pa.array(b)]
+    return pa.RecordBatch.from_arrays(columns, names=["tile", "outer", "a", "b"])
+
+
+class _Ties:
+    """Union-find over the sets of a task."""
+
+    def __init__(self) -> None:
+        self.root: dict = {}
+
+    def find(self, x):
+        root = self.root
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    def tie(self, x, y) -> bool:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.root[x] = y
+        return x != y
+
+
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Hashed bitmaps of sets as rows of zeros and ones."""
+    width = BITS[0]
+    while width < BITS[1] and width < 4 * max(map(len, sets), default=0):
+        width *= 2
+    out = np.zeros((len(sets), width), np.float32)
+    for k, hashes in enumerate(sets):
+        out[k, (hashes % np.uint64(width)).astype(np.int64)] = 1
+    return out
+
+
+def may_link(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs whose bit counts leave room for a link.
+
+    Each bit that only one of two bitmaps has is a shingle that the other set lacks.
+    """
+    common = left @ right.T
+    most = np.minimum(
+        n_left[:, None] - (left.sum(1)[:, None] - common), n_right[None, :] - (right.sum(1)[None, :] - common)
+    )
+    return np.argwhere(100 * most >= percent * (n_left[:, None] + n_right[None, :] - most))
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sorted sets link."""
+    if not len(x) or not len(y):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _compare(width: int, percent: int):
-    def run(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        sets: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for node, text in zip(texts.node, texts.text, strict=True):
-            hashes = shingles(text, width)
-            sets.setdefault(node, []).append((hashes, bitmap(hashes)))
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.get(x, x) != x:
-                root[x] = x = root.get(root[x], root[x])
-            return x
+    """Ties among the sets of each group of a task; with ``asked`` rows, only those against all."""
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for a, b in zip(pairs.a, pairs.b, strict=True):
-            ra, rb = find(a), find(b)
-            # What this task has tied together already needs no further link.
-            if ra != rb and any(linked(x, y, percent) for x in sets.get(a, ()) for y in sets.get(b, ())):
-                root[ra] = rb
-                out.append((a, b))
+        for _, part in rows.groupby("label", sort=False):
+            part = part.drop_duplicates(["node", "text", "asked"])
+            sets = [shingles(t, width) for t in part.text]
+            nodes, tied, asked = part.node.tolist(), _Ties(), part.asked.to_numpy()
+            for node, before in zip(nodes, part.tied, strict=True):
+                tied.tie(("node", node), ("tied", before))
+            bits, sizes = bitmaps(sets), np.array([len(s) for s in sets], np.int64)
+            left = np.flatnonzero(asked) if asked.any() else np.arange(len(sets))
+            right = np.flatnonzero(~asked) if asked.any() else left
+            for i, j in may_link(bits[left], sizes[left], bits[right], sizes[right], percent):
+                x, y = left[i], right[j]
+                if not asked.any() and x >= y or nodes[x] == nodes[y]:
+                    continue
+                a, b = ("node", nodes[x]), ("node", nodes[y])
+                if tied.find(a) != tied.find(b) and linked(sets[x], sets[y], percent):
+                    tied.tie(a, b)
+                    out.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def linked(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> bool:
-    """Whether two (sorted hashes, bitmap) link; a cheap bound first, then the exact overlap."""
-    (hx, bx), (hy, by) = x, y
-    nx, ny = len(hx), len(hy)
-    if not nx or not ny:
-        return False
-    # Each bit that only x's bitmap has is a shingle of x that y lacks, and the other way round.
-    only_x = int(np.bitwise_count(bx & ~by).sum())
-    only_y = int(np.bitwise_count(by & ~bx).sum())
-    most = min(nx - only_x, ny - only_y)
-    if 100 * most < percent * (nx + ny - most):
-        return False
-    both = len(np.intersect1d(hx, hy, assume_unique=True))
-    return 100 * both >= percent * (nx + ny - both)
-
+def _ties(scratch: Scratch, work: DataFrame, texts: DataFrame, name: str, width: int, percent: int) -> DataFrame:
+    """Linking pairs (a < b) with the same components, from rows (task, label, node, tied, asked)."""
+    full = work.join(texts.hint("merge"), "node")
+    edges = full.groupBy("task").applyInPandas(_compare(width, percent), "a long, b long")
+    return scratch.write(edges, name)
 
-def _verified(
-    scratch: Scratch, frame: DataFrame, id_col: str, text_col: str, pairs: DataFrame, name: str, width: int, percent: int
-) -> DataFrame:
-    """The linking ones of candidate pairs (a < b), as edges with the same components.
 
-    Candidates that hang together share tasks, so a text travels once for most groups; groups of
-    many texts are cut into pairs of pieces of ``TASK_SETS``.
-    """
-    pairs = scratch.write(pairs.distinct(), f"{name}-pairs")
-    group = components(scratch, pairs, f"{name}-groups")
-    pieces = group.groupBy("label").agg(F.ceil(F.count("*") / TASK_SETS).alias("pieces"))
-    placed = scratch.write(
-        group.join(pieces, "label").select(
-            "node", "label", F.expr("pmod(xxhash64(node), pieces)").cast("int").alias("piece")
-        ),
-        f"{name}-placed",
-    )
-    of_a = placed.select(F.col("node").alias("a"), "label", F.col("piece").alias("pa"))
-    of_b = placed.select(F.col("node").alias("b"), F.col("piece").alias("pb"))
-    work = scratch.write(
-        pairs.join(of_a, "a").join(of_b, "b").select(
-            "a", "b", F.xxhash64("label", F.least("pa", "pb"), F.greatest("pa", "pb")).alias("task")
-        ),
-        f"{name}-work",
-    )
-    need = work.select(F.col("task").alias("at"), F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = need.join(
-        frame.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")), "node"
-    ).select("at", "node", "text")
-    edges = work.groupBy("task").cogroup(texts.groupBy("at")).applyInPandas(_compare(width, percent), "a long, b long")
-    return scratch.write(edges, f"{name}-edges")
+def _piece(of: str, pieces: str, seed: int) -> Column:
+    return F.expr(f"pmod(xxhash64({of}, {seed}), {pieces})")
 
 
 def link(
@@ -268,67 +263,75 @@ def link(
         .filter("h1 = c1 and h2 = c2")
         .select(F.explode("tiles").alias("tile"), "node")
     )
+    # Ranges of (tile, node) are even however many sets share a tile.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = scratch.write(
-        named.repartitionByRange(parts, "tile", "node").mapInArrow(_within, "tile long, member boolean, a long, b long"),
+        named.repartitionByRange(parts, "tile", "node").mapInArrow(_within, "tile long, outer boolean, a long, b long"),
         "found",
     )
     slim = scratch.write(made.drop("tiles"), "slim")
     scratch.drop("sets")
-    members = found.filter("member").select("tile", F.col("a").alias("node"))
-    counted = members.groupBy("tile").agg(F.count("*").alias("n")).filter("n > 1").select("tile")
-    members = scratch.write(members.join(counted, "tile"), "members")
-    pairs = found.filter("not member").select("a", "b").union(_pivot_pairs(members.withColumn("label", F.col("node")), 0))
-    edges = _verified(scratch, frame, id_col, text_col, pairs, "first", width, percent)
-    label = components(scratch, edges, "linked-0")
-    for turn in range(1, PIVOT_ROUNDS + 2):
-        labelled = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        labelled = scratch.write(labelled, f"labelled-{turn}")
-        apart = (
-            labelled.groupBy("tile")
-            .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-            .filter("low <> high")
-            .select("tile")
-        )
-        open_tiles = scratch.write(labelled.join(apart, "tile"), f"open-{turn}")
-        if open_tiles.isEmpty():
-            break
-        if turn <= PIVOT_ROUNDS:
-            more = _pivot_pairs(open_tiles, turn)
-        else:
-            other = open_tiles.select("tile", F.col("node").alias("node2"), F.col("label").alias("label2"))
-            more = (
-                open_tiles.join(other, "tile")
-                .filter("node < node2 and label <> label2")
-                .select(F.col("node").alias("a"), F.col("node2").alias("b"))
-            )
-        tied = _verified(scratch, frame, id_col, text_col, more, f"turn-{turn}", width, percent)
-        edges = edges.union(tied)
-        label = components(scratch, edges, f"linked-{turn}")
+    outer = found.filter("outer").select("tile", "a")  # two rows for each task
+    across = outer.join(outer.groupBy("tile").agg(F.min("a").alias("b")), "tile").filter("a <> b")
+    group = components(scratch, found.filter("not outer").select("a", "b").union(across.select("a", "b")), "groups")
+    texts = frame.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    edges = _first_ties(scratch, group, texts, width, percent)
+    label = components(scratch, edges, "linked")
+    more = _open_ties(scratch, group, label, texts, width, percent)
+    if more is not None:
+        label = components(scratch, edges.union(more), "linked-again")
     named_by = classes.join(label, "node", "left").select(
         F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("label", "node").alias("__component")
     )
     named_by = scratch.write(named_by, "named")
     own = F.when((F.col("n_shingles") > 0) & F.col(id_col).isNotNull(), F.col("__component")).otherwise(F.col(id_col))
-    return slim.join(
-        named_by, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left"
-    ).select(id_col, "n_shingles", own.alias("component_id"))
-
-
-def _pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Each tile's pivot (another one each turn) with those of the tile that are not tied to it."""
-    order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    ranked = members.withColumn("__order", order)
-    first = ranked.groupBy("tile").agg(F.min("__order").alias("__first"))
-    pivot = ranked.join(first, "tile").filter("__order = __first").select(
-        "tile", F.col("node").alias("pivot"), F.col("label").alias("pivot_label")
+    return slim.join(named_by, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left").select(
+        id_col, "n_shingles", own.alias("component_id")
+    )
+
+
+def _first_ties(scratch: Scratch, group: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """All links of small groups; of large ones those within a block and with the group's pivots."""
+    sizes = scratch.write(group.groupBy("label").agg(F.count("*").alias("n")), "sizes")
+    n_small = sizes.filter(f"n <= {BLOCK}").agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, n_small // SMALL_PER_TASK)
+    sized = group.join(sizes.withColumn("pieces", F.ceil(F.col("n") / BLOCK)), "label")
+    task = F.when(F.col("n") <= BLOCK, _piece("label", str(tasks), 1)).otherwise(
+        F.xxhash64("label", _piece("node", "pieces", 2))
+    )
+    members = sized.select(task.alias("task"), "label", "node")
+    big = sized.filter(f"n > {BLOCK}")
+    pivots = big.groupBy("label", "pieces").agg(
+        *(F.min_by("node", F.xxhash64("node", F.lit(3 + k))).alias(f"p{k}") for k in range(PIVOTS))
+    )
+    pivots = pivots.select(
+        "label", F.explode(F.expr("sequence(0L, pieces - 1)")).alias("piece"), F.array(*(f"p{k}" for k in range(PIVOTS))).alias("p")
+    ).select(F.xxhash64("label", "piece").alias("task"), "label", F.explode("p").alias("node"))
+    work = members.union(pivots).distinct().withColumn("tied", F.col("node")).withColumn("asked", F.lit(False))
+    return _ties(scratch, scratch.write(work, "work"), texts, "first-ties", width, percent)
+
+
+def _open_ties(
+    scratch: Scratch, group: DataFrame, label: DataFrame, texts: DataFrame, width: int, percent: int
+) -> DataFrame | None:
+    """Links of large groups' sets outside their largest component with all others of the group; None if there are none."""
+    sizes = group.groupBy("label").agg(F.count("*").alias("n")).filter(f"n > {BLOCK}")
+    tied = group.join(sizes, "label").join(label.select("node", F.col("label").alias("tied")), "node", "left")
+    tied = scratch.write(tied.withColumn("tied", F.coalesce("tied", "node")), "tied")
+    counts = tied.groupBy("label", "tied").agg(F.count("*").alias("m"))
+    main = counts.groupBy("label").agg(F.max_by("tied", F.struct("m", "tied")).alias("main"), F.sum("m").alias("n"), F.max("m").alias("m"))
+    main = main.filter("m < n").select("label", "main", F.ceil((F.col("n") - F.col("m")) / BLOCK).alias("few"), F.ceil(F.col("n") / BLOCK).alias("all"))
+    rows = scratch.write(tied.select("label", "node", "tied").join(main, "label"), "open")
+    if rows.isEmpty():
+        return None
+    asked = rows.filter("tied <> main").select(
+        "label", "node", "tied", _piece("node", "few", 8).alias("x"), F.explode(F.expr("sequence(0L, all - 1)")).alias("y"), F.lit(True).alias("asked")
     )
-    return (
-        members.join(pivot, "tile")
-        .filter("node <> pivot and label <> pivot_label")
-        .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        .distinct()
+    others = rows.select(
+        "label", "node", "tied", F.explode(F.expr("sequence(0L, few - 1)")).alias("x"), _piece("node", "all", 9).alias("y"), F.lit(False).alias("asked")
     )
+    work = asked.union(others).select(F.xxhash64("label", "x", "y").alias("task"), "label", "node", "tied", "asked")
+    return _ties(scratch, work, texts, "open-ties", width, percent)
 
 
 def keep_one(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
