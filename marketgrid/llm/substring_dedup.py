@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import pandas as pd
 import xxhash
@@ -16,24 +17,47 @@ from .common import Scratch, flat_map_rows, map_rows, read
 MIN_WORDS = 10
 #: A repeated unit that is a whole line goes from so many words on.
 MIN_LINE_WORDS = 5
+#: Sentences of so many words are cut further, into pieces of at least so many.
+LONG_WORDS, PIECE_WORDS = 16, 5
+_WORD = re.compile(r"\S+")
 _SENTENCE = re.compile(r"(?<=[.!?]) ")
 _SIGN = 1 << 63
 REPEATED = "__repeated"
 
 
+def _pieces(line: str):
+    """(start, end) of a line's sentences; long ones are cut after words that their own hash picks.
+
+    Cuts that depend on the words alone fall alike in every copy, also where a passage stands inside
+    a sentence of its own or a copy was edited.
+    """
+    at = 0
+    for sentence in _SENTENCE.split(line):
+        if sentence.count(" ") < LONG_WORDS:
+            yield at, at + len(sentence)
+        else:
+            start, words = at, 0
+            for word in _WORD.finditer(sentence):
+                words += 1
+                if words >= PIECE_WORDS and not zlib.crc32(word[0].lower().encode()) & 7:
+                    yield start, at + word.end()
+                    start, words = at + word.end(), 0
+            if start < at + len(sentence):
+                yield start, at + len(sentence)
+        at += len(sentence) + 1
+
+
 def units(text: str) -> list[tuple[int, int, str, bool]]:
-    """(start, end, normalised text, is a whole line) of each non-blank sentence of each line, in order.
+    """(start, end, normalised text, is a whole line) of each non-blank piece of each line, in order.
 
     Normalised: lower case, white space runs as one blank.
     """
     out, at = [], 0
     for line in text.split("\n"):
-        sentences, start = _SENTENCE.split(line), at
-        for sentence in sentences:
-            normal = " ".join(sentence.split()).lower()
+        for start, end in _pieces(line):
+            normal = " ".join(line[start:end].split()).lower()
             if normal:
-                out.append((start, start + len(sentence), normal, len(sentences) == 1))
-            start += len(sentence) + 1
+                out.append((at + start, at + end, normal, end - start == len(line)))
         at += len(line) + 1
     return out
 
@@ -50,8 +74,8 @@ def _cut(text: str, repeated: set[tuple[int, int]]) -> tuple[str, list[tuple[int
     run: list[tuple[int, int, str, bool]] = []
 
     def close() -> None:
-        words = sum(u[2].count(" ") + 1 for u in run)
-        if words >= MIN_WORDS:
+        words = [u[2].count(" ") + 1 for u in run]
+        if sum(words) >= MIN_WORDS and max(words) >= PIECE_WORDS:
             spans.append((run[0][0], run[-1][1]))
         else:
             spans.extend((u[0], u[1]) for u in run if u[3] and u[2].count(" ") + 1 >= MIN_LINE_WORDS)
