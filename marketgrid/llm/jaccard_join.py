@@ -233,7 +233,7 @@ def _compare(width: int, percent: int):
 
 def _ties(scratch: Scratch, work: DataFrame, texts: DataFrame, name: str, width: int, percent: int) -> DataFrame:
     """Linking pairs (a < b) with the same components, from rows (task, label, node, tied, asked)."""
-    full = work.join(texts.hint("merge"), "node")
+    full = work.join(texts, "node")
     edges = full.groupBy("task").applyInPandas(_compare(width, percent), "a long, b long")
     return scratch.write(edges, name)
 
@@ -274,7 +274,10 @@ def link(
     outer = found.filter("outer").select("tile", "a")  # two rows for each task
     across = outer.join(outer.groupBy("tile").agg(F.min("a").alias("b")), "tile").filter("a <> b")
     group = components(scratch, found.filter("not outer").select("a", "b").union(across.select("a", "b")), "groups")
+    # Texts travel once, and only those of sets that share a tile are kept at hand.
     texts = frame.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    texts = scratch.write(group.select("node").join(texts.hint("merge"), "node"), "texts")
+    scratch.drop("found")
     edges = _first_ties(scratch, group, texts, width, percent)
     label = components(scratch, edges, "linked")
     more = _open_ties(scratch, group, label, texts, width, percent)
