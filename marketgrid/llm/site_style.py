@@ -39,6 +39,9 @@ NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search",
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s"']+)""")
 _WORD = re.compile(r"[a-z0-9]+")
+#: Elements that set a part of an article apart even without a class; lists, tables and paragraphs are its text.
+APART = {"div", "section", "header", "article", "details", "figure", "address", "center"}
+_HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none""", re.I)
 
 
@@ -69,6 +72,7 @@ class Page:
     def __init__(self, source: str | None) -> None:
         self.blocks: list[tuple[str, str, bool, bool]] = []
         self.children: dict[str, list[str]] = {}
+        self.inside: set[str] = set()  # paths of nodes in an article
         stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, in article, noisy
         text: list[str] = []
         source = source or ""
@@ -130,23 +134,54 @@ class Page:
             if "class" in found[3]:
                 name += "." + next((v.strip("\"'") for n, v in _ATTRIBUTE.findall(found[3]) if n.lower() == "class"), "")
             self.children.setdefault(path, []).append(name)
-            stack.append((tag, f"{path}/{name}", article or tag in ("article", "main") and not noisy, noisy))
+            article = article or tag in ("article", "main") and not noisy
+            if article:
+                self.inside.add(f"{path}/{name}")
+            stack.append((tag, f"{path}/{name}", article, noisy))
         flush()
 
+    def article(self) -> str | None:
+        """What copies of the page's article have in common, also edited ones: the longest block of its fullest node."""
+        nodes: dict[str, list[str]] = {}
+        for path, text, inside, noisy in self.blocks:
+            if inside and not noisy:
+                nodes.setdefault(path, []).append(text)
+        return max(max(nodes.values(), key=lambda x: sum(map(len, x))), key=len) if nodes else None
+
     def text(self, low: set[str] | frozenset[str] = frozenset()) -> str:
         """Blocks outside noisy and low-importance branches, those of articles only if the page has any.
 
-        Inside an element that says it is the article, only presentation decides: copies of an
-        article would else make its title look like a template.
+        In an article each node stands for itself, so a low one takes no branch with it, and only
+        nodes in an element that is set apart (:func:`_apart`) can go.  The main heading stays,
+        others stay with the text around them, and if no other text would be left, all stay.
         """
         kept = [
             b for b in self.blocks
             if not b[3] and (b[2] or not (low and any(b[0] == p or b[0].startswith(p + "/") for p in low)))
         ]
         inside = [b for b in kept if b[2]]
+        gone = {b[0] for b in inside if b[0] in low and _apart(b[0])}
+        body = [b[0] for b in inside if b[0] not in gone and not _HEADING.search(b[0])]
+        if gone and body:
+            inside = [b for b in inside if b[0] not in gone or _stays(b[0], body)]
         return "\n".join(b[1] for b in inside or kept)
 
 
+def _apart(path: str) -> bool:
+    """Whether a node of an article lies in an element, below the article's own, with a class or one of ``APART``."""
+    steps = path.split("/")
+    at = next((k for k, x in enumerate(steps) if x.partition(".")[0] in ("article", "main")), len(steps))
+    return any("." in x or x in APART for x in steps[at + 1 :])
+
+
+def _stays(path: str, body: list[str]) -> bool:
+    """Whether a low node of an article is its main heading or the heading of text that is kept."""
+    if not _HEADING.search(path):
+        return False
+    parent, _, tag = path.rpartition("/")
+    return tag.startswith("h1") or any(p == parent or p.startswith(parent + "/") for p in body)
+
+
 def host_of(url: str | None) -> str:
     found = re.match(r"(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", url or "")
     return found[1].rpartition("@")[2].lower() if found else ""
@@ -160,17 +195,21 @@ def style_nodes(frame: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(host, path, kind, digest, n, width) of the style tree: on how many pages of a host a node has a content or a structure.
 
     Kind 0 counts pages, 1 contents (blocks) and 2 structures (sequences of child elements).  Pages
-    of equal text count once, so copies don't make their article look like a template.
+    of equal text count once, and in an article so do the copies of it (:meth:`Page.article`), so
+    copies don't make their article look like a template.
     """
 
     def make():
         def row(url, source):
             host, page = host_of(url), Page(source)
             whole = _digest("\n".join(f"{p}\t{t}" for p, t, _, _ in page.blocks))
+            article = page.article()
+            copy = whole if article is None else _digest(article)
+            of = lambda p: copy if p in page.inside else whole
             paths = {b[0] for b in page.blocks} | set(page.children)
-            out = [(host, whole, p, 0, 0, 0) for p in paths]
-            out += [(host, whole, p, 1, d, 0) for p, d in {(b[0], _digest(b[1])) for b in page.blocks}]
-            out += [(host, whole, p, 2, _digest(" ".join(c)), len(set(c))) for p, c in page.children.items()]
+            out = [(host, of(p), p, 0, 0, 0) for p in paths]
+            out += [(host, of(p), p, 1, d, 0) for p, d in {(b[0], _digest(b[1])) for b in page.blocks}]
+            out += [(host, of(p), p, 2, _digest(" ".join(c)), len(set(c))) for p, c in page.children.items()]
             return out
 
         return row
@@ -213,8 +252,8 @@ def extract(frame: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Pages of one host are merged into a style tree by counting (host, node, content) and (host,
     node, structure), never by gathering a host.  Branches go whose presentation names them as
-    menus, adverts and the like, or whose importance is low on their host; what is left of the
-    article is the text, one line for each block.  Null html gives the empty text; a null url is a
+    menus, adverts and the like, or whose importance is low on their host, also nodes in an article;
+    what is left of the article is the text, one line for each block.  Null html gives the empty text; a null url is a
     host of its own; repeated rows come out alike; an empty table gives no rows.
     """
     low = low_nodes(style_nodes(frame, url_col, html_col))

@@ -32,6 +32,22 @@ def test_extraction(spark):
     assert site_style.extract(frame.limit(0)).count() == 0
 
 
+def test_boilerplate_inside_articles(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"word{rng.randrange(9999)}" for _ in range(n))
+    box = '<div class="author-box"><h3>About us</h3><p>The same words under each article of this site</p></div>'
+    page = "<html><body><article><h1>{}</h1><p>{}</p><p>{}</p><h2>Summary</h2><p>{}</p>{}</article></body></html>"
+    own = [(say(5), say(40), say(20), say(8)) for _ in range(6)]
+    rows = [(k, f"https://a.example/{k}", page.format(*x, box)) for k, x in enumerate(own)]
+    # Edited copies on a host of their own: nothing of the article is a template.
+    copies = [(*own[0][:2], say(20), own[0][3]) for _ in range(4)]
+    rows += [(10 + k, f"https://b.example/{k}", page.format(*x, "")) for k, x in enumerate(copies)]
+    got = {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = lambda x: "\n".join([*x[:3], "Summary", x[3]])
+    assert [got[k] for k in range(6)] == [whole(x) for x in own]
+    assert [got[10 + k] for k in range(4)] == [whole(x) for x in copies]
+
+
 def test_topk_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 90)
     rng = np.random.default_rng(1)
