@@ -9,12 +9,16 @@ from marketgrid.llm import jaccard_join, packing, quality, secrets, substring_de
 from marketgrid.llm.common import Scratch, read
 
 
+#: Words in a shingle and least similarity in percent of the near-duplicate stage; op7's contract is its own.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -337,13 +337,26 @@ def _open_ties(
     return _ties(scratch, work, texts, "open-ties", width, percent)
 
 
-def keep_one(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id names their component, all columns as they are; rows without id stay."""
-    linked_rows = link(frame, id_col, text_col).filter(
+def keep_one(
+    frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT
+) -> DataFrame:
+    """The rows whose id names their component, all columns as they are; rows without id stay.
+
+    Of rows that repeat an id and a text one is kept.
+    """
+    linked_rows = link(frame, id_col, text_col, width, percent).filter(
         F.col("component_id").isNotNull() & (F.col("component_id") < F.col(id_col))
     )
     gone = linked_rows.select(F.col(id_col).alias("__gone")).distinct()
-    return frame.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    kept = frame.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    # Only rows whose id repeats meet by text; the others are not shuffled for it.
+    again = frame.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).agg(F.count("*").alias("n"))
+    again = Scratch(frame.sparkSession).write(again.filter("n > 1").select("__again"), "again")
+    if again.isEmpty():
+        return kept
+    of = F.col(id_col) == F.col("__again")
+    once = kept.join(again, of, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, of, "left_anti").unionByName(once)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

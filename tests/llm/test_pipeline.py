@@ -1,5 +1,7 @@
 """The pipeline stage by stage on the smallest documents, and the registered queries' schemas."""
 
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -26,5 +28,27 @@ def test_stages_keep_the_columns_and_only_drop_what_they_must(spark):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in safe.select("doc_id").collect()}
 
 
+def test_near_duplicates_go_by_five_words_and_four_fifths(spark):
+    rng = random.Random(9)
+    rows = []
+    for base in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        rows.append((len(rows), " ".join(words)))
+        for part in (0.05, 0.1, 0.13, 0.15, 0.17, 0.2, 0.25):
+            rows.append((len(rows), " ".join(words + [f"new{rng.randrange(10**6)}" for _ in range(int(150 * part * (1 + base / 30)))])))
+    rows += [(500, "a text of its own with some words"), (500, "a text of its own with some words"), (500, "and another text by that id"), (None, "x y"), (None, "x y")]
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows if k is not None and k < 500}
+    label = {k: k for k in sets}
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                old, new = sorted((label[a], label[b]))[::-1]
+                label = {k: new if c == old else c for k, c in label.items()}
+    docs = spark.createDataFrame([(k, t, "s") for k, t in rows], "doc_id long, text string, source string")
+    got = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, SF).collect()
+    want = [(k, rows[k][1]) for k in label if label[k] == k] + rows[-4:]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_queries_cover_all_operators():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
