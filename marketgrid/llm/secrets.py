@@ -89,22 +89,58 @@ def encoding(token: str) -> int:
     return next(size for pattern, size in ENCODINGS if pattern.fullmatch(token))
 
 
+#: Candidates that a task keeps at hand to send each once.
+TOKENS = 50_000
+
+
 def pair_counts(frame: DataFrame, text_col: str) -> np.ndarray:
-    """Counts of neighbouring characters over all texts, 65 x 65 (the last class is any other character)."""
-    spark_schema, schema = arrow_schema("pair int, n long")
+    """Counts of neighbouring characters over all texts, 65 x 65 (the last class is any other character).
+
+    Each distinct candidate counts once, however many texts hold it, so that copies of a secret don't
+    make it ordinary text; candidates are combined by task before the shuffle.
+    """
+    spark_schema, schema = arrow_schema("pair int, n long, token string")
+
+    def rows(total: np.ndarray, tokens: set[str]) -> pa.RecordBatch:
+        used = np.flatnonzero(total)
+        pairs, n = np.r_[used, np.full(len(tokens), -1)], np.r_[total[used], np.ones(len(tokens), np.int64)]
+        named = [None] * len(used) + list(tokens)
+        return pa.RecordBatch.from_arrays([pa.array(pairs, pa.int32()), pa.array(n, pa.int64()), pa.array(named, pa.string())], schema=schema)
+
+    def count(total: np.ndarray, text: str) -> None:
+        codes = _CODES[np.frombuffer(text.encode(), np.uint8)]
+        if len(codes) > 1:
+            total += np.bincount(codes[:-1] * 65 + codes[1:], minlength=65 * 65)
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, tokens = np.zeros(65 * 65, np.int64), set()
+
+        def take(m: re.Match) -> str:
+            tokens.add(m[0])
+            return " "
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(65 * 65, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                codes = _CODES[np.frombuffer((text or "").encode(), np.uint8)]
-                if len(codes) > 1:
-                    total += np.bincount(codes[:-1] * 65 + codes[1:], minlength=65 * 65)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(65 * 65), pa.int32()), pa.array(total)], schema=schema)
+                count(total, CANDIDATE.sub(take, text or ""))
+                if len(tokens) >= TOKENS:
+                    yield rows(np.zeros(65 * 65, np.int64), tokens)
+                    tokens.clear()
+        yield rows(total, tokens)
 
-    rows = frame.select(text_col).mapInArrow(run, spark_schema).groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(65 * 65, np.int64)
+        for batch in batches:
+            for pair, n, token in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if token is None:
+                    total[pair] += n
+                else:
+                    count(total, token)
+        yield rows(total, set())
+
+    seen = frame.select(text_col).mapInArrow(texts, spark_schema).groupBy("pair", "token").agg(F.sum("n").alias("n"))
+    found = seen.select("pair", "n", "token").mapInArrow(once, spark_schema).groupBy("pair").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(65 * 65)
-    for r in rows:  # at most 65 * 65
+    for r in found:  # at most 65 * 65
         counts[r["pair"]] = r["n"]
     return counts.reshape(65, 65)
 

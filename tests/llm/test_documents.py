@@ -143,6 +143,16 @@ def test_secrets_base_and_random(spark):
     assert secrets.find(frame.limit(0)).count() == 0
 
 
+def test_secret_of_many_rows_is_still_random(spark):
+    rng = random.Random(12)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    rows = [(k, prose(rng, 60) + (f" {key} " if k % 3 == 0 else " ") + prose(rng, 60)) for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.find(frame).collect()}
+    assert all(("random" in spans[k]) == (k % 3 == 0) for k, _ in rows)
+    assert not any(key in r.text for r in secrets.redact(frame).collect())
+
+
 def test_substring_dedup_keeps_the_first(spark):
     rng = random.Random(4)
     sentence = lambda n: prose(rng, n).capitalize() + "."
