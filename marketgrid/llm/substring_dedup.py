@@ -17,8 +17,8 @@ from .common import Scratch, flat_map_rows, map_rows, read
 MIN_WORDS = 10
 #: A repeated unit that is a whole line goes from so many words on.
 MIN_LINE_WORDS = 5
-#: Sentences of so many words are cut further, into pieces of at least so many.
-LONG_WORDS, PIECE_WORDS = 16, 5
+#: Sentences of so many words are cut further, into pieces of at least so many; a cut is the least hash so near.
+LONG_WORDS, PIECE_WORDS, NEAR = 16, 5, 4
 _WORD = re.compile(r"\S+")
 _SENTENCE = re.compile(r"(?<=[.!?]) ")
 _SIGN = 1 << 63
@@ -26,22 +26,28 @@ REPEATED = "__repeated"
 
 
 def _pieces(line: str):
-    """(start, end) of a line's sentences; long ones are cut after words that their own hash picks.
+    """(start, end) of a line's sentences; long ones are cut after words whose hash is the least near them.
 
-    Cuts that depend on the words alone fall alike in every copy, also where a passage stands inside
-    a sentence of its own or a copy was edited.
+    Whether a word ends a piece depends on the ``NEAR`` words on either side alone, so cuts fall alike
+    in every copy, also where a passage stands inside a sentence of its own or a copy was edited.
     """
     at = 0
     for sentence in _SENTENCE.split(line):
         if sentence.count(" ") < LONG_WORDS:
             yield at, at + len(sentence)
         else:
-            start, words = at, 0
-            for word in _WORD.finditer(sentence):
-                words += 1
-                if words >= PIECE_WORDS and not zlib.crc32(word[0].lower().encode()) & 7:
-                    yield start, at + word.end()
-                    start, words = at + word.end(), 0
+            start, k = at, NEAR
+            words = list(_WORD.finditer(sentence))
+            last = [zlib.crc32(w[0].lower().encode()) for w in words]
+            # With the word before, or frequent words would tie.
+            hashes = [(x * 2654435761 + y * 40503) & 0xFFFFFFFF for x, y in zip([0, *last], last, strict=False)]
+            while k < len(words) - NEAR:
+                x = hashes[k]
+                if x < hashes[k - 1] and x <= hashes[k + 1] and x < min(hashes[k - NEAR : k]) and x <= min(hashes[k + 1 : k + NEAR + 1]):
+                    yield start, at + words[k].end()
+                    start = at + words[k].end()
+                    k += NEAR
+                k += 1
             if start < at + len(sentence):
                 yield start, at + len(sentence)
         at += len(sentence) + 1
@@ -67,24 +73,54 @@ def _digest(normal: str) -> tuple[int, int]:
     return (value >> 64) - _SIGN, (value & (2 * _SIGN - 1)) - _SIGN
 
 
+def windows(found: list[tuple[int, int, str, bool]]) -> list[tuple[int, int, str]]:
+    """(first, behind the last, text) of each least stretch of ``MIN_WORDS`` words in units too short to tell by themselves."""
+    out, behind, words = [], 0, 0
+    sizes = [u[2].count(" ") + 1 for u in found]
+    for first in range(len(found)):
+        if behind < first:
+            behind, words = first, 0
+        while behind < len(found) and words < MIN_WORDS and sizes[behind] < PIECE_WORDS:
+            words += sizes[behind]
+            behind += 1
+        if words >= MIN_WORDS:
+            out.append((first, behind, " ".join(u[2] for u in found[first:behind])))
+        if behind > first:
+            words -= sizes[first]
+    return out
+
+
 def _cut(text: str, repeated: set[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
-    """Remove stretches of units that are in ``repeated`` or stood earlier in the text."""
+    """Remove stretches of units that are in ``repeated`` or stood earlier in the text.
+
+    Short units that are repeated one by one may be chance; stretches of them go where a whole window does.
+    """
     here: set[tuple[int, int]] = set()
     spans: list[tuple[int, int]] = []
-    run: list[tuple[int, int, str, bool]] = []
+    run: list[int] = []
+    found = units(text)
+    covered, ended = [False] * len(found), {}
+    for first, behind, joined in windows(found):
+        key = _digest(joined)
+        if key in repeated or ended.setdefault(key, behind) <= first:
+            covered[first:behind] = [True] * (behind - first)
 
     def close() -> None:
-        words = [u[2].count(" ") + 1 for u in run]
+        words = [found[k][2].count(" ") + 1 for k in run]
         if sum(words) >= MIN_WORDS and max(words) >= PIECE_WORDS:
-            spans.append((run[0][0], run[-1][1]))
+            spans.append((found[run[0]][0], found[run[-1]][1]))
         else:
-            spans.extend((u[0], u[1]) for u in run if u[3] and u[2].count(" ") + 1 >= MIN_LINE_WORDS)
+            for k, n in zip(run, words, strict=True):
+                if covered[k] and spans and k > run[0] and covered[k - 1]:
+                    spans[-1] = (spans[-1][0], found[k][1])
+                elif covered[k] or found[k][3] and n >= MIN_LINE_WORDS:
+                    spans.append(found[k][:2])
         run.clear()
 
-    for unit in units(text):
+    for k, unit in enumerate(found):
         key = _digest(unit[2])
-        if key in repeated or key in here:
-            run.append(unit)
+        if covered[k] or key in repeated or key in here:
+            run.append(k)
         else:
             close()
         here.add(key)
@@ -150,9 +186,13 @@ def _with_repeated(frame: DataFrame, id_col: str, text_col: str) -> DataFrame:
     scratch = Scratch(frame.sparkSession)
 
     def make_units():
-        return lambda ident, text: [
-            (ident, *key) for key in {_digest(u[2]) for u in units(text or "")} if ident is not None
-        ]
+        def row(ident, text):
+            if ident is None:
+                return []
+            found = units(text or "")
+            return [(ident, *key) for key in {_digest(u[2]) for u in [*found, *windows(found)]}]
+
+        return row
 
     seen = scratch.write(
         flat_map_rows(frame, [id_col, text_col], f"unit_of {id_type}, h1 long, h2 long", make_units), "units"

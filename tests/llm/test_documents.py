@@ -153,6 +153,31 @@ def test_secret_of_many_rows_is_still_random(spark):
     assert not any(key in r.text for r in secrets.redact(frame).collect())
 
 
+def test_substring_dedup_short_units_and_running_text(spark):
+    rng = random.Random(14)
+    lines = [prose(rng, 3) for _ in range(20)]
+    talk = " ".join(prose(rng, 2).capitalize() + "." for _ in range(12))
+    rows = [(k, "\n".join([prose(rng, 30), *lines, prose(rng, 30), talk, prose(rng, 30)])) for k in range(4)]
+    got = {r.doc_id: r.text for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1]
+    for k in range(1, 4):
+        own = rows[k][1].split("\n")
+        assert got[k].split("\n") == [own[0], own[21], own[23]]
+    # Lines that are common one by one, but not in this order, stay.
+    mixed = [(10, "\n".join(lines)), (11, "\n".join(rng.sample(lines, 20)))]
+    assert all(not substring_dedup.windows(substring_dedup.units(t)) == [] for _, t in mixed)
+    left = {r.doc_id: r.text for r in substring_dedup.dedup(spark.createDataFrame(mixed, "doc_id long, text string")).collect()}
+    assert left[11] == mixed[1][1]
+    # Passages of 51 words inside running text without ends of sentences.
+    missed = 0
+    for _ in range(1000):
+        passage = prose(rng, 51)
+        one, two = (f"{prose(rng, 40)} {passage} {prose(rng, 40)}" for _ in range(2))
+        shared = {u[2] for u in substring_dedup.units(one)} & {u[2] for u in substring_dedup.units(two)}
+        missed += sum(len(x.split()) for x in shared) < substring_dedup.MIN_WORDS
+    assert missed <= 5
+
+
 def test_substring_dedup_keeps_the_first(spark):
     rng = random.Random(4)
     sentence = lambda n: prose(rng, n).capitalize() + "."
