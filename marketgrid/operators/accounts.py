@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -305,6 +307,47 @@ def w17_volume_histogram(spark, sf_dir, bins: int = 32):
     return rows.join(edge, "symbol").filter("hi > lo").groupBy("symbol", at.alias("bin")).agg(F.round(F.sum("volume"), 2).alias("volume"))
 
 
+def _profiles(spark, sf_dir, ddl: str, of, window: int = 120):
+    """Rows of ``of(prices, volumes)`` for each bar of a symbol from the ``window``-th on, over the last ``window`` bars with volume."""
+
+    def run(bars: pd.DataFrame) -> pd.DataFrame:
+        bars = bars.sort_values("date")
+        prices, volumes = ((bars.high + bars.low + bars.close) / 3).to_numpy(float), bars.volume.to_numpy(float)
+        out = []
+        for k, day in enumerate(bars.date.tolist()[window - 1 :]):
+            p, v = prices[k : k + window], volumes[k : k + window]
+            if (v > 0).any():
+                out += [(bars.symbol.iloc[0], day, *x) for x in of(p[v > 0], v[v > 0])]
+        return pd.DataFrame(out, columns=[x.split()[0] for x in ddl.split(", ")])
+
+    bars = bars_daily(spark, sf_dir).select("symbol", "date", "high", "low", "close", "volume")
+    return bars.groupBy("symbol").applyInPandas(run, ddl)
+
+
+def w16_quantiles_all(spark, sf_dir):
+    """Volume-weighted quantiles of typical prices over 120 bars, at every bar from the 120th on."""
+
+    def quantiles(p, v):
+        order = np.argsort(p, kind="stable")
+        c = np.cumsum(v[order])
+        return [tuple(round(float(p[order][np.searchsorted(c, c[-1] * q)]), 6) for q in (0.15, 0.5, 0.85))]
+
+    return _profiles(spark, sf_dir, "symbol long, as_of date, low double, mid double, high double", quantiles)
+
+
+def w17_histogram_all(spark, sf_dir, bins: int = 32):
+    """Volume by bin of typical prices over 120 bars, at every bar from the 120th on."""
+
+    def histogram(p, v):
+        low, high = float(p.min()), float(p.max())
+        if low == high:
+            half = max(abs(low) * 0.005, 0.005)
+            low, high = low - half, high + half
+        return [(k, round(float(x), 2)) for k, x in enumerate(np.histogram(p, bins=bins, range=(low, high), weights=v)[0])]
+
+    return _profiles(spark, sf_dir, "symbol long, as_of date, bin int, volume double", histogram)
+
+
 def w11_robust_volume(spark, sf_dir):
     """Volume against the median and the median absolute deviation of the 60 bars before."""
     before = Window.partitionBy("symbol").orderBy("date").rowsBetween(-60, -1)
@@ -375,4 +418,4 @@ SELECT a.symbol, a.date, round((any_value(a.volume) - any_value(a.mid)) / greate
 FROM n a JOIN n b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 60 AND a.i - 1 WHERE a.i > 60 GROUP BY a.symbol, a.date""",
     "w18_liquidity": _B + ", q AS (SELECT symbol, date, count(*) OVER w AS n, quantile_cont(amount, 0.5) OVER w AS mid, max(1 - verified) OVER w AS bad FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT symbol, date, round(CASE WHEN n = 20 THEN mid END, 4) AS median_amount, CASE WHEN n < 20 THEN 'short' WHEN bad = 1 THEN 'unverified' WHEN mid < 30000 THEN 'thin' ELSE 'ok' END AS reason FROM q",
 }
-QUERIES = {name: globals()[name] for name in ORACLE} | {"a31_bootstrap": a31_bootstrap, "w50_target_path": w50_target_path}
+QUERIES = {name: globals()[name] for name in ORACLE} | {"a31_bootstrap": a31_bootstrap, "w50_target_path": w50_target_path, "w16_quantiles_all": w16_quantiles_all, "w17_histogram_all": w17_histogram_all}
