@@ -7,15 +7,17 @@ byte allowed after every other.  The gadget of merge ``(a, b) -> ab``
 * adds an arc ``ab`` wherever an arc ``a`` leads to a state that still had arc ``b``,
 * lets state ``ab`` start with the arcs that state ``b`` has at that moment.
 
-One row of the gadget tables (``left``, ``right``, ``ab``) holds one gadget; whether an arc exists
+One row of the gadget tables (``left``, ``right``, ``when``) holds one gadget; whether an arc exists
 in the finished automaton follows from undoing the gadgets newest first (:meth:`_arc`).  A path of
 the automaton that spells a word is the word's BPE encoding, and there is exactly one.
 
-Encoding runs that automaton over a word's bytes by tables alone: the byte trie gives the longest
-token at a place, ``shorter`` the next shorter one there, and the arc table says whether it may
-follow the token before.  Bytes that no allowed token continues send the run back one token.  As
-each prefix of a word is spelled by one path at most, no place is left twice: a run is linear.
-Decoding emits the byte labels of the arcs.
+That automaton reads tokens.  Its determinisation over bytes is what encoding runs: a state is the
+set of (token before, node of the byte trie) that are under way, and holds the token that ends the
+one path spelling the bytes read.  A transition is one look into a table, (state, byte) -> state;
+rows are made by the subset construction when they are first needed, as the whole table would hold
+every pair of 50,000 tokens, and are kept in each worker up to a bound.  One run forward over a
+word's bytes, no step back; the tokens are then read off the states from the end, each saying where
+the one before it ended.  Decoding emits the byte labels of the arcs.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ SPLIT_PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 _START = -1
-#: Encoded chunks that a worker keeps.
-MAX_CHUNKS = 1_000_000
+#: Encoded chunks, and states of the byte automaton, that a worker keeps.
+MAX_CHUNKS, MAX_STATES = 1_000_000, 120_000
 
 
 def _visible_bytes() -> dict[str, int]:
@@ -64,6 +66,7 @@ class BpeAutomaton:
             self.labels[ident] = content.encode()
         self._gadgets(vocab, spec["model"]["merges"])
         self._trie()
+        self._start()
         self.special_pattern = (
             regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
             if self.special
@@ -87,29 +90,33 @@ class BpeAutomaton:
             if self.when[made] == 0 and len(self.labels[made]) > 1:
                 self.left[made], self.right[made], self.when[made] = left, right, time
         self.size = size
-        self._arcs: dict[int, dict[int, bool]] = {}
+        self._arcs: dict[int, bool] = {}
 
     def _trie(self) -> None:
-        """Byte trie of the vocabulary and ``shorter``.
-
-        A node is a dict of its children; under -1 it has the longest token that ends on the way to it.
-        ``four`` leads to the nodes four bytes deep.
-        """
-        self.root: dict = {-1: -1}
-        self.shorter = [-1] * self.size
+        """Byte trie of the vocabulary: ``(node << 8 | byte) -> node``, and the token that each node spells or -1."""
+        self.trie: dict[int, int] = {}
+        self.ends = [-1]
         specials = set(self.special.values())
-        spelled = {label: ident for ident, label in enumerate(self.labels) if label and ident not in specials}
-        for label in sorted(spelled, key=len):
-            node = self.root
+        for ident, label in enumerate(self.labels):
+            if not label or ident in specials:
+                continue
+            node = 0
             for byte in label:
-                node = node.setdefault(byte, {-1: node[-1]})
-            self.shorter[spelled[label]], node[-1] = node[-1], spelled[label]
-        level = {b"": self.root}
-        for _ in range(4):
-            level = {key + bytes((byte,)): n for key, node in level.items() for byte, n in node.items() if byte >= 0}
-        self.four = level
+                key = node << 8 | byte
+                deeper = self.trie.get(key)
+                if deeper is None:
+                    deeper = self.trie[key] = len(self.ends)
+                    self.ends.append(-1)
+                node = deeper
+            self.ends[node] = ident
         self.length = list(map(len, self.labels))
 
+    def _start(self) -> None:
+        """The byte automaton's start state: nothing read, no token before."""
+        start = ((_START, 0),)
+        self.table: dict[int, int] = {}
+        self.last, self.under_way, self._states = [_START], [start], {start: 0}
+
     def _arc(self, p: int, t: int) -> bool:
         """Whether token ``t`` may follow token ``p`` once all gadgets are in place."""
         # Undo gadgets, newest first.
@@ -130,48 +137,52 @@ class BpeAutomaton:
                 limit, v = wv + 1, self.left[v]
         return allowed
 
+    def _transition(self, state: int, byte: int) -> int:
+        """Add the row of ``table`` for a state and a byte by the subset construction."""
+        trie, ends, arcs = self.trie, self.ends, self._arcs
+        going, token = [], _START
+        for before, node in self.under_way[state]:
+            deeper = trie.get(node << 8 | byte)
+            if deeper is None:
+                continue
+            going.append((before, deeper))
+            ended = ends[deeper]
+            if token < 0 <= ended:
+                if before < 0:
+                    token = ended
+                else:
+                    key = before * self.size + ended
+                    allowed = arcs.get(key)
+                    if allowed is None:
+                        allowed = arcs[key] = self._arc(before, ended)
+                    if allowed:
+                        token = ended
+        name = (*going, (token, 0))
+        made = self._states.get(name)
+        if made is None:
+            made = self._states[name] = len(self.last)
+            self.last.append(token)
+            self.under_way.append(name)
+        self.table[state << 8 | byte] = made
+        return made
+
     def encode_word(self, word: bytes) -> list[int]:
-        """Ids of one pre-split word."""
-        root, four, length, shorter, arcs = self.root, self.four, self.length, self.shorter, self._arcs
-        path: list[int] = []
-        at, before, end, left = 0, _START, len(word), None
-        while True:
-            node = four.get(word[at : at + 4])
-            rest = at + 4
-            if node is None:
-                node, rest = root, at
-            for byte in word[rest:]:
-                deeper = node.get(byte)
-                if deeper is None:
-                    break
-                node = deeper
-            token = node[-1]
-            while True:
-                while token >= 0:
-                    if before < 0:
-                        allowed = True
-                    else:
-                        row = arcs.get(before)
-                        if row is None:
-                            row = arcs[before] = {}
-                        allowed = row.get(token)
-                        if allowed is None:
-                            allowed = row[token] = self._arc(before, token)
-                    if allowed and (left is None or at + length[token] not in left):
-                        break
-                    token = shorter[token]
-                if token >= 0:
-                    break
-                left = left or set()
-                left.add(at)
-                token = path.pop()
-                at -= length[token]
-                before, token = path[-1] if path else _START, shorter[token]
-            path.append(token)
-            at += length[token]
-            if at == end:
-                return path
-            before = token
+        """Ids of one pre-split word: transitions forward, then the tokens from the end."""
+        if len(self.last) > MAX_STATES:
+            self._arcs.clear()
+            self._start()
+        table, last, length, state, passed = self.table, self.last, self.length, 0, []
+        for byte in word:
+            deeper = table.get(state << 8 | byte)
+            state = self._transition(state, byte) if deeper is None else deeper
+            passed.append(state)
+        ids, at = [], len(word)
+        while at:
+            token = last[passed[at - 1]]
+            ids.append(token)
+            at -= length[token]
+        ids.reverse()
+        return ids
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
