@@ -24,9 +24,15 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own where the session sets none (tests)."""
+    """The shared folder that the session names in ``spark.checkpoint.dir``.
+
+    A local session without it (tests) gets one of its own; on a cluster, where executors don't
+    share a machine's folders, its absence is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="marketgrid-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
