@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,21 +13,27 @@ from .common import Scratch, read
 
 #: Vectors and queries that meet in one task.
 BLOCK, QUERY_BLOCK = 4096, 1024
-_FIRST_DEPTH = 64
+_FIRST_DEPTH = 8
+#: Components from here on are wide: sums of their products might not be whole in 64 bits of floating point.
+WIDE = 4096.0
+_LONG = (-(1 << 63), (1 << 63) - 1)
 
 
-def threshold_topk(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, id, score) of each query's ``k`` best vectors other than itself, ties to smaller ids.
+def threshold_topk(
+    vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, query_rows: np.ndarray, k: int, floors: np.ndarray
+) -> list[tuple[int, int, int]]:
+    """(query row, vector id, score) of each query's ``k`` best vectors other than its own row, ties to smaller ids.
 
     Every dimension has a list of the vectors sorted by it, read from the end that the query's sign
     prefers.  After each stretch of sorted access the new vectors are scored in full; a query is
-    done when its kth score beats what the lists' next entries could add up to.
+    done when its kth score, or the ``floors`` score that its result is known to reach, beats what
+    the lists' next entries could add up to.  Components are whole numbers, as floats that hold
+    every sum exactly or, for wide ones, as Python integers.
     """
-    n, dims = vectors.shape
+    n = len(vectors)
     order = np.argsort(vectors, axis=0, kind="stable")
-    up = np.take_along_axis(vectors, order, 0).astype(np.float64)  # exact: sums stay far below 2**53
-    plain = vectors.astype(np.float64)
-    rising, falling = np.minimum(queries, 0).astype(np.float64), np.maximum(queries, 0).astype(np.float64)
+    up = np.take_along_axis(vectors, order, 0)
+    rising, falling = np.minimum(queries, 0), np.maximum(queries, 0)
     depths, depth = [], _FIRST_DEPTH
     while depth < n:
         depths.append(depth)
@@ -34,11 +42,10 @@ def threshold_topk(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, qu
     # What a vector not yet seen at a depth can score at most, for all queries at once.
     bounds = {d: up[n - 1 - d] @ falling.T + up[d] @ rising.T for d in depths[:-1]}
     out = []
-    for q in range(len(queries)):
-        query = queries[q].astype(np.float64)
-        high, low = np.flatnonzero(queries[q] > 0), np.flatnonzero(queries[q] < 0)
+    for q, query in enumerate(queries):
+        high, low = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         seen = np.zeros(n, bool)
-        best_ids, best = np.empty(0, np.int64), np.empty(0, np.float64)
+        best_ids, best = np.empty(0, np.int64), np.empty(0, vectors.dtype)
         done = 0
         for depth in depths:
             now = np.zeros(n, bool)
@@ -49,29 +56,36 @@ def threshold_topk(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, qu
                 now[order[done:depth, low].ravel()] = True
             new = np.flatnonzero(now & ~seen)
             seen |= now
-            scores = plain[new] @ query
-            if len(best) == k:
-                good = scores >= best[-1]
-                new, scores = new[good], scores[good]
-            own = ids[new] != query_ids[q]
-            all_ids, all_scores = np.r_[best_ids, ids[new][own]], np.r_[best, scores[own]]
+            scores = vectors[new] @ query
+            good = (scores >= (best[-1] if len(best) == k else floors[q])) & (rows[new] != query_rows[q])
+            new, scores = new[good], scores[good]
+            all_ids, all_scores = np.r_[best_ids, ids[new]], np.r_[best, scores]
             keep = np.lexsort((all_ids, -all_scores))[:k]
             best_ids, best = all_ids[keep], all_scores[keep]
-            if depth == n or len(best) == k and best[-1] > bounds[depth][q]:
+            reached = best[-1] if len(best) == k else floors[q]
+            if depth == n or reached > bounds[depth][q]:
                 break
             done = depth
-        out += [(int(query_ids[q]), int(i), int(s)) for i, s in zip(best_ids, best, strict=True)]
+        out += [(int(query_rows[q]), int(i), int(s)) for i, s in zip(best_ids, best, strict=True)]
     return out
 
 
-def quantised(frame: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v) with v = floor(256 x); vectors that are null, empty or hold a null or non-finite component go."""
+def whole(components: list[np.ndarray], wide: bool) -> np.ndarray:
+    """floor(256 x) of vectors: floats, or Python integers where they are wide."""
+    x = np.stack([np.asarray(c, np.float64) for c in components])
+    if not wide:
+        return np.floor(x * 256)
+    return np.array([[int(c) * 256 if abs(c) >= 2.0**53 else math.floor(c * 256) for c in row] for row in x.tolist()], object)
+
+
+def fit_vectors(frame: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(vec_id, v) as doubles; vectors that are null, empty or hold a null or non-finite component go."""
     x = F.col(vector_col).cast("array<double>")
     fit = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     return (
         frame.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0))
         .filter(F.coalesce(fit, F.lit(False)))
-        .select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * 256)).alias("v"))
+        .select(F.col(id_col).cast("long").alias("vec_id"), x.alias("v"))
     )
 
 
@@ -81,40 +95,80 @@ def search(
     """query_id, rank, vec_id and score of the ``k`` best of all rows for rows whose id divides by ``every``.
 
     The stated queries meet all rows in blocks: each pair of a block of queries and a block of
-    vectors is one group of bounded size, and hashing the ids deals the vectors out evenly even if
-    many are equal.  Only ``k`` rows for each query leave a block.  Vectors of another length than a
-    query's score nothing with it; repeated rows compete row by row; too few rows give fewer
-    ranks; an empty table gives none.
+    vectors is one group of bounded size, and hashing the rows deals them out evenly even if
+    many are equal.  Each query first meets one block; the ``k``th score there is where its lists in
+    all other blocks may stop.  Only ``k`` rows for each query leave a block.  Vectors of another
+    length than a query's score nothing with it.  Rows are told apart by number, not by id: repeated
+    rows compete row by row, and each of several query rows of one id has its own list.  Wide vectors
+    (a component of 4,096 or more) meet in blocks of their own and are scored in unbounded integers;
+    scores that a long can't hold are ranked as they are and shown as the nearest long.  Too few rows
+    give fewer ranks; an empty table gives none.
     """
     spark = frame.sparkSession
-    vectors = Scratch(spark).write(quantised(frame, id_col, vector_col).withColumn("dims", F.size("v")), "vectors")
-    queries = vectors.filter(F.col("vec_id") % every == 0)
-    n, n_queries = vectors.count(), queries.count()
-    blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-    left = vectors.select(
-        "vec_id", "v", "dims",
-        F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("query_block"),
-    )
-    right = queries.select(
-        "vec_id", "v", "dims",
-        F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).alias("query_block"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
-    )
+    scratch = Scratch(spark)
+    numbered = fit_vectors(frame, id_col, vector_col).withColumns(
+        {"row": F.monotonically_increasing_id(), "dims": F.size("v"), "wide": F.exists("v", lambda c: F.abs(c) >= WIDE).cast("int")}
+    )
+    vectors = scratch.write(numbered, "vectors")
+    is_query = F.col("vec_id") % every == 0
+    counts = vectors.agg(F.count("*"), F.count_if(is_query), F.max("wide"), F.max(F.when(is_query, F.col("wide")))).first()
+    n, n_queries, wide, wide_queries = (x or 0 for x in counts)
+    per_kind, queries_per_kind = max(1, -(-n // BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    blocks, query_blocks = per_kind * (1 + wide), queries_per_kind * (1 + wide_queries)
+    placed = vectors.withColumns({
+        "block": F.pmod(F.xxhash64("row"), F.lit(per_kind)) + F.col("wide") * per_kind,
+        "query_block": F.pmod(F.xxhash64("row", F.lit(1)), F.lit(queries_per_kind)) + F.col("wide") * queries_per_kind,
+    })
+    queries = placed.filter(is_query)
+    every_block = F.expr(f"explode(sequence(0L, {blocks - 1}L))")
+    every_query_block = F.expr(f"explode(sequence(0L, {query_blocks - 1}L))")
+    left = placed.select("row", "vec_id", "v", "dims", "wide", "block", every_query_block.alias("query_block"))
+    asked = queries.select("row", "vec_id", "v", "dims", "wide", "query_block")
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(a) and len(b):
-            rows = threshold_topk(
-                np.stack(a.v.to_list()), a.vec_id.to_numpy(), np.stack(b.v.to_list()), b.vec_id.to_numpy(), k
+            large = bool(a.wide.any() or b.wide.any())
+            floors = [int(x) if large else float(x) for x in b.floor]
+            found = threshold_topk(
+                whole(a.v.to_list(), large), a.vec_id.to_numpy(), a.row.to_numpy(), whole(b.v.to_list(), large), b.row.to_numpy(), k,
+                np.array(floors, object if large else float),
             )
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"], dtype="int64")
+            rows = [(r, i, str(s)) for r, i, s in found]
+        return pd.DataFrame({"query_row": [r[0] for r in rows], "vec_id": [r[1] for r in rows], "score": [r[2] for r in rows]}).astype(
+            {"query_row": "int64", "vec_id": "int64", "score": "object"}
+        )
 
     keys = ["block", "query_block", "dims"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
+        found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, "query_row long, vec_id long, score string")
+        # Few scores need more than a long; those are ranked by sign, length and digits.
+        return found.withColumn("exact", F.expr("try_cast(score AS decimal(38, 0))"))
+
+    # No score is below this floor.
+    lowest = F.lit("-" + "9" * 700)
+    home = F.pmod(F.xxhash64("row", F.lit(2)), F.lit(per_kind)) + F.col("wide") * per_kind
+    first = scratch.write(meet(left, asked.withColumns({"block": home, "floor": lowest})), "first")
+    kth = first.withColumn("at", F.row_number().over(_ranks("query_row"))).filter(F.col("at") == k).select(F.col("query_row").alias("of"), F.col("score").alias("floor"))
+    rest = asked.withColumns({"home": home, "block": every_block}).filter("block <> home").drop("home")
+    rest = rest.join(kth, F.col("row") == F.col("of"), "left").withColumn("floor", F.coalesce("floor", lowest)).drop("of")
+    best = first.unionByName(meet(left, rest))
+    ranked = best.withColumn("rank", F.row_number().over(_ranks("query_row"))).filter(F.col("rank") <= k)
+    named = ranked.join(queries.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id")), "query_row")
+    score = F.coalesce(
+        F.expr("try_cast(score AS bigint)"), F.when(F.col("score").startswith("-"), F.lit(_LONG[0])).otherwise(F.lit(_LONG[1]))
+    )
+    return named.select("query_id", "rank", "vec_id", score.alias("score"))
+
+
+def _ranks(key: str):
+    """Highest whole numbers first, as decimals or, beyond them, by sign, number of digits and digits; then smaller ids."""
+    low = F.col("score").startswith("-")
+    digits = F.length("score")
+    beyond = F.when(F.col("exact").isNotNull(), 0).when(low, -1).otherwise(1)
+    return Window.partitionBy(key).orderBy(
+        F.desc(beyond), F.desc("exact"), F.desc(F.when(low, -digits).otherwise(digits)), F.when(low, F.col("score")), F.desc("score"), "vec_id"
     )
 
 
@@ -122,11 +176,11 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read(spark, sf_dir, "embeddings"))
 
 
-OP6_SQL = """WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+OP6_SQL = """WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+  SELECT a.row, a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.row <> b.row WHERE a.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
