@@ -125,22 +125,33 @@ def _cut(text: str, repeated: set[tuple[int, int]]) -> tuple[str, list[tuple[int
             close()
         here.add(key)
     close()
-    if not spans:
-        return text, spans
+    spans = [_widened(text, *span) for span in spans]
     kept, at = [], 0
     for start, end in spans:
         kept.append(text[at:start])
         at = end
     kept.append(text[at:])
-    left = "".join(kept)
-    return re.sub(r"\n{2,}", "\n", re.sub(r" {2,}", " ", left)).strip(), spans
+    return "".join(kept), spans
+
+
+def _widened(text: str, start: int, end: int) -> tuple[int, int]:
+    """A span with the one separator that would be left over: a line's end, or the blank behind or before it."""
+    opens, closes = start == 0 or text[start - 1] == "\n", end == len(text) or text[end] == "\n"
+    if opens and closes:
+        return (start, end + 1) if end < len(text) else (max(0, start - 1), end)
+    if not closes and text[end] == " ":
+        return start, end + 1
+    if not opens and text[start - 1] == " " and closes:
+        return start - 1, end
+    return start, end
 
 
 def dedup(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``text`` without repeated units, ``removed`` (array of start and end in the original), ``n_removed``.
 
-    Of a unit that several documents share, the document with the smallest id keeps the first
-    occurrence.  Digests of 128 bits meet by group-by with map-side combining, so a line that every
+    What is kept is the original without the removed spans, byte for byte; a span takes the one
+    separator along that it would leave behind.  Of a unit that several documents share, the document
+    with the smallest id keeps the first occurrence.  Digests of 128 bits meet by group-by with map-side combining, so a line that every
     document has costs one row for each task; joins back are plain joins that Spark may split.
     Null texts stay null; rows without id keep their text and lend none; rows that repeat an id are
     copies of one document and are cut alike; an empty table gives no rows.  A document all of whose
