@@ -35,14 +35,35 @@ NOISE_WORDS = {
     "search", "form", "share", "sharing", "social", "related", "recommended", "pagination", "pager", "masthead",
     "toolbar", "skip",
 }
+# What a menu's, advert's or notice's name may add without meaning something else.
+PLAIN_WORDS = {
+    "area", "bar", "block", "body", "bottom", "box", "buttons", "col", "column", "container", "content", "group", "head", "holder", "icons",
+    "inner", "item", "items", "left", "line", "link", "links", "list", "main", "message", "outer", "page", "panel", "post", "posts",
+    "primary", "right", "row", "secondary", "section", "site", "slot", "small", "sticky", "tag", "thread", "title", "top", "unit", "wrap", "wrapper",
+}
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s"']+)""")
-_WORD = re.compile(r"[a-z0-9]+")
+_OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_QUOTED = re.compile(r"""=\s*(["'])""")
+# Names start at the beginning of a run of their characters, so no run is read twice.
+_ATTRIBUTE = re.compile(r"""(?<![^\s=/"'])([^\s=/"']++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s"']+)""")
+_WORD = re.compile(r"[a-z]+")
 #: Elements that set a part of an article apart even without a class; lists, tables and paragraphs are its text.
 APART = {"div", "section", "header", "article", "details", "figure", "address", "center"}
-_HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none""", re.I)
+# An element that ends an open one of its kind, and the elements beyond which it doesn't look.
+_LIKE = {"li": {"li"}, "tr": {"tr"}, "option": {"option"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+_EDGES = {"ul", "ol", "menu", "table", "dl", "select", "tbody", "thead"}
+
+
+def _named_noise(value: str, in_article: bool) -> bool:
+    """Whether one of an attribute's names says menu, advert or the like, and nothing else: ``search-results-of-study`` doesn't."""
+    for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value.strip("\"'")).split():
+        words = set(_WORD.findall(name.lower()))
+        noise = words & NOISE_WORDS or not in_article and words & {"header"}
+        if noise and words <= NOISE_WORDS | PLAIN_WORDS | {"header"}:
+            return True
+    return False
 
 
 def _noisy(tag: str, attributes: str, in_article: bool) -> bool:
@@ -58,55 +79,106 @@ def _noisy(tag: str, attributes: str, in_article: bool) -> bool:
         if name in ("class", "id"):
             if tag in ("html", "body", "article", "main") and not in_article:
                 continue
-            words = set(_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
-            if words & NOISE_WORDS or not in_article and "header" in words:
+            if _named_noise(value, in_article):
                 return True
         elif name == "role" and value.strip("\"'").lower() in NOISE_ROLES:
             return True
     return False
 
 
+def tags(source: str):
+    """(start, end, closing, name, attributes) of each tag, comment (name None) or declaration; linear in the source.
+
+    A quoted value may hold ``>``; a quote that is never closed is an ordinary character.
+    """
+    at, last = 0, source.rfind(">")
+    while True:
+        found = _OPENING.search(source, at)
+        if found is None:
+            return
+        start, name = found.start(), found[2]
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = len(source) if end < 0 else end + 3
+            yield start, at, False, None, ""
+        elif last < found.end() - 1:
+            at = source.find("<!--", start)  # nothing but a comment can follow
+            if at < 0:
+                return
+        elif name is None:
+            at = source.find(">", start) + 1
+            yield start, at, False, None, ""
+        else:
+            first = end = source.find(">", found.end())
+            look = found.end()
+            while (quote := _QUOTED.search(source, look, end)) is not None:
+                look = source.find(quote[1], quote.end()) + 1
+                end = source.find(">", look) if 0 < look <= last else -1
+                if end < 0:
+                    end = first
+                    break
+            at = end + 1
+            yield start, at, bool(found[1]), name.lower(), source[found.end() : end]
+
+
 class Page:
-    """Blocks of a page in order, as (style path, text, inside an article, in a noisy branch); ``children`` by path."""
+    """Blocks of a page in order, as (node, text, inside an article, in a noisy branch).
+
+    A node is a place in the style tree, the path of element names with their classes from the root:
+    ``keys`` has its digest, ``parents`` the node above, ``tags`` its element and ``apart`` whether
+    it lies in an element, below the article's own, with a class or one of ``APART``.
+    """
 
     def __init__(self, source: str | None) -> None:
-        self.blocks: list[tuple[str, str, bool, bool]] = []
-        self.children: dict[str, list[str]] = {}
-        self.inside: set[str] = set()  # paths of nodes in an article
-        stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, in article, noisy
+        self.blocks: list[tuple[int, str, bool, bool]] = []
+        self.keys, self.parents, self.tags, self.apart = [0], [-1], [""], [False]
+        self.children: dict[int, list[str]] = {}
+        self.inside: set[int] = set()  # nodes in an article
+        under, known = [False], {}
+        # tag, node, in article, noisy, number of the element
+        stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
+        opened: dict[str, list[tuple[int, int]]] = {}  # places in the stack by tag, perhaps outdated ones above
+        unclosed: set[str] = set()
         text: list[str] = []
         source = source or ""
-        at = 0
+        at = number = 0
 
         def flush() -> None:
             if text:
                 joined = " ".join(html.unescape("".join(text)).split())
                 text.clear()
                 if joined:
-                    _, path, article, noisy = stack[-1]
-                    self.blocks.append((path, joined, article, noisy))
-
-        while True:
-            found = _TAG.search(source, at)
-            if found is None:
-                text.append(source[at:])
-                break
-            if found.start() > at:
-                text.append(source[at : found.start()])
-            at = found.end()
-            if found[2] is None:
+                    _, node, article, noisy, _ = stack[-1]
+                    self.blocks.append((node, joined, article, noisy))
+
+        def last_open(names: set[str]) -> int:
+            """Place of the innermost open element of these names, 0 for none."""
+            best = 0
+            for name in names:
+                places = opened.get(name, [])
+                while places and (places[-1][0] >= len(stack) or stack[places[-1][0]][4] != places[-1][1]):
+                    places.pop()
+                if places:
+                    best = max(best, places[-1][0])
+            return best
+
+        for start, end, closing, tag, attributes in tags(source):
+            if start < at:
+                continue  # in a raw element
+            text.append(source[at:start])
+            at = end
+            if tag is None:
                 continue
-            tag = found[2].lower()
-            if found[1]:
+            if closing:
                 if tag in BLOCKS:
                     flush()
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == tag:
-                            del stack[k:]
-                            break
+                    if place := last_open({tag}):
+                        del stack[place:]
                 continue
             if tag in RAW:
-                ending = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+                ending = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+                if ending is None:
+                    unclosed.add(tag)
                 at = ending.end() if ending else len(source) if tag in ("script", "style") else at
                 continue
             if tag == "br":
@@ -119,67 +191,65 @@ class Page:
             # A block ends an open paragraph; a list item, cell or row ends the one before it.
             if stack[-1][0] == "p":
                 stack.pop()
-            if tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
-                like = {"td", "th"} if tag in ("td", "th") else {"dt", "dd"} if tag in ("dt", "dd") else {tag}
-                edge = {"ul", "ol", "menu", "table", "dl", "select", "tbody", "thead"} | ({"tr"} if tag in ("td", "th") else set())
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in edge:
-                        break
-                    if stack[k][0] in like:
-                        del stack[k:]
-                        break
-            _, path, article, noisy = stack[-1]
-            noisy = noisy or _noisy(tag, found[3], article)
+            if tag in _LIKE:
+                place = last_open(_LIKE[tag])
+                if place > last_open(_EDGES | {"tr"} if tag in ("td", "th") else _EDGES):
+                    del stack[place:]
+            _, parent, article, noisy, _ = stack[-1]
+            noisy = noisy or _noisy(tag, attributes, article)
             name = tag
-            if "class" in found[3]:
-                name += "." + next((v.strip("\"'") for n, v in _ATTRIBUTE.findall(found[3]) if n.lower() == "class"), "")
-            self.children.setdefault(path, []).append(name)
+            if "class" in attributes:
+                name += "." + next((v.strip("\"'") for n, v in _ATTRIBUTE.findall(attributes) if n.lower() == "class"), "")
+            self.children.setdefault(parent, []).append(name)
+            node = known.get((parent, name))
+            if node is None:
+                node = known[parent, name] = len(self.keys)
+                self.keys.append(_digest(f"{self.keys[parent]}/{name}"))
+                self.parents.append(parent)
+                self.tags.append(tag)
+                self.apart.append(under[parent] and (self.apart[parent] or "." in name or tag in APART))
+                under.append(under[parent] or tag in ("article", "main"))
             article = article or tag in ("article", "main") and not noisy
             if article:
-                self.inside.add(f"{path}/{name}")
-            stack.append((tag, f"{path}/{name}", article, noisy))
+                self.inside.add(node)
+            number += 1
+            opened.setdefault(tag, []).append((len(stack), number))
+            stack.append((tag, node, article, noisy, number))
+        text.append(source[at:])
         flush()
 
     def article(self) -> str | None:
         """What copies of the page's article have in common, also edited ones: the longest block of its fullest node."""
-        nodes: dict[str, list[str]] = {}
-        for path, text, inside, noisy in self.blocks:
+        nodes: dict[int, list[str]] = {}
+        for node, text, inside, noisy in self.blocks:
             if inside and not noisy:
-                nodes.setdefault(path, []).append(text)
+                nodes.setdefault(node, []).append(text)
         return max(max(nodes.values(), key=lambda x: sum(map(len, x))), key=len) if nodes else None
 
-    def text(self, low: set[str] | frozenset[str] = frozenset()) -> str:
-        """Blocks outside noisy and low-importance branches, those of articles only if the page has any.
+    def text(self, low: set[int] | frozenset[int] = frozenset()) -> str:
+        """Blocks outside low-importance branches and those that presentation rules name as noise.
 
-        In an article each node stands for itself, so a low one takes no branch with it, and only
-        nodes in an element that is set apart (:func:`_apart`) can go.  The main heading stays,
-        others stay with the text around them, and if no other text would be left, all stay.
+        Outside articles a low node takes its branch with it.  In an article each node stands for
+        itself, and only nodes in an element that is set apart can go.  The main heading stays, others
+        stay with the text around them, and if no other text would be left, all stay.
         """
-        kept = [
-            b for b in self.blocks
-            if not b[3] and (b[2] or not (low and any(b[0] == p or b[0].startswith(p + "/") for p in low)))
-        ]
-        inside = [b for b in kept if b[2]]
-        gone = {b[0] for b in inside if b[0] in low and _apart(b[0])}
-        body = [b[0] for b in inside if b[0] not in gone and not _HEADING.search(b[0])]
+        branch = [False] * len(self.keys)
+        for node in range(1, len(self.keys)):
+            branch[node] = self.keys[node] in low or branch[self.parents[node]]
+        kept = [b for b in self.blocks if not b[3] and (b[2] or not branch[b[0]])]
+        gone = {b[0] for b in kept if b[2] and self.keys[b[0]] in low and self.apart[b[0]]}
+        body = {b[0] for b in kept if b[2] and b[0] not in gone and self.tags[b[0]] not in HEADINGS}
         if gone and body:
-            inside = [b for b in inside if b[0] not in gone or _stays(b[0], body)]
-        return "\n".join(b[1] for b in inside or kept)
-
-
-def _apart(path: str) -> bool:
-    """Whether a node of an article lies in an element, below the article's own, with a class or one of ``APART``."""
-    steps = path.split("/")
-    at = next((k for k, x in enumerate(steps) if x.partition(".")[0] in ("article", "main")), len(steps))
-    return any("." in x or x in APART for x in steps[at + 1 :])
-
-
-def _stays(path: str, body: list[str]) -> bool:
-    """Whether a low node of an article is its main heading or the heading of text that is kept."""
-    if not _HEADING.search(path):
-        return False
-    parent, _, tag = path.rpartition("/")
-    return tag.startswith("h1") or any(p == parent or p.startswith(parent + "/") for p in body)
+            above: set[int] = set()  # nodes that hold kept text
+            for node in body:
+                while node >= 0 and node not in above:
+                    above.add(node)
+                    node = self.parents[node]
+            kept = [
+                b for b in kept
+                if b[0] not in gone or self.tags[b[0]] == "h1" or self.tags[b[0]] in HEADINGS and self.parents[b[0]] in above
+            ]
+        return "\n".join(b[1] for b in kept)
 
 
 def host_of(url: str | None) -> str:
@@ -202,20 +272,20 @@ def style_nodes(frame: DataFrame, url_col: str, html_col: str) -> DataFrame:
     def make():
         def row(url, source):
             host, page = host_of(url), Page(source)
-            whole = _digest("\n".join(f"{p}\t{t}" for p, t, _, _ in page.blocks))
+            whole = _digest("\n".join(f"{page.keys[p]}\t{t}" for p, t, _, _ in page.blocks))
             article = page.article()
             copy = whole if article is None else _digest(article)
-            of = lambda p: copy if p in page.inside else whole
-            paths = {b[0] for b in page.blocks} | set(page.children)
-            out = [(host, of(p), p, 0, 0, 0) for p in paths]
-            out += [(host, of(p), p, 1, d, 0) for p, d in {(b[0], _digest(b[1])) for b in page.blocks}]
-            out += [(host, of(p), p, 2, _digest(" ".join(c)), len(set(c))) for p, c in page.children.items()]
+            of = lambda p: (host, copy if p in page.inside else whole, page.keys[p])
+            nodes = {b[0] for b in page.blocks} | set(page.children)
+            out = [(*of(p), 0, 0, 0) for p in nodes]
+            out += [(*of(p), 1, d, 0) for p, d in {(b[0], _digest(b[1])) for b in page.blocks}]
+            out += [(*of(p), 2, _digest(" ".join(c)), len(set(c))) for p, c in page.children.items()]
             return out
 
         return row
 
     rows = flat_map_rows(
-        frame, [url_col, html_col], "host string, page long, path string, kind int, digest long, width int", make
+        frame, [url_col, html_col], "host string, page long, path long, kind int, digest long, width int", make
     )
     once = rows.groupBy("host", "path", "kind", "digest", "page").agg(F.max("width").alias("width"))
     return once.groupBy("host", "path", "kind", "digest").agg(F.count("*").alias("n"), F.max("width").alias("width"))
@@ -251,9 +321,10 @@ def extract(frame: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Id, url, ``text`` and ``n_chars`` of each page.
 
     Pages of one host are merged into a style tree by counting (host, node, content) and (host,
-    node, structure), never by gathering a host.  Branches go whose presentation names them as
-    menus, adverts and the like, or whose importance is low on their host, also nodes in an article;
-    what is left of the article is the text, one line for each block.  Null html gives the empty text; a null url is a
+    node, structure), never by gathering a host.  Branches go whose importance is low on their host,
+    also nodes in an article, and, as what differs from page to page is important to the tree, those
+    whose element, role or name says menu, advert, reader comments and the like; what is left is the
+    text, one line for each block.  Null html gives the empty text; a null url is a
     host of its own; repeated rows come out alike; an empty table gives no rows.
     """
     low = low_nodes(style_nodes(frame, url_col, html_col))
