@@ -123,15 +123,18 @@ def search(
     every_block = F.expr(f"explode(sequence(0L, {blocks - 1}L))")
     every_query_block = F.expr(f"explode(sequence(0L, {query_blocks - 1}L))")
     left = placed.select("row", "vec_id", "v", "dims", "wide", "block", every_query_block.alias("query_block"))
-    asked = queries.select("row", "vec_id", "v", "dims", "wide", "query_block")
+    asked = queries.select(
+        F.col("row").alias("of"), F.col("v").alias("asked"), F.col("dims").alias("of_dims"), F.col("wide").alias("wide_query"),
+        F.col("query_block").alias("of_query_block"),
+    )
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(a) and len(b):
-            large = bool(a.wide.any() or b.wide.any())
+            large = bool(a.wide.any() or b.wide_query.any())
             floors = [int(x) if large else float(x) for x in b.floor]
             found = threshold_topk(
-                whole(a.v.to_list(), large), a.vec_id.to_numpy(), a.row.to_numpy(), whole(b.v.to_list(), large), b.row.to_numpy(), k,
+                whole(a.v.to_list(), large), a.vec_id.to_numpy(), a.row.to_numpy(), whole(b.asked.to_list(), large), b.of.to_numpy(), k,
                 np.array(floors, object if large else float),
             )
             rows = [(r, i, str(s)) for r, i, s in found]
@@ -142,17 +145,17 @@ def search(
     keys = ["block", "query_block", "dims"]
 
     def meet(a: DataFrame, b: DataFrame) -> DataFrame:
-        found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, "query_row long, vec_id long, score string")
+        found = a.groupBy(*keys).cogroup(b.groupBy(*(f"of_{x}" for x in keys))).applyInPandas(run, "query_row long, vec_id long, score string")
         # Few scores need more than a long; those are ranked by sign, length and digits.
         return found.withColumn("exact", F.expr("try_cast(score AS decimal(38, 0))"))
 
     # No score is below this floor.
     lowest = F.lit("-" + "9" * 700)
-    home = F.pmod(F.xxhash64("row", F.lit(2)), F.lit(per_kind)) + F.col("wide") * per_kind
-    first = scratch.write(meet(left, asked.withColumns({"block": home, "floor": lowest})), "first")
-    kth = first.withColumn("at", F.row_number().over(_ranks("query_row"))).filter(F.col("at") == k).select(F.col("query_row").alias("of"), F.col("score").alias("floor"))
-    rest = asked.withColumns({"home": home, "block": every_block}).filter("block <> home").drop("home")
-    rest = rest.join(kth, F.col("row") == F.col("of"), "left").withColumn("floor", F.coalesce("floor", lowest)).drop("of")
+    home = F.pmod(F.xxhash64("of", F.lit(2)), F.lit(per_kind)) + F.col("wide_query") * per_kind
+    first = scratch.write(meet(left, asked.withColumns({"of_block": home, "floor": lowest})), "first")
+    kth = first.withColumn("at", F.row_number().over(_ranks("query_row"))).filter(F.col("at") == k).select(F.col("query_row").alias("known"), F.col("score").alias("floor"))
+    rest = asked.withColumns({"home": home, "of_block": every_block}).filter("of_block <> home").drop("home")
+    rest = rest.join(kth, F.col("of") == F.col("known"), "left").withColumn("floor", F.coalesce("floor", lowest)).drop("known")
     best = first.unionByName(meet(left, rest))
     ranked = best.withColumn("rank", F.row_number().over(_ranks("query_row"))).filter(F.col("rank") <= k)
     named = ranked.join(queries.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id")), "query_row")
