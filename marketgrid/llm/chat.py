@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, flat_map_rows, map_rows, read
+from .common import Scratch, flat_map_rows, map_rows, read
 
 #: Quoted passages shorter than this many words link nothing.
 MIN_WORDS = 3
@@ -47,13 +47,19 @@ def thread(
 ) -> DataFrame:
     """One row for each message: its text without quotes, the turn it replies to and its place in reply order.
 
-    A message replies to the latest earlier turn of its conversation that holds one of the passages
-    it quotes at the first level, else to the turn before it.  As replies follow what they answer, turns in order
-    are a reply order: ``position`` counts the conversation's turns before it.  Passages meet by
-    group-by on (conversation, digest) and turns by ranks within ranges, so a conversation that
-    holds a third of all rows is spread over many tasks.  A null text is empty; rows without
-    conversation or turn keep their text, reply to nothing and have no position; repeated rows
-    share a position.  An empty table gives no rows.
+    A passage quoted at level n stands one level lower in the message that is answered: at level 1
+    in its own text, deeper as a quotation.  ``reply_to`` is the latest earlier turn that is the
+    first to hold, a level lower, one of the passages of the shallowest level that any turn holds;
+    without such a turn it is the turn before.  ``sources`` are the turns that first said a quoted passage of any
+    level in their own words, ascending.  ``position`` is the message's place, from 0, when each
+    message is followed by its replies, earlier ones first, each with its own replies.
+
+    Passages meet by group-by on (conversation, digest, level), turns by ranks within ranges and reply
+    order by doubling along the tour around the tree, so a conversation that holds a third of all
+    rows is spread over many tasks; without quotations reply order is turn order and no tour is made.
+    A null text is empty; rows without conversation or turn keep their text, reply to nothing and
+    have no position; repeated rows share a position, and of several texts of one turn all lend
+    passages.  An empty table gives no rows.
     """
     spark = frame.sparkSession
     scratch = Scratch(spark)
@@ -75,8 +81,7 @@ def thread(
             if conv is None or turn is None:
                 return []
             own, quotes = split_quotes(text)
-            said = {(conv, turn, d, False) for d in passages(own)}
-            return [*said, *{(conv, turn, d, True) for level, q in quotes if level == 1 for d in passages(q)}]
+            return list({(conv, turn, level, d) for level, q in [(0, own), *quotes] for d in passages(q)})
 
         return row
 
@@ -86,52 +91,92 @@ def thread(
     )
     messages = scratch.write(plain, "messages")
     found = scratch.write(
-        flat_map_rows(rows, ["conv_id", "turn", "text"], f"conv_id {kind}, turn long, digest long, quoted boolean", make_passages),
-        "passages",
+        flat_map_rows(rows, ["conv_id", "turn", "text"], f"conv_id {kind}, turn long, level int, digest long", make_passages), "passages"
     )
-    quoted = found.filter("quoted").select("conv_id", F.col("turn").alias("by"), "digest")
-    # The first to say a passage is its origin.
-    origin = found.filter("not quoted").groupBy("conv_id", "digest").agg(F.min("turn").alias("turn"))
+    # The first to say a passage, or to quote it at a level, is its origin there.
+    holders = found.groupBy("conv_id", "digest", "level").agg(F.min("turn").alias("turn"))
+    quoted = found.filter("level > 0").select("conv_id", F.col("turn").alias("by"), "level", "digest")
+    answered = quoted.join(holders.withColumn("level", F.col("level") + 1), ["conv_id", "digest", "level"])
+    said = quoted.filter("level > 1").join(holders.filter("level = 0").drop("level"), ["conv_id", "digest"])
     links = (
-        quoted.join(origin, ["conv_id", "digest"]).filter("turn < by").groupBy("conv_id", "by").agg(F.max("turn").alias("quotes_turn"))
+        answered.select("conv_id", "by", "turn", F.struct(-F.col("level"), "turn").alias("reply"), (F.col("level") == 1).alias("source"))
+        .unionByName(said.select("conv_id", "by", "turn", F.lit(True).alias("source")), allowMissingColumns=True)
+        .filter("turn < by")
+        .groupBy("conv_id", "by")
+        .agg(F.max("reply").getField("turn").alias("quotes_turn"), F.sort_array(F.collect_set(F.when(F.col("source"), F.col("turn")))).alias("sources"))
     )
-    turns = _numbered(scratch, messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn").distinct())
-    known = turns.join(links.withColumnRenamed("by", "turn"), ["conv_id", "turn"], "left")
+    turns = messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn").distinct()
+    known = _numbered(scratch, turns, ["conv_id"], "turns").join(links.withColumnRenamed("by", "turn"), ["conv_id", "turn"], "left")
+    known = known.withColumns({"reply_to": F.coalesce("quotes_turn", "before"), "by_quote": F.col("quotes_turn").isNotNull()})
+    known = scratch.write(known.drop("quotes_turn"), "known")
+    order = _reply_order(scratch, known)
+    if order is not None:
+        known = known.join(order, ["conv_id", "turn"], "left").withColumn("position", F.coalesce("tour", "position"))
     known = known.select(
-        F.col("conv_id").alias("__conv"), F.col("turn").alias("__turn"), "position",
-        F.coalesce("quotes_turn", "before").alias("reply_to"), F.col("quotes_turn").isNotNull().alias("by_quote"),
+        F.col("conv_id").alias("__conv"), F.col("turn").alias("__turn"), "position", "reply_to", "by_quote", F.col("sources").alias("found"),
     )
     return messages.join(
         known, (F.col("conv_id") == F.col("__conv")) & (F.col("turn") == F.col("__turn")), "left"
     ).select(
         "conv_id", "turn", "position", "role", "text", "reply_to", F.coalesce("by_quote", F.lit(False)).alias("by_quote"),
-        "n_quotes", "depth",
+        F.coalesce("found", F.array().cast("array<long>")).alias("sources"), "n_quotes", "depth",
     )
 
 
-def _numbered(scratch: Scratch, turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, position, before): ranks within a conversation without gathering it in one task.
+def _numbered(scratch: Scratch, rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``keys``, turn, position and the turn before within the keys, without gathering a key in one task.
 
-    Turns are dealt into ranges of (conversation, turn); a range's share of a conversation is
-    counted, and the counts and last turns of the ranges before are added (a row for each range and
-    conversation).
+    Rows are dealt into ranges of (keys, turn); a range's share of a key is counted, and the counts
+    and last turns of the ranges before are added (a row for each range and key).
     """
-    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = scratch.write(
-        turns.repartitionByRange(parts, "conv_id", "turn").withColumn("part", F.spark_partition_id()), "turns"
-    )
-    here = Window.partitionBy("conv_id", "part").orderBy("turn")
-    shares = spread.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.max("turn").alias("last"))
-    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = scratch.write(rows.repartitionByRange(parts, *keys, "turn").withColumn("part", F.spark_partition_id()), name)
+    here = Window.partitionBy(*keys, "part").orderBy("turn")
+    shares = spread.groupBy(*keys, "part").agg(F.count("*").alias("n"), F.max("turn").alias("last"))
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shares = shares.select(
-        "conv_id", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"), F.max("last").over(earlier).alias("last")
+        *keys, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"), F.max("last").over(earlier).alias("last")
+    )
+    ranked = spread.select(*keys, "turn", "part", F.row_number().over(here).alias("at"), F.lag("turn").over(here).alias("own_before"))
+    return ranked.join(shares, [*keys, "part"]).select(
+        *keys, "turn", (F.col("shift") + F.col("at") - 1).alias("position"), F.coalesce("own_before", "last").alias("before")
     )
-    ranked = spread.select(
-        "conv_id", "turn", "part", F.row_number().over(here).alias("at"), F.lag("turn").over(here).alias("own_before")
+
+
+def _reply_order(scratch: Scratch, known: DataFrame) -> DataFrame | None:
+    """(conv_id, turn, tour) of conversations in which a quotation links further back than the turn before; None if none does.
+
+    The tour goes down to each message and up again; how many messages lie ahead of a step comes from
+    doubling: each round adds what the step pointed to knows and takes over its pointer.
+    """
+    branched = known.filter("by_quote AND reply_to <> before").select("conv_id").distinct()
+    tree = scratch.write(known.join(branched, "conv_id", "left_semi").select("conv_id", "turn", "reply_to"), "tree")
+    if tree.isEmpty():
+        return None
+    replies = tree.filter("reply_to IS NOT NULL").withColumnRenamed("reply_to", "parent")
+    replies = scratch.write(_numbered(scratch, replies, ["conv_id", "parent"], "siblings"), "replies")
+    first = replies.filter("before IS NULL").select("conv_id", F.col("parent").alias("turn"), F.col("turn").alias("first"))
+    then = replies.filter("before IS NOT NULL").select("conv_id", F.col("before").alias("turn"), F.col("turn").alias("then"))
+    joined = tree.join(first, ["conv_id", "turn"], "left").join(then, ["conv_id", "turn"], "left")
+    down = joined.select(
+        "conv_id", "turn", F.lit(True).alias("down"), F.coalesce("first", "turn").alias("to"), F.col("first").isNotNull().alias("to_down"), F.lit(1).cast("long").alias("ahead")
     )
-    return ranked.join(shares, ["conv_id", "part"]).select(
-        "conv_id", "turn", (F.col("shift") + F.col("at") - 1).alias("position"), F.coalesce("own_before", "last").alias("before")
+    up = joined.select(
+        "conv_id", "turn", F.lit(False).alias("down"), F.coalesce("then", "reply_to").alias("to"), F.col("then").isNotNull().alias("to_down"), F.lit(0).cast("long").alias("ahead")
     )
+    steps, turn = scratch.write(down.union(up), "tour-0"), 0
+    while not steps.filter("to IS NOT NULL").isEmpty():
+        over = steps.select(
+            "conv_id", F.col("turn").alias("to"), F.col("down").alias("to_down"), F.col("to").alias("next"), F.col("to_down").alias("next_down"), F.col("ahead").alias("more")
+        )
+        going = steps.filter("to IS NOT NULL").join(over, ["conv_id", "to", "to_down"])
+        going = going.select("conv_id", "turn", "down", F.col("next").alias("to"), F.col("next_down").alias("to_down"), (F.col("ahead") + F.col("more")).alias("ahead"))
+        turn += 1
+        steps = scratch.write(going.unionByName(steps.filter("to IS NULL")), f"tour-{turn}")
+        scratch.drop(f"tour-{turn - 1}")
+    ahead = steps.filter("down").select("conv_id", "turn", "ahead")
+    whole = ahead.groupBy("conv_id").agg(F.max("ahead").alias("n"))
+    return ahead.join(whole, "conv_id").select("conv_id", "turn", (F.col("n") - F.col("ahead")).alias("tour"))
 
 
 def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
