@@ -38,6 +38,8 @@ ENCODINGS = (
 )
 #: False-discovery rate, level at which the battery rejects uniform randomness, and length bands' lower ends.
 RATE, LEVEL, BANDS = 0.01, 1e-3, (16, 20, 24, 32, 48, 64)
+#: Strings of ordinary text drawn for each band to learn what the battery says of them, and steps of its p-values.
+DRAWS, DRAWS_PER_TASK, STEPS = 20_000, 1_000, 1_000
 _CODES = np.full(256, 64, np.int64)
 for _k, _c in enumerate("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"):
     _CODES[ord(_c)] = _k
@@ -51,7 +53,7 @@ def _upper_tail(z: float) -> float:
 
 
 def battery(token: str, size: int) -> float:
-    """The smallest p-value, times three, of tests that uniform characters of an alphabet pass.
+    """Fisher's combination of three p-values that uniform characters of an alphabet pass.
 
     Chi-squared for uniformity (Wilson-Hilferty), Wald-Wolfowitz runs about the alphabet's middle and
     lag-one serial correlation, the last two two-sided.
@@ -81,7 +83,8 @@ def battery(token: str, size: int) -> float:
     spread = float((x * x).sum())
     r = float((x[1:] * x[:-1]).sum()) / spread if spread else 1.0
     p_serial = 2 * _upper_tail(abs(r + 1 / n) * math.sqrt(n))
-    return 3 * min(p_uniform, p_runs, p_serial)
+    half = -sum(math.log(max(p, 1e-300)) for p in (p_uniform, p_runs, p_serial))
+    return math.exp(-half) * (1 + half + half * half / 2)
 
 
 def encoding(token: str) -> int:
@@ -158,8 +161,48 @@ def text_model(pairs: np.ndarray, weight: float = 20.0) -> np.ndarray:
     )
 
 
-def span_finder(log_text: np.ndarray):
-    """A function from a text to its base counts, base spans and tested candidates."""
+def null_counts(spark: SparkSession, log_text: np.ndarray) -> np.ndarray:
+    """How often, by length band, strings of ordinary text get a combined p-value of the battery in a step or above.
+
+    The strings are drawn, at each band's least length, character by character from the corpus's own pairs.
+    """
+    chain = np.cumsum(np.exp(log_text[:64, :64] - log_text[:64, :64].max(1, keepdims=True)), axis=1)
+    chain /= chain[:, -1:]
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"))
+    per_band = DRAWS // DRAWS_PER_TASK
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in batch.id:
+                band, rng = int(part) // per_band, np.random.default_rng(int(part))
+                at = rng.integers(0, 64, DRAWS_PER_TASK)
+                drawn = []
+                for _ in range(8 + BANDS[band]):  # the first few only forget where the chain began
+                    at = (chain[at] < rng.random(DRAWS_PER_TASK)[:, None]).sum(1).clip(max=63)
+                    drawn.append(letters[at])
+                tokens = ["".join(x) for x in np.stack(drawn[8:], 1)]
+                steps = [_step(battery(t, encoding(t))) for t in tokens]
+                yield pd.DataFrame({"band": band, "step": steps}).value_counts().reset_index(name="n")
+
+    drawn = spark.range(0, len(BANDS) * per_band, 1, len(BANDS) * per_band // 4).mapInPandas(draw, "band int, step int, n long")
+    counts = np.zeros((len(BANDS), STEPS + 1))
+    for r in drawn.groupBy("band", "step").agg(F.sum("n").alias("n")).collect():  # at most bands x steps
+        counts[r["band"], r["step"]] = r["n"]
+    return counts[:, ::-1].cumsum(1)[:, ::-1]
+
+
+def _step(p: float) -> int:
+    return int(min(p, 1.0) * STEPS)
+
+
+def span_finder(log_text: np.ndarray, null: np.ndarray):
+    """A function from a text to its base counts, base spans and tested candidates.
+
+    Two p-values for "ordinary text" meet in a candidate: how likely the corpus's character pairs are to
+    give it against its encoding (the inverse of a likelihood ratio), and how often ordinary text
+    of its length looks as random to the battery.  As they depend on each other they are combined by
+    the geometric mean times e, which is valid for any dependence.
+    """
     share = math.log(len(ENCODINGS))
 
     def row(text):
@@ -168,38 +211,42 @@ def span_finder(log_text: np.ndarray):
         access = [m.span() for m in ACCESS.finditer(text)]
         hexes = [m.span() for m in HEX.finditer(text)]
         base = sorted((s, k, e) for k, of in enumerate((assign, access, hexes)) for s, e in of)
-        tested = []
+        tested, ahead, covered = [], 0, 0  # base spans that begin before the candidate's end, and where the last of them ends
         for m in CANDIDATE.finditer(text):
             token = m[0]
             start, end = m.span()
-            if any(s < end and start < e for s, _, e in base):
+            while ahead < len(base) and base[ahead][0] < end:
+                covered = max(covered, base[ahead][2])
+                ahead += 1
+            if covered > start:
                 continue
             size = encoding(token)
             codes = _CODES[np.frombuffer(token.rstrip("=").encode(), np.uint8)]
             evidence = -float(log_text[codes[:-1], codes[1:]].sum()) - (len(codes) - 1) * math.log(size) - share
-            if evidence <= 0 or battery(token, size) < LEVEL:
-                evidence = 0.0
+            uniform = battery(token, size)
             band = sum(len(token) >= b for b in BANDS)
-            tested.append({"start": start, "end": end, "band": band, "decibans": min(int(evidence * 10), 5000)})
+            if uniform < LEVEL:
+                score = 0.0
+            else:
+                among_text = (1 + null[band - 1, _step(uniform)]) / (1 + null[band - 1, 0])
+                score = (max(evidence, 0.0) - math.log(among_text)) / 2 - 1
+            tested.append({"start": start, "end": end, "band": band, "score": min(max(int(score * 10), 0), 5000)})
         named = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
         return len(assign), len(access), len(hexes), named, tested
 
     return row
 
 
-def scan(frame: DataFrame, id_col: str, text_col: str, log_text: np.ndarray) -> DataFrame:
-    """Base spans and tested candidates of each text.
+def scan(frame: DataFrame, id_col: str, text_col: str, log_text: np.ndarray, null: np.ndarray) -> DataFrame:
+    """Base spans and tested candidates of each text; a score is -10 ln of the combined p-value."""
 
-    A candidate's evidence is how much likelier it is under its encoding than under the corpus's
-    character pairs; the inverse of that ratio is a valid p-value for "ordinary text".
-    """
     def make():
-        row = span_finder(log_text)
+        row = span_finder(log_text, null)
         return lambda ident, text: (ident, *row(text))
 
     ddl = (
         f"{id_col} {kind(frame, id_col)}, n_assign long, n_access long, n_hex long, base string,"
-        " tested array<struct<start:long,end:long,band:int,decibans:int>>"
+        " tested array<struct<start:long,end:long,band:int,score:int>>"
     )
     return map_rows(frame, [id_col, text_col], ddl, make)
 
@@ -207,17 +254,17 @@ def scan(frame: DataFrame, id_col: str, text_col: str, log_text: np.ndarray) ->
 def thresholds(scanned: DataFrame) -> dict[int, int]:
     """Benjamini-Hochberg by length band over all candidates: the least evidence that counts as found.
 
-    The rows that reach the driver are one for each band and evidence step, however many candidates.
+    The rows that reach the driver are one for each band and score, however many candidates.
     """
     counts = (
         scanned.select(F.explode("tested").alias("t"))
-        .groupBy("t.band", "t.decibans")
+        .groupBy("t.band", "t.score")
         .agg(F.count("*").alias("n"))
         .collect()
     )
     out = {}
     for band in {r["band"] for r in counts}:
-        steps = sorted(((r["decibans"], r["n"]) for r in counts if r["band"] == band), reverse=True)
+        steps = sorted(((r["score"], r["n"]) for r in counts if r["band"] == band), reverse=True)
         total, found = sum(n for _, n in steps), 0
         for step, n in steps:
             found += n
@@ -231,13 +278,14 @@ def find(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Spans are code points, end exclusive.  Base spans come from the patterns alone; the battery adds
     ``random`` spans that overlap none of them: characters that pass as uniform draws of the
-    strictest fitting encoding and that ordinary text would not give, at a false-discovery rate held
-    within length bands over the whole corpus.  A null text is empty; repeated rows are scanned one
+    strictest fitting encoding and whose combined p-value (:func:`span_finder`) ordinary text would
+    not give, at a false-discovery rate held within length bands over the whole corpus.  A null text is empty; repeated rows are scanned one
     by one; an empty table gives no rows.
     """
     log_text = text_model(pair_counts(frame, text_col))
+    null = null_counts(frame.sparkSession, log_text)
     scratch = Scratch(frame.sparkSession)
-    scanned = scratch.write(scan(frame, id_col, text_col, log_text), "scanned")
+    scanned = scratch.write(scan(frame, id_col, text_col, log_text, null), "scanned")
     least = thresholds(scanned)
 
     def make():
@@ -246,7 +294,7 @@ def find(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             spans += [
                 (t["start"], 3, t["end"])
                 for t in tested
-                if t["band"] in least and t["decibans"] >= least[t["band"]]
+                if t["band"] in least and t["score"] >= least[t["band"]]
             ]
             spans.sort()
             named = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
@@ -261,12 +309,13 @@ def find(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def redact(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """All rows and columns, with every found span replaced by ``mask`` (overlaps as one)."""
     log_text = text_model(pair_counts(frame, text_col))
+    null = null_counts(frame.sparkSession, log_text)
     # The battery looks at the same rows twice, first for the thresholds, so no join brings spans back to texts.
-    least = thresholds(scan(frame, id_col, text_col, log_text))
+    least = thresholds(scan(frame, id_col, text_col, log_text, null))
 
     def masked(text: str | None, base: str, tested: list[dict]) -> str | None:
         spans = [(int(s), int(e)) for _, s, e in (x.split(":") for x in base.split(",") if x)]
-        spans += [(t["start"], t["end"]) for t in tested if t["band"] in least and t["decibans"] >= least[t["band"]]]
+        spans += [(t["start"], t["end"]) for t in tested if t["band"] in least and t["score"] >= least[t["band"]]]
         if not spans:
             return text
         out, at = [], 0
@@ -276,12 +325,12 @@ def redact(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", mas
             at = max(at, end)
         return "".join(out) + text[at:]
 
-    return frame.withColumn(text_col, _mask_udf(log_text, masked)(F.col(text_col)))
+    return frame.withColumn(text_col, _mask_udf(log_text, null, masked)(F.col(text_col)))
 
 
-def _mask_udf(log_text: np.ndarray, masked):
+def _mask_udf(log_text: np.ndarray, null: np.ndarray, masked):
     def run(texts: pd.Series) -> pd.Series:
-        row = span_finder(log_text)
+        row = span_finder(log_text, null)
         return pd.Series([x if x is None else masked(x, *row(x)[3:]) for x in texts], dtype=object)
 
     return F.pandas_udf(run, "string")
