@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import scratch_root
 from .tables import bars_daily, fills, table
 
 
@@ -17,9 +17,8 @@ def _where(spark: SparkSession, path: str):
 
 
 def shared(spark: SparkSession, kind: str = "store") -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marketgrid-")
-    return f"{root}/{kind}-{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share."""
+    return f"{scratch_root(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
