@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import Scratch, arrow_schema, read
-from .graph import components
 
 #: Words in a shingle; sets link when 100 * intersection >= PERCENT * union.
 WIDTH, PERCENT = 4, 85
@@ -100,53 +100,66 @@ def tiles(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def _sets(frame: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    spark_schema, schema = arrow_schema(
-        f"{id_col} long, n_shingles long, h1 long, h2 long, tiles array<long>"
-    )
+#: What tells texts apart that share an id, and stands for the id where there is none.
+KEY = "__key"
+
+
+def _keyed(frame: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    ident = F.col(id_col).cast("long")
+    return frame.select(ident.alias("id"), F.coalesce(ident, F.xxhash64(text_col)).alias(KEY), F.col(text_col).alias("text"))
+
+
+def _digest(hashes: np.ndarray) -> tuple[int, int]:
+    both = xxhash.xxh3_128_intdigest(hashes.tobytes())
+    return (both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63)
+
+
+def _sets(keyed: DataFrame, width: int, percent: int) -> DataFrame:
+    spark_schema, schema = arrow_schema(f"id long, {KEY} long, n_shingles long, h1 long, h2 long, tiles array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                n, h1, h2, named = [], [], [], []
-                for text in batch.column(1).to_pylist():
+                n, digests, named = [], [], []
+                for text in batch.column(2).to_pylist():
                     hashes = shingles(text, width)
-                    both = xxhash.xxh3_128_intdigest(hashes.tobytes())
                     n.append(len(hashes))
-                    h1.append((both >> 64) - (1 << 63))
-                    h2.append((both & ((1 << 64) - 1)) - (1 << 63))
+                    digests.append(_digest(hashes))
                     named.append(tiles(hashes, percent))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).cast(pa.int64()),
-                        *(pa.array(x, pa.int64()) for x in (n, h1, h2)),
-                        pa.array(named, schema.field("tiles").type),
+                        batch.column(0), batch.column(1), pa.array(n, pa.int64()),
+                        *(pa.array(x, pa.int64()) for x in zip(*digests, strict=True)), pa.array(named, schema.field("tiles").type),
                     ],
                     schema=schema,
-                )
+                )
 
-    return frame.select(id_col, text_col).mapInArrow(run, spark_schema)
+    return keyed.mapInArrow(run, spark_schema)
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ties of each tile's sets to its first one; the first sets of a task's outer tiles, which may go on elsewhere."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not parts:
-        return
-    tile, node = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((node, tile))
-    tile, node = tile[order], node[order]
-    start = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
-    first = np.repeat(node[start], np.diff(np.r_[start, len(tile)]))
-    ties = np.stack([first, node])[:, first != node]
-    if ties.shape[1]:
-        ties = np.unique(ties, axis=1)
-        for at in range(0, ties.shape[1], 100_000):
-            a, b = ties[0, at : at + 100_000], ties[1, at : at + 100_000]
+    """Ties of each tile's sets to its first one; the first sets of a task's outer tiles, which may go on elsewhere.
+
+    Rows come sorted by tile and set, so a task holds one batch at a time.
+    """
+    outer, tile_before, first_before = None, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tile, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.r_[outer is None or tile[0] != tile_before, tile[1:] != tile[:-1]]
+        at = np.maximum.accumulate(np.where(new, np.arange(len(tile)), -1))
+        first = np.where(at < 0, first_before, node[at])
+        ties = np.stack([first, node])[:, first != node]
+        if ties.shape[1]:
+            a, b = np.unique(ties, axis=1)
             yield _rows(np.zeros(len(a), np.int64), False, a, b)
-    outer = start[[0, -1]]
-    yield _rows(tile[outer], True, node[outer], node[outer])
+        outer = outer or (tile[0], node[0])
+        tile_before, first_before = tile[-1], first[-1]
+    if outer is not None:
+        ends, sets = np.array([outer[0], tile_before]), np.array([outer[1], first_before])
+        yield _rows(ends, True, sets, sets)
 
 
 def _rows(tile: np.ndarray, outer: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -212,6 +225,8 @@ def _compare(width: int, percent: int):
         for _, part in rows.groupby("label", sort=False):
             part = part.drop_duplicates(["node", "text", "asked"])
             sets = [shingles(t, width) for t in part.text]
+            own = [_digest(s)[0] == h for s, h in zip(sets, part.h1, strict=True)]  # not another text of the id
+            sets, part = [s for s, keep in zip(sets, own, strict=True) if keep], part[own]
             nodes, tied, asked = part.node.tolist(), _Ties(), part.asked.to_numpy()
             for node, before in zip(nodes, part.tied, strict=True):
                 tied.tie(("node", node), ("tied", before))
@@ -247,50 +262,61 @@ def link(
 ) -> DataFrame:
     """``id_col``, ``n_shingles`` and ``component_id`` (smallest id reachable by links) of each row.
 
-    Equal sets are one node from the start, named by their smallest id, so thousands of copies
-    cost one comparison.  Rows without words link with nothing.  Rows without id keep a null
-    component and lend nothing; rows that repeat an id with another text are judged by their own
-    text.  An empty table gives no rows.
+    Equal sets are one node from the start, so thousands of copies cost one comparison.  Rows without
+    words link with nothing.  Rows without id have a null component but link others; rows that
+    repeat an id with another text are judged by their own text.  An empty table gives no rows.
+    """
+    rows, classes = _linked(frame, id_col, text_col, width, percent)
+    named = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
+    joined = rows.join(classes, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
+    return joined.select(F.col("id").alias(id_col), "n_shingles", named.alias("component_id"))
+
+
+def _linked(frame: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, n_shingles, h1, h2), and classes of equal sets (c1, c2) with their component.
+
+    ``component`` is its smallest id, ``winner`` the first of its sets by (no id, id, digest).
     """
     spark = frame.sparkSession
     scratch = Scratch(spark)
-    made = scratch.write(_sets(frame, id_col, text_col, width, percent), "sets")
-    known = made.filter((F.col("n_shingles") > 0) & F.col(id_col).isNotNull())
-    classes = scratch.write(known.groupBy("h1", "h2").agg(F.min(id_col).alias("node")), "classes")
+    keyed = _keyed(frame, id_col, text_col)
+    made = scratch.write(_sets(keyed, width, percent), "sets")
+    known = made.filter("n_shingles > 0")
+    by_set = known.groupBy("h1", "h2").agg(
+        F.min("id").alias("first"), F.min(F.struct(F.col("id").isNull().alias("none"), F.col(KEY).alias("key"))).getField("key").alias("rep")
+    )
+    classes = scratch.write(by_set.withColumn("node", F.monotonically_increasing_id()), "classes")
+    one = classes.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "rep", "node")
     named = (
         known.filter(F.size("tiles") > 0)
-        .join(classes.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "node"), F.col(id_col) == F.col("node"))
-        .filter("h1 = c1 and h2 = c2")
+        .join(one, (F.col(KEY) == F.col("rep")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")))
         .select(F.explode("tiles").alias("tile"), "node")
     )
     # Ranges of (tile, node) are even however many sets share a tile.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = scratch.write(
-        named.repartitionByRange(parts, "tile", "node").mapInArrow(_within, "tile long, outer boolean, a long, b long"),
-        "found",
-    )
-    slim = scratch.write(made.drop("tiles"), "slim")
+    ranges = named.repartitionByRange(parts, "tile", "node").sortWithinPartitions("tile", "node")
+    found = scratch.write(ranges.mapInArrow(_within, "tile long, outer boolean, a long, b long"), "found")
+    slim = scratch.write(made.drop("tiles", KEY), "slim")
     scratch.drop("sets")
     outer = found.filter("outer").select("tile", "a")  # two rows for each task
     across = outer.join(outer.groupBy("tile").agg(F.min("a").alias("b")), "tile").filter("a <> b")
     group = components(scratch, found.filter("not outer").select("a", "b").union(across.select("a", "b")), "groups")
     # Texts travel once, and only those of sets that share a tile are kept at hand.
-    texts = frame.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    texts = scratch.write(group.select("node").join(texts.hint("merge"), "node"), "texts")
+    wanted = group.select("node").join(classes.select("node", "rep", "h1"), "node")
+    texts = scratch.write(wanted.join(keyed.hint("merge"), F.col("rep") == F.col(KEY)).select("node", "h1", "text"), "texts")
     scratch.drop("found")
     edges = _first_ties(scratch, group, texts, width, percent)
     label = components(scratch, edges, "linked")
     more = _open_ties(scratch, group, label, texts, width, percent)
     if more is not None:
         label = components(scratch, edges.union(more), "linked-again")
-    named_by = classes.join(label, "node", "left").select(
-        F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("label", "node").alias("__component")
-    )
-    named_by = scratch.write(named_by, "named")
-    own = F.when((F.col("n_shingles") > 0) & F.col(id_col).isNotNull(), F.col("__component")).otherwise(F.col(id_col))
-    return slim.join(named_by, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left").select(
-        id_col, "n_shingles", own.alias("component_id")
+    scratch.drop("texts")
+    tied = classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    whole = tied.groupBy("label").agg(
+        F.min("first").alias("component"), F.min(F.struct(F.col("first").isNull().alias("none"), "first", "h1", "h2")).alias("winner")
     )
+    of = tied.join(whole, "label").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "component", "winner")
+    return slim, scratch.write(of, "named")
 
 
 def _first_ties(scratch: Scratch, group: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -340,23 +366,34 @@ def _open_ties(
 def keep_one(
     frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
-    """The rows whose id names their component, all columns as they are; rows without id stay.
+    """One row of each component and each row without words, all columns as they are.
 
-    Of rows that repeat an id and a text one is kept.
+    The row of the smallest id stays, a row without id only where none has one.  Of rows that repeat
+    an id and a set of shingles, or an id and a text without words, one is kept.
     """
-    linked_rows = link(frame, id_col, text_col, width, percent).filter(
-        F.col("component_id").isNotNull() & (F.col("component_id") < F.col(id_col))
-    )
-    gone = linked_rows.select(F.col(id_col).alias("__gone")).distinct()
-    kept = frame.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    # Only rows whose id repeats meet by text; the others are not shuffled for it.
-    again = frame.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).agg(F.count("*").alias("n"))
-    again = Scratch(frame.sparkSession).write(again.filter("n > 1").select("__again"), "again")
+    rows, classes = _linked(frame, id_col, text_col, width, percent)
+    joined = rows.join(classes, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")))
+    gone = joined.filter("component < id").select(F.col("id").alias("__gone")).distinct()
+    # Only rows without an id of their own meet by text; the others are not shuffled for it.
+    again = rows.groupBy(F.col("id").alias("__again")).agg(F.count("*").alias("n")).filter("n > 1 OR __again IS NULL").select("__again")
+    again = Scratch(frame.sparkSession).write(again, "again")
+    ident = F.col(id_col).cast("long")
+    kept = frame.join(gone, ident == F.col("__gone"), "left_anti")
     if again.isEmpty():
         return kept
-    of = F.col(id_col) == F.col("__again")
-    once = kept.join(again, of, "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(again, of, "left_anti").unionByName(once)
+    kept = kept.filter(F.col(id_col).isNotNull()).join(again, ident == F.col("__again"), "left_anti")
+
+    def digests(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t, width) for t in texts]
+        return pd.DataFrame([(*_digest(s), len(s)) for s in sets], columns=["h1", "h2", "n"], dtype="int64")
+
+    of = F.pandas_udf(digests, "h1 long, h2 long, n long")(F.col(text_col))
+    shared = frame.join(again, ident.eqNullSafe(F.col("__again")), "left_semi").withColumn("__set", of)
+    bare = shared.filter("__set.n = 0").dropDuplicates([id_col, text_col])
+    winner = classes.select("winner.first", "c1", "c2").filter("winner.h1 = c1 AND winner.h2 = c2")
+    first = (F.col("__set.h1") == F.col("c1")) & (F.col("__set.h2") == F.col("c2")) & ident.eqNullSafe(F.col("first"))
+    winners = shared.filter("__set.n > 0").join(winner, first, "left_semi").dropDuplicates([id_col, "__set"])
+    return kept.unionByName(bare.unionByName(winners).drop("__set"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
