@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 
@@ -23,43 +24,65 @@ TEMPLATES = {
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "Including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
+        'The Software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.',
+        "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise.",
+        "Distributed under the MIT License; see the LICENSE file for details.",
     ),
     "Apache": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND.",
+        "See the License for the specific language governing permissions and limitations under the License.",
+        "You may not use this file except in compliance with the License.",
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements.",
+        "This project is released under the Apache 2.0 license.",
     ),
     "GPL": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
         "Licensed under the GNU General Public License, version 2.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        "See the GNU General Public License for more details.",
+        "Released under the GPL version 2 or later.",
+        "Licensed under GPLv3.",
     ),
     "LGPL": (
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "You should have received a copy of the GNU Lesser General Public License along with this library.",
+        "Released under the LGPL version 2.1 or later.",
+        "See the GNU Lesser General Public License for more details.",
     ),
     "AGPL": (
         "Licensed under the GNU Affero General Public License, version 3.",
         "This program is free software under the terms of the GNU Affero General Public License.",
+        "Licensed under AGPLv3.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
     ),
     "BSD": (
         "Licensed under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Released under the BSD 2-Clause License.",
     ),
     "CC-BY": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under CC BY-SA 4.0.",
+        "This article is distributed under the terms of the Creative Commons Attribution License, which permits unrestricted use, distribution, and reproduction in any medium, provided the original work is properly credited.",
+        "Text is available under the Creative Commons Attribution-ShareAlike License.",
     ),
     "CC-BY-NC": (
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Licensed under CC BY-NC-SA 4.0.",
+        "Available under a Creative Commons Attribution-NonCommercial-ShareAlike license.",
     ),
     "MPL": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -69,16 +92,39 @@ TEMPLATES = {
     "Unlicense": (
         "This is free and unencumbered software released into the public domain.",
         "Dedicated to the public domain under CC0 1.0 Universal.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
     ),
     "Reserved": ("All rights reserved.", "Copyright 2020 Example Corporation. All rights reserved."),
 }
 UNKNOWN = "unknown"
-#: Labelled sample: paragraphs of the corpus taken as unknown, variants of each template sentence, features.
-UNKNOWN_ROWS, VARIANTS, FEATURES = 2000, 24, 20_000
-#: Share of held-out unknown paragraphs that the threshold lets through, and of a template's word pairs that confirm.
+# Sentences about licences and software that grant nothing.
+TALK = (
+    "He lost the license of his driver.", "She renewed her driver's license in March.", "The licensing committee will meet again next week.",
+    "The restaurant was denied a liquor license by the city council.", "Copyright law differs from country to country.", "A license is a contract between two parties.",
+    "The judge ruled that the copyright had expired.", "They discussed which license to choose for the new project.", "The public domain is shrinking, the author argues.",
+    "We compared the MIT and the Apache license in this article.", "Many people misunderstand the GNU General Public License.", "The warranty covers parts and labour for two years.",
+    "All rights and duties of the tenants are listed below.", "The foundation publishes free software and pays its authors.", "You may use the kitchen until ten.",
+    "A copy of the report was sent to the board.", "The source code of the program was lost in the fire.", "Permission to enter the building is granted at the door.",
+    "The software is provided by the school.", "Redistribution of wealth was the topic of the debate.", "The conditions of the contract are not met.",
+    "This file is too large to be opened.", "This program was shown on television last night.", "The library is free for everyone in town.",
+    "Its creative commons room hosts painters and musicians.", "The attribution of the painting is disputed.", "The general public was not admitted.",
+    "You should have received a letter along with this parcel.", "The version of the story that he tells is wrong.", "Rights reserved for members are explained on page two.",
+    "Der Führerschein wurde ihm im März entzogen.", "Die Lizenz des Händlers ist abgelaufen.", "Das Urheberrecht schützt Werke der Literatur.",
+    "Le permis de conduire est obligatoire.", "La licence de pêche coûte vingt euros.", "Le droit d'auteur protège les œuvres.",
+    "La licencia de conducir caduca cada diez años.", "El derecho de autor protege las obras.", "The license plate of the car was stolen.", "",
+)
+#: Labelled sample: documents drawn by the hash of their id, sentences of theirs taken as unknown, variants of each template sentence, features.
+UNKNOWN_DOCS, UNKNOWN_ROWS, VARIANTS, FEATURES = 1000, 3000, 24, 20_000
+#: Share of held-out unknown sentences that the threshold lets through, and of a template's word pairs that confirm.
 FALSE_RATE, CONFIRM = 0.002, 0.6
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
-_HINTS = re.compile(r"licen|copyright|warrant|rights reserved|public domain|creative commons|\bCC[ -]|spdx", re.I)
+#: Corpus sentences with these are not taken as examples of unknown.
+_HINTS = "(?i)licen|copyright|warrant|rights reserved|public domain|creative commons|spdx"
 
 
 def words(text: str) -> list[str]:
@@ -86,46 +132,70 @@ def words(text: str) -> list[str]:
 
 
 def grams(tokens: list[str]) -> list[str]:
-    """Word n-grams of one to three words."""
-    return [" ".join(tokens[i : i + n]) for n in (1, 2, 3) for i in range(len(tokens) - n + 1)]
+    """Distinct word n-grams of one to three words."""
+    return list({" ".join(tokens[i : i + n]) for n in (1, 2, 3) for i in range(len(tokens) - n + 1)})
 
 
-def training_rows() -> list[tuple[str, list[str]]]:
-    """(family, n-grams) of the template sentences and of variants with words left out, by a fixed generator."""
-    rng, rows = np.random.default_rng(7), []
+def training_rows(prose: list[list[str]], seed: int = 7) -> list[tuple[str, list[str]]]:
+    """(family, words) of the templates by a fixed generator: whole, with words left out, joined in twos, and inside ordinary words."""
+    rng, rows = np.random.default_rng(seed), []
+    around = [w for w in prose if len(w) >= 4] or [[]]
     for family, sentences in TEMPLATES.items():
-        for sentence in sentences:
-            tokens = words(sentence)
-            rows.append((family, grams(tokens)))
-            for _ in range(VARIANTS):
-                keep = rng.random(len(tokens)) > 0.1
-                rows.append((family, grams([t for t, k in zip(tokens, keep, strict=True) if k] or tokens)))
+        tokens = [words(x) for x in sentences]
+        for k, own in enumerate(tokens):
+            rows.append((family, own))
+            for turn in range(VARIANTS):
+                more = tokens[rng.integers(len(tokens))] if turn % 4 == 1 else []
+                kept = [t for t in own + more if rng.random() > 0.1] or own
+                if turn % 4 >= 2:
+                    ahead, behind = (around[rng.integers(len(around))] for _ in range(2))
+                    kept = ahead[: rng.integers(6)] + kept + behind[: rng.integers(6)]
+                rows.append((family, kept))
     return rows
 
 
 class Model:
-    """Sparse weights of the classifier, its threshold and the templates' word pairs."""
-
-    def __init__(self, families: list[str], weights: dict[str, np.ndarray], bias: np.ndarray, least: float) -> None:
-        self.families, self.weights, self.bias, self.least = families, weights, bias, least
-        # A paragraph without any of these words has no template's pair and can't be confirmed.
-        self.pairs = {
-            f: [set(zip(t, t[1:], strict=False)) for t in map(words, sentences)] for f, sentences in TEMPLATES.items()
-        }
-        self.needed = {x for sets in self.pairs.values() for s in sets for p in s for x in p}
-
-    def logits(self, tokens: list[str]) -> np.ndarray:
-        found = [self.weights[g] for g in grams(tokens) if g in self.weights]
-        return self.bias + np.sum(found, axis=0) if found else self.bias
+    """Sparse weights of the classifier, its temperature and threshold, and the templates' word pairs."""
+
+    def __init__(self, families: list[str], weights: dict[str, np.ndarray], bias: np.ndarray) -> None:
+        self.families, self.weights, self.bias = families, weights, bias
+        self.unknown = families.index(UNKNOWN)
+        self.temperature, self.least = 1.0, 0.5
+        self.pairs = {f: [set(zip(t, t[1:], strict=False)) for t in map(words, sentences)] for f, sentences in TEMPLATES.items()}
+        # By n-gram length, and for each gram the most that it can do for any family against unknown.
+        self.by_size: list[dict[tuple[str, ...], str]] = [{}, {}, {}]
+        for gram in weights:
+            parts = tuple(gram.split(" "))
+            self.by_size[len(parts) - 1][parts if len(parts) > 1 else gram] = gram
+        self.most = {g: max(0.0, float(np.delete(w - w[self.unknown], self.unknown).max())) for g, w in weights.items()}
+        self.most_bias = float(np.delete(bias - bias[self.unknown], self.unknown).max())
+
+    def found(self, tokens: list[str]) -> list[str]:
+        """Weighted n-grams of a sentence, each once."""
+        one, two, three = self.by_size
+        out = list(one.keys() & set(tokens))
+        if two:
+            out += [two[p] for p in two.keys() & set(zip(tokens, tokens[1:], strict=False))]
+        if three:
+            out += [three[p] for p in three.keys() & set(zip(tokens, tokens[1:], tokens[2:], strict=False))]
+        return out
+
+    def logits(self, found: list[str]) -> np.ndarray:
+        return self.bias + np.sum([self.weights[g] for g in found], axis=0) if found else self.bias
 
     def probabilities(self, tokens: list[str]) -> np.ndarray:
-        z = self.logits(tokens)
-        e = np.exp(z - z.max())
-        return e / e.sum()
+        return _softmax(self.logits(self.found(tokens)) / self.temperature)
 
     def classify(self, tokens: list[str]) -> tuple[str, float]:
-        """Family and probability; unknown under the threshold or when no template of the family agrees."""
-        p = self.probabilities(tokens)
+        """Family and probability; unknown under the threshold or when no template of the family agrees.
+
+        The probabilities are not worked out where the weights' bound shows every family under the threshold.
+        """
+        found = self.found(tokens)
+        bound = (self.most_bias + sum(map(self.most.__getitem__, found))) / self.temperature
+        if bound < math.log(self.least / (1 - self.least)):
+            return UNKNOWN, 0.0
+        p = _softmax(self.logits(found) / self.temperature)
         best = int(p.argmax())
         family = self.families[best]
         if family == UNKNOWN or p[best] < self.least or not self.confirmed(family, tokens):
@@ -136,58 +206,68 @@ class Model:
         own = set(zip(tokens, tokens[1:], strict=False))
         return any(s and len(own & s) >= CONFIRM * len(s) for s in self.pairs[family])
 
+    def calibrate(self, held: list[tuple[str, list[str]]]) -> None:
+        """Temperature of least log loss on held-out rows; the threshold that all but ``FALSE_RATE`` of their unknown ones stay under."""
+        logits = np.array([self.logits(self.found(t)) for _, t in held])
+        own = np.array([self.families.index(f) for f, _ in held])
+
+        def loss(temperature: float) -> float:
+            return -float(np.mean([math.log(max(_softmax(z)[k], 1e-12)) for z, k in zip(logits / temperature, own, strict=True)]))
+
+        self.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
+        false = sorted(float(np.delete(_softmax(z), self.unknown).max()) for z in logits[own == self.unknown] / self.temperature)
+        self.least = max(0.3, min(0.9, false[int((1 - FALSE_RATE) * (len(false) - 1))])) if false else 0.5
+
 
-def train(frame: DataFrame, text_col: str) -> Model:
-    """Fit on template variants and at most ``UNKNOWN_ROWS`` corpus paragraphs without licence words.
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max())
+    return e / e.sum()
 
-    Every fifth row is held out; the threshold is the highest probability of a licence that all but
-    ``FALSE_RATE`` of the held-out unknown paragraphs stay under.
+
+def train(frame: DataFrame, id_col: str, text_col: str) -> Model:
+    """Fit on template variants, sentences about licences and at most ``UNKNOWN_ROWS`` corpus sentences without licence words.
+
+    The corpus sentences come from ``UNKNOWN_DOCS`` rows of least id hash, so neither their place nor
+    their number in the table matters.  Every fifth row is held out for calibration.
     """
     spark = frame.sparkSession
+    ids = frame.select(F.col(id_col).alias("__of")).filter(F.col(id_col).isNotNull()).orderBy(F.xxhash64("__of"), "__of").limit(UNKNOWN_DOCS)
+    drawn = frame.join(F.broadcast(ids), F.col(id_col) == F.col("__of"), "left_semi")  # at most UNKNOWN_DOCS ids
     lines = (
-        frame.select(F.explode(F.split(F.col(text_col), "\n")).alias("line"))
-        .filter(F.length("line").between(20, 2000) & ~F.col("line").rlike("(?i)" + _HINTS.pattern))
+        drawn.select(F.explode(F.split(F.col(text_col), r"\n|(?<=[.!?])\s")).alias("line"))
+        .filter(F.length("line").between(20, 2000) & ~F.col("line").rlike(_HINTS))
+        .orderBy(F.xxhash64("line"), "line")
         .limit(UNKNOWN_ROWS)
         .collect()
     )
-    rows = training_rows() + [(UNKNOWN, grams(words(r["line"]))) for r in lines]
-    # Ordinary prose that talks about terms without granting any, so that "the License" alone is not enough.
-    rows += [(UNKNOWN, grams(words(s))) for s in ("the license of the driver", "a version of the file", "use the software", "") for _ in range(5)]
+    prose = [words(r["line"]) for r in lines]
+    rows = training_rows(prose) + [(UNKNOWN, t) for t in prose] + [(UNKNOWN, words(t)) for t in TALK for _ in range(4)]
     fit, held = [r for k, r in enumerate(rows) if k % 5], rows[::5]
-    data = spark.createDataFrame(fit, "family string, grams array<string>")
+    data = spark.createDataFrame([(f, grams(t)) for f, t in fit], "family string, grams array<string>").coalesce(2).cache()
     counted = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=FEATURES, minDF=2, binary=True)
     index = StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc")
     regression = LogisticRegression(
         family="multinomial", regParam=0.002, elasticNetParam=0.5, maxIter=60, featuresCol="features", labelCol="label"
     )
     fitted = Pipeline(stages=[index, counted, regression]).fit(data)
+    data.unpersist()
     families, vocabulary = fitted.stages[0].labels, fitted.stages[1].vocabulary
     matrix, bias = fitted.stages[2].coefficientMatrix.toArray(), fitted.stages[2].interceptVector.toArray()
-    weights = {g: matrix[:, k] for k, g in enumerate(vocabulary) if matrix[:, k].any()}
-    model = Model(list(families), weights, bias, 0.0)
-    at = model.families.index(UNKNOWN)
-
-    def top(gs: list[str]) -> float:
-        z = model.bias + sum((model.weights[g] for g in gs if g in model.weights), np.zeros(len(model.bias)))
-        e = np.exp(z - z.max())
-        p = e / e.sum()
-        return float(np.delete(p, at).max())
-
-    false = sorted(top(gs) for family, gs in held if family == UNKNOWN)
-    model.least = max(0.3, min(0.9, false[int((1 - FALSE_RATE) * (len(false) - 1))])) if false else 0.5
+    model = Model(list(families), {g: matrix[:, k] for k, g in enumerate(vocabulary) if matrix[:, k].any()}, bias)
+    model.calibrate(held)
     return model
 
 
 def scan(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Licence families of each text with the paragraphs that show them.
+    """Licence families of each text with the sentences that show them.
 
-    A paragraph is a line.  ``families`` lists distinct families in order of appearance, ``spans`` the
-    paragraphs (start and end in code points, family, probability).  Sentences of a paragraph are also
-    looked at alone, so a licence line inside running text is found.  The model, whose size does
+    A paragraph is a line; the classifier judges every sentence of every paragraph, so a licence line inside
+    running text is found.  ``families`` lists distinct families in order of appearance, ``spans``
+    the sentences (start and end in code points, family, probability).  The model, whose size does
     not grow with the corpus, goes to every task; all texts are read whole.  Null and empty
     texts have no licences; repeated rows come out alike; an empty table gives no rows.
     """
-    model = train(frame, text_col)
+    model = train(frame, id_col, text_col)
 
     def make():
         @lru_cache(maxsize=20_000)
@@ -196,7 +276,7 @@ def scan(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
         def row(ident, text):
             spans = []
-            for start, end, sentence in _sentences(text or ""):
+            for start, end, sentence in sentences_of(text or ""):
                 family, p = verdict(sentence)
                 if family != UNKNOWN:
                     spans.append({"start": start, "end": end, "family": family, "probability": round(p, 4)})
@@ -214,29 +294,18 @@ def scan(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 _STOP = re.compile(r"(?<=[.!?])\s+(?=[A-ZÀ-Ý])")
 
 
-def _sentences(text: str):
-    """(start, end, text) of paragraphs with a licence word, cut at sentences that have one.
-
-    The classifier rejects every paragraph in which no template's word pair occurs, and each family's
-    templates carry one of the words looked for, so what is passed over would be unknown.
-    """
+def sentences_of(text: str):
+    """(start, end, text) of the sentences of each line."""
     at = 0
     for line in text.split("\n"):
-        if _HINTS.search(line) or _TEMPLATE_WORDS.search(line):
-            start = at
-            for part in _STOP.split(line):
-                offset = line.find(part, start - at)
-                start = at + offset
-                if part and (_HINTS.search(part) or _TEMPLATE_WORDS.search(part)):
-                    yield start, start + len(part), part
-                start += len(part)
+        start = 0
+        for stop in _STOP.finditer(line):
+            yield at + start, at + stop.start(), line[start : stop.start()]
+            start = stop.end()
+        if start < len(line):
+            yield at + start, at + len(line), line[start:]
         at += len(line) + 1
 
 
-_TEMPLATE_WORDS = re.compile(
-    r"permission is hereby|free software|redistribut|source code|apache\.org|mozilla|unencumbered|distributed", re.I
-)
-
-
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
