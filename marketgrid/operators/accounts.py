@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..plans import sql
 from ..sources.tables import bars_daily, calendar, fills, signals, table
+from .trailing import PLANS
 
 
 def a27_ledger(spark, sf_dir):
@@ -25,16 +29,21 @@ def a27_ledger(spark, sf_dir):
 def a28_fifo(spark, sf_dir):
     """Sells matched first-in first-out to earlier bought lots of the account.
 
-    Buys and sells are intervals of cumulative shares; a lot and a sale match where their intervals
-    overlap.  A shuffle on the account and no loop over fills.
+    Buys and sells are intervals of cumulative shares.  Their ends, in one order, cut the shares into
+    stretches, each of which lies in one lot and one sale: the next ones that end.  One shuffle on the
+    account, linear in its fills.
     """
     so_far = Window.partitionBy("account", "side").orderBy("date", "fill_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = fills(spark, sf_dir).withColumn("stop", F.sum("shares").over(so_far)).withColumn("start", F.col("stop") - F.col("shares"))
-    buys = rows.filter("side = 'BUY'").select("account", F.col("fill_id").alias("buy"), F.col("date").alias("bought"), F.col("start").alias("b0"), F.col("stop").alias("b1"))
-    sells = rows.filter("side = 'SELL'").select("account", F.col("fill_id").alias("sell"), F.col("date").alias("sold"), "start", "stop")
-    both = sells.join(buys, (sells.account == buys.account) & (F.col("b0") < F.col("stop")) & (F.col("start") < F.col("b1")))
-    shares = F.least("stop", "b1") - F.greatest("start", "b0")
-    return both.select("sell", "buy", shares.alias("shares"), (F.col("sold") > F.col("bought")).cast("int").alias("unlocked"))
+    rows = fills(spark, sf_dir).withColumn("stop", F.sum("shares").over(so_far))
+    by = Window.partitionBy("account").orderBy("stop", "side", "date", "fill_id")
+    ahead = by.rowsBetween(0, Window.unboundedFollowing)
+    of = lambda side: F.first(F.when(F.col("side") == side, F.struct("fill_id", "date")), ignorenulls=True).over(ahead)
+    cut = rows.select(
+        "account", (F.col("stop") - F.coalesce(F.lag("stop").over(by), F.lit(0))).alias("shares"), of("BUY").alias("lot"), of("SELL").alias("sale")
+    ).filter("shares > 0 AND lot IS NOT NULL AND sale IS NOT NULL")
+    return cut.select(
+        F.col("sale.fill_id").alias("sell"), F.col("lot.fill_id").alias("buy"), "shares", (F.col("sale.date") > F.col("lot.date")).cast("int").alias("unlocked")
+    )
 
 
 def _equity(spark, sf_dir) -> DataFrame:
@@ -44,15 +53,34 @@ def _equity(spark, sf_dir) -> DataFrame:
     return rows.withColumn("nav", F.col("close") / F.first("close").over(by)).withColumn("r", F.col("close") / F.lag("close").over(by) - 1)
 
 
+#: Sessions a year, and the least of them for which ratios of return and risk are given.
+ANNUAL, MIN_SESSIONS = 252, 60
+
+
 def a26_account_metrics(spark, sf_dir):
-    """Return, volatility, Sharpe, Sortino parts, worst drawdown, win rate and profit factor of each daily equity."""
-    by = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _equity(spark, sf_dir).withColumn("drawdown", F.col("nav") / F.max("nav").over(by) - 1)
+    """Metrics of each daily equity: return and its yearly rate, volatility, Sharpe, Sortino, Calmar, drawdown, autocorrelation, win rate, profit factor.
+
+    Ratios are null for fewer than ``MIN_SESSIONS`` sessions and where their divisor is 0.
+    """
+    by = Window.partitionBy("symbol").orderBy("date")
+    rows = _equity(spark, sf_dir).withColumns({
+        "drawdown": 1 - F.col("nav") / F.max("nav").over(by.rowsBetween(Window.unboundedPreceding, 0)), "r_before": F.lag("r").over(by),
+    })
     up, down = F.sum(F.when(F.col("r") > 0, F.col("r"))), F.sum(F.when(F.col("r") < 0, -F.col("r")))
-    return rows.groupBy("symbol").agg(
-        F.round(F.max_by("nav", "date") - 1, 6).alias("total_return"), F.round(F.stddev_samp("r"), 6).alias("volatility"),
-        F.round(F.avg("r") / F.stddev_samp("r") * F.sqrt(F.lit(252.0)), 5).alias("sharpe"), F.round(F.min("drawdown"), 6).alias("max_drawdown"),
-        F.round(F.avg((F.col("r") > 0).cast("double")), 6).alias("win_rate"), F.round(up / down, 5).alias("profit_factor"),
+    yearly = F.sqrt(F.lit(float(ANNUAL)))
+    per = rows.groupBy("symbol").agg(
+        F.count("r").alias("sessions"), (F.max_by("nav", "date") - 1).alias("total_return"), F.stddev_samp("r").alias("sd"), F.avg("r").alias("mean"),
+        F.sqrt(F.avg(F.when(F.col("r") < 0, F.col("r") * F.col("r")).when(F.col("r") >= 0, 0.0))).alias("downside"), F.max("drawdown").alias("max_drawdown"),
+        F.corr("r", "r_before").alias("autocorrelation"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"), (up / down).alias("profit_factor"),
+    )
+    per = per.withColumn("annualized_return", F.when(F.col("sessions") > 0, F.pow(1 + F.col("total_return"), ANNUAL / F.col("sessions")) - 1))
+    long = lambda x: F.when(F.col("sessions") >= MIN_SESSIONS, x)
+    return per.select(
+        "symbol", "sessions", F.round("total_return", 6).alias("total_return"), F.round("annualized_return", 5).alias("annualized_return"),
+        F.round(F.col("sd") * yearly, 5).alias("volatility"), F.round(long(F.col("mean") / F.nullif("sd", F.lit(0.0)) * yearly), 5).alias("sharpe"),
+        F.round(long(F.col("mean") / F.nullif("downside", F.lit(0.0)) * yearly), 5).alias("sortino"), F.round("max_drawdown", 6).alias("max_drawdown"),
+        F.round(F.col("annualized_return") / F.nullif("max_drawdown", F.lit(0.0)), 5).alias("calmar"), F.round("autocorrelation", 5).alias("autocorrelation"),
+        F.round("win_rate", 6).alias("win_rate"), F.round("profit_factor", 5).alias("profit_factor"),
     )
 
 
@@ -88,15 +116,23 @@ def a31_block_means(spark, sf_dir):
     return out.select("session", "block_5", "block_20")
 
 
-def a31_bootstrap(spark, sf_dir, reps: int = 200, block: int = 20, seed: int = 11):
-    """Moving-block bootstrap interval of the equal-date mean return; starts are drawn by a seeded hash."""
-    blocks = a31_block_means(spark, sf_dir).filter(f"block_{block} IS NOT NULL").select(F.col("session"), F.col(f"block_{block}").alias("m"))
+def a31_starts(spark, blocks: DataFrame, reps: int, block: int, seed: int) -> DataFrame:
+    """(rep, session): starts of the blocks of each draw, by a seeded hash."""
     n = blocks.agg(F.count("*").alias("n"))
     draws = spark.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n))  # reps rows by one row
     draws = draws.withColumn("k", F.explode(F.expr(f"sequence(1, cast(ceil(n / {block}) as int))")))
-    draws = draws.withColumn("session", F.pmod(F.xxhash64("rep", "k", F.lit(seed)), F.col("n")) + 1)
-    means = draws.join(blocks, "session").groupBy("rep").agg(F.avg("m").alias("mean"))
-    return means.agg(*(F.round(F.percentile("mean", F.lit(p)), 6).alias(name) for p, name in ((0.025, "low"), (0.5, "mid"), (0.975, "high"))))
+    return draws.select("rep", (F.pmod(F.xxhash64("rep", "k", F.lit(seed)), F.col("n")) + 1).alias("session"))
+
+
+def a31_bootstrap(spark, sf_dir, reps: int = 200, lengths: tuple[int, ...] = (5, 20), seed: int = 11):
+    """Moving-block bootstrap intervals of the equal-date mean return, one row for each block length."""
+    means, out = a31_block_means(spark, sf_dir), None
+    for block in lengths:
+        blocks = means.filter(f"block_{block} IS NOT NULL").select("session", F.col(f"block_{block}").alias("m"))
+        drawn = a31_starts(spark, blocks, reps, block, seed).join(blocks, "session").groupBy("rep").agg(F.avg("m").alias("mean"))
+        row = drawn.agg(F.lit(block).alias("block"), *(F.round(F.percentile("mean", F.lit(p)), 6).alias(name) for p, name in ((0.025, "low"), (0.5, "mid"), (0.975, "high"))))
+        out = row if out is None else out.union(row)
+    return out
 
 
 def _scored(spark, sf_dir) -> DataFrame:
@@ -112,6 +148,8 @@ def a20_probability_metrics(spark, sf_dir):
     return rows.agg(
         F.count("*").alias("n"), F.round(F.avg(-F.ln(own)), 6).alias("log_loss"), F.round(F.avg((F.col("p") - F.col("quality")) ** 2), 6).alias("brier"),
         F.round(F.avg(((F.col("p") >= 0.5).cast("int") == F.col("quality")).cast("double")), 6).alias("accuracy"), F.round(F.avg("quality"), 6).alias("prior"),
+        F.sum("quality").alias("positives"), F.sum(1 - F.col("quality")).alias("negatives"), F.round(F.avg(F.when(F.col("quality") == 1, F.col("p"))), 6).alias("mean_p_positive"),
+        F.round(F.avg(F.when(F.col("quality") == 0, F.col("p"))), 6).alias("mean_p_negative"),
     )
 
 
@@ -120,6 +158,24 @@ def a21_confusion(spark, sf_dir):
     return rows.groupBy("quality", "predicted").agg(F.count("*").alias("n"), F.round(F.percentile("p", F.lit(0.5)), 6).alias("median_p"))
 
 
+def a21_class_scores(spark, sf_dir):
+    """Precision, recall and F1 of each class, macro F1, and quantiles of its predicted probability."""
+    rows = _scored(spark, sf_dir).withColumn("predicted", (F.col("p") >= 0.5).cast("int"))
+    klass = F.explode(F.array(F.lit(0), F.lit(1))).alias("klass")
+    rows = rows.select("*", klass).withColumns({"is": (F.col("quality") == F.col("klass")).cast("int"), "said": (F.col("predicted") == F.col("klass")).cast("int"), "own": F.when(F.col("klass") == 1, F.col("p")).otherwise(1 - F.col("p"))})
+    per = rows.groupBy("klass").agg(
+        F.sum("is").alias("actual"), F.sum("said").alias("predicted"), F.sum(F.col("is") * F.col("said")).alias("right"),
+        *(F.round(F.percentile("own", F.lit(q)), 5).alias(f"p{round(q * 100)}") for q in (0.1, 0.5, 0.9)),
+    )
+    f1 = F.coalesce(2 * F.col("right") / F.nullif(F.col("actual") + F.col("predicted"), F.lit(0)), F.lit(0.0))
+    per = per.withColumn("f", f1)
+    macro = per.agg(F.avg("f").alias("macro"))
+    return per.crossJoin(F.broadcast(macro)).select(  # two rows by one
+        "klass", "actual", "predicted", F.round(F.col("right") / F.nullif("predicted", F.lit(0)), 6).alias("precision"),
+        F.round(F.col("right") / F.nullif("actual", F.lit(0)), 6).alias("recall"), F.round("f", 6).alias("f1"), F.round("macro", 6).alias("macro_f1"), "p10", "p50", "p90",
+    )
+
+
 def a22_auc(spark, sf_dir):
     """Binary AUC by average ranks.
 
@@ -269,42 +325,75 @@ def w41_group_split(spark, sf_dir):
     return first.groupBy(part.alias("part")).agg(F.count("*").alias("accounts"), F.sum("n").alias("fills"))
 
 
-def w50_target_path(spark, sf_dir):
-    """Target fraction with hysteresis: each target depends on the one before, as a fold over a symbol's bars."""
-    bars = bars_daily(spark, sf_dir).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("date", F.round(F.col("close") / F.col("open") - 1, 6).alias("r")))).alias("bars"))
-    start = F.expr("named_struct('target', cast(0.0 as double), 'path', cast(array() as array<struct<date:date,target:double>>))")
+@dataclass(frozen=True)
+class Policy:
+    """Limits of the target path; all are parameters."""
+
+    max_weight: float = 0.2
+    step: float = 0.05
+    hysteresis: float = 0.01
+    wait_band: float = 0.02
+    edge_entry: float = 0.03
+    edge_full: float = 0.3
 
-    def step(acc, bar):
-        wanted = F.when(bar["r"] > 0.1, acc["target"] + 0.25).when(bar["r"] < -0.1, acc["target"] - 0.5).otherwise(acc["target"])
-        target = F.greatest(F.lit(0.0), F.least(F.lit(1.0), wanted))
-        return F.struct(target.alias("target"), F.array_append(acc["path"], F.struct(bar["date"].alias("date"), target.alias("target"))).alias("path"))
 
-    out = bars.select("symbol", F.explode(F.aggregate("bars", start, step, lambda acc: acc["path"])).alias("p"))
-    return out.select("symbol", "p.date", "p.target")
+@dataclass
+class Held:
+    """Target and frozen stop after the bars before."""
 
+    target: float = 0.0
+    stop: float | None = None
 
-def w16_weighted_quantiles(spark, sf_dir, window: int = 60):
-    """Volume-weighted quantiles of typical prices over the last ``window`` bars.
 
-    A join of bar numbers turns each bar into its window's rows; the cumulative weight picks the
-    quantiles.
+def next_target(held: Held, up, down, cap, stop, close, policy: Policy = Policy()) -> tuple[Held, str]:
+    """The state after a bar, and why the target is what it is.
+
+    Without probabilities or a risk cap the target stays, unless the close is under the frozen stop.
+    Inside the wait band, or by a lower cap, it may only fall.  Outside it moves to the nearest step if
+    that is more than half a step and the hysteresis away.  A stop only rises while a target is held.
     """
-    by = Window.partitionBy("symbol").orderBy("date")
-    rows = bars_daily(spark, sf_dir).select("symbol", "date", F.row_number().over(by).alias("i"), ((F.col("high") + F.col("low") + F.col("close")) / 3).alias("price"), "volume")
-    ends = rows.filter(f"i >= {window} AND i % 20 = 0").select("symbol", F.col("date").alias("as_of"), F.explode(F.sequence(F.col("i") - window + 1, F.col("i"))).alias("i"))
-    part = Window.partitionBy("symbol", "as_of").orderBy("price", "i")
-    cum = ends.join(rows, ["symbol", "i"]).withColumn("c", F.sum("volume").over(part.rowsBetween(Window.unboundedPreceding, 0)))
-    total = cum.withColumn("t", F.sum("volume").over(Window.partitionBy("symbol", "as_of")))
-    pick = lambda q: F.round(F.min(F.when(F.col("c") >= F.col("t") * q - 1e-9, F.col("price"))), 6)
-    return total.groupBy("symbol", "as_of").agg(pick(0.15).alias("low"), pick(0.5).alias("mid"), pick(0.85).alias("high"))
+    known = lambda x: x is not None and x == x
+    broke = held.stop is not None and known(close) and close < held.stop
+    if not (known(up) and known(down) and known(cap) and 0 <= cap <= 1):
+        return (Held(), "stop") if broke else (held, "stale")
+    cap = min(cap, policy.max_weight)
+    level, edge = math.floor((cap + 1e-12) / policy.step) * policy.step, up - down
+    wanted = cap * max(0.0, min(1.0, (edge - policy.edge_entry) / (policy.edge_full - policy.edge_entry)))
+    target, why = held.target, "hold"
+    if broke:
+        target, why = 0.0, "stop"
+    elif abs(edge) <= policy.wait_band:
+        target, why = min(target, level), "wait"
+    elif abs(wanted - target) + 1e-12 >= policy.step / 2 + policy.hysteresis:
+        target, why = max(0.0, math.floor(wanted / policy.step + 0.5) * policy.step), "moved"
+    if target > level:
+        target, why = level, "cap"
+    target = round(target, 10)
+    if target == 0:
+        return Held(), why
+    return Held(target, max(stop, held.stop or stop) if known(stop) else held.stop), why
 
 
-def w17_volume_histogram(spark, sf_dir, bins: int = 32):
-    """Volume by price bin over a symbol's range."""
-    rows = bars_daily(spark, sf_dir)
-    edge = rows.groupBy("symbol").agg(F.min("low").alias("lo"), F.max("high").alias("hi"))
-    at = F.least(F.floor((F.col("close") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
-    return rows.join(edge, "symbol").filter("hi > lo").groupBy("symbol", at.alias("bin")).agg(F.round(F.sum("volume"), 2).alias("volume"))
+def w50_target_path(spark, sf_dir):
+    """Target fraction of each symbol with hysteresis, wait band, cap and frozen stop: each target depends on the one before.
+
+    A symbol's bars are one ordered group.  Probabilities are those of the batch score, cap and stop
+    those of the risk geometry.
+    """
+    z = F.round(F.col("close") / F.col("open") - 1, 6) * 5
+    odds = [F.exp(x / 1.5) for x in (z, F.lit(0.2), -z)]
+    total = odds[0] + odds[1] + odds[2]
+    risk = PLANS["w47_risk_geometry"].frame(spark, sf_dir).select("symbol", "date", F.col("floor_price").alias("stop"), F.when(F.col("verdict") == "ok", F.col("cap")).when(F.col("verdict") != "unavailable", 0.0).alias("cap"))
+    rows = bars_daily(spark, sf_dir).select("symbol", "date", "close", (odds[0] / total).alias("up"), (odds[2] / total).alias("down")).join(risk, ["symbol", "date"])
+
+    def run(bars: pd.DataFrame) -> pd.DataFrame:
+        held, out = Held(), []
+        for x in bars.sort_values("date").itertuples(index=False):
+            held, why = next_target(held, x.up, x.down, x.cap, x.stop, x.close)
+            out.append((x.symbol, x.date, held.target, held.stop, why))
+        return pd.DataFrame(out, columns=["symbol", "date", "target", "stop", "why"])
+
+    return rows.groupBy("symbol").applyInPandas(run, "symbol long, date date, target double, stop double, why string")
 
 
 def _profiles(spark, sf_dir, ddl: str, of, window: int = 120):
@@ -324,7 +413,7 @@ def _profiles(spark, sf_dir, ddl: str, of, window: int = 120):
     return bars.groupBy("symbol").applyInPandas(run, ddl)
 
 
-def w16_quantiles_all(spark, sf_dir):
+def w16_weighted_quantiles(spark, sf_dir):
     """Volume-weighted quantiles of typical prices over 120 bars, at every bar from the 120th on."""
 
     def quantiles(p, v):
@@ -335,15 +424,36 @@ def w16_quantiles_all(spark, sf_dir):
     return _profiles(spark, sf_dir, "symbol long, as_of date, low double, mid double, high double", quantiles)
 
 
+def w16_quantiles_all(spark, sf_dir):
+    """An earlier name of :func:`w16_weighted_quantiles`."""
+    return w16_weighted_quantiles(spark, sf_dir)
+
+
+def _bins(p: np.ndarray, v: np.ndarray, bins: int) -> tuple[float, float, np.ndarray]:
+    """Range of the prices and the volume in each of its equal bins; a range without width gets some."""
+    low, high = float(p.min()), float(p.max())
+    if low == high:
+        half = max(abs(low) * 0.005, 0.005)
+        low, high = low - half, high + half
+    at = np.minimum(np.floor((p - low) / (high - low) * bins), bins - 1).astype(int)
+    return low, high, np.bincount(at, v, bins)
+
+
+def w17_volume_histogram(spark, sf_dir, bins: int = 32):
+    """Volume by bin of typical prices over 120 bars, at every bar from the 120th on; the bins' volumes in one text."""
+
+    def histogram(p, v):
+        low, high, volume = _bins(p, v, bins)
+        return [(round(low, 6), round(high, 6), ",".join(str(round(x)) for x in volume.tolist()))]
+
+    return _profiles(spark, sf_dir, "symbol long, as_of date, low double, high double, volumes string", histogram)
+
+
 def w17_histogram_all(spark, sf_dir, bins: int = 32):
-    """Volume by bin of typical prices over 120 bars, at every bar from the 120th on."""
+    """As :func:`w17_volume_histogram`, one row for each bin."""
 
     def histogram(p, v):
-        low, high = float(p.min()), float(p.max())
-        if low == high:
-            half = max(abs(low) * 0.005, 0.005)
-            low, high = low - half, high + half
-        return [(k, round(float(x), 2)) for k, x in enumerate(np.histogram(p, bins=bins, range=(low, high), weights=v)[0])]
+        return [(k, round(float(x), 2)) for k, x in enumerate(_bins(p, v, bins)[2])]
 
     return _profiles(spark, sf_dir, "symbol long, as_of date, bin int, volume double", histogram)
 
@@ -371,21 +481,31 @@ _F, _B, _BC = sql.with_(sql.FILLS), sql.with_(sql.BARS), sql.with_(sql.BARS, sql
 _SC = "scored AS (SELECT doc_id, quality, toxic, source, round(0.05 + 0.9 * (((n_chars * 37 + doc_id) % 1000) / 1000.0::DOUBLE), 4) AS p FROM documents JOIN labels USING (doc_id))"
 _SW = sql.with_(_SC)
 _X = "x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"
+_W120 = """, n AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, (high + low + close) / 3 AS price, volume FROM bars),
+w AS (SELECT e.symbol, e.as_of, b.price, b.i, b.volume FROM (SELECT symbol, date AS as_of, unnest(range(i - 119, i + 1)) AS i FROM n WHERE i >= 120) e JOIN n b ON e.symbol = b.symbol AND e.i = b.i WHERE b.volume > 0)"""
 ORACLE = {
     "a27_ledger": _F + "SELECT fill_id, account, CAST(sum(CASE WHEN side = 'BUY' THEN shares ELSE -shares END) OVER w AS BIGINT) AS position, round(sum(CASE WHEN side = 'BUY' THEN -notional ELSE notional END) OVER w, 2) AS cash FROM fills WINDOW w AS (PARTITION BY account ORDER BY date, fill_id ROWS UNBOUNDED PRECEDING)",
     "a28_fifo": _F + """, c AS (SELECT *, sum(shares) OVER (PARTITION BY account, side ORDER BY date, fill_id ROWS UNBOUNDED PRECEDING) AS stop FROM fills)
 SELECT s.fill_id AS sell, b.fill_id AS buy, CAST(least(s.stop, b.stop) - greatest(s.stop - s.shares, b.stop - b.shares) AS BIGINT) AS shares, CAST(s.date > b.date AS INTEGER) AS unlocked
 FROM c s JOIN c b ON s.account = b.account AND s.side = 'SELL' AND b.side = 'BUY' AND b.stop - b.shares < s.stop AND s.stop - s.shares < b.stop""",
-    "a26_account_metrics": _B + """, e AS (SELECT symbol, date, close / first_value(close) OVER w AS nav, close / lag(close) OVER w - 1 AS r FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
-d AS (SELECT *, nav / max(nav) OVER (PARTITION BY symbol ORDER BY date) - 1 AS drawdown FROM e)
-SELECT symbol, round(arg_max(nav, date) - 1, 6) AS total_return, round(stddev_samp(r), 6) AS volatility, round(avg(r) / stddev_samp(r) * sqrt(252.0), 5) AS sharpe, round(min(drawdown), 6) AS max_drawdown,
-  round(avg(CAST(r > 0 AS INT)), 6) AS win_rate, round(sum(CASE WHEN r > 0 THEN r END) / sum(CASE WHEN r < 0 THEN -r END), 5) AS profit_factor FROM d GROUP BY symbol""",
+    "a26_account_metrics": _B[:-1] + """, e AS (SELECT symbol, date, close / first_value(close) OVER w AS nav, close / lag(close) OVER w - 1 AS r FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+d AS (SELECT *, 1 - nav / max(nav) OVER w AS dd, lag(r) OVER w AS r_before FROM e WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+m AS (SELECT symbol, count(r) AS sessions, arg_max(nav, date) - 1 AS total, stddev_samp(r) AS sd, avg(r) AS mean, sqrt(avg(least(r, 0) ** 2) FILTER (r IS NOT NULL)) AS down, max(dd) AS dd, corr(r, r_before) AS ac,
+  avg(CAST(r > 0 AS INT)) AS win, sum(r) FILTER (r > 0) / sum(-r) FILTER (r < 0) AS factor FROM d GROUP BY symbol),
+y AS (SELECT *, CASE WHEN sessions > 0 THEN (1 + total) ** (252.0 / sessions) - 1 END AS grown FROM m)
+SELECT symbol, sessions, round(total, 6) AS total_return, round(grown, 5) AS annualized_return, round(sd * sqrt(252.0), 5) AS volatility, round(CASE WHEN sessions >= 60 THEN mean / nullif(sd, 0) * sqrt(252.0) END, 5) AS sharpe,
+  round(CASE WHEN sessions >= 60 THEN mean / nullif(down, 0) * sqrt(252.0) END, 5) AS sortino, round(dd, 6) AS max_drawdown, round(grown / nullif(dd, 0), 5) AS calmar, round(ac, 5) AS autocorrelation,
+  round(win, 6) AS win_rate, round(factor, 5) AS profit_factor FROM y""",
     "a29_episodes": _F + """SELECT account, year, n, round(ratio, 6) AS net, CASE WHEN ratio IS NULL THEN 'open' WHEN ratio > 0.5 THEN 'high' WHEN ratio >= 0 THEN 'ordinary' ELSE 'loss' END AS klass FROM (
   SELECT account, CAST(year(date) AS INTEGER) AS year, count(*) AS n, sum(CASE WHEN side = 'SELL' THEN notional ELSE 0 END) / nullif(sum(CASE WHEN side = 'BUY' THEN notional ELSE 0 END), 0) - 1 AS ratio FROM fills GROUP BY 1, 2)""",
     "a30_exit_advantage": _B + "SELECT symbol, count(*) AS n, round(avg(forced - held), 6) AS advantage FROM (SELECT symbol, lead(open) OVER w / close AS forced, lead(close, 10) OVER w / close AS held FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)) WHERE held IS NOT NULL GROUP BY symbol",
     "a31_block_means": _BC + ", d AS (SELECT session, avg(close / open - 1) AS r FROM bars JOIN calendar USING (date) GROUP BY session) SELECT session, " + ", ".join(f"CASE WHEN count(r) OVER (ORDER BY session ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) = {n} THEN round(avg(r) OVER (ORDER BY session ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING), 6) END AS block_{n}" for n in (5, 20)) + " FROM d",
-    "a20_probability_metrics": _SW + "SELECT count(*) AS n, round(avg(-ln(CASE WHEN quality = 1 THEN p ELSE 1 - p END)), 6) AS log_loss, round(avg((p - quality) ** 2), 6) AS brier, round(avg(CAST(CAST(p >= 0.5 AS INT) = quality AS INT)), 6) AS accuracy, round(avg(quality), 6) AS prior FROM scored",
+    "a20_probability_metrics": _SW + "SELECT count(*) AS n, round(avg(-ln(CASE WHEN quality = 1 THEN p ELSE 1 - p END)), 6) AS log_loss, round(avg((p - quality) ** 2), 6) AS brier, round(avg(CAST(CAST(p >= 0.5 AS INT) = quality AS INT)), 6) AS accuracy, round(avg(quality), 6) AS prior, CAST(sum(quality) AS BIGINT) AS positives, CAST(sum(1 - quality) AS BIGINT) AS negatives, round(avg(p) FILTER (quality = 1), 6) AS mean_p_positive, round(avg(p) FILTER (quality = 0), 6) AS mean_p_negative FROM scored",
     "a21_confusion": _SW + "SELECT quality, CAST(p >= 0.5 AS INTEGER) AS predicted, count(*) AS n, round(quantile_cont(p, 0.5), 6) AS median_p FROM scored GROUP BY 1, 2",
+    "a21_class_scores": _SW[:-1] + """, c AS (SELECT k AS klass, CAST(quality = k AS INT) AS is_k, CAST((p >= 0.5) = (k = 1) AS INT) AS said, CASE WHEN k = 1 THEN p ELSE 1 - p END AS own FROM scored, (VALUES (0), (1)) v(k)),
+g AS (SELECT klass, CAST(sum(is_k) AS BIGINT) AS actual, CAST(sum(said) AS BIGINT) AS predicted, sum(is_k * said) AS hits, round(quantile_cont(own, 0.1), 5) AS p10, round(quantile_cont(own, 0.5), 5) AS p50, round(quantile_cont(own, 0.9), 5) AS p90 FROM c GROUP BY klass),
+f AS (SELECT *, coalesce(2 * hits / nullif(actual + predicted, 0), 0) AS f FROM g)
+SELECT klass, actual, predicted, round(hits / nullif(predicted, 0), 6) AS "precision", round(hits / nullif(actual, 0), 6) AS recall, round(f, 6) AS f1, round((SELECT avg(f) FROM f), 6) AS macro_f1, p10, p50, p90 FROM f""",
     "a22_auc": _SW + "SELECT round(sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) / count(*), 6) AS auc FROM scored a, scored b WHERE a.quality = 1 AND b.quality = 0",
     "a23_calibration": _SW + "SELECT CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(quality), 6) AS share FROM scored GROUP BY 1",
     "a24_forecast_summary": sql.with_(_X) + "SELECT vec_id, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.9), 6) AS p90, round(stddev_pop(x), 6) AS spread, round(min(x), 6) AS worst, round(avg(CAST(x > 0 AS INT)), 6) AS up FROM x GROUP BY vec_id",
@@ -408,11 +528,12 @@ s AS (SELECT avg(c) AS mean, stddev_pop(c) AS sd FROM c WHERE train) SELECT o_or
     "w38_chronological_split": _BC + "SELECT CAST(floor((session - 1) * 5 / (SELECT max(session) FROM calendar)) AS BIGINT) AS part, count(*) AS n, min(date) AS first, max(date) AS last FROM bars JOIN calendar USING (date) GROUP BY 1",
     "w39_folds": _B + ", q AS (SELECT DISTINCT CAST(date_trunc('quarter', date) AS DATE) AS q FROM bars) SELECT q, count(*) FILTER (date < q - INTERVAL 20 DAYS) AS train, count(*) FILTER (date >= q) AS test FROM q JOIN bars ON date < q + INTERVAL 3 MONTHS GROUP BY q",
     "w41_group_split": _F + "SELECT part, count(*) AS accounts, CAST(sum(n) AS BIGINT) AS fills FROM (SELECT CASE WHEN min(date) < DATE '1993-01-01' THEN 'train' WHEN min(date) < DATE '1994-01-01' THEN 'tune' ELSE 'test' END AS part, count(*) AS n FROM fills GROUP BY account) GROUP BY part",
-    "w16_weighted_quantiles": _B + """, n AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, (high + low + close) / 3 AS price, volume FROM bars),
-w AS (SELECT e.symbol, e.date AS as_of, b.price, sum(b.volume) OVER (PARTITION BY e.symbol, e.date ORDER BY b.price, b.i ROWS UNBOUNDED PRECEDING) AS c, sum(b.volume) OVER (PARTITION BY e.symbol, e.date) AS t
-  FROM n e JOIN n b ON e.symbol = b.symbol AND b.i BETWEEN e.i - 59 AND e.i WHERE e.i >= 60 AND e.i % 20 = 0)
-SELECT symbol, as_of, round(min(CASE WHEN c >= t * 0.15 - 1e-9 THEN price END), 6) AS low, round(min(CASE WHEN c >= t * 0.5 - 1e-9 THEN price END), 6) AS mid, round(min(CASE WHEN c >= t * 0.85 - 1e-9 THEN price END), 6) AS high FROM w GROUP BY symbol, as_of""",
-    "w17_volume_histogram": _B + "SELECT symbol, CAST(least(floor((close - lo) / (hi - lo) * 32), 31) AS BIGINT) AS bin, round(sum(volume), 2) AS volume FROM bars JOIN (SELECT symbol, min(low) AS lo, max(high) AS hi FROM bars GROUP BY symbol) USING (symbol) WHERE hi > lo GROUP BY 1, 2",
+    "w16_weighted_quantiles": _B[:-1] + _W120 + """, c AS (SELECT *, sum(volume) OVER (PARTITION BY symbol, as_of ORDER BY price, i ROWS UNBOUNDED PRECEDING) AS c, sum(volume) OVER (PARTITION BY symbol, as_of) AS t FROM w)
+SELECT symbol, as_of, round(min(price) FILTER (c >= t * 0.15), 6) AS low, round(min(price) FILTER (c >= t * 0.5), 6) AS mid, round(min(price) FILTER (c >= t * 0.85), 6) AS high FROM c GROUP BY symbol, as_of""",
+    "w17_volume_histogram": _B[:-1] + _W120 + """, e AS (SELECT symbol, as_of, min(price) AS lo, max(price) AS hi FROM w GROUP BY symbol, as_of),
+b AS (SELECT symbol, as_of, CAST(least(floor((price - lo) / (hi - lo) * 32), 31) AS INTEGER) AS bin, CAST(sum(volume) AS BIGINT) AS v FROM w JOIN e USING (symbol, as_of) GROUP BY 1, 2, 3),
+l AS (SELECT symbol, as_of, map(list(bin), list(v)) AS m FROM b GROUP BY 1, 2)
+SELECT symbol, as_of, round(lo, 6) AS low, round(hi, 6) AS high, list_aggregate(list_transform(range(32), lambda k: coalesce(CAST(m[k] AS VARCHAR), '0')), 'string_agg', ',') AS volumes FROM e JOIN l USING (symbol, as_of)""",
     "w11_robust_volume": _B + """, n AS (SELECT symbol, date, volume, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, quantile_cont(volume, 0.5) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS mid FROM bars)
 SELECT a.symbol, a.date, round((any_value(a.volume) - any_value(a.mid)) / greatest(1.4826 * quantile_cont(abs(b.volume - a.mid), 0.5), 1.0), 6) AS robust
 FROM n a JOIN n b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 60 AND a.i - 1 WHERE a.i > 60 GROUP BY a.symbol, a.date""",

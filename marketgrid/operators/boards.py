@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import full, prior, ratio
 from ..plans import sql
-from ..sources.tables import bars_daily, concepts_of, industry_of
+from ..sources.tables import bars_daily, concepts_of, industry_of, trades
 
 MIN_MEMBERS, TOP = 2, 30
 
@@ -153,12 +153,23 @@ def w30_peer_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Sessions that the latest session's ranking looks back over: 20, the 20 before them and itself.
+LOOKBACK = 41
+
+
+def _recent(spark: SparkSession, sf_dir: str, sessions: int = LOOKBACK) -> DataFrame:
+    """Board rows of the last ``sessions`` sessions; bars are cut to them before they multiply by their boards."""
+    days = trades(spark, sf_dir).select("date").distinct().orderBy(F.desc("date")).limit(sessions).agg(F.min("date").alias("since"))
+    rows = daily(spark, sf_dir).crossJoin(F.broadcast(days)).filter("date >= since").drop("since")  # one row
+    return board_daily(rows, members(spark, sf_dir))
+
+
 def _latest(frame: DataFrame) -> DataFrame:
     return frame.join(F.broadcast(frame.agg(F.max("date").alias("date"))), "date")  # one row
 
 
 def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = _latest(_windows(_boards(spark, sf_dir)).drop("path"))
+    last = _latest(_windows(_recent(spark, sf_dir)).drop("path"))
     active = last.filter("relative_amount20 IS NOT NULL AND mean_return IS NOT NULL")
     # Rounded, so that boards with the same members tie however their sums were ordered.
     active = active.withColumn("move", F.round(F.abs("mean_return"), 8)).withColumn("relative_amount20", F.round("relative_amount20", 8))
@@ -183,7 +194,7 @@ def w31_board_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def k03_top_capital(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("kind").orderBy(F.desc("amount"), "board")
-    last = _latest(_boards(spark, sf_dir)).select("kind", "board", F.round("amount", 2).alias("amount"))
+    last = _latest(_recent(spark, sf_dir, 1)).select("kind", "board", F.round("amount", 2).alias("amount"))
     return last.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= TOP)
 
 
@@ -198,7 +209,7 @@ def a13_capital_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a11_concept_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean daily return of the concept boards that a symbol belongs to, on the latest session."""
-    last = _latest(_boards(spark, sf_dir)).filter("kind = 'concept'").select("board", "mean_return")
+    last = _latest(_recent(spark, sf_dir, 1)).filter("kind = 'concept'").select("board", "mean_return")
     return concepts_of(spark, sf_dir).join(last, "board", "left").groupBy("symbol").agg(
         F.count("*").alias("n_concepts"), F.count("mean_return").alias("known"),
         F.round(F.avg("mean_return"), 6).alias("concept_return"),
@@ -235,13 +246,14 @@ JOIN (SELECT date, sum(amount) AS market_amount FROM bars GROUP BY date) USING (
     + f""", numbered AS (SELECT *, row_number() OVER (PARTITION BY kind, board ORDER BY date) AS i,
   CASE WHEN {_FULL} THEN stddev_samp(mean_return) {_BY} * sqrt(252.0) END AS vol FROM board_daily),
 path AS (SELECT a.kind, a.board, a.date, b.i, a.i AS last, sum(ln(1 + b.mean_return)) OVER w AS nav
-  FROM numbered a JOIN numbered b ON a.kind = b.kind AND a.board = b.board AND b.i BETWEEN a.i - 19 AND a.i
+  FROM (SELECT kind, board, date, i, unnest(range(i - 19, i + 1)) AS j FROM numbered WHERE vol IS NOT NULL) a
+  JOIN numbered b ON a.kind = b.kind AND a.board = b.board AND b.i = a.j
   WINDOW w AS (PARTITION BY a.kind, a.board, a.i ORDER BY b.i)),
 peaks AS (SELECT *, greatest(0, max(nav) OVER (PARTITION BY kind, board, last ORDER BY i)) AS peak FROM path),
 worst AS (SELECT kind, board, date, least(0, min(exp(nav - peak) - 1)) AS dd FROM peaks GROUP BY kind, board, date)
 SELECT n.kind, n.board, n.date, round(vol, 6) AS volatility_20,
   round(CASE WHEN vol IS NOT NULL THEN dd END, 6) AS max_drawdown
-FROM numbered n JOIN worst w ON n.kind = w.kind AND n.board = w.board AND n.date = w.date""",
+FROM numbered n LEFT JOIN worst w ON n.kind = w.kind AND n.board = w.board AND n.date = w.date""",
     "w28_relative_amount": _W + f"SELECT kind, board, date, round({_REL}, 6) AS relative_amount20 FROM board_daily",
     "j10_peers": sql.with_(sql.BARS, sql.INDUSTRY, _DAILY_SQL)
     + """SELECT symbol, board, date, known - CAST(ret_1 IS NOT NULL AS INT) AS n_peers,
@@ -257,7 +269,7 @@ FROM peers a LEFT JOIN peers b ON a.board = b.board AND a.date = b.date AND a.sy
 GROUP BY a.symbol, a.board, a.date""",
     "w31_board_activity": _W
     + f""", latest AS (SELECT kind, board, date, round(relative_amount20, 8) AS relative_amount20, round(abs(mean_return), 8) AS move FROM
-  (SELECT *, {_REL} AS relative_amount20 FROM board_daily)
+  (SELECT *, {_REL} AS relative_amount20 FROM board_daily WHERE date >= (SELECT min(date) FROM (SELECT DISTINCT date FROM bars ORDER BY date DESC LIMIT {LOOKBACK})))
   WHERE {_LATEST} AND relative_amount20 IS NOT NULL AND mean_return IS NOT NULL),
 scored AS (SELECT kind, board, date, round(50 * ({_PCT.format('relative_amount20')} + {_PCT.format('move')}), 6) AS score
   FROM latest WINDOW k AS (PARTITION BY kind))

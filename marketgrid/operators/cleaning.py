@@ -146,21 +146,57 @@ def a04_quality_gate(spark, sf_dir):
     )
 
 
-_ISSUES = {
-    "flat_bar": "high = low", "thin_volume": "volume < 5", "unverified": "verified = 0",
-    "wide_range": "high > low * 1.5", "single_line": "n_lines = 1",
-}
+#: Least volume without a warning, largest daily move without one, bars that make a symbol count for the calendar.
+MIN_VOLUME, MAX_GAP, CALENDAR_ROWS = 100, 0.15, 3
+#: Calendar days behind the end from which a late last bar is a warning.
+LATE_DAYS = 5
 
 
 def a05_issues(spark, sf_dir):
-    """One row for each broken rule of each bar."""
-    named = F.array_compact(F.array(*(F.when(F.expr(e), F.lit(n)) for n, e in _ISSUES.items())))
-    return bars_daily(spark, sf_dir).select("symbol", "date", F.explode(named).alias("issue"))
+    """Issues of each listed symbol by category and severity, with how many rows or days show them.
+
+    Missing data, invalid prices, repeated rows of a day, negative and low volume, special-treatment
+    names, an early last bar, sessions of the inferred calendar without a bar, and daily moves beyond
+    ``MAX_GAP``.
+    """
+    before = F.lag("close").over(Window.partitionBy("symbol").orderBy("date"))
+    bars = bars_daily(spark, sf_dir).withColumn("before", F.nullif(before, F.lit(0.0)))
+    days = bars.join(bars.groupBy("symbol").agg(F.count("*").alias("n")).filter(f"n >= {CALENDAR_ROWS}").select("symbol"), "symbol", "left_semi").select("date").distinct()
+    span = days.agg(F.count("*").alias("sessions"), F.max("date").alias("end"))
+    prices = F.least("open", "high", "low", "close") <= 0
+    bent = (F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close", "high"))
+    per = bars.join(days.withColumn("session", F.lit(1)), "date", "left").groupBy("symbol").agg(
+        F.count("*").alias("rows"), F.count_if(prices | bent).alias("invalid"), F.count_if(F.col("volume") < 0).alias("negative"),
+        F.count_if((F.col("volume") >= 0) & (F.col("volume") < MIN_VOLUME)).alias("low"), F.sum(F.col("n_lines") - 1).alias("again"),
+        F.count_if(F.abs(F.col("close") / F.col("before") - 1) > MAX_GAP).alias("gaps"), F.max("date").alias("last"), F.count("session").alias("on_calendar"),
+    )
+    listed = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol"), "s_name")
+    known = listed.join(per, "symbol", "left").crossJoin(F.broadcast(span))  # one row
+    late = F.datediff("end", "last")
+    found = (
+        ("missing_data", "error", F.col("rows").isNull().cast("long")), ("ohlc_invalid", "error", F.col("invalid")), ("duplicate_date", "error", F.col("again")),
+        ("volume_invalid", "error", F.col("negative")), ("volume_invalid", "warning", F.col("low")), ("st_flag", "info", F.col("s_name").contains("ST").cast("long")),
+        ("delisted", F.when(late > LATE_DAYS, "warning").otherwise("info"), F.greatest(late, F.lit(0)).cast("long")),
+        ("missing_trading_day", "warning", F.col("sessions") - F.col("on_calendar")), ("adjustment_gap", "warning", F.col("gaps")),
+    )
+    issues = F.array(*(F.struct(F.lit(c).alias("category"), (s if not isinstance(s, str) else F.lit(s)).alias("severity"), n.alias("n")) for c, s, n in found))
+    return known.select("symbol", F.explode(F.filter(issues, lambda x: x["n"] > 0)).alias("i")).select("symbol", "i.category", "i.severity", "i.n")
 
 
 def a06_issue_rollup(spark, sf_dir):
-    severity = F.when(F.col("issue").isin("unverified", "wide_range"), "error").otherwise("warning")
-    return a05_issues(spark, sf_dir).groupBy("issue", severity.alias("severity")).agg(F.count("*").alias("n"), F.count_distinct("symbol").alias("symbols"))
+    return a05_issues(spark, sf_dir).groupBy("category", "severity").agg(F.count("*").alias("issues"), F.sum("n").alias("n"), F.count_distinct("symbol").alias("symbols"))
+
+
+def a06_issue_maps(spark, sf_dir):
+    """One row: how many symbols were checked and have data, and issue counts as maps by category and by severity."""
+    issues, listed = a05_issues(spark, sf_dir), table(spark, sf_dir, "supplier").agg(F.count("*").alias("checked"))
+
+    def counts(name: str) -> DataFrame:
+        pairs = issues.groupBy(name).agg(F.count("*").alias("n"))
+        return pairs.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, "n"))))).alias(f"by_{name}"))
+
+    missing = issues.agg(F.count_if(F.col("category") == "missing_data").alias("missing"), F.count("*").alias("issues"))
+    return listed.crossJoin(missing).crossJoin(counts("category")).crossJoin(counts("severity"))  # one row each
 
 
 def a07_recent_audit(spark, sf_dir):
@@ -245,26 +281,38 @@ def k06_last_sessions(spark, sf_dir):
 
 
 def a38_fingerprint(spark, sf_dir):
-    """Order-free fingerprint of bars by symbol: counts and sums of dates and of prices in ticks."""
-    return bars_daily(spark, sf_dir).groupBy("symbol").agg(
-        F.count("*").alias("n"), F.sum(F.datediff("date", F.lit("1970-01-01")).cast("long")).alias("days"),
-        F.sum(F.floor(F.col("close") * 100).cast("long")).alias("ticks"),
-    )
+    """Order-free fingerprint of bars by symbol: the sum of each canonical row's SHA-256 (its first 60 bits)."""
+    ticks = lambda x: F.floor(F.col(x) * 100).cast("long").cast("string")
+    row = F.concat_ws("|", F.col("symbol").cast("string"), F.col("date").cast("string"), *(ticks(x) for x in ("close", "volume", "amount")), F.col("verified").cast("string"))
+    part = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return bars_daily(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("fingerprint"))
 
 
 def a46_funnel(spark, sf_dir):
-    """Each bar charged to its first failing gate."""
-    gate = F.coalesce(
-        F.when(F.col("verified") == 0, "unverified"), F.when(F.col("volume") < 10, "thin"), F.when(F.col("high") == F.col("low"), "flat"), F.lit("eligible")
-    )
-    return bars_daily(spark, sf_dir).groupBy(gate.alias("gate")).agg(F.count("*").alias("n"), F.count_distinct("symbol").alias("symbols"))
+    """Each bar charged to its first failing gate, and how many fail a gate at all; first charges add up to all bars."""
+    gates = {"unverified": "verified = 0", "thin": "volume < 10", "flat": "high = low"}
+    fails = F.filter(F.array(*(F.when(F.expr(e), name) for name, e in gates.items())), lambda x: x.isNotNull())
+    rows = bars_daily(spark, sf_dir).withColumn("fails", F.when(F.size(fails) > 0, fails).otherwise(F.array(F.lit("eligible"))))
+    each = rows.select("symbol", F.posexplode("fails").alias("at", "gate"))
+    return each.groupBy("gate").agg(F.count_if(F.col("at") == 0).alias("first"), F.count("*").alias("any"), F.count_distinct("symbol").alias("symbols"))
 
 
 _B, _BC = sql.with_(sql.BARS), sql.with_(sql.BARS, sql.CALENDAR)
 _BEST = "row_number() OVER (PARTITION BY symbol, date ORDER BY {0}s1 DESC, s2 DESC, s3 DESC, s4 DESC)"
 _FEE = "greatest(notional * 0.00025, 5.0) + CASE WHEN side = 'SELL' THEN notional * 0.0005 ELSE 0 END"
 _RATE = "CASE WHEN notional >= 300000 THEN 0.0005 WHEN notional >= 150000 THEN 0.001 ELSE 0.002 END"
-_A05 = " UNION ALL ".join(f"SELECT symbol, date, '{n}' AS issue FROM bars WHERE {e}" for n, e in _ISSUES.items())
+_A05 = """, p AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS before FROM bars),
+cal AS (SELECT DISTINCT date FROM bars WHERE symbol IN (SELECT symbol FROM bars GROUP BY symbol HAVING count(*) >= 3)),
+per AS (SELECT symbol, count(*) AS n_rows, count(*) FILTER (open <= 0 OR high <= 0 OR low <= 0 OR close <= 0 OR high < greatest(open, close, low) OR low > least(open, close, high)) AS invalid,
+  count(*) FILTER (volume < 0) AS negative, count(*) FILTER (volume >= 0 AND volume < 100) AS low, CAST(sum(n_lines - 1) AS BIGINT) AS again, count(*) FILTER (before <> 0 AND abs(close / before - 1) > 0.15) AS gaps,
+  max(date) AS last, count(*) FILTER (date IN (SELECT date FROM cal)) AS on_calendar FROM p GROUP BY symbol),
+u AS (SELECT s_suppkey AS symbol, s_name, per.* EXCLUDE (symbol), (SELECT count(*) FROM cal) AS sessions, (SELECT max(date) FROM cal) AS fin FROM supplier LEFT JOIN per ON s_suppkey = symbol),
+issues AS (SELECT symbol, 'missing_data' AS category, 'error' AS severity, 1::BIGINT AS n FROM u WHERE n_rows IS NULL UNION ALL SELECT symbol, 'ohlc_invalid', 'error', invalid FROM u WHERE invalid > 0
+  UNION ALL SELECT symbol, 'duplicate_date', 'error', again FROM u WHERE again > 0 UNION ALL SELECT symbol, 'volume_invalid', 'error', negative FROM u WHERE negative > 0
+  UNION ALL SELECT symbol, 'volume_invalid', 'warning', low FROM u WHERE low > 0 UNION ALL SELECT symbol, 'st_flag', 'info', 1 FROM u WHERE contains(s_name, 'ST')
+  UNION ALL SELECT symbol, 'delisted', CASE WHEN fin - last > 5 THEN 'warning' ELSE 'info' END, fin - last FROM u WHERE fin > last
+  UNION ALL SELECT symbol, 'missing_trading_day', 'warning', sessions - on_calendar FROM u WHERE sessions > on_calendar UNION ALL SELECT symbol, 'adjustment_gap', 'warning', gaps FROM u WHERE gaps > 0)"""
+_JSON = "(SELECT '{{' || string_agg('\"' || {0} || '\":' || n, ',' ORDER BY {0}) || '}}' FROM (SELECT {0}, count(*) AS n FROM issues GROUP BY {0})) AS by_{0}"
 _TOP = "greatest(d, f, u)"
 ORACLE = {
     "p01_normalise_symbol": sql.with_(_RAW_SYMBOLS) + "SELECT s_suppkey, raw, symbol FROM norm",
@@ -291,8 +339,9 @@ FROM (SELECT doc_id, round(a, 4) AS d, round(b, 4) AS f, round(1 - a - b, 4) AS
     "a03_table_status": _B + "SELECT min(date) AS first, max(date) AS last, count(*) AS n, count(DISTINCT symbol) AS symbols, count(*) FILTER (verified = 0) AS unverified, round(sum(amount), 1) AS amount FROM bars",
     "a04_quality_gate": _BC + """SELECT symbol, round(count(*) / max(total), 6) AS coverage, round(avg(CAST(verified = 0 AS INT)), 6) AS invalid, greatest(max(gap), max(total) - max(session)) AS longest_gap
 FROM (SELECT *, session - lag(session, 1, 0) OVER (PARTITION BY symbol ORDER BY session) - 1 AS gap, (SELECT max(session) FROM calendar) AS total FROM bars JOIN calendar USING (date)) GROUP BY symbol""",
-    "a05_issues": _B + _A05,
-    "a06_issue_rollup": _B + f"SELECT issue, CASE WHEN issue IN ('unverified', 'wide_range') THEN 'error' ELSE 'warning' END AS severity, count(*) AS n, count(DISTINCT symbol) AS symbols FROM ({_A05}) GROUP BY issue",
+    "a05_issues": _B[:-1] + _A05 + " SELECT symbol, category, severity, n FROM issues",
+    "a06_issue_rollup": _B[:-1] + _A05 + " SELECT category, severity, count(*) AS issues, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT symbol) AS symbols FROM issues GROUP BY 1, 2",
+    "a06_issue_maps": _B[:-1] + _A05 + f" SELECT (SELECT count(*) FROM supplier) AS checked, (SELECT count(*) FROM issues WHERE category = 'missing_data') AS missing, (SELECT count(*) FROM issues) AS issues, {_JSON.format('category')}, {_JSON.format('severity')}",
     "a07_recent_audit": _B + """SELECT symbol, count(*) AS n, count(*) FILTER (verified = 0) AS unverified, count(*) FILTER (high = low) AS flat, max(CASE WHEN back = 1 THEN verified END) AS tradable
 FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM bars) WHERE back <= 60 GROUP BY symbol""",
     "a43_calendar": _B + "SELECT DISTINCT date FROM bars WHERE symbol IN (SELECT symbol FROM bars GROUP BY symbol HAVING count(*) >= 3)",
@@ -308,7 +357,9 @@ WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.symbol = d.symbol AND b.date = d.
   min(CASE flag WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 3 END) OVER (PARTITION BY symbol, date) AS best FROM trades) WHERE priority = best GROUP BY priority""",
     "k02_latest_quotes": _B + "SELECT symbol, arg_max(close, date) AS close, max(date) AS date, CASE WHEN max(date) < (SELECT max(date) FROM bars) THEN 'stale' ELSE 'current' END AS status FROM bars GROUP BY symbol",
     "k06_last_sessions": sql.with_(sql.CALENDAR) + "SELECT date, session FROM calendar ORDER BY session DESC LIMIT 60",
-    "a38_fingerprint": _B + "SELECT symbol, count(*) AS n, CAST(sum(date - DATE '1970-01-01') AS BIGINT) AS days, CAST(sum(CAST(floor(close * 100) AS BIGINT)) AS BIGINT) AS ticks FROM bars GROUP BY symbol",
-    "a46_funnel": _B + "SELECT CASE WHEN verified = 0 THEN 'unverified' WHEN volume < 10 THEN 'thin' WHEN high = low THEN 'flat' ELSE 'eligible' END AS gate, count(*) AS n, count(DISTINCT symbol) AS symbols FROM bars GROUP BY 1",
+    "a38_fingerprint": _B + "SELECT symbol, count(*) AS n, CAST(sum(CAST('0x' || sha256(concat_ws('|', symbol, date, CAST(floor(close * 100) AS BIGINT), CAST(floor(volume * 100) AS BIGINT), CAST(floor(amount * 100) AS BIGINT), verified))[:15] AS BIGINT)) AS VARCHAR) AS fingerprint FROM bars GROUP BY symbol",
+    "a46_funnel": _B + """, g AS (SELECT symbol, unnest(CASE WHEN verified = 0 OR volume < 10 OR high = low THEN list_filter([CASE WHEN verified = 0 THEN 'unverified' END, CASE WHEN volume < 10 THEN 'thin' END, CASE WHEN high = low THEN 'flat' END], lambda x: x IS NOT NULL) ELSE ['eligible'] END) AS gate,
+  CASE WHEN verified = 0 THEN 'unverified' WHEN volume < 10 THEN 'thin' WHEN high = low THEN 'flat' ELSE 'eligible' END AS lead FROM bars)
+SELECT gate, count(*) FILTER (gate = lead) AS first, count(*) AS "any", count(DISTINCT symbol) AS symbols FROM g GROUP BY gate""".replace("\n, g", ", g"),
 }
 QUERIES = {name: globals()[name] for name in ORACLE}

@@ -1,112 +1,220 @@
-"""Range event detector (W14) and the life of its events (W44, W45), with one transition for batch and stream.
+"""Range event detector (W14), the life of its events (W44) and live strength by side.
 
 Bars are seen in mirrored coordinates: on the sell side prices change sign, so that one rule set
 serves both sides.  A setup freezes the level of the prior range that it probed or broke; later
-bars confirm it by a quiet return to the level, or break it, or let it expire.
+bars confirm it by a quiet return to the level, or break it, or let it expire.  Batch and stream
+share one transition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.windows import frame as over
 from ..sources.tables import bars_daily
-from .trailing import RANGE_STAGES
+from .trailing import BAR_SHAPE, RANGE_STAGES, SCORE
 
-COLUMNS = ["date", "open", "high", "low", "close", "volume", "atr", "mean20", "high60", "low60"]
-SCHEMA = "symbol long, date date, event string, side string, strength double, age int"
-#: (setup name, confirmation name) by side and by whether the level was probed and regained or broken.
-NAMES = {(1, False): ("Spring", "Test"), (1, True): ("SOS", "LPS"), (-1, False): ("Upthrust", "LPSY"), (-1, True): ("SOW", "LPSY")}
+COLUMNS = ["date", "open", "high", "low", "close", "volume", "eligible", "atr", "relative_volume", "range_low", "range_high", "range_count"]
+SCHEMA = (
+    "symbol long, date date, event string, state string, anchor date, stop double, rule_buy boolean, rule_sell boolean,"
+    " age int, demand double, supply double"
+)
+SEEN = [part.split()[0] for part in SCHEMA.split(", ")][2:]
 
 
 @dataclass(frozen=True)
 class Config:
-    probe: float = 0.1
-    breakout: float = 0.2
-    breakout_volume: float = 1.2
-    quiet: float = 0.9
-    distance: float = 1.0
-    widest: float = 20.0
-    patience: int = 10
-    decay: int = 20
+    # Limits in ATR, ratios and bars.
+    minimum_range_bars: int = 60
+    range_max_width_atr: float = 20.0
+    probe_atr: float = 0.15
+    breakout_atr: float = 0.25
+    breakout_relative_volume: float = 1.2
+    test_volume_ratio: float = 0.8
+    test_spread_ratio: float = 0.8
+    test_max_bars: int = 10
+    retest_max_bars: int = 15
+    test_distance_atr: float = 1.0
+    decay_bars: int = 20
+
+
+@dataclass(frozen=True)
+class Setup:
+    """A kind of setup: its side, the event that confirms it, and the names of what follows."""
+
+    side: int
+    probe: bool  # probed and regained the level; else broke it
+    confirmation: str
+    pending: str
+    confirmed: str
+    failure: str
+    failed: str
+
+
+# Names of events and states, weights of events.
+SETUPS = {
+    "Spring": Setup(1, True, "Test", "spring_pending", "demand_test_confirmed", "spring_invalidated", "failed_demand"),
+    "Upthrust": Setup(-1, True, "LPSY", "upthrust_pending", "supply_retest_confirmed", "supply_invalidated", "failed_supply"),
+    "SOS": Setup(1, False, "LPS", "sos_pending", "demand_retest_confirmed", "sos_invalidated", "failed_demand"),
+    "SOW": Setup(-1, False, "LPSY", "sow_pending", "supply_retest_confirmed", "supply_invalidated", "failed_supply"),
+}
+WEIGHTS = {"Spring": 0.5, "Test": 1.0, "SOS": 0.75, "LPS": 1.0, "Upthrust": 0.5, "SOW": 0.75, "LPSY": 1.0}
+BUYS = {"Spring", "Test", "SOS", "LPS"}
 
 
 @dataclass
 class State:
-    """What a symbol's next bar needs to know of the bars before."""
+    """What a symbol's next bar needs to know of the bars before; ``setup`` is empty where none is pending."""
 
     setup: str = ""
-    side: int = 0
     level: float = 0.0
     volume: float = 0.0
     spread: float = 0.0
+    low: float = 0.0
     waited: int = 0
-    last_side: int = 0
-    last_weight: float = 0.0
+    anchor: object = None
+    last: str = ""
     age: int = -1
+    label: str = "unknown"
 
 
-def transition(state: State, bar: tuple, config: Config = Config()) -> tuple[State, tuple[str, str, float, int]]:
-    """The state after a bar, and its (event, side, strength, age)."""
-    opened, high, low, close, volume, atr, mean20, top, bottom = bar
-    known = all(x is not None and x == x for x in bar) and atr > 0 and top > bottom
-    if not known or (top - bottom) / atr > config.widest:
-        return State(), ("unknown", "", 0.0, -1)
-    spread, loud = high - low, mean20 > 0 and volume >= config.breakout_volume * mean20
+@dataclass
+class Seen:
+    """What a bar shows."""
+
+    event: str = "none"
+    anchor: object = None
+    stop: float | None = None
+    buy: bool = False
+    sell: bool = False
+
+
+def _mirrored(side: int, bar: dict) -> tuple[float, float, float, float, float]:
+    """Open, extreme against the side, close, and the prior range's near and far boundary."""
+    if side > 0:
+        return bar["open"], bar["low"], bar["close"], bar["range_low"], bar["range_high"]
+    return -bar["open"], -bar["high"], -bar["close"], -bar["range_high"], -bar["range_low"]
+
+
+def _setups(bar: dict, config: Config) -> dict[str, float]:
+    """Setups that a bar makes, in order of precedence, with their mirrored level."""
+    found, atr = {}, bar["atr"]
+    for name, setup in SETUPS.items():
+        start, worst, end, near, far = _mirrored(setup.side, bar)
+        if setup.probe:
+            if worst < near - config.probe_atr * atr and end >= near:
+                found[name] = near
+        elif end > far + config.breakout_atr * atr and end > start and bar["relative_volume"] >= config.breakout_relative_volume:
+            found[name] = far
+    return found
+
+
+def _answer(state: State, bar: dict, config: Config) -> str:
+    """Whether a bar ``confirms`` the pending setup, ``breaks`` it, or neither."""
+    setup, level, atr = SETUPS[state.setup], state.level, bar["atr"]
+    start, worst, end, _, _ = _mirrored(setup.side, bar)
+    margin, spread = config.probe_atr * atr, bar["high"] - bar["low"]
+    quiet = bar["volume"] <= state.volume * config.test_volume_ratio and spread <= state.spread * config.test_spread_ratio
+    near = worst <= level + config.test_distance_atr * atr
+    if state.setup == "Spring":  # the only one that a touch under its level ends
+        if worst < level - margin or end < level:
+            return "breaks"
+        return "confirms" if quiet and near and end >= level + margin else ""
+    if end < level - margin:
+        return "breaks"
+    return "confirms" if quiet and near and end >= level and end > start else ""
+
+
+def transition(state: State, bar: dict, config: Config = Config()) -> tuple[State, Seen]:
+    """The state after a bar and what the bar shows; a bar that can't be judged clears everything."""
+    numbers = [bar[k] for k in COLUMNS[1:] if k != "eligible"]
+    if (
+        not bar["eligible"] or any(x is None or x != x for x in numbers) or bar["atr"] <= 0 or bar["range_high"] <= bar["range_low"]
+        or bar["range_count"] < config.minimum_range_bars or (bar["range_high"] - bar["range_low"]) / bar["atr"] > config.range_max_width_atr
+    ):
+        return State(), Seen("unknown")
+    seen = Seen()
     if state.setup:
         state.waited += 1
-        if state.waited > config.patience:
-            state.setup = ""
-    found = []
-    for side, support, resistance in ((1, bottom, top), (-1, -top, -bottom)):
-        worst = low if side > 0 else -high
-        end, start = side * close, side * opened
-        if worst < support - config.probe * atr and end >= support:
-            found.append((side, False, support))
-        if end > resistance + config.breakout * atr and end > start and loud:
-            found.append((side, True, resistance))
-    event, weight, side = "none", 0.0, 0
-    if len({s for s, broke, _ in found if not broke}) == 2:
-        return State(), ("conflict", "", 0.0, -1)
+        if state.waited > (config.test_max_bars if state.setup == "Spring" else config.retest_max_bars):
+            state.setup, state.label = "", "range"
+    found = _setups(bar, config)
+    if {"Spring", "Upthrust"} <= found.keys():
+        return State(label="conflict"), Seen("conflict")
     if state.setup:
-        side, level = state.side, state.level
-        worst, end, start = (low if side > 0 else -high), side * close, side * opened
-        quiet = volume <= config.quiet * state.volume and spread <= config.quiet * state.spread
-        if end < level - config.probe * atr:
-            return State(), (f"{state.setup}_invalidated", "", 0.0, -1)
-        if quiet and end >= level and level - config.probe * atr <= worst <= level + config.distance * atr:
-            event = dict(NAMES.values())[state.setup] if side > 0 else "LPSY"
-            weight, state.setup = 1.0, ""
-    if event == "none" and found:
-        side, broke, level = found[0]
-        event, weight = NAMES[side, broke][0], 0.75 if broke else 0.5
-        state.setup, state.side, state.level = event, side, level
-        state.volume, state.spread, state.waited = volume, spread, 0
-    if event != "none":
-        state.last_side, state.last_weight, state.age = side, weight, 0
-    elif state.age >= 0:
+        name, setup = state.setup, SETUPS[state.setup]
+        answer = _answer(state, bar, config)
+        if answer == "breaks":
+            seen.event, seen.anchor, state.label, state.setup = setup.failure, state.anchor, setup.failed, ""
+        elif answer == "confirms":
+            seen.event, seen.anchor, state.label, state.setup = setup.confirmation, state.anchor, setup.confirmed, ""
+            seen.buy, seen.sell = setup.side > 0, setup.side < 0
+            if setup.side > 0:
+                seen.stop = min(state.low if name == "Spring" else state.level, bar["low"])
+    if seen.event == "none":
+        if found:
+            name, level = next(iter(found.items()))
+            seen.event, seen.sell, state.label = name, SETUPS[name].side < 0, SETUPS[name].pending
+            state.setup, state.level, state.anchor, state.waited = name, level, bar["date"], 0
+            state.volume, state.spread, state.low = bar["volume"], bar["high"] - bar["low"], bar["low"]
+        elif not state.setup and state.label in ("unknown", "failed_demand", "failed_supply", "conflict"):
+            state.label = "range"
+    if seen.event in WEIGHTS:
+        seen.anchor = seen.anchor or bar["date"]
+        state.last, state.age = seen.event, 0
+    elif seen.event.endswith("invalidated"):
+        state.last, state.age = "", -1
+    elif state.last:
         state.age += 1
-    strength = state.last_weight * max(0.0, 1 - state.age / config.decay) if state.age >= 0 else 0.0
-    return state, (event, {1: "BUY", -1: "SELL"}.get(state.last_side, ""), round(strength, 6), state.age)
+    if seen.event == "none" and state.setup:
+        seen.anchor = state.anchor
+    return state, seen
+
+
+def _row(state: State, seen: Seen, config: Config) -> tuple:
+    strength = WEIGHTS[state.last] * max(0.0, 1 - state.age / config.decay_bars) if state.last else 0.0
+    demand, supply = (strength, 0.0) if state.last in BUYS else (0.0, strength)
+    return (
+        seen.event, state.label, seen.anchor, seen.stop, seen.buy, seen.sell, state.age if state.last else None, round(demand, 6), round(supply, 6),
+    )
+
+
+def _bars(rows: pd.DataFrame) -> Iterator[dict]:
+    """Bars in date order, missing numbers as None."""
+    rows = rows.sort_values("date")[COLUMNS]
+    for values in rows.itertuples(index=False):
+        yield {k: None if x is None or x != x else x for k, x in zip(COLUMNS, values, strict=True)}
 
 
-def walk(state: State, rows: pd.DataFrame) -> tuple[State, list[tuple]]:
+def walk(state: State, rows: pd.DataFrame, config: Config = Config()) -> tuple[State, list[tuple]]:
     out = []
-    for date, *bar in rows[COLUMNS].itertuples(index=False):
-        state, seen = transition(state, tuple(None if x is None or x != x else float(x) for x in bar))
-        out.append((date, *seen))
+    for bar in _bars(rows):
+        state, seen = transition(state, bar, config)
+        out.append((bar["date"], *_row(state, seen, config)))
     return state, out
 
 
 def with_range(frame: DataFrame) -> DataFrame:
-    """Bars with the prior range, ATR and mean volume that the detector needs."""
+    """Bars with the prior 60-bar range, ATR and relative volume that the detector needs, and whether the raw bar is sound."""
     for stage in RANGE_STAGES:
         frame = frame.selectExpr("*", *(f"{e} AS {name}" for name, e in stage.items()))
-    return frame.select("symbol", *COLUMNS)
+    sound = "coalesce(open > 0 AND low > 0 AND close > 0 AND high >= greatest(open, close, low) AND low <= least(open, close) AND volume > 0, false)"
+    return frame.selectExpr(
+        "symbol", "date", "open", "high", "low", "close", "volume", f"{sound} AS eligible", "atr", "volume / mean20 AS relative_volume",
+        "low60 AS range_low", "high60 AS range_high", f"CAST(count(high) {over(60, 1)} AS int) AS range_count",
+    )
+
+
+def _found(symbol, out: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(out, columns=["date", *SEEN])
+    frame.insert(0, "symbol", symbol)
+    frame["age"] = frame.age.astype("Int32")
+    return frame
 
 
 def detect(bars: DataFrame) -> DataFrame:
@@ -117,11 +225,7 @@ def detect(bars: DataFrame) -> DataFrame:
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        _, out = walk(State(), rows)
-        found = pd.DataFrame(out, columns=["date", "event", "side", "strength", "age"])
-        found.insert(0, "symbol", rows.symbol.iloc[0])
-        return found
+        return _found(rows.symbol.iloc[0], walk(State(), rows)[1])
 
     return with_range(bars).groupBy("symbol").applyInPandas(run, SCHEMA)
 
@@ -130,30 +234,138 @@ def w14_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(bars_daily(spark, sf_dir))
 
 
+@dataclass
+class Fact:
+    """An event that is still alive: where a close ends it, and whether it was confirmed."""
+
+    kind: str
+    day: object
+    anchor: object
+    boundary: float
+    stop: float
+    confirmed: bool
+    age: int = 0
+
+    @property
+    def side(self) -> int:
+        return 1 if self.kind in BUYS else -1
+
+    def strength(self, config: Config) -> float:
+        return WEIGHTS[self.kind] * max(0.0, 1 - self.age / config.decay_bars)
+
+
+@dataclass
+class Ledger:
+    """Live events of a symbol and, by the day of their setup, those that may still be confirmed."""
+
+    live: list[Fact] = field(default_factory=list)
+    pending: dict = field(default_factory=dict)
+
+    def end(self, gone: list[Fact], why: str) -> list[str]:
+        self.live = [f for f in self.live if f not in gone]
+        return [f"{f.kind}:{f.day}:{why}" for f in gone]
+
+    def add(self, bar: dict, state: State, seen: Seen, config: Config) -> list[str]:
+        """Take a bar in: close breaks, quality gaps, expiry, then the bar's own event; what ended, and why."""
+        for fact in self.live:
+            fact.age += 1
+        close, known = bar["close"], seen.event != "unknown"
+        ended = self.end([f for f in self.live if close is not None and f.side * close < f.side * f.boundary], "close_broke_boundary")
+        if not known:
+            self.pending.clear()
+            return ended + self.end(list(self.live), "input_quality_gap")
+        late = [f for f in self.live if not f.confirmed and f.age > (config.test_max_bars if f.kind == "Spring" else config.retest_max_bars)]
+        ended += self.end(late, "pending_confirmation_expired")
+        if seen.event in WEIGHTS:
+            origin = self.pending.get(seen.anchor)
+            if seen.event in SETUPS:
+                boundary = SETUPS[seen.event].side * state.level
+            else:
+                boundary = origin.boundary if origin else None
+            if boundary is not None:
+                fact = Fact(seen.event, bar["date"], seen.anchor, boundary, boundary if seen.stop is None else seen.stop, seen.event not in ("Spring", "SOS"))
+                if fact.side * close >= fact.side * boundary:
+                    self.live.append(fact)
+                if seen.event in SETUPS:
+                    self.pending[bar["date"]] = fact
+                elif origin:
+                    del self.pending[seen.anchor]
+                    ended += self.end([f for f in self.live if f is origin], "later_event_confirmed")
+        elif seen.event.endswith("invalidated"):
+            ended += self.end([f for f in self.live if f.anchor == seen.anchor], "setup_invalidated")
+        return ended
+
+
+LEDGER_SCHEMA = (
+    "symbol long, date date, live_buy int, live_sell int, event_demand double, event_supply double, support_floor double,"
+    " resistance_ceiling double, confirmed_demand double, confirmed_supply double, ended array<string>, state string"
+)
+
+
+def ledger(bars: DataFrame, config: Config = Config()) -> DataFrame:
+    """For each bar the live events by side, their strongest decayed weight, the nearest stops, and what ended and why.
+
+    An event lives until a close breaks its frozen boundary, a bar can't be judged, its confirmation is
+    overdue, a later event confirms it, or its setup fails.  ``confirmed_*`` leave pending events out.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        state, book, out = State(), Ledger(), []
+        for bar in _bars(rows):
+            state, seen = transition(state, bar, config)
+            ended = book.add(bar, state, seen, config)
+            sides = {s: [f for f in book.live if f.side == s] for s in (1, -1)}
+            top = {s: max((f.strength(config) for f in of), default=0.0) for s, of in sides.items()}
+            sure = {s: max((f.strength(config) for f in of if f.confirmed), default=0.0) for s, of in sides.items()}
+            out.append((
+                bar["date"], len(sides[1]), len(sides[-1]), round(top[1], 6), round(top[-1], 6), max((f.stop for f in sides[1]), default=None),
+                min((f.boundary for f in sides[-1]), default=None), round(sure[1], 6), round(sure[-1], 6), ended, state.label,
+            ))
+        found = pd.DataFrame(out, columns=[part.split()[0] for part in LEDGER_SCHEMA.split(", ")][1:])
+        found.insert(0, "symbol", rows.symbol.iloc[0])
+        return found
+
+    return with_range(bars).groupBy("symbol").applyInPandas(run, LEDGER_SCHEMA)
+
+
 def w44_event_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strongest live evidence of each side by date over all symbols."""
-    rows = w14_events(spark, sf_dir).filter("strength > 0")
-    return rows.groupBy("date", "side").agg(F.count("*").alias("n"), F.round(F.max("strength"), 6).alias("strongest"))
+    return ledger(bars_daily(spark, sf_dir))
 
 
 def w45_live_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of confirmed events by symbol and kind."""
-    rows = w14_events(spark, sf_dir).filter("event NOT IN ('none', 'unknown')")
-    return rows.groupBy("symbol", "event").agg(F.count("*").alias("n"), F.max("date").alias("last"))
+    """Strength of each side: the continuous score or the strongest confirmed live event, whichever is more.
 
+    A bar without a continuous score has none; a bar that shows both sides at once is a conflict with
+    strength 0.  An event counts only while the close holds its boundary, as the ledger sees to.
+    """
+    bars = bars_daily(spark, sf_dir)
+    for stage in (*RANGE_STAGES, BAR_SHAPE, SCORE):
+        bars = bars.selectExpr("*", *(f"{e} AS {name}" for name, e in stage.items()))
+    scores = bars.select("symbol", "date", F.col("demand").alias("score_demand"), F.col("supply").alias("score_supply"))
+    rows = ledger(bars_daily(spark, sf_dir)).join(scores, ["symbol", "date"])
+    known = F.col("score_demand").isNotNull() & F.col("score_supply").isNotNull()
+    status = F.when(~known, "missing").when(F.col("state") == "conflict", "conflict").otherwise("scored")
 
-def stream_step(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-    """The same walk for ``applyInPandasWithState``: bars of a micro-batch continue from the saved state."""
-    state = State(*held.get) if held.exists else State()
-    rows = pd.concat(list(batches)).sort_values("date")
-    state, out = walk(state, rows)
-    held.update(tuple(vars(state).values()))
-    found = pd.DataFrame(out, columns=["date", "event", "side", "strength", "age"])
-    found.insert(0, "symbol", key[0])
-    yield found
+    def side(score: str, event: str):
+        return F.round(F.when(status == "conflict", 0.0).when(status == "scored", F.greatest(score, event)), 6)
+
+    return rows.select(
+        "symbol", "date", status.alias("status"), side("score_demand", "confirmed_demand").alias("buy_strength"),
+        side("score_supply", "confirmed_supply").alias("sell_strength"),
+    )
 
 
 STATE_SCHEMA = (
-    "setup string, side int, level double, volume double, spread double, waited int, last_side int, last_weight double, age int"
+    "setup string, level double, volume double, spread double, low double, waited int, anchor date, last string, age int, label string"
 )
+
+
+def stream_step(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+    """The same walk for ``applyInPandasWithState``: a micro-batch's bars of a symbol continue from its saved state."""
+    state = State(*held.get) if held.exists else State()
+    state, out = walk(state, pd.concat(list(batches)))
+    held.update(tuple(asdict(state).values()))
+    yield _found(key[0], out)
+
+
 QUERIES = {f.__name__: f for f in (w14_events, w44_event_strength, w45_live_sources)}

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.windows import full, prior, ratio
 from ..plans import sql
 from ..sources.tables import bars_daily, calendar, fills, industry_of, signals, table, trades
+from .trailing import AVERAGES, RETURNS
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
@@ -40,13 +42,20 @@ def j03_as_of(spark, sf_dir):
     return out.select("event_id", "symbol", F.when(fresh, F.col("value")).alias("value"))
 
 
-def j05_membership(spark, sf_dir):
-    """Latest snapshot of each board that was available at the cutoff: orders as snapshots, customers as boards."""
+def j05_membership(spark, sf_dir, cutoff: str = "1998-01-01"):
+    """Newest snapshot of each board of which every clock stands at or before the cutoff: orders as snapshots, customers as boards.
+
+    A snapshot is available on its order's date, in force some days before or after, and its run
+    finished up to two days after it became available.
+    """
+    key = F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("board"), F.col("o_orderkey").alias("snapshot"), F.col("o_orderdate").cast("date").alias("available"), "o_totalprice"
-    ).filter("available <= DATE '1998-01-01'")
-    rank = F.row_number().over(Window.partitionBy("board").orderBy(F.desc("available"), F.desc("snapshot")))
-    return rows.withColumn("k", rank).filter("k = 1").select("board", "snapshot", "available", "o_totalprice")
+        F.col("o_custkey").alias("board"), key.alias("snapshot"), F.col("o_orderdate").cast("date").alias("available"), "o_totalprice",
+        F.date_add(F.col("o_orderdate").cast("date"), (key % 7 - 3).cast("int")).alias("effective"),
+        F.date_add(F.col("o_orderdate").cast("date"), (key % 3).cast("int")).alias("finished"),
+    ).filter(F.greatest("available", "effective", "finished") <= F.to_date(F.lit(cutoff)))
+    newest = F.max_by(F.struct("snapshot", "available", "effective", "o_totalprice"), F.struct("available", "effective", "snapshot"))
+    return rows.groupBy("board").agg(newest.alias("s")).select("board", "s.*")
 
 
 def j06_running_evidence(spark, sf_dir):
@@ -109,10 +118,10 @@ def j11_exclusions(spark, sf_dir):
 def j14_regime_blend(spark, sf_dir):
     """Own daily return blended with the industry's on matched dates, clipped."""
     own = bars_daily(spark, sf_dir).join(industry_of(spark, sf_dir), "symbol")
-    own = own.withColumn("r", F.round(F.col("close") / F.col("open") - 1, 6))
-    peer = own.groupBy("board", "date").agg(F.round(F.avg("r"), 6).alias("peer"), F.count("*").alias("n")).filter("n >= 2")
+    own = own.withColumn("r", F.col("close") / F.col("open") - 1)
+    peer = own.groupBy("board", "date").agg(F.avg("r").alias("peer"), F.count("*").alias("n")).filter("n >= 2")
     blended = F.when(F.col("peer").isNotNull(), F.greatest(F.lit(-0.2), F.least(F.lit(0.2), 0.7 * F.col("r") + 0.3 * F.col("peer")))).otherwise(F.col("r"))
-    return own.join(peer, ["board", "date"], "left").select("symbol", "date", F.round(blended, 6).alias("blended"))
+    return own.join(peer, ["board", "date"], "left").select("symbol", "date", F.round(blended, 5).alias("blended"))
 
 
 def j16_field_merge(spark, sf_dir):
@@ -125,9 +134,9 @@ def j16_field_merge(spark, sf_dir):
 
 
 def j17_single_class(spark, sf_dir):
-    """A user's event type if it has only one among costly events; conflicts are unknown."""
-    rows = signals(spark, sf_dir).filter("value > 50").groupBy("symbol").agg(F.count_distinct("event_type").alias("n"), F.min("event_type").alias("one"))
-    return rows.select("symbol", F.when(F.col("n") == 1, F.col("one")).otherwise("unknown").alias("klass"))
+    """The event type of a user's day if it has only one; conflicts are unknown."""
+    rows = signals(spark, sf_dir).groupBy("symbol", F.to_date("available_at").alias("day")).agg(F.count_distinct("event_type").alias("n"), F.min("event_type").alias("one"))
+    return rows.select("symbol", "day", F.when(F.col("n") == 1, F.col("one")).otherwise("unknown").alias("klass"))
 
 
 def j20_fills_on_bars(spark, sf_dir):
@@ -142,15 +151,23 @@ def j21_catalog_merge(spark, sf_dir):
     return table(spark, sf_dir, "nation").join(unique, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("n_name", "code")
 
 
-def w21_weekly(spark, sf_dir):
-    """Weekly bars; a week is available once a bar of a later week is seen."""
-    rows = bars_daily(spark, sf_dir).withColumn("week", F.date_trunc("week", "date").cast("date"))
-    weekly = rows.groupBy("symbol", "week").agg(
+def closed_bars(bars: DataFrame, period: str) -> DataFrame:
+    """Weekly or monthly bars; a bucket is available once a bar of a later one is seen."""
+    rows = bars.withColumn("bucket", F.date_trunc(period, "date").cast("date"))
+    made = rows.groupBy("symbol", "bucket").agg(
         F.min_by("open", "date").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "date").alias("close"),
         F.round(F.sum("volume"), 2).alias("volume"), F.min("date").alias("first"),
     )
-    available = F.lead("first").over(Window.partitionBy("symbol").orderBy("week"))
-    return weekly.withColumn("available", available).filter("available IS NOT NULL").drop("first")
+    available = F.lead("first").over(Window.partitionBy("symbol").orderBy("bucket"))
+    return made.withColumn("available", available).filter("available IS NOT NULL").drop("first")
+
+
+def w21_weekly(spark, sf_dir):
+    return closed_bars(bars_daily(spark, sf_dir), "week").withColumnRenamed("bucket", "week")
+
+
+def w21_monthly(spark, sf_dir):
+    return closed_bars(bars_daily(spark, sf_dir), "month").withColumnRenamed("bucket", "month")
 
 
 def w22_higher_period(spark, sf_dir):
@@ -208,14 +225,41 @@ def w37_validity(spark, sf_dir):
     return hit.select("symbol", "date", F.when(broken > 0, broken - 1).otherwise(F.size("ahead")).cast("int").alias("alive"))
 
 
+A17_STAGES = (
+    AVERAGES | {"ret_1": RETURNS["ret_1"], "vol_ratio20": ratio("volume", full("avg", "volume", 20, 1)), "top20": full("max", "high", 20, 1)},
+    {
+        "buy": "CASE WHEN close > ma20 AND ma5 > ma20 AND ret_1 > 0 AND vol_ratio20 >= 1.2 THEN 1 ELSE 0 END",
+        "sell": "CASE WHEN close < ma20 AND ret_1 < 0 AND vol_ratio20 >= 1.2 THEN 1 ELSE 0 END",
+        "candidate": "CASE WHEN close > top20 THEN 1 ELSE 0 END",
+    },
+    {"new_candidate": f"CASE WHEN candidate = 1 AND coalesce({prior('candidate')}, 0) = 0 THEN 1 ELSE 0 END"},
+)
+_A17 = {
+    "price_available": "count(close)", "input_available": "count(vol_ratio20)", "failed": "sum(1 - verified)", "direction_buy": "sum(buy)",
+    "direction_sell": "sum(sell)", "candidates": "sum(candidate)", "new_candidates": "sum(new_candidate)",
+    "risk_blocked": "sum(CASE WHEN candidate = 1 AND verified = 0 THEN 1 ELSE 0 END)", "advancing": "sum(CASE WHEN ret_1 > 0 THEN 1 ELSE 0 END)",
+    "above_average": "sum(CASE WHEN close > ma20 THEN 1 ELSE 0 END)", "samples": "count(ret_1)",
+}
+_A17_LAST = {"mean_return": "round(avg(ret_1), 6)", "mean_volume_ratio": "round(avg(vol_ratio20), 6)"}
+
+
 def a17_history(spark, sf_dir):
-    """Coverage and counters by date and by (date, industry) in one pass over grouping sets."""
-    rows = bars_daily(spark, sf_dir).join(industry_of(spark, sf_dir), "symbol").withColumn("year", F.year("date"))
-    out = rows.groupingSets([["year"], ["year", "board"]], "year", "board").agg(
-        F.count("*").alias("n"), F.count_if(F.col("verified") == 1).alias("verified"), F.count_if(F.col("close") > F.col("open")).alias("up"),
-        F.round(F.avg("close"), 6).alias("mean_close"),
+    """Coverage, counters and mean inputs by (date) and (date, industry) in one pass over grouping sets; missing prices against the members."""
+    rows, owner = bars_daily(spark, sf_dir), industry_of(spark, sf_dir)
+    for stage in A17_STAGES:
+        rows = rows.selectExpr("*", *(f"{e} AS {name}" for name, e in stage.items()))
+    out = rows.join(owner, "symbol").groupingSets([["date"], ["date", "board"]], "date", "board").agg(
+        *(F.expr(e).alias(name) for name, e in (_A17 | _A17_LAST).items())
+    )
+    sizes = owner.groupBy("board").agg(F.count("*").alias("universe"))
+    whole = sizes.agg(F.sum("universe").alias("everyone"))
+    sized = out.join(F.broadcast(sizes), "board", "left").crossJoin(F.broadcast(whole))  # a row for each industry; one row
+    universe = F.coalesce("universe", "everyone")
+    rate = lambda x: F.round(F.col(x) / universe, 6)
+    return sized.select(
+        "date", "board", universe.alias("universe"), *_A17, (universe - F.col("price_available")).alias("missing_price"), *_A17_LAST,
+        rate("direction_buy").alias("buy_rate"), rate("direction_sell").alias("sell_rate"),
     )
-    return out.select("year", "board", "n", "verified", "up", "mean_close")
 
 
 def a18_event_types(spark, sf_dir):
@@ -229,12 +273,39 @@ def k04_page(spark, sf_dir):
     return rows.orderBy(F.desc("date"), "symbol").offset(100).limit(50)
 
 
-def a14_board_evidence(spark, sf_dir):
-    """Direction ratios and active ids by day."""
-    rows = signals(spark, sf_dir).withColumn("day", F.to_date("available_at"))
-    return rows.groupBy("day").agg(
-        F.count("*").alias("n"), F.round(F.avg((F.col("side") == "BUY").cast("double")), 6).alias("buy_share"),
-        F.round(F.avg("value"), 6).alias("mean_value"), F.count_distinct("symbol").alias("active"),
+def a14_board_evidence(spark, sf_dir, min_members: int = 5, min_coverage: float = 0.8):
+    """By day of events: eligible users, coverage of the day's users, mean scores, four direction ratios, distinct active ids, reason histogram.
+
+    A user is eligible with a purchase or an error that day; its direction follows from which of them
+    weighs more.  Ratios and means are null where fewer than ``min_members`` or less than
+    ``min_coverage`` of the users are eligible.
+    """
+    day = F.to_date("available_at").alias("day")
+    weight = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("value"))), F.lit(0.0))
+    users = signals(spark, sf_dir).groupBy(day, "symbol").agg(
+        weight("BUY").alias("buy"), weight("SELL").alias("sell"), F.count("side").alias("known"), F.count_if(F.col("side") == "BUY").alias("buys"),
+        F.count_if(F.col("side") == "SELL").alias("sells"),
+    )
+    direction = (
+        F.when(F.col("known") == 0, "none").when((F.col("buys") > 0) & (F.col("sells") > 0) & (F.abs(F.col("buy") - F.col("sell")) < 10), "CONFLICT")
+        .when(F.col("buy") > F.col("sell"), "BUY").when(F.col("sell") > F.col("buy"), "SELL").otherwise("ABSTAIN")
+    )
+    users = users.withColumn("direction", direction)
+    reasons = users.groupBy("day", F.when(F.col("known") == 0, "no_evidence").otherwise(F.lower("direction")).alias("reason")).agg(F.count("*").alias("n"))
+    histogram = F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "n"))))
+    reasons = reasons.groupBy("day").agg(F.to_json(histogram).alias("reasons"))
+    seen = users.groupBy("day").agg(
+        F.count("*").alias("members"), F.count_if(F.col("known") > 0).alias("eligible"),
+        *(F.avg(F.when(F.col("known") > 0, F.col(x))).alias(f"mean_{x}") for x in ("buy", "sell")),
+        *(F.count_if(F.col("direction") == x.upper()).alias(f"n_{x}") for x in ("buy", "sell", "abstain", "conflict")),
+        F.sum("buys").alias("buy_events"), F.sum("sells").alias("sell_events"),
+    )
+    coverage = F.col("eligible") / F.col("members")
+    good = (F.col("eligible") >= min_members) & (coverage >= min_coverage)
+    return seen.join(reasons, "day").select(
+        "day", "members", "eligible", F.round(coverage, 6).alias("coverage"), *(F.when(good, F.round(f"mean_{x}", 5)).alias(f"mean_{x}") for x in ("buy", "sell")),
+        *(F.when(good, F.round(F.col(f"n_{x}") / F.col("eligible"), 6)).alias(f"{x}_ratio") for x in ("buy", "sell", "abstain", "conflict")),
+        "buy_events", "sell_events", "reasons",
     )
 
 
@@ -253,12 +324,26 @@ _WEEK = """weekly AS (SELECT symbol, CAST(date_trunc('week', date) AS DATE) AS w
   last(close ORDER BY date) AS close, round(sum(volume), 2) AS volume, min(date) AS first FROM bars GROUP BY 1, 2),
 published AS (SELECT * FROM (SELECT *, lead(first) OVER (PARTITION BY symbol ORDER BY week) AS available FROM weekly) WHERE available IS NOT NULL)"""
 _RUN = "OVER (PARTITION BY symbol ORDER BY available_at, event_id ROWS UNBOUNDED PRECEDING)"
+_A17_SQL = sql.with_(sql.BARS, sql.INDUSTRY)[:-1] + """, f AS (SELECT *, close / lag(close) OVER s - 1 AS ret_1, CASE WHEN count(close) OVER (s ROWS 19 PRECEDING) = 20 THEN avg(close) OVER (s ROWS 19 PRECEDING) END AS ma20,
+  CASE WHEN count(close) OVER (s ROWS 4 PRECEDING) = 5 THEN avg(close) OVER (s ROWS 4 PRECEDING) END AS ma5, CASE WHEN count(volume) OVER (s ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) = 20 THEN
+  volume / nullif(avg(volume) OVER (s ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 0) END AS vr, CASE WHEN count(high) OVER (s ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) = 20 THEN
+  max(high) OVER (s ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS top FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY date)),
+g AS (SELECT *, coalesce(close > top, false) AS c, coalesce(lag(close > top) OVER (PARTITION BY symbol ORDER BY date), false) AS c_before FROM f),
+h AS (SELECT date, board, count(close) AS price_available, count(vr) AS input_available, CAST(sum(1 - verified) AS BIGINT) AS failed,
+  count(*) FILTER (close > ma20 AND ma5 > ma20 AND ret_1 > 0 AND vr >= 1.2) AS direction_buy, count(*) FILTER (close < ma20 AND ret_1 < 0 AND vr >= 1.2) AS direction_sell,
+  count(*) FILTER (c) AS candidates, count(*) FILTER (c AND NOT c_before) AS new_candidates, count(*) FILTER (c AND verified = 0) AS risk_blocked,
+  count(*) FILTER (ret_1 > 0) AS advancing, count(*) FILTER (close > ma20) AS above_average, count(ret_1) AS samples, round(avg(ret_1), 6) AS mean_return, round(avg(vr), 6) AS mean_volume_ratio
+  FROM g JOIN industry USING (symbol) GROUP BY GROUPING SETS ((date), (date, board))),
+u AS (SELECT h.*, coalesce(n, (SELECT count(*) FROM industry)) AS universe FROM h LEFT JOIN (SELECT board AS b, count(*) AS n FROM industry GROUP BY board) ON board = b)
+SELECT *, universe - price_available AS missing_price, round(direction_buy / universe, 6) AS buy_rate, round(direction_sell / universe, 6) AS sell_rate FROM u"""
 ORACLE = {
     "j01_trade_prices": _B + "SELECT b.symbol, b.date, close, trade_price FROM bars b LEFT JOIN (SELECT symbol, date, max(price) AS trade_price FROM trades WHERE flag = 'N' GROUP BY symbol, date) USING (symbol, date)",
     "j03_as_of": _S + """SELECT event_id, symbol, CASE WHEN viewed >= available_at - INTERVAL 2 DAYS THEN value END AS value
 FROM (SELECT p.event_id, p.symbol, p.available_at, v.available_at AS viewed, v.value FROM (SELECT * FROM signals WHERE event_type = 'purchase') p
 ASOF LEFT JOIN (SELECT * FROM signals WHERE event_type = 'view') v ON p.symbol = v.symbol AND p.available_at >= v.available_at)""",
-    "j05_membership": "SELECT board, snapshot, available, o_totalprice FROM (SELECT o_custkey AS board, o_orderkey AS snapshot, CAST(o_orderdate AS DATE) AS available, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) AS k FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '1998-01-01') WHERE k = 1",
+    "j05_membership": """SELECT board, snapshot, available, effective, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY board ORDER BY available DESC, effective DESC, snapshot DESC) AS k
+FROM (SELECT o_custkey AS board, o_orderkey AS snapshot, d AS available, d + CAST(o_orderkey % 7 - 3 AS INTEGER) AS effective, d + CAST(o_orderkey % 3 AS INTEGER) AS finished, o_totalprice
+  FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders)) WHERE available <= DATE '1998-01-01' AND effective <= DATE '1998-01-01' AND finished <= DATE '1998-01-01') WHERE k = 1""",
     "j06_running_evidence": _S + f"SELECT event_id, symbol, CAST(sum(CASE WHEN side = 'BUY' THEN 1 ELSE -1 END) {_RUN} AS BIGINT) AS balance, last_value(CASE WHEN side = 'BUY' THEN value END IGNORE NULLS) {_RUN} AS support, last_value(CASE WHEN side = 'SELL' THEN value END IGNORE NULLS) {_RUN} AS resistance FROM signals WHERE side IS NOT NULL",
     "j13_market_signal": _B + "SELECT symbol, b.date, round(close / market_close, 6) AS relative FROM bars b JOIN (SELECT date, round(avg(close), 6) AS market_close FROM bars GROUP BY date) m ON b.date = m.date",
     "j18_effective_rate": sql.with_(sql.FILLS) + "SELECT fill_id, notional * CASE WHEN date < DATE '1996-01-01' THEN 0.003::DOUBLE WHEN date < DATE '1998-06-01' THEN 0.001::DOUBLE ELSE 0.0005::DOUBLE END AS tax FROM fills WHERE side = 'SELL'",
@@ -266,14 +351,15 @@ ASOF LEFT JOIN (SELECT * FROM signals WHERE event_type = 'view') v ON p.symbol =
 FROM (SELECT event_id, CAST(available_at AS DATE) + CASE WHEN strftime(available_at, '%H:%M:%S') > '15:00:00' THEN 1 ELSE 0 END AS need FROM signals)""",
     "j02_decision_plan": sql.with_(sql.BARS, sql.FILLS) + "SELECT fill_id, account % 100 AS symbol, f.date, close, volume FROM fills f LEFT JOIN bars b ON b.symbol = f.account % 100 AND b.date = f.date",
     "j11_exclusions": "SELECT c_custkey, 'no_orders' AS reason FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT c_custkey, 'negative_balance' FROM customer WHERE c_acctbal < 0",
-    "j14_regime_blend": sql.with_(sql.BARS, sql.INDUSTRY) + """, own AS (SELECT symbol, date, board, round(close / open - 1, 6) AS r FROM bars JOIN industry USING (symbol)),
-peer AS (SELECT board, date, round(avg(r), 6) AS peer FROM own GROUP BY board, date HAVING count(*) >= 2)
-SELECT symbol, date, round(CASE WHEN peer IS NOT NULL THEN greatest(-0.2, least(0.2, 0.7 * r + 0.3 * peer)) ELSE r END, 6) AS blended FROM own LEFT JOIN peer USING (board, date)""",
+    "j14_regime_blend": sql.with_(sql.BARS, sql.INDUSTRY) + """, own AS (SELECT symbol, date, board, close / open - 1 AS r FROM bars JOIN industry USING (symbol)),
+peer AS (SELECT board, date, avg(r) AS peer FROM own GROUP BY board, date HAVING count(*) >= 2)
+SELECT symbol, date, round(CASE WHEN peer IS NOT NULL THEN greatest(-0.2, least(0.2, 0.7 * r + 0.3 * peer)) ELSE r END, 5) AS blended FROM own LEFT JOIN peer USING (board, date)""",
     "j16_field_merge": "SELECT doc_id, coalesce(nullif(new_lang, ''), lang) AS lang, source FROM (SELECT doc_id, lang, source FROM documents WHERE doc_id % 3 <> 0) FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE upper(lang) END AS new_lang FROM documents WHERE doc_id % 2 = 0) USING (doc_id)",
-    "j17_single_class": _S + "SELECT symbol, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) ELSE 'unknown' END AS klass FROM signals WHERE value > 50 GROUP BY symbol",
+    "j17_single_class": _S + "SELECT symbol, CAST(available_at AS DATE) AS day, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) ELSE 'unknown' END AS klass FROM signals GROUP BY 1, 2",
     "j20_fills_on_bars": sql.with_(sql.FILLS, sql.CALENDAR) + "SELECT fill_id, account, date, side FROM fills WHERE date <= DATE '1999-01-01' AND date IN (SELECT date FROM calendar)",
     "j21_catalog_merge": "SELECT n_name, code FROM nation LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS code FROM supplier GROUP BY s_nationkey HAVING count(*) = 1) ON n_nationkey = s_nationkey",
     "w21_weekly": sql.with_(sql.BARS, _WEEK) + "SELECT symbol, week, open, high, low, close, volume, available FROM published",
+    "w21_monthly": sql.with_(sql.BARS, _WEEK.replace("week", "month")) + "SELECT symbol, month, open, high, low, close, volume, available FROM published",
     "w22_higher_period": sql.with_(sql.BARS, _WEEK) + """, r AS (SELECT symbol, available, round(close / lag(close) OVER (PARTITION BY symbol ORDER BY week) - 1, 6) AS week_return FROM published)
 SELECT b.symbol, b.date, week_return FROM bars b ASOF LEFT JOIN r ON b.symbol = r.symbol AND b.date >= r.available""",
     "w33_event_age": _S + f", n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY available_at, event_id) AS i FROM signals) SELECT event_id, i - last_value(CASE WHEN side = 'BUY' THEN i END IGNORE NULLS) {_RUN} AS buy_age, i - last_value(CASE WHEN side = 'SELL' THEN i END IGNORE NULLS) {_RUN} AS sell_age FROM n",
@@ -285,11 +371,18 @@ SELECT symbol, sources, round(m, 6) AS margin, CASE WHEN m > 0.1 THEN 'BUY' WHEN
     "w37_validity": _B + """, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, max(high) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS level FROM bars)
 SELECT a.symbol, a.date, CAST(coalesce(min(CASE WHEN b.close < a.level THEN b.i - a.i - 1 END), count(b.i)) AS INTEGER) AS alive
 FROM n a LEFT JOIN n b ON a.symbol = b.symbol AND b.i BETWEEN a.i + 1 AND a.i + 10 WHERE a.close > a.level GROUP BY a.symbol, a.date""",
-    "a17_history": sql.with_(sql.BARS, sql.INDUSTRY) + """SELECT CAST(year(date) AS INTEGER) AS year, board, count(*) AS n, count(*) FILTER (verified = 1) AS verified, count(*) FILTER (close > open) AS up, round(avg(close), 6) AS mean_close
-FROM bars JOIN industry USING (symbol) GROUP BY GROUPING SETS ((year(date)), (year(date), board))""",
+    "a17_history": _A17_SQL,
     "a18_event_types": _S + "SELECT event_type, count(*) AS new_total, count(DISTINCT (symbol, CAST(available_at AS DATE))) AS active_days FROM signals GROUP BY event_type",
     "k04_page": _B + "SELECT date, symbol, close FROM bars ORDER BY date DESC, symbol LIMIT 50 OFFSET 100",
-    "a14_board_evidence": _S + "SELECT CAST(available_at AS DATE) AS day, count(*) AS n, round(avg(CAST(side = 'BUY' AS INT)), 6) AS buy_share, round(avg(value), 6) AS mean_value, count(DISTINCT symbol) AS active FROM signals GROUP BY 1",
+    "a14_board_evidence": _S[:-1] + """, u AS (SELECT CAST(available_at AS DATE) AS day, symbol, coalesce(sum(value) FILTER (side = 'BUY'), 0) AS buy, coalesce(sum(value) FILTER (side = 'SELL'), 0) AS sell, count(side) AS known,
+  count(*) FILTER (side = 'BUY') AS buys, count(*) FILTER (side = 'SELL') AS sells FROM signals GROUP BY 1, 2),
+d AS (SELECT *, CASE WHEN known = 0 THEN 'none' WHEN buys > 0 AND sells > 0 AND abs(buy - sell) < 10 THEN 'CONFLICT' WHEN buy > sell THEN 'BUY' WHEN sell > buy THEN 'SELL' ELSE 'ABSTAIN' END AS direction FROM u),
+r AS (SELECT day, '{' || string_agg('"' || reason || '":' || n, ',' ORDER BY reason) || '}' AS reasons FROM (SELECT day, CASE WHEN known = 0 THEN 'no_evidence' ELSE lower(direction) END AS reason, count(*) AS n FROM d GROUP BY 1, 2) GROUP BY day),
+s AS (SELECT day, count(*) AS members, count(*) FILTER (known > 0) AS eligible, avg(buy) FILTER (known > 0) AS mb, avg(sell) FILTER (known > 0) AS ms, count(*) FILTER (direction = 'BUY') AS nb, count(*) FILTER (direction = 'SELL') AS ns,
+  count(*) FILTER (direction = 'ABSTAIN') AS na, count(*) FILTER (direction = 'CONFLICT') AS nc, CAST(sum(buys) AS BIGINT) AS buy_events, CAST(sum(sells) AS BIGINT) AS sell_events FROM d GROUP BY day),
+g AS (SELECT *, eligible >= 5 AND eligible / members >= 0.8 AS good FROM s)
+SELECT day, members, eligible, round(eligible / members, 6) AS coverage, CASE WHEN good THEN round(mb, 5) END AS mean_buy, CASE WHEN good THEN round(ms, 5) END AS mean_sell, CASE WHEN good THEN round(nb / eligible, 6) END AS buy_ratio,
+  CASE WHEN good THEN round(ns / eligible, 6) END AS sell_ratio, CASE WHEN good THEN round(na / eligible, 6) END AS abstain_ratio, CASE WHEN good THEN round(nc / eligible, 6) END AS conflict_ratio, buy_events, sell_events, reasons FROM g JOIN r USING (day)""",
     "a15_method_summary": "SELECT source, count(*) AS n, count(quality) AS labelled, count(*) FILTER (quality = 1) AS good, round(avg(n_chars), 6) AS mean_chars, round(quantile_cont(n_chars, 0.5), 4) AS median_chars FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
 }
 QUERIES = {name: globals()[name] for name in ORACLE}

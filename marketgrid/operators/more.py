@@ -116,18 +116,63 @@ def k05_latest_date(spark, sf_dir):
 
 
 def a16_ranking_eligibility(spark, sf_dir):
-    """Sources with at least five labelled documents covering at least a fifth."""
+    """Sources with at least five labelled documents that cover at least 80 % of theirs."""
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").groupBy("source").agg(F.count("*").alias("n"), F.count("quality").alias("known"))
-    return rows.select("source", "n", "known", ((F.col("known") >= 5) & (F.col("known") * 5 >= F.col("n"))).alias("eligible"))
+    return rows.select("source", "n", "known", ((F.col("known") >= 5) & (F.col("known") * 5 >= F.col("n") * 4)).alias("eligible"))
 
 
-def a32_paired_difference(spark, sf_dir):
-    """Paired daily difference of two boards' mean returns: mean and Sharpe parts over common days."""
+def _legs(spark, sf_dir):
+    """Daily mean returns of two halves of the symbols on the days when both trade."""
+    r = F.col("close") / F.col("open") - 1
     rows = bars_daily(spark, sf_dir).withColumn("leg", F.col("symbol") % 2).groupBy("date").agg(
-        F.avg(F.when(F.col("leg") == 0, F.col("close") / F.col("open") - 1)).alias("a"), F.avg(F.when(F.col("leg") == 1, F.col("close") / F.col("open") - 1)).alias("b")
+        F.avg(F.when(F.col("leg") == 0, r)).alias("a"), F.avg(F.when(F.col("leg") == 1, r)).alias("b")
     )
+    return rows.filter("a IS NOT NULL AND b IS NOT NULL")
+
+
+#: Sessions a year, and the least deviation of returns for which a Sharpe ratio is given.
+ANNUAL, LEAST_DEVIATION = 252, 1e-14
+
+
+def _differences(n: int = ANNUAL):
+    """Cumulative return and Sharpe ratio of ``a`` less those of ``b``, as aggregates."""
+    grown = lambda x: F.exp(F.sum(F.log1p(x)))
+    sharpe = lambda x: F.when(F.stddev_samp(x) > LEAST_DEVIATION, F.sqrt(F.lit(float(n))) * F.avg(x) / F.stddev_samp(x))
+    return [(grown("a") - grown("b")).alias("cumulative"), (sharpe("a") - sharpe("b")).alias("sharpe")]
+
+
+def a32_paired_difference(spark, sf_dir):
+    """Paired daily difference of two groups' mean returns over common days: mean, deviation, log growth and Sharpe ratio."""
     d = F.col("a") - F.col("b")
-    return rows.filter("a IS NOT NULL AND b IS NOT NULL").agg(F.count("*").alias("n"), F.round(F.avg(d), 6).alias("mean"), F.round(F.stddev_samp(d), 6).alias("sd"))
+    out = _legs(spark, sf_dir).agg(F.count("*").alias("n"), F.round(F.avg(d), 6).alias("mean"), F.round(F.stddev_samp(d), 6).alias("sd"), F.sum(F.log1p("a") - F.log1p("b")).alias("growth"), *_differences())
+    return out.select("n", "mean", "sd", F.round("growth", 5).alias("log_growth"), F.round("sharpe", 5).alias("sharpe"))
+
+
+def paired_draws(legs, draws: int, block: int, seed: int):
+    """(draw, cumulative, sharpe) of series put together from blocks of ``block`` consecutive days, the same days for both.
+
+    ``legs`` has one row per session.  Starts come from a seeded hash; the last block is cut so that
+    each draw has as many days as the series.
+    """
+    legs = legs.withColumn("at", F.row_number().over(Window.orderBy("date")) - 1)  # one row per session
+    size = legs.agg(F.count("*").alias("size"))
+    spots = legs.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(size))  # one row
+    spots = spots.filter(f"size >= {max(60, block)}").withColumn("spot", F.explode(F.expr("sequence(0, CAST(size AS int) - 1)")))
+    start = F.pmod(F.xxhash64("draw", F.floor(F.col("spot") / block), F.lit(seed)), F.col("size") - block + 1)
+    drawn = spots.select("draw", (start + F.col("spot") % block).cast("int").alias("at"))
+    return drawn.join(legs, "at").groupBy("draw").agg(*_differences())
+
+
+def a32_paired_bootstrap(spark, sf_dir, draws: int = 400, block: int = 20, seed: int = 17):
+    """Paired moving-block bootstrap: estimates and 95 % intervals of the differences of cumulative return and Sharpe ratio."""
+    legs = _legs(spark, sf_dir)
+    drawn = paired_draws(legs, draws, block, seed)
+    point = legs.agg(*_differences())
+    out = drawn.agg(
+        F.count("*").alias("draws"), F.count("sharpe").alias("sharpe_draws"),
+        *(F.percentile(x, F.lit(p)).alias(f"{x}_{end}") for x in ("cumulative", "sharpe") for end, p in (("lower", 0.025), ("upper", 0.975))),
+    )
+    return point.crossJoin(out).select("draws", "sharpe_draws", *(F.round(x, 6).alias(x) for x in ("cumulative", "cumulative_lower", "cumulative_upper", "sharpe", "sharpe_lower", "sharpe_upper")))  # one row each
 
 
 def u02_by_name(spark, sf_dir):
@@ -157,12 +202,12 @@ def _indexed(spark, sf_dir):
 
 
 def w26_dependency(spark, sf_dir):
-    """Whether the last ten bars are verified, and how many sessions they span."""
+    """Whether the last 65 bars are verified and lie on 65 sessions in a row."""
     by = Window.partitionBy("symbol").orderBy("session")
     rows = _indexed(spark, sf_dir)
-    span = F.col("session") - F.lag("session", 9).over(by)
-    bad = F.sum((F.col("verified") == 0).cast("int")).over(by.rowsBetween(-9, 0))
-    return rows.select("symbol", "date", span.alias("span"), F.when(span.isNotNull(), bad == 0).alias("clean"))
+    span = F.col("session") - F.lag("session", 64).over(by)
+    bad = F.sum((F.col("verified") == 0).cast("int")).over(by.rowsBetween(-64, 0))
+    return rows.select("symbol", "date", span.alias("span"), bad.alias("bad"), F.coalesce((span == 64) & (bad == 0), F.lit(False)).alias("complete"))
 
 
 def w29_interval_return(spark, sf_dir):
@@ -192,10 +237,10 @@ def w40_maturity_split(spark, sf_dir):
 
 
 def w48_continuous(spark, sf_dir):
-    """Whether the last 21 bars are all positive and at most 60 sessions apart end to end."""
+    """Whether the last 21 bars have positive prices and lie on 21 sessions in a row."""
     by = Window.partitionBy("symbol").orderBy("session")
     rows = _indexed(spark, sf_dir)
-    ok = (F.min((F.col("close") > 0).cast("int")).over(by.rowsBetween(-20, 0)) == 1) & (F.col("session") - F.lag("session", 20).over(by) <= 60)
+    ok = (F.min((F.least("open", "high", "low", "close") > 0).cast("int")).over(by.rowsBetween(-20, 0)) == 1) & (F.col("session") - F.lag("session", 20).over(by) == 20)
     return rows.select("symbol", "date", F.coalesce(ok, F.lit(False)).alias("reliable"))
 
 
@@ -231,18 +276,18 @@ ORACLE = {
     "j04_profile_as_of": _B + "SELECT symbol, last_day(date) AS month_end, max(date) AS seen, arg_max(close, date) AS close FROM bars GROUP BY 1, 2",
     "j15_snapshot_compare": "SELECT o.c_mktsegment AS old, CASE WHEN n.seg IS NULL THEN 'dropped' WHEN n.seg <> o.c_mktsegment THEN 'changed' ELSE 'kept' END AS state, count(*) AS n FROM customer o LEFT JOIN (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'MOVED' ELSE c_mktsegment END AS seg FROM customer WHERE c_custkey % 7 <> 0) n ON o.c_custkey = n.c_custkey GROUP BY 1, 2",
     "k05_latest_date": "SELECT CAST(max(l_shipdate) AS DATE) AS last FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02'",
-    "a16_ranking_eligibility": "SELECT source, count(*) AS n, count(quality) AS known, count(quality) >= 5 AND count(quality) * 5 >= count(*) AS eligible FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
-    "a32_paired_difference": _B + "SELECT count(*) AS n, round(avg(a - b), 6) AS mean, round(stddev_samp(a - b), 6) AS sd FROM (SELECT date, avg(CASE WHEN symbol % 2 = 0 THEN close / open - 1 END) AS a, avg(CASE WHEN symbol % 2 = 1 THEN close / open - 1 END) AS b FROM bars GROUP BY date) WHERE a IS NOT NULL AND b IS NOT NULL",
+    "a16_ranking_eligibility": "SELECT source, count(*) AS n, count(quality) AS known, count(quality) >= 5 AND count(quality) * 5 >= count(*) * 4 AS eligible FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
+    "a32_paired_difference": _B + "SELECT count(*) AS n, round(avg(a - b), 6) AS mean, round(stddev_samp(a - b), 6) AS sd, round(sum(ln(1 + a) - ln(1 + b)), 5) AS log_growth, round(sqrt(252.0) * (avg(a) / stddev_samp(a) - avg(b) / stddev_samp(b)), 5) AS sharpe FROM (SELECT date, avg(CASE WHEN symbol % 2 = 0 THEN close / open - 1 END) AS a, avg(CASE WHEN symbol % 2 = 1 THEN close / open - 1 END) AS b FROM bars GROUP BY date) WHERE a IS NOT NULL AND b IS NOT NULL",
     "u02_by_name": "SELECT segment, count(*) AS n, count(balance) AS known FROM (SELECT s_suppkey AS id, s_acctbal AS balance, NULL AS segment FROM supplier UNION ALL SELECT c_custkey, NULL, c_mktsegment FROM customer) GROUP BY segment",
     "u06_pool": "SELECT p_partkey, p_brand, supplier FROM part LEFT JOIN (SELECT l_partkey, max(l_suppkey) AS supplier FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey WHERE p_size > 45 OR p_brand = 'Brand#3'",
     "s07_read_many": _S + "SELECT symbol, CAST(available_at AS DATE) AS date, arg_max(value, (available_at, event_id)) AS close FROM signals WHERE symbol % 10 = 0 AND symbol < 150 GROUP BY 1, 2",
-    "w26_dependency": _BC[:-1] + _IDX + " SELECT symbol, date, session - lag(session, 9) OVER w AS span, CASE WHEN lag(session, 9) OVER w IS NOT NULL THEN sum(1 - verified) OVER (PARTITION BY symbol ORDER BY session ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) = 0 END AS clean FROM x WINDOW w AS (PARTITION BY symbol ORDER BY session)",
+    "w26_dependency": _BC[:-1] + _IDX + ", d AS (SELECT symbol, date, session - lag(session, 64) OVER w AS span, CAST(sum(1 - verified) OVER (PARTITION BY symbol ORDER BY session ROWS BETWEEN 64 PRECEDING AND CURRENT ROW) AS BIGINT) AS bad FROM x WINDOW w AS (PARTITION BY symbol ORDER BY session)) SELECT symbol, date, span, bad, coalesce(span = 64 AND bad = 0, false) AS complete FROM d",
     "w29_interval_return": sql.with_(sql.BARS, sql.INDUSTRY)[:-1] + ", o AS (SELECT symbol, date, board, close / lag(close, 5) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM bars JOIN industry USING (symbol)) SELECT symbol, date, round(r - avg(r) OVER (PARTITION BY board, date), 6) AS relative FROM o",
     "w32_adjusted": _B[:-1] + ", f AS (SELECT symbol, date, CASE WHEN open / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY date), 0) > 2 THEN -1 ELSE 0 END AS l FROM bars) SELECT symbol, date, CAST(coalesce(sum(l) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS BIGINT) AS log2_factor FROM f",
     "w40_maturity_split": _BC[:-1] + ", n AS (SELECT max(session) AS n FROM calendar), p AS (SELECT CAST(floor((session - 1) * 4 / n) AS BIGINT) AS part, CAST(floor((least(session + 10, n) - 1) * 4 / n) AS BIGINT) AS e FROM bars JOIN calendar USING (date), n) SELECT part, count(*) FILTER (part = e) AS used, count(*) FILTER (part <> e) AS gap FROM p GROUP BY part",
-    "w48_continuous": _BC[:-1] + _IDX + " SELECT symbol, date, coalesce(min(CAST(close > 0 AS INT)) OVER (PARTITION BY symbol ORDER BY session ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) = 1 AND session - lag(session, 20) OVER (PARTITION BY symbol ORDER BY session) <= 60, false) AS reliable FROM x",
+    "w48_continuous": _BC[:-1] + _IDX + " SELECT symbol, date, coalesce(min(CAST(least(open, high, low, close) > 0 AS INT)) OVER (PARTITION BY symbol ORDER BY session ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) = 1 AND session - lag(session, 20) OVER (PARTITION BY symbol ORDER BY session) = 20, false) AS reliable FROM x",
     "w51_span": _BC[:-1] + _IDX + " SELECT * FROM (SELECT symbol, date, session - lag(session, 20) OVER (PARTITION BY symbol ORDER BY session) - 20 AS missing FROM x) WHERE missing IS NOT NULL",
     "p26_eligibility": _B + "SELECT concat_ws(',', CASE WHEN verified = 0 THEN 'unverified' END, CASE WHEN high = low THEN 'no_range' END, CASE WHEN n_lines % 5 = 4 THEN 'future_metadata' END) AS reasons, count(*) AS n FROM bars GROUP BY 1",
     "p09_availability": sql.with_(sql.CALENDAR) + "SELECT date, CAST(timezone('UTC', timezone('America/New_York', CAST(date AS TIMESTAMP) + INTERVAL 16 HOURS)) AS TIMESTAMP) AS available FROM calendar",
 }
-QUERIES = {name: globals()[name] for name in ORACLE}
+QUERIES = {name: globals()[name] for name in ORACLE} | {"a32_paired_bootstrap": a32_paired_bootstrap}

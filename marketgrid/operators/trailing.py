@@ -58,26 +58,30 @@ BAR_SHAPE = {
     "relative_volume20": "volume / mean20",
     "volume5_to20": "vol5 / mean20",
     "relative_amount20": "amount / amount20",
-    "up_down_volume20": "up20 / greatest(down20, 1)",
+    "up_down_volume20": "CASE WHEN down20 IS NOT NULL THEN up20 / greatest(down20, 1) END",
     "divergence": "((close - prev_close) / atr) / nullif(volume / mean20, 0)",
-    "pullback_push20": "(down20 / greatest(down_days, 1)) / greatest(up20 / greatest(up_days, 1), 1)",
+    "pullback_push20": "CASE WHEN up20 IS NOT NULL AND down20 IS NOT NULL THEN (down20 / greatest(down_days, 1)) / greatest(up20 / greatest(up_days, 1), 1) END",
     "contraction5": "vol5 / nullif(vol5_before, 0)",
     "range_width_atr": "width / atr",
     "range_position": "(close - low60) / width",
     "support_distance": "(close - low60) / atr",
     "resistance_distance": "(high60 - close) / atr",
     "compression20_60": "(high20 - low20) / width",
-    "down_probe": "greatest(low60 - low, 0) / atr",
-    "up_probe": "greatest(high - high60, 0) / atr",
+    "down_probe": "CASE WHEN low60 IS NOT NULL THEN greatest(low60 - low, 0) / atr END",
+    "up_probe": "CASE WHEN high60 IS NOT NULL THEN greatest(high - high60, 0) / atr END",
 }
 RANGE_STAGES = (PREVIOUS, TRUE_RANGE, ATR_PRIOR | PRIOR_RANGE, WIDTH)
 VALID_RANGE = {"in_range": "CASE WHEN width / atr <= 20 AND prev_close >= low60 AND prev_close <= high60 THEN 1 ELSE 0 END"}
 BAD = {"bad": "CASE WHEN verified = 1 AND volume > 0 AND high >= low AND close > 0 THEN 0 ELSE 1 END"}
+def clamp(x: str, low: str = "0", high: str = "1") -> str:
+    """Null stays null: ``greatest`` and ``least`` pass over it."""
+    return f"CASE WHEN ({x}) IS NOT NULL THEN greatest({low}, least({high}, {x})) END"
+
+
+_ACTIVITY = clamp("relative_volume20 - 1")
 SCORE = {
-    "demand": "greatest(0, least(1, 0.3 * close_location + 0.2 * greatest(0, least(1, body_atr))"
-    " + 0.2 * lower_shadow + 0.2 * greatest(0, least(1, relative_volume20 - 1)) + 0.1 * (1 - range_position)))",
-    "supply": "greatest(0, least(1, 0.3 * (1 - close_location) + 0.2 * greatest(0, least(1, -body_atr))"
-    " + 0.2 * upper_shadow + 0.2 * greatest(0, least(1, relative_volume20 - 1)) + 0.1 * range_position))",
+    "demand": clamp(f"0.3 * close_location + 0.2 * ({clamp('body_atr')}) + 0.2 * lower_shadow + 0.2 * ({_ACTIVITY}) + 0.1 * (1 - range_position)"),
+    "supply": clamp(f"0.3 * (1 - close_location) + 0.2 * ({clamp('-body_atr')}) + 0.2 * upper_shadow + 0.2 * ({_ACTIVITY}) + 0.1 * range_position"),
 }
 
 PLANS: dict[str, Staged] = {
@@ -230,7 +234,7 @@ PLANS: dict[str, Staged] = {
     "w46_entry_plan": bars(
         ["stop", "distance", "weight"],
         *RANGE_STAGES,
-        {"stop": "greatest(low20, close - 2 * atr)"},
+        {"stop": "CASE WHEN low20 IS NOT NULL AND atr IS NOT NULL THEN greatest(low20, close - 2 * atr) END"},
         {"distance": "(close - stop) / close"},
         {
             "weight": "CASE WHEN distance > 0 THEN least(0.2, 0.01 / distance) END",
@@ -241,7 +245,7 @@ PLANS: dict[str, Staged] = {
     "w47_risk_geometry": bars(
         ["floor_price", "distance", "cap"],
         *RANGE_STAGES,
-        {"floor_price": "greatest(low20, close - 3 * atr)"},
+        {"floor_price": "CASE WHEN low20 IS NOT NULL AND atr IS NOT NULL THEN greatest(low20, close - 3 * atr) END"},
         {"distance": "(close - floor_price) / close"},
         {
             "cap": "CASE WHEN distance > 0 THEN least(1.0, 0.02 / distance) END",
@@ -271,10 +275,10 @@ PLANS: dict[str, Staged] = {
         ["buy_limit", "sell_limit", "offset_ratio"],
         PREVIOUS,
         TRUE_RANGE,
-        {"offset_ratio": f"greatest(0.002, least(0.03, 0.25 * ({full('avg', 'true_range', 14)}) / close))"},
+        {"offset_ratio": clamp(f"0.25 * ({full('avg', 'true_range', 14)}) / close", "0.002", "0.03")},
         {
-            "buy_limit": "round(least(close * (1 + offset_ratio), close * 1.1) + 1e-7, 2)",
-            "sell_limit": "round(greatest(close * (1 - offset_ratio), close * 0.9) + 1e-7, 2)",
+            "buy_limit": "CASE WHEN offset_ratio IS NOT NULL THEN round(least(close * (1 + offset_ratio), close * 1.1) + 1e-7, 2) END",
+            "sell_limit": "CASE WHEN offset_ratio IS NOT NULL THEN round(greatest(close * (1 - offset_ratio), close * 0.9) + 1e-7, 2) END",
             "order_type": "CASE WHEN offset_ratio IS NULL THEN 'none' WHEN offset_ratio > 0.02 THEN 'limit_wide' ELSE 'limit' END",
         },
         plain=("order_type",),

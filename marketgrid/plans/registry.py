@@ -15,8 +15,4 @@ for _module in (boards, cleaning, evidence, accounts, more, models, stores):
     ORACLE_SQL |= _module.ORACLE
 QUERIES |= events.QUERIES | jobs.QUERIES
 ORACLE_SQL |= {name: text for name, text in jobs.ORACLE.items() if text}
-ORACLE_SQL = {n: t.replace("BARS:", sql.with_(sql.BARS)) if t.startswith("BARS:") else t for n, t in ORACLE_SQL.items()}
-ORACLE_SQL["t01_stream_trailing"] = sql.with_(sql.BARS) + (
-    "SELECT symbol, date, round(CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END, 6) AS mean FROM bars"
-    " WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
-)
+ORACLE_SQL = {n: sql.with_(sql.BARS).rstrip() + " " + t.removeprefix("BARS:") if t.startswith("BARS:") else t for n, t in ORACLE_SQL.items()}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import scratch_root
-from .tables import bars_daily, fills, table
+from .tables import bars_daily, fills, signals, table
 
 
 def _where(spark: SparkSession, path: str):
@@ -36,10 +36,11 @@ def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str], orde
 
     The touched partitions are read, merged with the new rows by key, and overwritten dynamically.
     """
+    schema = new.schema
     new = new.withColumn("__new", F.lit(1))
     if exists(spark, path):
         touched = new.select(partition).distinct()
-        old = spark.read.parquet(path).join(touched, partition, "left_semi").withColumn("__new", F.lit(0))
+        old = spark.read.schema(schema).parquet(path).join(touched, partition, "left_semi").withColumn("__new", F.lit(0))
         rows = new.unionByName(old)
     else:
         rows = new
@@ -72,11 +73,11 @@ def import_snapshot(spark: SparkSession, rows: DataFrame, path: str, content: li
 
 
 def read_csv_bars(spark: SparkSession, path: str) -> DataFrame:
-    """One CSV file for each symbol, headers by alias, symbol from the file's name."""
+    """One CSV file or folder for each symbol, headers by alias, symbol from the folder's or the file's name."""
     aliases = {"date": ("date", "trade_date", "day"), "close": ("close", "close_price"), "volume": ("volume", "vol")}
     raw = spark.read.option("header", True).csv(path)
     pick = [F.coalesce(*(F.col(a) for a in names if a in raw.columns)).alias(n) for n, names in aliases.items()]
-    symbol = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1)
+    symbol = F.col("symbol").cast("string") if "symbol" in raw.columns else F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1)
     return raw.select(symbol.alias("symbol"), *pick).select(
         "symbol", F.try_to_date("date").alias("date"), F.expr("try_cast(close AS double)").alias("close"), F.expr("try_cast(volume AS double)").alias("volume")
     )
@@ -101,10 +102,27 @@ def s05_csv_bars(spark, sf_dir):
     at = shared(spark)
     rows = bars_daily(spark, sf_dir).select("symbol", F.col("date").alias("trade_date"), F.col("close").alias("close_price"), F.col("volume").alias("vol"))
     rows.write.option("header", True).partitionBy("symbol").csv(at)
-    raw = spark.read.option("header", True).csv(at)
-    return raw.select(
-        F.col("symbol").cast("long").alias("symbol"), F.try_to_date("trade_date").alias("date"), F.expr("try_cast(close_price AS double)").alias("close"),
-    )
+    return read_csv_bars(spark, at).select(F.col("symbol").cast("long").alias("symbol"), "date", "close")
+
+
+def s09_merge_minute(spark, sf_dir):
+    """Minute values merged twice: a minute that comes again carries the newer value; the last event of a minute is its value."""
+    at = shared(spark)
+    order = F.struct("available_at", "event_id")
+    minutes = signals(spark, sf_dir).groupBy("symbol", F.date_trunc("minute", "available_at").alias("minute")).agg(F.max_by("value", order).alias("value"), F.max("event_id").alias("event_id"))
+    minutes = minutes.withColumn("day", F.date_format("minute", "yyyy-MM"))
+    upsert(spark, minutes.filter("event_id % 3 <> 0"), at, ["symbol", "minute"], "event_id", "day")
+    upsert(spark, minutes.filter("event_id % 2 = 0").withColumn("value", F.col("value") + 1), at, ["symbol", "minute"], "event_id", "day")
+    return spark.read.parquet(at).select("symbol", F.col("minute").cast("timestamp_ntz").alias("minute"), F.round("value", 4).alias("value"))
+
+
+def s12_issue_sink(spark, sf_dir):
+    """Flat bars reported as issues by two overlapping runs; an issue is there once, by the hash that is its id."""
+    at = shared(spark)
+    found = bars_daily(spark, sf_dir).filter("high = low").select(F.lit("flat_bar").alias("category"), F.col("symbol").cast("string").alias("entity"), F.col("date").cast("string").alias("day"))
+    for run in (found.filter("day < '1997-01-01'"), found):
+        import_snapshot(spark, run, at, ["category", "entity", "day"])
+    return spark.read.parquet(at).select(F.col("snapshot_hash").alias("issue_id"), "category", "entity", "day")
 
 
 def s08_upsert(spark, sf_dir):
@@ -186,6 +204,9 @@ def s15_latest_status(spark, sf_dir):
 ORACLE = {
     "s05_csv_bars": "BARS:SELECT symbol, date, close FROM bars",
     "s08_upsert": "SELECT o_orderkey, round(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END, 2) AS o_totalprice FROM orders",
+    "s09_merge_minute": """SELECT symbol, minute, round(value + CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END, 4) AS value FROM (SELECT user_id AS symbol, date_trunc('minute', ts) AS minute,
+  arg_max(value, (ts, event_id)) AS value, max(event_id) AS event_id FROM events GROUP BY 1, 2) WHERE event_id % 3 <> 0 OR event_id % 2 = 0""",
+    "s12_issue_sink": "BARS:SELECT sha256('flat_bar|' || symbol || '|' || date) AS issue_id, 'flat_bar' AS category, CAST(symbol AS VARCHAR) AS entity, CAST(date AS VARCHAR) AS day FROM bars WHERE high = low",
     "s10_snapshot": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 0",
     "s11_publish": "SELECT 'full' AS run_id, count(*) AS n FROM labels",
     "s13_import": "SELECT CAST(s_suppkey AS VARCHAR) AS symbol, s_name FROM supplier",

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import events
-from ..sources.tables import bars_daily
 from ..sources.stores import is_folder, shared, upsert
+from ..sources.tables import bars_daily, table
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,83 +25,145 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def drain(spark: SparkSession, frame: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and read the rows that it wrote."""
-    at = shared(spark)
-    query = (
+def start(frame: DataFrame, at: str, mode: str = "append"):
+    """A stream that appends to ``at``/rows until nothing new is there; its state lies beside them."""
+    return (
         frame.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state")
         .trigger(availableNow=True).start()
     )
-    query.awaitTermination()
+
+
+def drain(spark: SparkSession, frame: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there and read the rows that it wrote."""
+    at = shared(spark)
+    start(frame, at, mode).awaitTermination()
     return spark.read.schema(frame.schema).parquet(f"{at}/rows")
 
 
-def dedupe_first(rows: DataFrame, key: list[str], time: str, delay: str = "1 hour") -> DataFrame:
-    """Keep the first row of each key within the watermark."""
-    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
+def resumed(spark: SparkSession, parts: list[DataFrame], build) -> DataFrame:
+    """Rows of ``build(stream)`` when ``parts`` arrive one after the other: each run continues from the saved state of the one before."""
+    at, schema = shared(spark), parts[0].schema
+    out = None
+    for part in parts:
+        part.write.mode("append").parquet(f"{at}/in")
+        out = build(spark.readStream.schema(schema).parquet(f"{at}/in"))
+        start(out, at).awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/rows")
+
+
+def halves(bars: DataFrame) -> list[DataFrame]:
+    """Bars before and from the middle day on."""
+    days = bars.agg(F.min("date").alias("a"), F.max("date").alias("b")).select(F.date_add("a", F.expr("CAST(datediff(b, a) / 2 AS int)"))).first()[0]
+    return [bars.filter(F.col("date") < F.lit(days)), bars.filter(F.col("date") >= F.lit(days))]
 
 
-def roll_up(rows: DataFrame, period: str, key: str = "user_id", time: str = "ts", value: str = "value") -> DataFrame:
+def last_of(rows: DataFrame, keys: list[str], time: str, period: str, order: list[str], value: str, delay: str = "1 hour") -> DataFrame:
+    """The last row of each key and bucket, emitted once the watermark passes the bucket."""
+    return (
+        rows.withWatermark(time, delay)
+        .groupBy(F.window(time, period), *keys)
+        .agg(F.max_by(value, F.struct(time, *order)).alias(value), F.count("*").alias("copies"))
+        .select(F.col("window.start").cast("timestamp_ntz").alias("bucket"), *keys, value, "copies")
+    )
+
+
+#: Minutes of the bars that T06 rolls up.
+PERIODS = (1, 5, 15, 30, 60)
+
+
+def roll_up(rows: DataFrame, minutes: int, key: str = "user_id", time: str = "ts", value: str = "value") -> DataFrame:
     """Bars of a period from events; a bucket is emitted once the watermark passes it."""
     order = F.struct(time, "event_id")
     return (
         rows.withWatermark(time, "10 minutes")
-        .groupBy(F.window(time, period), key)
+        .groupBy(F.window(time, f"{minutes} minutes"), key)
         .agg(
             F.min_by(value, order).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, order).alias("close"),
             F.count("*").alias("n"),
         )
-        .select(F.col("window.start").cast("timestamp_ntz").alias("bucket"), key, "open", "high", "low", "close", "n")
+        .select(F.lit(minutes).alias("minutes"), F.col("window.start").cast("timestamp_ntz").alias("bucket"), key, "open", "high", "low", "close", "n")
     )
 
 
 def t05_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = source(spark, sf_dir, "events").withColumn("minute", F.date_trunc("minute", "ts"))
-    kept = dedupe_first(rows, ["user_id", "minute", "event_type"], "ts")
-    return drain(spark, kept.select("event_id", "user_id", "event_type"))
+    """The last event of each user, type and minute."""
+    return drain(spark, last_of(source(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "1 minute", ["event_id"], "event_id"))
 
 
 def t06_stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drain(spark, roll_up(source(spark, sf_dir, "events"), "60 minutes"))
+    """Bars of all periods; the streams run side by side."""
+    frames = [roll_up(source(spark, sf_dir, "events"), n) for n in PERIODS]
+    places = [shared(spark) for _ in PERIODS]
+    for query in [start(frame, at) for frame, at in zip(frames, places, strict=True)]:
+        query.awaitTermination()
+    return spark.read.schema(frames[0].schema).parquet(*(f"{at}/rows" for at in places))
 
 
 def t02_stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The detector over a stream of bars; a symbol's saved state continues it."""
-    at = shared(spark)
-    events.with_range(bars_daily(spark, sf_dir)).write.parquet(f"{at}/bars")
-    rows = spark.readStream.schema(spark.read.parquet(f"{at}/bars").schema).parquet(f"{at}/bars")
-    found = rows.groupBy("symbol").applyInPandasWithState(
-        events.stream_step, events.SCHEMA, events.STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
-    return drain(spark, found)
+    """The detector over bars that arrive in two parts; a symbol's saved state continues it."""
+    bars = events.with_range(bars_daily(spark, sf_dir))
+    return resumed(
+        spark, halves(bars),
+        lambda rows: rows.groupBy("symbol").applyInPandasWithState(
+            events.stream_step, events.SCHEMA, events.STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+        ),
+    )
 
 
-def _ring(window: int):
-    """Trailing means of the last ``window`` closes from a bounded buffer in state."""
+#: Bars that T01 keeps of each symbol: the longest window and the bar before it.
+KEPT = 61
+_T01 = ("ret_1", "ret_5", "ret_20", "ma5", "ma10", "ma20", "ma60", "atr14_ratio", "volatility20", "drawdown20", "drawdown60", "vol_ratio20", "amount_ratio20")
+T01_SCHEMA = "symbol long, date date, " + ", ".join(f"{x} double" for x in _T01)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        past = list(held.get[0]) if held.exists else []
-        rows = pd.concat(list(batches)).sort_values("date")
-        out = []
-        for date, close in rows[["date", "close"]].itertuples(index=False):
-            past = [*past, float(close)][-window:]
-            out.append((key[0], date, round(sum(past) / window, 6) if len(past) == window else None))
-        held.update((past,))
-        yield pd.DataFrame(out, columns=["symbol", "date", "mean"])
 
-    return step
+def _windows(x: np.ndarray, n: int, of, lag: int = 0) -> np.ndarray:
+    """``of`` over the last ``n`` values that end ``lag`` rows back; not a number until there are so many, or where one is missing."""
+    out = np.full(len(x), np.nan)
+    if len(x) >= n + lag:
+        out[n - 1 + lag :] = of(np.lib.stride_tricks.sliding_window_view(x, n), axis=1)[: len(x) - n + 1 - lag]
+    return out
 
 
-def t01_stream_trailing(spark: SparkSession, sf_dir: str, window: int = 20) -> DataFrame:
-    at = shared(spark)
-    bars_daily(spark, sf_dir).select("symbol", "date", "close").write.parquet(f"{at}/bars")
-    rows = spark.readStream.schema("symbol long, date date, close double").parquet(f"{at}/bars")
-    return drain(
-        spark,
-        rows.groupBy("symbol").applyInPandasWithState(
-            _ring(window), "symbol long, date date, mean double", "past array<double>", "append", GroupStateTimeout.NoTimeout
-        ),
-    )
+def _back(x: np.ndarray, n: int) -> np.ndarray:
+    return np.r_[np.full(min(n, len(x)), np.nan), x[:-n]]
+
+
+def trailing_rows(bars: pd.DataFrame) -> pd.DataFrame:
+    """Trailing features of bars in date order."""
+    high, low, close, volume, amount = (bars[c].to_numpy(float) for c in ("high", "low", "close", "volume", "amount"))
+    with np.errstate(all="ignore"):
+        before, ret = _back(close, 1), close / _back(close, 1) - 1
+        true_range = np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before)))
+        found = {
+            **{f"ret_{n}": close / _back(close, n) - 1 for n in (1, 5, 20)}, **{f"ma{n}": _windows(close, n, np.mean) for n in (5, 10, 20, 60)},
+            "atr14_ratio": _windows(true_range, 14, np.mean) / close, "volatility20": _windows(ret, 20, np.std),
+            **{f"drawdown{n}": close / _windows(close, n, np.max) - 1 for n in (20, 60)},
+            "vol_ratio20": volume / _windows(volume, 20, np.mean, 1), "amount_ratio20": amount / _windows(amount, 20, np.mean, 1),
+        }
+    return pd.DataFrame({"date": bars.date.to_numpy(), **{k: np.round(found[k], 6) for k in _T01}})
+
+
+def _trailing_step(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+    """Features of a micro-batch's bars from the last ``KEPT`` bars in state."""
+    columns = ["date", "high", "low", "close", "volume", "amount"]
+    past = pd.DataFrame(dict(zip(columns, held.get, strict=True))) if held.exists else None
+    new = pd.concat(list(batches)).sort_values("date")[columns]
+    both = new if past is None else pd.concat([past, new], ignore_index=True)
+    out = trailing_rows(both).iloc[len(both) - len(new) :]
+    keep = both.tail(KEPT)
+    held.update(tuple(keep[c].tolist() for c in columns))
+    out.insert(0, "symbol", key[0])
+    yield out
+
+
+def t01_stream_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trailing features over bars that arrive in two parts."""
+    bars = bars_daily(spark, sf_dir).select("symbol", "date", "high", "low", "close", "volume", "amount")
+    state = "date array<date>, high array<double>, low array<double>, close array<double>, volume array<double>, amount array<double>"
+    return resumed(
+        spark, halves(bars),
+        lambda rows: rows.groupBy("symbol").applyInPandasWithState(_trailing_step, T01_SCHEMA, state, "append", GroupStateTimeout.NoTimeout),
+    ).select("symbol", "date", *(F.nanvl(x, F.lit(None).cast("double")).alias(x) for x in _T01))
 
 
 def t03_stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,15 +179,67 @@ def t03_stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{at}/table").groupBy("month").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 1).alias("total"))
 
 
-def t04_late_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence after 15:00 counts for the next day, summed by that day."""
-    rows = source(spark, sf_dir, "events").withWatermark("ts", "1 day")
+def t04_late_evidence(spark: SparkSession, sf_dir: str, delay: str = "1 day") -> DataFrame:
+    """Evidence after 15:00 counts for the next day; what comes later than ``delay`` behind the latest event seen before goes to a side table.
+
+    Events with even ids arrive first, the others after them, so that some are late.
+    """
+    at = shared(spark)
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     day = F.when(F.date_format("ts", "HH:mm:ss") > "15:00:00", F.date_add(F.to_date("ts"), 1)).otherwise(F.to_date("ts"))
-    return drain(spark, rows.select("event_id", "user_id", day.alias("session")))
+
+    def land(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        mark = session.read.parquet(f"{at}/mark").agg(F.max("ts")).first()[0] if number else None
+        late = F.lit(False) if mark is None else F.col("ts") < F.lit(mark) - F.expr(f"INTERVAL {delay}")
+        batch.select("event_id", "user_id", day.alias("session"), late.alias("late")).write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+        batch.agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{at}/mark/batch={number}")
+
+    for part in (0, 1):
+        rows.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+        stream.writeStream.foreachBatch(land).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    landed = spark.read.parquet(f"{at}/rows").select("event_id", "user_id", "session", F.when(F.col("late"), "side").otherwise("main").alias("target"))
+    return landed
+
+
+BUCKETS = "symbol long, period string, bucket date, open double, high double, low double, close double, volume double, available date"
+
+
+def _closing_step(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+    """A symbol's open week and month in state; a bucket is given out by the first bar of a later one."""
+    names = ["bucket", "open", "high", "low", "close", "volume"]
+    bars = pd.concat(list(batches)).sort_values("date")
+    days = pd.to_datetime(bars.date)
+    starts = {"week": days - pd.to_timedelta(days.dt.weekday, unit="D"), "month": days - pd.to_timedelta(days.dt.day - 1, unit="D")}
+    saved, state, out = (dict(zip(("week", "month"), held.get, strict=True)) if held.exists else {}), [], []
+    for period, start_day in starts.items():
+        open_bucket = None if saved.get(period) is None else dict(zip(names, saved[period], strict=True))
+        for bucket, bar in zip(start_day.dt.date, bars.itertuples(index=False), strict=True):
+            if open_bucket is not None and open_bucket["bucket"] == bucket:
+                open_bucket.update(high=max(open_bucket["high"], bar.high), low=min(open_bucket["low"], bar.low), close=bar.close, volume=open_bucket["volume"] + bar.volume)
+                continue
+            if open_bucket is not None:
+                out.append((key[0], period, *open_bucket.values(), bar.date))
+            open_bucket = {"bucket": bucket, "open": bar.open, "high": bar.high, "low": bar.low, "close": bar.close, "volume": bar.volume}
+        state.append(tuple(open_bucket.values()) if open_bucket else None)
+    held.update(tuple(state))
+    yield pd.DataFrame(out, columns=[part.split()[0] for part in BUCKETS.split(", ")])
+
+
+def t07_closed_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly and monthly bars over daily bars that arrive in two parts, each once a later bucket is seen."""
+    bars = bars_daily(spark, sf_dir).select("symbol", "date", "open", "high", "low", "close", "volume")
+    one = "struct<bucket:date,open:double,high:double,low:double,close:double,volume:double>"
+    found = resumed(
+        spark, halves(bars),
+        lambda rows: rows.groupBy("symbol").applyInPandasWithState(_closing_step, BUCKETS, f"week {one}, month {one}", "append", GroupStateTimeout.NoTimeout),
+    )
+    return found.withColumn("volume", F.round("volume", 2))
 
 
 def t07_closed_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A week's events, emitted once a later week is seen."""
+    """A week's events by type, emitted once the watermark passes it."""
     weekly = (
         source(spark, sf_dir, "events").withWatermark("ts", "0 seconds")
         .groupBy(F.window("ts", "7 days", startTime="4 days"), "event_type").agg(F.count("*").alias("n"))
@@ -133,6 +248,26 @@ def t07_closed_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(spark, weekly)
 
 
+def t09_daily_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scheduled run takes the files that are new since the last one; a log row for each run.
+
+    Orders land by year of order; each run upserts its new files and logs how many rows it took.
+    """
+    at = shared(spark)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy").alias("year"))
+
+    def land(batch: DataFrame, number: int) -> None:
+        upsert(batch.sparkSession, batch, f"{at}/table", ["o_orderkey"], "o_totalprice", "year")
+        batch.groupBy("year").agg(F.count("*").alias("n")).withColumn("run", F.lit(number)).write.mode("append").parquet(f"{at}/log")
+
+    for due in (F.col("year") < "1995", F.col("year") >= "1995"):
+        rows.filter(due).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+        stream.writeStream.foreachBatch(land).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    held = spark.read.schema(rows.schema).parquet(f"{at}/table").groupBy("year").agg(F.count("*").alias("held"))
+    return spark.read.schema("year string, n long, run int").parquet(f"{at}/log").join(held, "year").select("run", "year", "n", "held")
+
+
 def t08_refresh_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only boards with changed members are recomputed, batch by batch, into their partitions."""
     at = shared(spark, "stream")
@@ -151,13 +286,48 @@ def t08_refresh_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{at}/boards").select("board", "n", "total")
 
 
+_E = "WITH m AS (SELECT max(ts) AS last FROM events) "
+_ROLL = (
+    "SELECT CAST({0} AS INTEGER) AS minutes, bucket, user_id, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,"
+    " arg_max(value, (ts, event_id)) AS close, count(*) AS n FROM (SELECT *, time_bucket(INTERVAL {0} MINUTES, ts) AS bucket FROM events)"
+    " GROUP BY bucket, user_id HAVING bucket + INTERVAL {0} MINUTES <= (SELECT last FROM m) - INTERVAL 10 MINUTES"
+)
+_CLOSED = (
+    "SELECT symbol, '{0}' AS period, bucket, open, high, low, close, volume, available FROM (SELECT *, lead(first) OVER (PARTITION BY symbol ORDER BY bucket) AS available FROM ("
+    "SELECT symbol, CAST(date_trunc('{0}', date) AS DATE) AS bucket, arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(close, date) AS close,"
+    " round(sum(volume), 2) AS volume, min(date) AS first FROM bars GROUP BY 1, 2)) WHERE available IS NOT NULL"
+)
+_BY = "OVER (PARTITION BY symbol ORDER BY date"
+_LAST = _BY + " ROWS BETWEEN {0} PRECEDING AND {1})"
+
+
+def _full(of: str, x: str, n: int, lag: int = 0) -> str:
+    rows = _LAST.format(n - 1 + lag, f"{lag} PRECEDING" if lag else "CURRENT ROW")
+    return f"CASE WHEN count({x}) {rows} = {n} THEN {of}({x}) {rows} END"
+
+
+_T01_SQL = (
+    "BARS:, p AS (SELECT *, lag(close) " + _BY + ") AS before FROM bars), r AS (SELECT *, close / before - 1 AS ret, greatest(high - low, abs(high - before), abs(low - before)) AS tr FROM p) SELECT symbol, date, "
+    + ", ".join(
+        f"round({e}, 6) AS {name}"
+        for name, e in (
+            *((f"ret_{n}", f"close / lag(close, {n}) {_BY}) - 1") for n in (1, 5, 20)), *((f"ma{n}", _full("avg", "close", n)) for n in (5, 10, 20, 60)),
+            ("atr14_ratio", f"({_full('avg', 'tr', 14)}) / close"), ("volatility20", _full("stddev_pop", "ret", 20)),
+            *((f"drawdown{n}", f"close / ({_full('max', 'close', n)}) - 1") for n in (20, 60)),
+            ("vol_ratio20", f"volume / ({_full('avg', 'volume', 20, 1)})"), ("amount_ratio20", f"amount / ({_full('avg', 'amount', 20, 1)})"),
+        )
+    )
+    + " FROM r"
+)
 ORACLE = {
-    "t01_stream_trailing": None,
+    "t01_stream_trailing": _T01_SQL,
     "t03_stream_upsert": "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(sum(o_totalprice), 1) AS total FROM orders GROUP BY 1",
+    "t04_late_evidence": "SELECT event_id, user_id, CAST(ts AS DATE) + CASE WHEN strftime(ts, '%H:%M:%S') > '15:00:00' THEN 1 ELSE 0 END AS session, CASE WHEN event_id % 2 = 1 AND ts < (SELECT max(ts) FROM events WHERE event_id % 2 = 0) - INTERVAL 1 DAY THEN 'side' ELSE 'main' END AS target FROM events",
+    "t05_stream_dedupe": _E + "SELECT date_trunc('minute', ts) AS bucket, user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS copies FROM events GROUP BY 1, 2, 3 HAVING date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT last FROM m) - INTERVAL 1 HOUR",
+    "t06_stream_rollup": _E + " UNION ALL ".join(_ROLL.format(n) for n in PERIODS),
+    "t07_closed_buckets": "BARS:" + " UNION ALL ".join(_CLOSED.format(p) for p in ("week", "month")),
+    "t07_closed_weeks": _E + "SELECT date_trunc('week', ts) AS week, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('week', ts) + INTERVAL 7 DAYS <= (SELECT last FROM m)",
     "t08_refresh_boards": "SELECT c_mktsegment AS board, count(*) AS n, round(sum(o_totalprice), 1) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
-    "t04_late_evidence": "SELECT event_id, user_id, CAST(ts AS DATE) + CASE WHEN strftime(ts, '%H:%M:%S') > '15:00:00' THEN 1 ELSE 0 END AS session FROM events",
-}
-QUERIES = {
-    f.__name__: f
-    for f in (t01_stream_trailing, t02_stream_events, t03_stream_upsert, t04_late_evidence, t05_stream_dedupe, t06_stream_rollup, t07_closed_weeks, t08_refresh_boards)
+    "t09_daily_update": "SELECT CAST(strftime(o_orderdate, '%Y') >= '1995' AS INTEGER) AS run, strftime(o_orderdate, '%Y') AS year, count(*) AS n, count(*) AS held FROM orders GROUP BY 1, 2",
 }
+QUERIES = {name: globals()[name] for name in ORACLE} | {"t02_stream_events": t02_stream_events}
