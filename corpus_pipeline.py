@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketgrid.llm import jaccard_join, packing, quality, secrets, substring_dedup
-from marketgrid.llm.common import Scratch, read
-
+from marketgrid.llm.common import read
+from marketgrid.sources.scratch import Scratch
 
 #: Words in a shingle and least similarity in percent of the near-duplicate stage; op7's contract is its own.
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
@@ -50,8 +50,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark)
+    names = [name for name, _ in STAGES]
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = scratch.write(docs, name)
+            if k:
+                scratch.drop(names[k - 1])
     return docs

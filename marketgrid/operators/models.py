@@ -45,6 +45,7 @@ def m02_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = max(1, fit.count())
     models = [LogisticRegression(family="multinomial", regParam=1.0 / (c * n), maxIter=50).fit(fit) for c in (0.1, 1.0, 10.0)]
     best = min(models, key=lambda m: log_loss(_probabilities(m, tune)))
+    rows.unpersist()
     return _probabilities(best, tune).select("symbol", "date", *(F.round(F.get("p", F.lit(k)), 6).alias(f"p{k}") for k in range(3)))
 
 
@@ -61,7 +62,9 @@ def m03_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
         else:
             low = a
     t = math.exp((low + high) / 2)
-    return held.agg(F.count("*").alias("n")).select("n", F.lit(round(t, 4)).alias("temperature"), F.lit(round(log_loss(held, t), 6)).alias("log_loss"))
+    loss = log_loss(held, t)
+    held.unpersist()
+    return held.agg(F.count("*").alias("n")).select("n", F.lit(round(t, 4)).alias("temperature"), F.lit(round(loss, 6)).alias("log_loss"))
 
 
 def m04_platt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +82,7 @@ def m04_platt(spark: SparkSession, sf_dir: str) -> DataFrame:
         if not det:
             break
         a, b = a + (hbb * ga - hab * gb) / det, b + (haa * gb - hab * ga) / det
+    rows.unpersist()
     return rows.agg(F.count("*").alias("n")).select("n", F.lit(round(a, 5)).alias("slope"), F.lit(round(b, 5)).alias("intercept"))
 
 

@@ -21,5 +21,5 @@ def test_components_of_all_lines(spark):
     size = {}
     for x in label.values():
         size[x] = size.get(x, 0) + 1
-    got = {r.node: (r.label, r.size, r.weight) for r in registry.QUERIES["a41_components_all"](spark, SF).collect()}
+    got = {r.node: (r.label, r.size, r.weight) for r in registry.QUERIES["a41_components"](spark, SF).collect()}
     assert got == {x: (c, size[c], round(1 / size[c], 8)) for x, c in label.items()}
