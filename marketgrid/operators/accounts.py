@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..plans import sql
-from ..sources.tables import bars_daily, calendar, fills, signals, table
+from ..sources.tables import bars_daily, calendar, fills, industry_of, signals, table
 from .trailing import PLANS
 
 
@@ -194,23 +194,33 @@ def a23_calibration(spark, sf_dir):
     return rows.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg("quality"), 6).alias("share"))
 
 
-def a24_forecast_summary(spark, sf_dir):
-    """Quantiles, spread, worst and up share of each forecast's samples (embedding components)."""
+def a24_forecast_summary(spark, sf_dir, limit: float = 4.0):
+    """Quantiles, spread, worst and up share of each forecast's samples (embedding components); one bad sample rejects the whole path."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.col("embedding").cast("array<double>")).alias("x"))
     q = {f"p{int(100 * v)}": F.round(F.percentile("x", F.lit(v)), 6).alias(f"p{int(100 * v)}") for v in (0.1, 0.5, 0.9)}
+    bad = F.count_if(F.col("x").isNull() | F.isnan("x") | (F.abs("x") > limit))
     return rows.groupBy("vec_id").agg(
-        *q.values(), F.round(F.stddev_pop("x"), 6).alias("spread"), F.round(F.min("x"), 6).alias("worst"), F.round(F.avg((F.col("x") > 0).cast("double")), 6).alias("up")
-    )
+        *q.values(), F.round(F.stddev_pop("x"), 6).alias("spread"), F.round(F.min("x"), 6).alias("worst"), F.round(F.avg((F.col("x") > 0).cast("double")), 6).alias("up"),
+        F.when(bad > 0, "rejected").otherwise("valid").alias("status"),
+    )
 
 
 def a25_case_scores(spark, sf_dir):
-    """Forecasts (first half of each vector) against outcomes (second half): MAE and interval coverage."""
+    """Forecasts (first half of each vector) against outcomes (second half): MAE, MAE by the outcomes' spread, Brier score of the up share, interval coverage and width, and a loss to select by."""
     v = F.col("embedding").cast("array<double>")
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(v).alias("i", "x"))
-    half = rows.filter("i < 32").groupBy("vec_id").agg(F.percentile("x", F.lit(0.1)).alias("lo"), F.percentile("x", F.lit(0.9)).alias("hi"), F.avg("x").alias("mid"))
+    half = rows.filter("i < 32").groupBy("vec_id").agg(
+        F.percentile("x", F.lit(0.1)).alias("lo"), F.percentile("x", F.lit(0.9)).alias("hi"), F.avg("x").alias("mid"), F.avg((F.col("x") > 0).cast("double")).alias("up")
+    )
     real = rows.filter("i >= 32").join(half, "vec_id")
     inside = ((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))).cast("double")
-    return real.groupBy("vec_id").agg(F.round(F.avg(F.abs(F.col("x") - F.col("mid"))), 6).alias("mae"), F.round(F.avg(inside), 6).alias("coverage"), F.round(F.max(F.col("hi") - F.col("lo")), 6).alias("width"))
+    per = real.groupBy("vec_id").agg(
+        F.avg(F.abs(F.col("x") - F.col("mid"))).alias("mae"), F.stddev_pop("x").alias("sd"), F.avg(inside).alias("coverage"), F.max(F.col("hi") - F.col("lo")).alias("width"),
+        F.avg(F.pow(F.col("up") - (F.col("x") > 0).cast("double"), F.lit(2.0))).alias("brier"),
+    )
+    normal = F.col("mae") / F.nullif("sd", F.lit(0.0))
+    loss = normal + F.col("brier") + F.abs(F.col("coverage") - 0.8)
+    return per.select("vec_id", *(F.round(x, 5).alias(n) for x, n in ((F.col("mae"), "mae"), (normal, "normalised_mae"), (F.col("brier"), "brier"), (F.col("coverage"), "coverage"), (F.col("width"), "width"), (loss, "loss"))))
 
 
 def a33_sufficiency(spark, sf_dir):
@@ -220,9 +230,14 @@ def a33_sufficiency(spark, sf_dir):
 
 
 def a35_loss_funnel(spark, sf_dir):
+    """Each fill charged to its first failing gate, with quartiles, and by quadrant of size and side what is kept."""
     rows = fills(spark, sf_dir)
     gate = F.coalesce(F.when(F.col("side") != "BUY", "not_entry"), F.when(F.col("notional") < 50000, "too_small"), F.when(F.col("date") < F.to_date(F.lit("1996-01-01")), "too_early"), F.lit("kept"))
-    return rows.groupBy(gate.alias("gate")).agg(F.count("*").alias("n"), F.round(F.percentile("notional", F.lit(0.5)), 2).alias("median"))
+    late = F.when(F.col("date") >= F.to_date(F.lit("1997-01-01")), "late").otherwise("early")
+    large = F.when(F.col("notional") >= 150000, "large").otherwise("small")
+    return rows.groupBy(gate.alias("gate"), F.concat_ws("_", large, late).alias("quadrant")).agg(
+        F.count("*").alias("n"), *(F.round(F.percentile("notional", F.lit(q)), 2).alias(name) for q, name in ((0.25, "p25"), (0.5, "median"), (0.75, "p75")))
+    )
 
 
 def a36_maturity(spark, sf_dir):
@@ -233,9 +248,20 @@ def a36_maturity(spark, sf_dir):
 
 
 def a37_source_audit(spark, sf_dir):
-    """Sources whose documents conflict: several languages, copies, or bad lengths."""
-    per = table(spark, sf_dir, "documents").groupBy("source").agg(F.count_distinct("lang").alias("langs"), (F.count("*") - F.count_distinct(F.sha2("text", 256))).alias("copies"), F.count_if(F.length("text") != F.col("n_chars")).alias("bad_length"))
-    return per.selectExpr("source", "stack(3, 'languages', langs, 'copies', copies, 'bad_length', bad_length) AS (kind, n)").filter("n > 0")
+    """Repeated rows and seven kinds of conflict of each source of documents; only what occurs is listed."""
+    docs = table(spark, sf_dir, "documents").withColumn("digest", F.sha2("text", 256)).join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    shared = docs.filter("digest IS NOT NULL").groupBy("digest").agg(
+        F.count_distinct("source").alias("sources"), F.count_distinct("lang").alias("langs"), F.count_distinct("quality").alias("verdicts")
+    )
+    rows = docs.join(shared, "digest", "left")
+    kinds = {
+        "several_sources": F.count_if(F.col("sources") > 1), "several_languages": F.count_if(F.col("langs") > 1), "several_verdicts": F.count_if(F.col("verdicts") > 1),
+        "bad_length": F.count_if(F.length("text") != F.col("n_chars")), "missing_text": F.count_if(F.col("text").isNull() | (F.col("text") == "")),
+        "missing_language": F.count_if(F.col("lang").isNull()), "good_and_toxic": F.count_if((F.col("quality") == 1) & (F.col("toxic") == 1)),
+        "copies": F.count("digest") - F.count_distinct("digest"),
+    }
+    per = rows.groupBy("source").agg(*(e.alias(k) for k, e in kinds.items()))
+    return per.select("source", F.explode(F.create_map(*(x for k in kinds for x in (F.lit(k), F.col(k))))).alias("kind", "n")).filter("n > 0")
 
 
 def a39_class_weights(spark, sf_dir):
@@ -244,16 +270,23 @@ def a39_class_weights(spark, sf_dir):
     return rows.crossJoin(F.broadcast(total)).select("quality", F.round(F.col("total") / (F.col("classes") * F.col("n")), 6).alias("weight"))  # one row
 
 
-def a40_uniqueness(spark, sf_dir, horizon: int = 5):
-    """Mean inverse concurrency of a symbol's overlapping label intervals of ``horizon`` bars.
+def a40_uniqueness(spark, sf_dir):
+    """Mean inverse concurrency of a symbol's overlapping label intervals, whose lengths differ (here 3 to 7 bars, by lines of the bar).
 
-    Interval starts and ends are where concurrency changes; here every bar starts one, so a bar's
-    concurrency is how many of the last ``horizon`` bars there are.
+    Concurrency changes where intervals start and end: a running sum over both.  The mean over an interval
+    is a difference of prefix sums, so no interval is joined with its bars.
     """
-    by = Window.partitionBy("symbol").orderBy("date")
-    rows = bars_daily(spark, sf_dir).select("symbol", "date").withColumn("open", F.count("*").over(by.rowsBetween(-(horizon - 1), 0)))
-    mean = F.avg(1.0 / F.col("open")).over(by.rowsBetween(0, horizon - 1))
-    return rows.select("symbol", "date", F.round(mean, 6).alias("weight"))
+    by = Window.partitionBy("symbol").orderBy("i")
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    rows = bars_daily(spark, sf_dir).select("symbol", "date", F.row_number().over(Window.partitionBy("symbol").orderBy("date")).alias("i"), (F.col("n_lines") % 5 + 3).alias("h"))
+    last = F.max("i").over(Window.partitionBy("symbol"))
+    rows = rows.withColumn("end", F.least(F.col("i") + F.col("h") - 1, last))
+    ends = rows.groupBy("symbol", (F.col("end") + 1).alias("i")).agg(F.count("*").alias("ended"))
+    open_at = rows.join(ends, ["symbol", "i"], "left").withColumn("open", F.sum(1 - F.coalesce("ended", F.lit(0))).over(so_far))
+    sums = open_at.select("symbol", "date", "i", "end", F.sum(1.0 / F.col("open")).over(so_far).alias("sum"), (1.0 / F.col("open")).alias("own"))
+    at_end = sums.select("symbol", F.col("i").alias("end"), F.col("sum").alias("upto"))
+    mean = (F.col("upto") - F.col("sum") + F.col("own")) / (F.col("end") - F.col("i") + 1)
+    return sums.join(at_end, ["symbol", "end"]).select("symbol", "date", F.round(mean, 5).alias("weight"))
 
 
 def a42_projection(spark, sf_dir):
@@ -273,13 +306,31 @@ def a47_label_census(spark, sf_dir):
     return docs.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("positive"), F.count_if(F.col("quality") == 0).alias("negative"), F.count_if(F.col("quality").isNull()).alias("unknown"))
 
 
-def a19_sentiment(spark, sf_dir):
-    """Clipped one- and five-day moves of the market's mean close, and their weighted total."""
-    daily = bars_daily(spark, sf_dir).groupBy("date").agg(F.round(F.avg("close"), 6).alias("c"))
-    by = Window.orderBy("date")  # one row per session
-    clip = lambda x, n: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x / n))
+def a19_sentiment(spark, sf_dir, min_coverage: float = 0.8):
+    """Sentiment of each session from clipped one- and five-day moves: the market's, the mean over industries, how many are known, and the parts as a map.
+
+    Unavailable moves are null, not zero; without ``min_coverage`` of the industries the status says so.
+    """
+    bars = bars_daily(spark, sf_dir)
+    industries = industry_of(spark, sf_dir)
+    closes = bars.join(industries, "symbol").groupBy("date", "board").agg(F.avg("close").alias("c")).unionByName(bars.groupBy("date").agg(F.avg("close").alias("c")).withColumn("board", F.lit("")))
+    by = Window.partitionBy("board").orderBy("date")
+    clip = lambda x, n: F.when(x.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x / n)))
     one, five = F.col("c") / F.lag("c").over(by) - 1, F.col("c") / F.lag("c", 5).over(by) - 1
-    return daily.select("date", F.round(0.6 * clip(one, 0.02) + 0.4 * clip(five, 0.05), 6).alias("score"))
+    rows = closes.select("date", "board", F.round(clip(one, 0.02), 6).alias("one"), F.round(clip(five, 0.05), 6).alias("five"))
+    rows = rows.withColumn("score", 0.6 * F.col("one") + 0.4 * F.col("five"))
+    size = industries.select("board").distinct().agg(F.count("*").alias("groups"))
+    market = lambda x: F.max(F.when(F.col("board") == "", F.col(x)))
+    group = F.when(F.col("board") != "", F.col("score"))
+    out = rows.groupBy("date").agg(market("score").alias("score"), market("one").alias("one"), market("five").alias("five"), F.avg(group).alias("mean"), F.count(group).alias("known"))
+    coverage = F.col("known") / F.col("groups")
+    text = lambda x: F.coalesce(F.format_string("%.4f", F.col(x)), F.lit("null"))
+    parts = F.map_from_arrays(F.array(F.lit("one"), F.lit("five")), F.array(text("one"), text("five")))
+    return out.crossJoin(F.broadcast(size)).select(  # one row
+        "date", F.round("score", 5).alias("score"), F.round("mean", 5).alias("group_mean"), F.round(coverage, 6).alias("coverage"),
+        F.when(F.col("score").isNull(), "unavailable").when(coverage < min_coverage, "partial").otherwise("available").alias("status"),
+        F.array_join(F.transform(F.map_entries(parts), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("parts"),
+    )
 
 
 def m01_preprocessing(spark, sf_dir):
@@ -508,19 +559,35 @@ f AS (SELECT *, coalesce(2 * hits / nullif(actual + predicted, 0), 0) AS f FROM
 SELECT klass, actual, predicted, round(hits / nullif(predicted, 0), 6) AS "precision", round(hits / nullif(actual, 0), 6) AS recall, round(f, 6) AS f1, round((SELECT avg(f) FROM f), 6) AS macro_f1, p10, p50, p90 FROM f""",
     "a22_auc": _SW + "SELECT round(sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) / count(*), 6) AS auc FROM scored a, scored b WHERE a.quality = 1 AND b.quality = 0",
     "a23_calibration": _SW + "SELECT CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(quality), 6) AS share FROM scored GROUP BY 1",
-    "a24_forecast_summary": sql.with_(_X) + "SELECT vec_id, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.9), 6) AS p90, round(stddev_pop(x), 6) AS spread, round(min(x), 6) AS worst, round(avg(CAST(x > 0 AS INT)), 6) AS up FROM x GROUP BY vec_id",
-    "a25_case_scores": sql.with_(_X) + """SELECT vec_id, round(avg(abs(x - mid)), 6) AS mae, round(avg(CAST(x >= lo AND x <= hi AS INT)), 6) AS coverage, round(max(hi - lo), 6) AS width
-FROM x JOIN (SELECT vec_id, quantile_cont(x, 0.1) AS lo, quantile_cont(x, 0.9) AS hi, avg(x) AS mid FROM x WHERE i < 32 GROUP BY vec_id) USING (vec_id) WHERE i >= 32 GROUP BY vec_id""",
+    "a24_forecast_summary": sql.with_(_X) + "SELECT vec_id, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.9), 6) AS p90, round(stddev_pop(x), 6) AS spread, round(min(x), 6) AS worst, round(avg(CAST(x > 0 AS INT)), 6) AS up, CASE WHEN count(*) FILTER (x IS NULL OR isnan(x) OR abs(x) > 4.0) > 0 THEN 'rejected' ELSE 'valid' END AS status FROM x GROUP BY vec_id",
+    "a25_case_scores": sql.with_(_X)[:-1] + """, h AS (SELECT vec_id, quantile_cont(x, 0.1) AS lo, quantile_cont(x, 0.9) AS hi, avg(x) AS mid, avg(CAST(x > 0 AS INT)) AS up FROM x WHERE i < 32 GROUP BY vec_id),
+p AS (SELECT vec_id, avg(abs(x - mid)) AS mae, stddev_pop(x) AS sd, avg(CAST(x >= lo AND x <= hi AS INT)) AS coverage, max(hi - lo) AS width, avg((up - CAST(x > 0 AS INT)) ** 2) AS brier FROM x JOIN h USING (vec_id) WHERE i >= 32 GROUP BY vec_id)
+SELECT vec_id, round(mae, 5) AS mae, round(mae / nullif(sd, 0), 5) AS normalised_mae, round(brier, 5) AS brier, round(coverage, 5) AS coverage, round(width, 5) AS width, round(mae / nullif(sd, 0) + brier + abs(coverage - 0.8), 5) AS loss FROM p""",
     "a33_sufficiency": _F + ", p AS (SELECT account, count(*) AS n, count(DISTINCT side) AS sides, sum(notional) AS amount FROM fills GROUP BY account) SELECT account, 'enough_fills' AS check_name, n >= 5 AS passed FROM p UNION ALL SELECT account, 'both_sides', sides = 2 FROM p UNION ALL SELECT account, 'turnover', amount > 500000 FROM p",
-    "a35_loss_funnel": _F + "SELECT CASE WHEN side <> 'BUY' THEN 'not_entry' WHEN notional < 50000 THEN 'too_small' WHEN date < DATE '1996-01-01' THEN 'too_early' ELSE 'kept' END AS gate, count(*) AS n, round(quantile_cont(notional, 0.5), 2) AS median FROM fills GROUP BY 1",
+    "a35_loss_funnel": _F + """SELECT CASE WHEN side <> 'BUY' THEN 'not_entry' WHEN notional < 50000 THEN 'too_small' WHEN date < DATE '1996-01-01' THEN 'too_early' ELSE 'kept' END AS gate,
+  CASE WHEN notional >= 150000 THEN 'large' ELSE 'small' END || '_' || CASE WHEN date >= DATE '1997-01-01' THEN 'late' ELSE 'early' END AS quadrant, count(*) AS n, round(quantile_cont(notional, 0.25), 2) AS p25,
+  round(quantile_cont(notional, 0.5), 2) AS median, round(quantile_cont(notional, 0.75), 2) AS p75 FROM fills GROUP BY 1, 2""",
     "a36_maturity": _BC + "SELECT symbol, count(*) FILTER (session + 10 <= (SELECT max(session) FROM calendar)) AS mature, count(*) FILTER (session + 10 > (SELECT max(session) FROM calendar)) AS immature FROM bars JOIN calendar USING (date) GROUP BY symbol",
-    "a37_source_audit": "WITH p AS (SELECT source, count(DISTINCT lang) AS langs, count(*) - count(DISTINCT text) AS copies, count(*) FILTER (length(text) <> n_chars) AS bad FROM documents GROUP BY source) SELECT * FROM (SELECT source, 'languages' AS kind, langs AS n FROM p UNION ALL SELECT source, 'copies', copies FROM p UNION ALL SELECT source, 'bad_length', bad FROM p) WHERE n > 0",
+    "a37_source_audit": """WITH d AS (SELECT d.*, quality, toxic, count(DISTINCT source) OVER t AS sources, count(DISTINCT lang) OVER t AS langs, count(DISTINCT quality) OVER t AS verdicts FROM documents d LEFT JOIN labels USING (doc_id) WINDOW t AS (PARTITION BY text)),
+p AS (SELECT source, count(*) FILTER (sources > 1 AND text IS NOT NULL) AS several_sources, count(*) FILTER (langs > 1 AND text IS NOT NULL) AS several_languages, count(*) FILTER (verdicts > 1 AND text IS NOT NULL) AS several_verdicts,
+  count(*) FILTER (length(text) <> n_chars) AS bad_length, count(*) FILTER (text IS NULL OR text = '') AS missing_text, count(*) FILTER (lang IS NULL) AS missing_language, count(*) FILTER (quality = 1 AND toxic = 1) AS good_and_toxic,
+  count(text) - count(DISTINCT text) AS copies FROM d GROUP BY source)
+SELECT source, kind, n FROM (UNPIVOT p ON COLUMNS(* EXCLUDE (source)) INTO NAME kind VALUE n) WHERE n > 0""",
     "a39_class_weights": "SELECT quality, round((SELECT count(*) FROM labels) / ((SELECT count(DISTINCT quality) FROM labels) * count(*)), 6) AS weight FROM labels GROUP BY quality",
-    "a40_uniqueness": _B + ", o AS (SELECT symbol, date, count(*) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS open FROM bars) SELECT symbol, date, round(avg(1.0 / open) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), 6) AS weight FROM o",
+    "a40_uniqueness": _B[:-1] + """, n AS (SELECT symbol, date, n_lines % 5 + 3 AS h, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars), k AS (SELECT symbol, date, i, least(i + h - 1, n) AS fin FROM n),
+o AS (SELECT symbol, j, count(*) AS c FROM (SELECT symbol, unnest(range(i, fin + 1)) AS j FROM k) GROUP BY 1, 2)
+SELECT x.symbol, date, round(avg(1.0 / c), 5) AS weight FROM (SELECT symbol, date, unnest(range(i, fin + 1)) AS j FROM k) x JOIN o ON x.symbol = o.symbol AND x.j = o.j GROUP BY 1, 2""",
     "a42_projection": "SELECT o_custkey AS account, CAST(count(*) FILTER (o_totalprice > 250000) AS INTEGER) AS eligible, CAST(count(*) FILTER (o_totalprice <= 250000) AS INTEGER) AS excluded FROM orders GROUP BY o_custkey",
     "a44_run_outcomes": "SELECT CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'P' THEN 'failed' ELSE 'skipped' END AS outcome, count(*) AS n FROM orders GROUP BY 1",
     "a47_label_census": "SELECT lang, count(*) FILTER (quality = 1) AS positive, count(*) FILTER (quality = 0) AS negative, count(*) FILTER (quality IS NULL) AS unknown FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang",
-    "a19_sentiment": _B + ", d AS (SELECT date, round(avg(close), 6) AS c FROM bars GROUP BY date), m AS (SELECT date, c / lag(c) OVER (ORDER BY date) - 1 AS one, c / lag(c, 5) OVER (ORDER BY date) - 1 AS five FROM d) SELECT date, round(0.6 * greatest(-1, least(1, one / 0.02)) + 0.4 * greatest(-1, least(1, five / 0.05)), 6) AS score FROM m",
+    "a19_sentiment": sql.with_(sql.BARS, sql.INDUSTRY)[:-1] + """, c AS (SELECT date, board, avg(close) AS c FROM bars JOIN industry USING (symbol) GROUP BY 1, 2 UNION ALL SELECT date, '', avg(close) FROM bars GROUP BY 1),
+m AS (SELECT date, board, c / lag(c) OVER w - 1 AS a, c / lag(c, 5) OVER w - 1 AS b FROM c WINDOW w AS (PARTITION BY board ORDER BY date)),
+p AS (SELECT date, board, round(CASE WHEN a IS NOT NULL THEN greatest(-1, least(1, a / 0.02)) END, 6) AS one, round(CASE WHEN b IS NOT NULL THEN greatest(-1, least(1, b / 0.05)) END, 6) AS five FROM m),
+s AS (SELECT *, 0.6 * one + 0.4 * five AS score FROM p),
+d AS (SELECT date, max(score) FILTER (board = '') AS score, max(one) FILTER (board = '') AS one, max(five) FILTER (board = '') AS five, avg(score) FILTER (board <> '') AS mean, count(score) FILTER (board <> '') AS known FROM s GROUP BY date),
+e AS (SELECT *, known / (SELECT count(DISTINCT board) FROM industry) AS coverage FROM d)
+SELECT date, round(score, 5) AS score, round(mean, 5) AS group_mean, round(coverage, 6) AS coverage, CASE WHEN score IS NULL THEN 'unavailable' WHEN coverage < 0.8 THEN 'partial' ELSE 'available' END AS status,
+  'one=' || coalesce(printf('%.4f', one), 'null') || ',five=' || coalesce(printf('%.4f', five), 'null') AS parts FROM e""",
     "m01_preprocessing": """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 > 0 THEN o_totalprice END AS x, o_orderkey % 2 = 0 AS train FROM orders),
 f AS (SELECT quantile_cont(x, 0.5) AS mid, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM r WHERE train), c AS (SELECT *, least(hi, greatest(lo, coalesce(x, mid))) AS c FROM r, f),
 s AS (SELECT avg(c) AS mean, stddev_pop(c) AS sd FROM c WHERE train) SELECT o_orderkey, round((c - mean) / sd, 5) AS z, CAST(x IS NULL AS INTEGER) AS missing FROM c, s""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions.windows import full, prior, ratio
 from ..plans import sql
 from ..sources.tables import bars_daily, calendar, fills, industry_of, signals, table, trades
@@ -59,14 +60,15 @@ def j05_membership(spark, sf_dir, cutoff: str = "1998-01-01"):
 
 
 def j06_running_evidence(spark, sf_dir):
-    """Signed balance and last levels of each side as events come in."""
+    """Signed balance, last levels of each side and their age in seconds as events come in."""
     rows = signals(spark, sf_dir).filter("side IS NOT NULL")
     so_far = Window.partitionBy("symbol").orderBy("available_at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     signed = F.when(F.col("side") == "BUY", 1).otherwise(-1)
+    last = lambda side, x: F.last(F.when(F.col("side") == side, F.col(x)), ignorenulls=True).over(so_far)
+    age = lambda side: F.floor(F.unix_micros("available_at") / 1_000_000) - F.floor(F.unix_micros(last(side, "available_at")) / 1_000_000)
     return rows.select(
-        "event_id", "symbol", F.sum(signed).over(so_far).alias("balance"),
-        F.last(F.when(F.col("side") == "BUY", F.col("value")), ignorenulls=True).over(so_far).alias("support"),
-        F.last(F.when(F.col("side") == "SELL", F.col("value")), ignorenulls=True).over(so_far).alias("resistance"),
+        "event_id", "symbol", F.sum(signed).over(so_far).alias("balance"), last("BUY", "value").alias("support"), last("SELL", "value").alias("resistance"),
+        age("BUY").alias("support_age"), age("SELL").alias("resistance_age"),
     )
 
 
@@ -108,11 +110,13 @@ def j02_decision_plan(spark, sf_dir):
 
 
 def j11_exclusions(spark, sf_dir):
-    """Customers without orders or with negative balance, with the reason."""
+    """Customers without orders, with negative balance, or without an order in the last year of the table, with the reason."""
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    none = rows.join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
-    bad = rows.filter("c_acctbal < 0")
-    return none.select("c_custkey", F.lit("no_orders").alias("reason")).unionByName(bad.select("c_custkey", F.lit("negative_balance").alias("reason")))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").cast("date").alias("date"))
+    last = orders.groupBy("c_custkey").agg(F.max("date").alias("last")).crossJoin(F.broadcast(orders.agg(F.max("date").alias("end"))))  # one row
+    seen = rows.join(last, "c_custkey", "left")
+    why = C.reasons(no_orders=F.col("last").isNull(), negative_balance=F.col("c_acctbal") < 0, stale=F.datediff("end", "last") > 365)
+    return seen.select("c_custkey", F.explode(why).alias("reason"))
 
 
 def j14_regime_blend(spark, sf_dir):
@@ -180,11 +184,12 @@ def w22_higher_period(spark, sf_dir):
 
 
 def w33_event_age(spark, sf_dir):
-    """Events of a user since its last purchase and since its last error."""
-    by = Window.partitionBy("symbol").orderBy("available_at", "event_id")
-    rows = signals(spark, sf_dir).withColumn("i", F.row_number().over(by))
-    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
-    age = lambda side: F.col("i") - F.last(F.when(F.col("side") == side, F.col("i")), ignorenulls=True).over(so_far)
+    """Sessions since a user's last purchase and last error; sessions are the days with events."""
+    rows = signals(spark, sf_dir).withColumn("day", F.to_date("available_at"))
+    days = rows.select("day").distinct().withColumn("session", F.row_number().over(Window.orderBy("day")))  # one row per day
+    so_far = Window.partitionBy("symbol").orderBy("available_at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(days, "day")
+    age = lambda side: F.col("session") - F.last(F.when(F.col("side") == side, F.col("session")), ignorenulls=True).over(so_far)
     return rows.select("event_id", age("BUY").alias("buy_age"), age("SELL").alias("sell_age"))
 
 
@@ -200,18 +205,27 @@ def w35_first_seen(spark, sf_dir):
     return first.groupBy("symbol", "date").agg(F.count("*").alias("new_parts"))
 
 
-def w36_consensus(spark, sf_dir):
-    """Weighted buy and sell evidence of a user by source, capped by source, with margin and direction."""
-    rows = signals(spark, sf_dir).groupBy("symbol", "event_type").agg(F.least(F.sum("value"), F.lit(2000.0)).alias("w"))
-    total = rows.groupBy("symbol").agg(
-        F.sum(F.when(F.col("event_type").isin("purchase", "click"), F.col("w")).otherwise(0.0)).alias("buy"),
-        F.sum(F.when(F.col("event_type").isin("error", "view"), F.col("w")).otherwise(0.0)).alias("sell"),
-        F.count("*").alias("sources"),
-    )
+def w36_consensus(spark, sf_dir, cap: float = 0.6, min_margin: float = 0.1):
+    """Buy and sell evidence of a user from four sources in two families, normalised, with a family's share capped, margin, independence and direction.
+
+    A source is a type of event, its weight the mean value.  No family may give more than ``cap`` of a
+    side.  Evidence is independent if both families speak for the side that leads.
+    """
+    kinds = {"purchase": ("BUY", "trade"), "click": ("BUY", "traffic"), "error": ("SELL", "trade"), "view": ("SELL", "traffic")}
+    pick = lambda at: F.coalesce(*(F.when(F.col("event_type") == k, v[at]) for k, v in kinds.items()))
+    rows = signals(spark, sf_dir).filter(F.col("event_type").isin(*kinds)).groupBy("symbol", "event_type").agg(F.avg("value").alias("w"))
+    rows = rows.select("symbol", pick(0).alias("side"), pick(1).alias("family"), "w")
+    side = Window.partitionBy("symbol", "side")
+    rows = rows.withColumn("w", F.when(F.count("*").over(side) > 1, F.least(F.col("w"), cap * F.sum("w").over(side))).otherwise(F.col("w")))
+    total = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("w"))), F.lit(0.0))
+    per = rows.groupBy("symbol").agg(
+        total("BUY").alias("buy"), total("SELL").alias("sell"), F.count("*").alias("sources"), F.count_if(F.col("side") == "BUY").alias("n_buy"), F.count_if(F.col("side") == "SELL").alias("n_sell")
+    )
     margin = (F.col("buy") - F.col("sell")) / F.nullif(F.col("buy") + F.col("sell"), F.lit(0.0))
-    return total.select(
-        "symbol", "sources", F.round(margin, 6).alias("margin"),
-        F.when(margin > 0.1, "BUY").when(margin < -0.1, "SELL").otherwise("WAIT").alias("direction"),
+    leading = F.when(margin > 0, F.col("n_buy")).otherwise(F.col("n_sell"))
+    return per.select(
+        "symbol", "sources", F.round(margin, 5).alias("margin"), (leading >= 2).alias("independent"),
+        F.when(margin > min_margin, "BUY").when(margin < -min_margin, "SELL").otherwise("WAIT").alias("direction"),
     )
 
 
@@ -344,13 +358,16 @@ ASOF LEFT JOIN (SELECT * FROM signals WHERE event_type = 'view') v ON p.symbol =
     "j05_membership": """SELECT board, snapshot, available, effective, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY board ORDER BY available DESC, effective DESC, snapshot DESC) AS k
 FROM (SELECT o_custkey AS board, o_orderkey AS snapshot, d AS available, d + CAST(o_orderkey % 7 - 3 AS INTEGER) AS effective, d + CAST(o_orderkey % 3 AS INTEGER) AS finished, o_totalprice
   FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders)) WHERE available <= DATE '1998-01-01' AND effective <= DATE '1998-01-01' AND finished <= DATE '1998-01-01') WHERE k = 1""",
-    "j06_running_evidence": _S + f"SELECT event_id, symbol, CAST(sum(CASE WHEN side = 'BUY' THEN 1 ELSE -1 END) {_RUN} AS BIGINT) AS balance, last_value(CASE WHEN side = 'BUY' THEN value END IGNORE NULLS) {_RUN} AS support, last_value(CASE WHEN side = 'SELL' THEN value END IGNORE NULLS) {_RUN} AS resistance FROM signals WHERE side IS NOT NULL",
+    "j06_running_evidence": _S + f"""SELECT event_id, symbol, balance, support, resistance, CAST(floor(epoch_us(available_at) / 1000000) - floor(epoch_us(buy_at) / 1000000) AS BIGINT) AS support_age, CAST(floor(epoch_us(available_at) / 1000000) - floor(epoch_us(sell_at) / 1000000) AS BIGINT) AS resistance_age
+FROM (SELECT event_id, symbol, available_at, CAST(sum(CASE WHEN side = 'BUY' THEN 1 ELSE -1 END) {_RUN} AS BIGINT) AS balance, last_value(CASE WHEN side = 'BUY' THEN value END IGNORE NULLS) {_RUN} AS support, last_value(CASE WHEN side = 'SELL' THEN value END IGNORE NULLS) {_RUN} AS resistance,
+  last_value(CASE WHEN side = 'BUY' THEN available_at END IGNORE NULLS) {_RUN} AS buy_at, last_value(CASE WHEN side = 'SELL' THEN available_at END IGNORE NULLS) {_RUN} AS sell_at FROM signals WHERE side IS NOT NULL)""",
     "j13_market_signal": _B + "SELECT symbol, b.date, round(close / market_close, 6) AS relative FROM bars b JOIN (SELECT date, round(avg(close), 6) AS market_close FROM bars GROUP BY date) m ON b.date = m.date",
     "j18_effective_rate": sql.with_(sql.FILLS) + "SELECT fill_id, notional * CASE WHEN date < DATE '1996-01-01' THEN 0.003::DOUBLE WHEN date < DATE '1998-06-01' THEN 0.001::DOUBLE ELSE 0.0005::DOUBLE END AS tax FROM fills WHERE side = 'SELL'",
     "j19_effective_session": _S + """SELECT event_id, (SELECT min(CAST(d.available_at AS DATE)) FROM signals d WHERE CAST(d.available_at AS DATE) >= need) AS session
 FROM (SELECT event_id, CAST(available_at AS DATE) + CASE WHEN strftime(available_at, '%H:%M:%S') > '15:00:00' THEN 1 ELSE 0 END AS need FROM signals)""",
     "j02_decision_plan": sql.with_(sql.BARS, sql.FILLS) + "SELECT fill_id, account % 100 AS symbol, f.date, close, volume FROM fills f LEFT JOIN bars b ON b.symbol = f.account % 100 AND b.date = f.date",
-    "j11_exclusions": "SELECT c_custkey, 'no_orders' AS reason FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT c_custkey, 'negative_balance' FROM customer WHERE c_acctbal < 0",
+    "j11_exclusions": """WITH s AS (SELECT c_custkey, c_acctbal, max(CAST(o_orderdate AS DATE)) AS last, (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) AS fin FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2)
+SELECT c_custkey, 'no_orders' AS reason FROM s WHERE last IS NULL UNION ALL SELECT c_custkey, 'negative_balance' FROM s WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'stale' FROM s WHERE fin - last > 365""",
     "j14_regime_blend": sql.with_(sql.BARS, sql.INDUSTRY) + """, own AS (SELECT symbol, date, board, close / open - 1 AS r FROM bars JOIN industry USING (symbol)),
 peer AS (SELECT board, date, avg(r) AS peer FROM own GROUP BY board, date HAVING count(*) >= 2)
 SELECT symbol, date, round(CASE WHEN peer IS NOT NULL THEN greatest(-0.2, least(0.2, 0.7 * r + 0.3 * peer)) ELSE r END, 5) AS blended FROM own LEFT JOIN peer USING (board, date)""",
@@ -362,12 +379,14 @@ SELECT symbol, date, round(CASE WHEN peer IS NOT NULL THEN greatest(-0.2, least(
     "w21_monthly": sql.with_(sql.BARS, _WEEK.replace("week", "month")) + "SELECT symbol, month, open, high, low, close, volume, available FROM published",
     "w22_higher_period": sql.with_(sql.BARS, _WEEK) + """, r AS (SELECT symbol, available, round(close / lag(close) OVER (PARTITION BY symbol ORDER BY week) - 1, 6) AS week_return FROM published)
 SELECT b.symbol, b.date, week_return FROM bars b ASOF LEFT JOIN r ON b.symbol = r.symbol AND b.date >= r.available""",
-    "w33_event_age": _S + f", n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY available_at, event_id) AS i FROM signals) SELECT event_id, i - last_value(CASE WHEN side = 'BUY' THEN i END IGNORE NULLS) {_RUN} AS buy_age, i - last_value(CASE WHEN side = 'SELL' THEN i END IGNORE NULLS) {_RUN} AS sell_age FROM n",
+    "w33_event_age": _S[:-1] + f", n AS (SELECT *, dense_rank() OVER (ORDER BY CAST(available_at AS DATE)) AS i FROM signals) SELECT event_id, i - last_value(CASE WHEN side = 'BUY' THEN i END IGNORE NULLS) {_RUN} AS buy_age, i - last_value(CASE WHEN side = 'SELL' THEN i END IGNORE NULLS) {_RUN} AS sell_age FROM n",
     "w34_first_visible": _S + "SELECT symbol, event_type, CAST(floor(value) AS BIGINT) AS original, min(event_id) AS event_id, count(*) AS n FROM signals GROUP BY 1, 2, 3",
     "w35_first_seen": sql.with_(sql.TRADES) + "SELECT symbol, date, count(*) AS new_parts FROM (SELECT symbol, part, min(date) AS date FROM trades GROUP BY symbol, part) GROUP BY symbol, date",
-    "w36_consensus": _S + """, s AS (SELECT symbol, event_type, least(sum(value), 2000.0) AS w FROM signals GROUP BY symbol, event_type),
-t AS (SELECT symbol, count(*) AS sources, sum(CASE WHEN event_type IN ('purchase', 'click') THEN w ELSE 0 END) AS buy, sum(CASE WHEN event_type IN ('error', 'view') THEN w ELSE 0 END) AS sell FROM s GROUP BY symbol)
-SELECT symbol, sources, round(m, 6) AS margin, CASE WHEN m > 0.1 THEN 'BUY' WHEN m < -0.1 THEN 'SELL' ELSE 'WAIT' END AS direction FROM (SELECT *, (buy - sell) / nullif(buy + sell, 0) AS m FROM t)""",
+    "w36_consensus": _S[:-1] + """, s AS (SELECT symbol, CASE WHEN event_type IN ('purchase', 'click') THEN 'BUY' ELSE 'SELL' END AS side, avg(value) AS w FROM signals WHERE event_type IN ('purchase', 'click', 'error', 'view') GROUP BY symbol, event_type),
+c AS (SELECT symbol, side, CASE WHEN count(*) OVER (PARTITION BY symbol, side) > 1 THEN least(w, 0.6::DOUBLE * sum(w) OVER (PARTITION BY symbol, side)) ELSE w END AS w FROM s),
+t AS (SELECT symbol, count(*) AS sources, coalesce(sum(w) FILTER (side = 'BUY'), 0) AS buy, coalesce(sum(w) FILTER (side = 'SELL'), 0) AS sell, count(*) FILTER (side = 'BUY') AS nb, count(*) FILTER (side = 'SELL') AS ns FROM c GROUP BY symbol),
+m AS (SELECT *, (buy - sell) / nullif(buy + sell, 0) AS m FROM t)
+SELECT symbol, sources, round(m, 5) AS margin, CASE WHEN m > 0 THEN nb >= 2 ELSE ns >= 2 END AS independent, CASE WHEN m > 0.1 THEN 'BUY' WHEN m < -0.1 THEN 'SELL' ELSE 'WAIT' END AS direction FROM m""",
     "w37_validity": _B + """, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, max(high) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS level FROM bars)
 SELECT a.symbol, a.date, CAST(coalesce(min(CASE WHEN b.close < a.level THEN b.i - a.i - 1 END), count(b.i)) AS INTEGER) AS alive
 FROM n a LEFT JOIN n b ON a.symbol = b.symbol AND b.i BETWEEN a.i + 1 AND a.i + 10 WHERE a.close > a.level GROUP BY a.symbol, a.date""",

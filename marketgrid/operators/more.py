@@ -103,12 +103,22 @@ def j04_profile_as_of(spark, sf_dir):
     return as_of(months, bars, ["symbol"], "month_end", "date", ["close"]).select("symbol", "month_end", F.col("date_seen").alias("seen"), "close")
 
 
-def j15_snapshot_compare(spark, sf_dir):
-    """Old and new classification of customers compared: kept, changed, dropped; the universe stays."""
+def j15_snapshot_compare(spark, sf_dir, least_coverage: float = 0.8):
+    """Old and new classification of customers compared; a class that keeps less than ``least_coverage`` of its members is refused and stays as it was.
+
+    The new snapshot lacks every seventh customer and moves every fifth; a second authority that names
+    another class for a customer is a conflict and changes nothing.
+    """
+    key = F.col("c_custkey")
     old = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("old"))
-    new = table(spark, sf_dir, "customer").filter("c_custkey % 7 <> 0").select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, "MOVED").otherwise(F.col("c_mktsegment")).alias("new"))
-    state = F.when(F.col("new").isNull(), "dropped").when(F.col("new") != F.col("old"), "changed").otherwise("kept")
-    return old.join(new, "c_custkey", "left").groupBy("old", state.alias("state")).agg(F.count("*").alias("n"))
+    new = table(spark, sf_dir, "customer").filter(key % 7 != 0).select("c_custkey", F.when(key % 5 == 0, "MOVED").otherwise(F.col("c_mktsegment")).alias("new"), F.when(key % 11 == 0, "OTHER").alias("second"))
+    conflict = F.col("second").isNotNull() & (F.col("second") != F.col("new"))
+    state = F.when(F.col("new").isNull(), "dropped").when(conflict, "conflict").when(F.col("new") != F.col("old"), "changed").otherwise("kept")
+    rows = old.join(new, "c_custkey", "left").withColumn("state", state)
+    held = rows.groupBy("old").agg(F.avg((F.col("state") != "dropped").cast("double")).alias("coverage"))
+    return rows.groupBy("old", "state").agg(F.count("*").alias("n")).join(held, "old").select(
+        "old", "state", "n", F.round("coverage", 6).alias("coverage"), F.when(F.col("coverage") < least_coverage, "refused").otherwise("applied").alias("verdict")
+    )
 
 
 def k05_latest_date(spark, sf_dir):
@@ -227,13 +237,17 @@ def w32_adjusted(spark, sf_dir):
     return rows.select("symbol", "date", F.coalesce(after, F.lit(0.0)).cast("long").alias("log2_factor"))
 
 
-def w40_maturity_split(spark, sf_dir):
-    """Bars by split, leaving out those whose ten-session outcome reaches into the next one."""
+def w40_maturity_split(spark, sf_dir, parts: int = 4, horizon: int = 10, first: int = 5):
+    """Bars by part of the sessions: used, left out as their outcome reaches into the next part, or as they lie in a part's first sessions; all are accounted for."""
     rows = _indexed(spark, sf_dir)
     last = calendar(spark, sf_dir).agg(F.max("session").alias("n"))
-    part = lambda s: F.floor((s - 1) * 4 / F.col("n"))
-    rows = rows.crossJoin(F.broadcast(last)).select(part(F.col("session")).alias("part"), part(F.least(F.col("session") + 10, F.col("n"))).alias("end_part"))  # one row
-    return rows.groupBy("part").agg(F.count_if(F.col("part") == F.col("end_part")).alias("used"), F.count_if(F.col("part") != F.col("end_part")).alias("gap"))
+    part = lambda s: F.floor((s - 1) * parts / F.col("n"))
+    rows = rows.crossJoin(F.broadcast(last)).select(  # one row
+        part(F.col("session")).alias("part"), part(F.least(F.col("session") + horizon, F.col("n"))).alias("end_part"), part(F.greatest(F.col("session") - first, F.lit(1))).alias("start_part"),
+        (F.col("session") + horizon > F.col("n")).alias("open"),
+    )
+    why = F.when(F.col("open"), "immature").when(F.col("part") != F.col("end_part"), "maturity_gap").when((F.col("part") > 0) & (F.col("part") != F.col("start_part")), "first_sessions").otherwise("used")
+    return rows.groupBy("part").agg(*(F.count_if(why == x).alias(x) for x in ("used", "maturity_gap", "first_sessions", "immature")), F.count("*").alias("bars"))
 
 
 def w48_continuous(spark, sf_dir):
@@ -274,7 +288,10 @@ ORACLE = {
     "p27_forecast_gate": "SELECT vec_id, round(up, 6) AS up, concat_ws(',', CASE WHEN round(mean, 6) < 0 THEN 'low_mean' END, CASE WHEN up < 0.5 THEN 'few_up' END) AS reasons FROM (SELECT vec_id, avg(x) AS mean, avg(CAST(x > 0 AS INT)) AS up FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY vec_id)",
     "p29_drill_down": _S + "SELECT symbol, CAST(available_at AS DATE) AS day, CAST(count(*) AS INTEGER) AS n FROM signals GROUP BY 1, 2 HAVING bool_or(event_type = 'purchase' AND value > 90)",
     "j04_profile_as_of": _B + "SELECT symbol, last_day(date) AS month_end, max(date) AS seen, arg_max(close, date) AS close FROM bars GROUP BY 1, 2",
-    "j15_snapshot_compare": "SELECT o.c_mktsegment AS old, CASE WHEN n.seg IS NULL THEN 'dropped' WHEN n.seg <> o.c_mktsegment THEN 'changed' ELSE 'kept' END AS state, count(*) AS n FROM customer o LEFT JOIN (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'MOVED' ELSE c_mktsegment END AS seg FROM customer WHERE c_custkey % 7 <> 0) n ON o.c_custkey = n.c_custkey GROUP BY 1, 2",
+    "j15_snapshot_compare": """WITH r AS (SELECT o.c_mktsegment AS old, CASE WHEN n.seg IS NULL THEN 'dropped' WHEN second <> n.seg THEN 'conflict' WHEN n.seg <> o.c_mktsegment THEN 'changed' ELSE 'kept' END AS state FROM customer o LEFT JOIN
+  (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'MOVED' ELSE c_mktsegment END AS seg, CASE WHEN c_custkey % 11 = 0 THEN 'OTHER' END AS second FROM customer WHERE c_custkey % 7 <> 0) n ON o.c_custkey = n.c_custkey),
+c AS (SELECT old, avg(CAST(state <> 'dropped' AS INT)) AS coverage FROM r GROUP BY old)
+SELECT old, state, count(*) AS n, round(any_value(coverage), 6) AS coverage, CASE WHEN any_value(coverage) < 0.8 THEN 'refused' ELSE 'applied' END AS verdict FROM r JOIN c USING (old) GROUP BY old, state""",
     "k05_latest_date": "SELECT CAST(max(l_shipdate) AS DATE) AS last FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02'",
     "a16_ranking_eligibility": "SELECT source, count(*) AS n, count(quality) AS known, count(quality) >= 5 AND count(quality) * 5 >= count(*) * 4 AS eligible FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
     "a32_paired_difference": _B + "SELECT count(*) AS n, round(avg(a - b), 6) AS mean, round(stddev_samp(a - b), 6) AS sd, round(sum(ln(1 + a) - ln(1 + b)), 5) AS log_growth, round(sqrt(252.0) * (avg(a) / stddev_samp(a) - avg(b) / stddev_samp(b)), 5) AS sharpe FROM (SELECT date, avg(CASE WHEN symbol % 2 = 0 THEN close / open - 1 END) AS a, avg(CASE WHEN symbol % 2 = 1 THEN close / open - 1 END) AS b FROM bars GROUP BY date) WHERE a IS NOT NULL AND b IS NOT NULL",
@@ -284,7 +301,9 @@ ORACLE = {
     "w26_dependency": _BC[:-1] + _IDX + ", d AS (SELECT symbol, date, session - lag(session, 64) OVER w AS span, CAST(sum(1 - verified) OVER (PARTITION BY symbol ORDER BY session ROWS BETWEEN 64 PRECEDING AND CURRENT ROW) AS BIGINT) AS bad FROM x WINDOW w AS (PARTITION BY symbol ORDER BY session)) SELECT symbol, date, span, bad, coalesce(span = 64 AND bad = 0, false) AS complete FROM d",
     "w29_interval_return": sql.with_(sql.BARS, sql.INDUSTRY)[:-1] + ", o AS (SELECT symbol, date, board, close / lag(close, 5) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM bars JOIN industry USING (symbol)) SELECT symbol, date, round(r - avg(r) OVER (PARTITION BY board, date), 6) AS relative FROM o",
     "w32_adjusted": _B[:-1] + ", f AS (SELECT symbol, date, CASE WHEN open / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY date), 0) > 2 THEN -1 ELSE 0 END AS l FROM bars) SELECT symbol, date, CAST(coalesce(sum(l) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS BIGINT) AS log2_factor FROM f",
-    "w40_maturity_split": _BC[:-1] + ", n AS (SELECT max(session) AS n FROM calendar), p AS (SELECT CAST(floor((session - 1) * 4 / n) AS BIGINT) AS part, CAST(floor((least(session + 10, n) - 1) * 4 / n) AS BIGINT) AS e FROM bars JOIN calendar USING (date), n) SELECT part, count(*) FILTER (part = e) AS used, count(*) FILTER (part <> e) AS gap FROM p GROUP BY part",
+    "w40_maturity_split": _BC[:-1] + """, n AS (SELECT max(session) AS n FROM calendar), p AS (SELECT CAST(floor((session - 1) * 4 / n) AS BIGINT) AS part, CAST(floor((least(session + 10, n) - 1) * 4 / n) AS BIGINT) AS e, CAST(floor((greatest(session - 5, 1) - 1) * 4 / n) AS BIGINT) AS s, session + 10 > n AS o FROM bars JOIN calendar USING (date), n),
+w AS (SELECT part, CASE WHEN o THEN 'immature' WHEN part <> e THEN 'maturity_gap' WHEN part > 0 AND part <> s THEN 'first_sessions' ELSE 'used' END AS why FROM p)
+SELECT part, count(*) FILTER (why = 'used') AS used, count(*) FILTER (why = 'maturity_gap') AS maturity_gap, count(*) FILTER (why = 'first_sessions') AS first_sessions, count(*) FILTER (why = 'immature') AS immature, count(*) AS bars FROM w GROUP BY part""",
     "w48_continuous": _BC[:-1] + _IDX + " SELECT symbol, date, coalesce(min(CAST(least(open, high, low, close) > 0 AS INT)) OVER (PARTITION BY symbol ORDER BY session ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) = 1 AND session - lag(session, 20) OVER (PARTITION BY symbol ORDER BY session) = 20, false) AS reliable FROM x",
     "w51_span": _BC[:-1] + _IDX + " SELECT * FROM (SELECT symbol, date, session - lag(session, 20) OVER (PARTITION BY symbol ORDER BY session) - 20 AS missing FROM x) WHERE missing IS NOT NULL",
     "p26_eligibility": _B + "SELECT concat_ws(',', CASE WHEN verified = 0 THEN 'unverified' END, CASE WHEN high = low THEN 'no_range' END, CASE WHEN n_lines % 5 = 4 THEN 'future_metadata' END) AS reasons, count(*) AS n FROM bars GROUP BY 1",

@@ -163,7 +163,12 @@ PLANS: dict[str, Staged] = {
             "unit_disagrees": "CASE WHEN unit_price > high * 1.01 OR unit_price < low * 0.99 THEN 1 ELSE 0 END",
             "gap_in_20": f"max(action_gap) {frame(20)}",
         },
-        plain=("unit_disagrees", "action_gap", "gap_in_20"),
+        {
+            "reasons": "concat_ws(',', CASE WHEN open <= 0 OR low <= 0 THEN 'price_not_positive' END, CASE WHEN high < greatest(open, close, low) OR low > least(open, close, high) THEN 'range_inverted' END,"
+            " CASE WHEN volume <= 0 THEN 'no_volume' END, CASE WHEN unit_disagrees = 1 THEN 'units_disagree' END, CASE WHEN action_gap = 1 THEN 'action_gap_suspected' END,"
+            " CASE WHEN gap_in_20 = 1 AND action_gap = 0 THEN 'action_gap_in_window' END, CASE WHEN verified = 0 THEN 'unverified' END)"
+        },
+        plain=("unit_disagrees", "action_gap", "gap_in_20", "reasons"),
     ),
     "w15_overlays": bars(
         ["sma20", "upper", "lower", "direction"],
