@@ -67,8 +67,47 @@ def test_plan_fills_bins_without_gaps(capacity):
                 assert offset == end
                 end += length
             assert end <= capacity
-        # Best-fit decreasing needs at most 11/9 of the best plus one.
-        assert len(bins) <= 11 / 9 * -(-sum(n * c for n, c in counts.items()) // capacity) + max(counts.values()) * len(counts)
+        assert len(bins) == one_by_one(counts, capacity)
+        assert len(bins) >= -(-sum(n * c for n, c in counts.items()) // capacity)
+
+
+def one_by_one(counts, capacity):
+    """Sequences that best-fit decreasing needs when it takes the pieces one after the other."""
+    rooms = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            fits = [r for r in rooms if r >= length]
+            if fits:
+                rooms.remove(min(fits))
+                rooms.append(min(fits) - length)
+            else:
+                rooms.append(capacity - length)
+    return len(rooms)
+
+
+def test_automaton_starts_over_when_its_states_are_too_many(library, monkeypatch):
+    from marketgrid.llm import bpe_automaton
+    from marketgrid.llm.common import vocabulary_path
+
+    monkeypatch.setattr(bpe_automaton, "MAX_STATES", 40)
+    coder, rng = bpe_automaton.BpeAutomaton(vocabulary_path()), random.Random(4)
+    for _ in range(400):
+        word = "".join(rng.choice("aeioutnsrlhdéç中0 \n!<") for _ in range(rng.randrange(1, 60)))
+        assert np.frombuffer(coder.encode_packed(word), "<u4").tolist() == library.encode(word, add_special_tokens=False).ids
+        assert coder.decode_packed(coder.encode_packed(word)) == word
+    assert len(coder.last) <= 40 + 60
+
+
+def test_long_words_are_linear(library):
+    import time
+
+    from marketgrid.llm.bpe_automaton import automaton
+    from marketgrid.llm.common import vocabulary_path
+
+    coder, began = automaton(vocabulary_path()), time.perf_counter()
+    packed = coder.encode_packed("x" * 300_000 + " " + "ab" * 150_000)
+    assert time.perf_counter() - began < 10
+    assert np.frombuffer(packed, "<u4")[:1000].tolist() == library.encode("x" * 300_000, add_special_tokens=False).ids[:1000]
 
 
 def test_op9_packs_every_token_once(spark, library):

@@ -86,6 +86,16 @@ def test_nulls_and_repeats_in_jaccard(spark):
     assert got == Counter({(None, None): 1, (5, 2): 2, (2, 2): 1, (9, 9): 1})
 
 
+def test_texts_under_one_id_stay_apart_and_one_row_of_each_group_stays(spark):
+    one, two = "one two three four five six seven eight nine ten", "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(3, two), (5, one), (5, two), (7, one), (7, one), (None, one), (None, "a text that only rows without an id have"), (None, "a text that only rows without an id have"), (9, ""), (9, ""), (10, None)]
+    frame = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, h1 int")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.link(frame).collect())
+    assert got[5, 7, 5] == 1 and got[5, 7, 3] == 1 and got[7, 7, 5] == 2 and got[3, 7, 3] == 1 and got[9, 0, 9] == 2
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.keep_one(frame).collect()), key=str)
+    assert kept == sorted([(3, two), (5, one), (None, rows[6][1]), (9, ""), (10, None)], key=str)
+
+
 def brute_measures(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -200,6 +210,62 @@ def test_substring_dedup_keeps_the_first(spark):
     assert substring_dedup.dedup(frame.limit(0)).count() == 0
 
 
+def test_substring_dedup_equals_brute_force(spark):
+    """Digests that the jobs find are those of a dictionary; kept text is the original without the spans, byte for byte."""
+    rng = random.Random(21)
+    shared = [prose(rng, n) + "." for n in (5, 8, 12, 30, 60)]
+    rows = []
+    for k in range(40):
+        parts = [prose(rng, rng.randrange(1, 40)) for _ in range(6)] + rng.sample(shared, 2)
+        rng.shuffle(parts)
+        rows.append((k, rng.choice(["\n", "\n\n", " ", "  ", "\n    "]).join(parts) + rng.choice(["", "\n", "  "])))
+    first = {}
+    for k, text in rows:
+        found = substring_dedup.units(text)
+        for u in [*found, *substring_dedup.windows(found)]:
+            first.setdefault(u[2], k)
+    got = {r.doc_id: r for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        found = substring_dedup.units(text)
+        repeated = {substring_dedup._digest(u[2]) for u in [*found, *substring_dedup.windows(found)] if first[u[2]] < k}
+        want, spans = substring_dedup._cut(text, repeated)
+        assert got[k].text == want and [(s.start, s.end) for s in got[k].removed] == spans
+        kept, at = "", 0
+        for start, end in spans:
+            kept, at = kept + text[at:start], end
+        assert got[k].text == kept + text[at:]
+        # Whole lines of five words and more that an earlier document has are gone, all others of one document stay.
+        for line in text.split("\n"):
+            normal = " ".join(line.split()).lower()
+            if first.get(normal, k) < k and len(normal.split()) >= 5:
+                assert normal not in got[k].text.lower().split("\n")
+
+
+def test_battery_and_false_discovery(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    keys = ["".join(rng.choice(letters, 40)) for _ in range(300)]
+    passed = [secrets.battery(k, 62) for k in keys]
+    assert 0.2 < float(np.median(passed)) < 0.8 and sum(p < 0.05 for p in passed) < 40  # p-values of uniform strings are near uniform
+    assert secrets.battery("theseareseveraleasyenglishletterstreesseeneseetheten", 36) < 0.05 and secrets.battery("a" * 40, 36) < 1e-6
+    text = random.Random(5)
+    frame = spark.createDataFrame([(k, " ".join(prose(text, 20) for _ in range(10))) for k in range(40)], "doc_id long, text string")
+    log_text = secrets.text_model(secrets.pair_counts(frame, "text"))
+    null = secrets.null_counts(spark, log_text)
+    assert (null[:, 0] == secrets.DRAWS).all() and (np.diff(null, axis=1) <= 0).all()
+    # The longer ordinary text is, the more seldom it looks random.
+    assert (np.diff(null[:, 500]) <= 0.02 * secrets.DRAWS).all() and null[-1, 500] < 0.05 * secrets.DRAWS
+    row = secrets.span_finder(log_text, null)
+    scores = [t["score"] for k in keys[:50] for t in row(f"word {k} word")[4]]
+    assert len(scores) == 50 and min(scores) > 50
+    assert all(t["score"] < 50 for t in row("a_plain_name_of_words theotherplainname_again " * 3)[4])
+    # A candidate that touches a base span is not tested, however many there are.
+    many = " ".join(f"token={k}" for k in keys) + " " + keys[0]
+    assert [many[t["start"] : t["end"]] for t in row(many)[4]] == [keys[0]]
+
+
 def test_licences(spark):
     rng = random.Random(6)
     sentences = [f for f in licenses.TEMPLATES.items()]
@@ -213,3 +279,26 @@ def test_licences(spark):
         span = got[10 + k].spans[0]
         assert dict(rows)[10 + k][span.start : span.end] == s[0]
     assert not any(got[i].families for i, _ in rows if i < 10 or i >= 100)
+    assert licenses.scan(frame.limit(0)).count() == 0
+
+
+def test_licence_model_on_held_out_rows(spark):
+    rng = random.Random(16)
+    frame = spark.createDataFrame([(k, "\n".join(prose(rng, 15) for _ in range(6))) for k in range(80)] + [(None, None), (80, "")], "doc_id long, text string")
+    model = licenses.train(frame, "doc_id", "text")
+    held = licenses.training_rows([prose(rng, 12).split() for _ in range(20)], seed=1234)
+    right = sum(model.classify(tokens)[0] == family for family, tokens in held)
+    wrong = sum(model.classify(tokens)[0] not in (family, licenses.UNKNOWN) for family, tokens in held)
+    assert right >= 0.85 * len(held) and wrong <= 0.02 * len(held)
+    talk = ("They argued whether a license is needed to sell fish.", "The copyright of the song belongs to her.", "He explained the Apache license to us.", prose(rng, 15))
+    assert all(model.classify(licenses.words(t))[0] == licenses.UNKNOWN for t in talk)
+    # No licence word in it: found by the classifier alone.
+    bare = "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose."
+    assert model.classify(licenses.words(bare))[0] == "Unlicense"
+    # The bound that spares the soft-max never changes a verdict.
+    for family, tokens in held[::7]:
+        found = model.found(tokens)
+        p = licenses._softmax(model.logits(found) / model.temperature)
+        best = int(p.argmax())
+        sure = model.families[best] != licenses.UNKNOWN and p[best] >= model.least and model.confirmed(model.families[best], tokens)
+        assert (model.classify(tokens)[0] != licenses.UNKNOWN) == sure
