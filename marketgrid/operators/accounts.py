@@ -26,6 +26,31 @@ def a27_ledger(spark, sf_dir):
     )
 
 
+def ledger_rows(fills_of: pd.DataFrame) -> pd.DataFrame:
+    """Position, average cost, realised profit and equity at cost after each fill of an account, in order.
+
+    Buying moves the average cost, selling realises against it; a sale of more than is held sells what is held.
+    """
+    held, cost, realised, out = 0, 0.0, 0.0, []
+    for x in fills_of.sort_values(["date", "fill_id"]).itertuples(index=False):
+        price = x.notional / x.shares
+        if x.side == "BUY":
+            cost = (cost * held + x.notional) / (held + x.shares)
+            held += x.shares
+        else:
+            sold = min(held, x.shares)
+            realised += sold * (price - cost)
+            held -= sold
+            cost = cost if held else 0.0
+        out.append((x.account, x.fill_id, held, round(cost, 6) if held else None, round(realised, 4), round(realised + held * (price - cost), 4)))
+    return pd.DataFrame(out, columns=["account", "fill_id", "held", "average_cost", "realised", "marked"])
+
+
+def a27_average_cost(spark, sf_dir):
+    """Each account's fills in order, as its average cost depends on the fill before; an account is one ordered group."""
+    return fills(spark, sf_dir).groupBy("account").applyInPandas(ledger_rows, "account long, fill_id long, held long, average_cost double, realised double, marked double")
+
+
 def a28_fifo(spark, sf_dir):
     """Sells matched first-in first-out to earlier bought lots of the account.
 
@@ -224,9 +249,15 @@ def a25_case_scores(spark, sf_dir):
 
 
 def a33_sufficiency(spark, sf_dir):
-    """Named checks per account, one row each."""
-    per = fills(spark, sf_dir).groupBy("account").agg(F.count("*").alias("n"), F.count_distinct("side").alias("sides"), F.sum("notional").alias("amount"))
-    return per.selectExpr("account", "stack(3, 'enough_fills', n >= 5, 'both_sides', sides = 2, 'turnover', amount > 500000) AS (check_name, passed)")
+    """Named checks of consistency and sufficiency of each account, one row each: fills, sides, turnover, span, one class of size, no day without order."""
+    per = fills(spark, sf_dir).groupBy("account").agg(
+        F.count("*").alias("n"), F.count_distinct("side").alias("sides"), F.sum("notional").alias("amount"), F.datediff(F.max("date"), F.min("date")).alias("span"),
+        F.max("notional").alias("largest"), (F.count("*") - F.count_distinct("fill_id")).alias("doubled"),
+    )
+    return per.selectExpr(
+        "account",
+        "stack(6, 'enough_fills', n >= 5, 'both_sides', sides = 2, 'turnover', amount > 500000, 'long_enough', span >= 365, 'not_one_fill', largest < 0.8 * amount, 'unique_fills', doubled = 0) AS (check_name, passed)",
+    )
 
 
 def a35_loss_funnel(spark, sf_dir):
@@ -519,13 +550,15 @@ def w11_robust_volume(spark, sf_dir):
     return rows.select("symbol", "date", F.round((F.col("volume") - F.col("mid")) / F.greatest(1.4826 * mad, F.lit(1.0)), 6).alias("robust"))
 
 
-def w18_liquidity(spark, sf_dir):
-    """Eligibility by a full verified window of 20 bars and its median amount."""
-    window = Window.partitionBy("symbol").orderBy("date").rowsBetween(-19, 0)
-    rows = bars_daily(spark, sf_dir)
+def w18_liquidity(spark, sf_dir, least_amount: float = 30_000.0):
+    """Eligibility by a full verified window of 20 bars on 20 sessions in a row of the calendar, and its median amount; the first failing rule is the reason."""
+    by = Window.partitionBy("symbol").orderBy("session")
+    window = by.rowsBetween(-19, 0)
+    rows = bars_daily(spark, sf_dir).join(calendar(spark, sf_dir), "date")
     n, mid, bad = F.count("*").over(window), F.percentile("amount", F.lit(0.5)).over(window), F.max((F.col("verified") == 0).cast("int")).over(window)
-    reason = F.when(n < 20, "short").when(bad == 1, "unverified").when(mid < 30000, "thin").otherwise("ok")
-    return rows.select("symbol", "date", F.round(F.when(n == 20, mid), 4).alias("median_amount"), reason.alias("reason"))
+    missing = F.col("session") - F.lag("session", 19).over(by) - 19
+    reason = F.when(n < 20, "short").when(missing > 0, "sessions_missing").when(bad == 1, "unverified").when(mid < least_amount, "thin").otherwise("ok")
+    return rows.select("symbol", "date", F.round(F.when(n == 20, mid), 4).alias("median_amount"), missing.alias("missing"), reason.alias("reason"))
 
 
 _F, _B, _BC = sql.with_(sql.FILLS), sql.with_(sql.BARS), sql.with_(sql.BARS, sql.CALENDAR)
@@ -563,7 +596,7 @@ SELECT klass, actual, predicted, round(hits / nullif(predicted, 0), 6) AS "preci
     "a25_case_scores": sql.with_(_X)[:-1] + """, h AS (SELECT vec_id, quantile_cont(x, 0.1) AS lo, quantile_cont(x, 0.9) AS hi, avg(x) AS mid, avg(CAST(x > 0 AS INT)) AS up FROM x WHERE i < 32 GROUP BY vec_id),
 p AS (SELECT vec_id, avg(abs(x - mid)) AS mae, stddev_pop(x) AS sd, avg(CAST(x >= lo AND x <= hi AS INT)) AS coverage, max(hi - lo) AS width, avg((up - CAST(x > 0 AS INT)) ** 2) AS brier FROM x JOIN h USING (vec_id) WHERE i >= 32 GROUP BY vec_id)
 SELECT vec_id, round(mae, 5) AS mae, round(mae / nullif(sd, 0), 5) AS normalised_mae, round(brier, 5) AS brier, round(coverage, 5) AS coverage, round(width, 5) AS width, round(mae / nullif(sd, 0) + brier + abs(coverage - 0.8), 5) AS loss FROM p""",
-    "a33_sufficiency": _F + ", p AS (SELECT account, count(*) AS n, count(DISTINCT side) AS sides, sum(notional) AS amount FROM fills GROUP BY account) SELECT account, 'enough_fills' AS check_name, n >= 5 AS passed FROM p UNION ALL SELECT account, 'both_sides', sides = 2 FROM p UNION ALL SELECT account, 'turnover', amount > 500000 FROM p",
+    "a33_sufficiency": _F[:-1] + ", p AS (SELECT account, count(*) AS n, count(DISTINCT side) AS sides, sum(notional) AS amount, max(date) - min(date) AS span, max(notional) AS largest, count(*) - count(DISTINCT fill_id) AS doubled FROM fills GROUP BY account) SELECT account, 'enough_fills' AS check_name, n >= 5 AS passed FROM p UNION ALL SELECT account, 'both_sides', sides = 2 FROM p UNION ALL SELECT account, 'turnover', amount > 500000 FROM p UNION ALL SELECT account, 'long_enough', span >= 365 FROM p UNION ALL SELECT account, 'not_one_fill', largest < 0.8 * amount FROM p UNION ALL SELECT account, 'unique_fills', doubled = 0 FROM p",
     "a35_loss_funnel": _F + """SELECT CASE WHEN side <> 'BUY' THEN 'not_entry' WHEN notional < 50000 THEN 'too_small' WHEN date < DATE '1996-01-01' THEN 'too_early' ELSE 'kept' END AS gate,
   CASE WHEN notional >= 150000 THEN 'large' ELSE 'small' END || '_' || CASE WHEN date >= DATE '1997-01-01' THEN 'late' ELSE 'early' END AS quadrant, count(*) AS n, round(quantile_cont(notional, 0.25), 2) AS p25,
   round(quantile_cont(notional, 0.5), 2) AS median, round(quantile_cont(notional, 0.75), 2) AS p75 FROM fills GROUP BY 1, 2""",
@@ -604,6 +637,7 @@ SELECT symbol, as_of, round(lo, 6) AS low, round(hi, 6) AS high, list_aggregate(
     "w11_robust_volume": _B + """, n AS (SELECT symbol, date, volume, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, quantile_cont(volume, 0.5) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS mid FROM bars)
 SELECT a.symbol, a.date, round((any_value(a.volume) - any_value(a.mid)) / greatest(1.4826 * quantile_cont(abs(b.volume - a.mid), 0.5), 1.0), 6) AS robust
 FROM n a JOIN n b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 60 AND a.i - 1 WHERE a.i > 60 GROUP BY a.symbol, a.date""",
-    "w18_liquidity": _B + ", q AS (SELECT symbol, date, count(*) OVER w AS n, quantile_cont(amount, 0.5) OVER w AS mid, max(1 - verified) OVER w AS bad FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT symbol, date, round(CASE WHEN n = 20 THEN mid END, 4) AS median_amount, CASE WHEN n < 20 THEN 'short' WHEN bad = 1 THEN 'unverified' WHEN mid < 30000 THEN 'thin' ELSE 'ok' END AS reason FROM q",
+    "w18_liquidity": _BC[:-1] + """, x AS (SELECT * FROM bars JOIN calendar USING (date)), q AS (SELECT symbol, date, count(*) OVER w AS n, quantile_cont(amount, 0.5) OVER w AS mid, max(1 - verified) OVER w AS bad, session - lag(session, 19) OVER (PARTITION BY symbol ORDER BY session) - 19 AS missing FROM x WINDOW w AS (PARTITION BY symbol ORDER BY session ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+SELECT symbol, date, round(CASE WHEN n = 20 THEN mid END, 4) AS median_amount, missing, CASE WHEN n < 20 THEN 'short' WHEN missing > 0 THEN 'sessions_missing' WHEN bad = 1 THEN 'unverified' WHEN mid < 30000 THEN 'thin' ELSE 'ok' END AS reason FROM q""",
 }
-QUERIES = {name: globals()[name] for name in ORACLE} | {"a31_bootstrap": a31_bootstrap, "w50_target_path": w50_target_path, "w16_quantiles_all": w16_quantiles_all, "w17_histogram_all": w17_histogram_all}
+QUERIES = {name: globals()[name] for name in ORACLE} | {"a27_average_cost": a27_average_cost, "a31_bootstrap": a31_bootstrap, "w50_target_path": w50_target_path, "w16_quantiles_all": w16_quantiles_all, "w17_histogram_all": w17_histogram_all}

@@ -199,13 +199,19 @@ def a06_issue_maps(spark, sf_dir):
     return listed.crossJoin(missing).crossJoin(counts("category")).crossJoin(counts("severity"))  # one row each
 
 
-def a07_recent_audit(spark, sf_dir):
+def a07_recent_audit(spark, sf_dir, bars: int = 60):
+    """Audit of each symbol's last bars: counts, bars by where they come from as a map, and whether the last one may be traded, with the reason."""
     back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
-    last = bars_daily(spark, sf_dir).withColumn("back", back).filter("back <= 60")
-    return last.groupBy("symbol").agg(
+    last = bars_daily(spark, sf_dir).withColumn("back", back).filter(F.col("back") <= bars)
+    last = last.withColumn("source", F.when(F.col("verified") == 1, "verified").when(F.col("n_lines") > 1, "merged").otherwise("single"))
+    counts = last.groupBy("symbol", "source").agg(F.count("*").alias("n")).groupBy("symbol").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "n"))))).alias("sources"))
+    newest = lambda x: F.max(F.when(F.col("back") == 1, x))
+    per = last.groupBy("symbol").agg(
         F.count("*").alias("n"), F.count_if(F.col("verified") == 0).alias("unverified"), F.count_if(F.col("high") == F.col("low")).alias("flat"),
-        F.max(F.when(F.col("back") == 1, F.col("verified"))).alias("tradable"),
+        newest(F.col("verified")).alias("verified_now"), newest((F.col("high") > F.col("low")).cast("int")).alias("moves"),
     )
+    why = F.when(F.col("n") < bars, "short_history").when(F.col("verified_now") == 0, "last_unverified").when(F.col("moves") == 0, "last_flat").otherwise("ok")
+    return per.join(counts, "symbol").select("symbol", "n", "unverified", "flat", "sources", why.alias("verdict"))
 
 
 def a43_calendar(spark, sf_dir):
@@ -342,8 +348,10 @@ FROM (SELECT *, session - lag(session, 1, 0) OVER (PARTITION BY symbol ORDER BY
     "a05_issues": _B[:-1] + _A05 + " SELECT symbol, category, severity, n FROM issues",
     "a06_issue_rollup": _B[:-1] + _A05 + " SELECT category, severity, count(*) AS issues, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT symbol) AS symbols FROM issues GROUP BY 1, 2",
     "a06_issue_maps": _B[:-1] + _A05 + f" SELECT (SELECT count(*) FROM supplier) AS checked, (SELECT count(*) FROM issues WHERE category = 'missing_data') AS missing, (SELECT count(*) FROM issues) AS issues, {_JSON.format('category')}, {_JSON.format('severity')}",
-    "a07_recent_audit": _B + """SELECT symbol, count(*) AS n, count(*) FILTER (verified = 0) AS unverified, count(*) FILTER (high = low) AS flat, max(CASE WHEN back = 1 THEN verified END) AS tradable
-FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM bars) WHERE back <= 60 GROUP BY symbol""",
+    "a07_recent_audit": _B[:-1] + """, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM bars) WHERE back <= 60),
+s AS (SELECT symbol, '{' || string_agg('"' || source || '":' || n, ',' ORDER BY source) || '}' AS sources FROM (SELECT symbol, CASE WHEN verified = 1 THEN 'verified' WHEN n_lines > 1 THEN 'merged' ELSE 'single' END AS source, count(*) AS n FROM l GROUP BY 1, 2) GROUP BY symbol),
+p AS (SELECT symbol, count(*) AS n, count(*) FILTER (verified = 0) AS unverified, count(*) FILTER (high = low) AS flat, max(verified) FILTER (back = 1) AS v, bool_or(high > low) FILTER (back = 1) AS m FROM l GROUP BY symbol)
+SELECT symbol, n, unverified, flat, sources, CASE WHEN n < 60 THEN 'short_history' WHEN v = 0 THEN 'last_unverified' WHEN NOT m THEN 'last_flat' ELSE 'ok' END AS verdict FROM p JOIN s USING (symbol)""",
     "a43_calendar": _B + "SELECT DISTINCT date FROM bars WHERE symbol IN (SELECT symbol FROM bars GROUP BY symbol HAVING count(*) >= 3)",
     "a45_latest_date": _B + "SELECT max(last) AS last, count(*) AS symbols FROM (SELECT symbol, max(date) AS last FROM bars WHERE verified = 1 GROUP BY symbol)",
     "j07_gaps": _BC + "SELECT symbol, date, step - 1 AS missing FROM (SELECT symbol, date, session - lag(session) OVER (PARTITION BY symbol ORDER BY session) AS step FROM bars JOIN calendar USING (date)) WHERE step > 1",

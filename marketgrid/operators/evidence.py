@@ -150,9 +150,21 @@ def j20_fills_on_bars(spark, sf_dir):
 
 
 def j21_catalog_merge(spark, sf_dir):
-    """Parts matched to suppliers' nations by a name that is unique on that side."""
-    unique = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("code")).filter("n = 1")
-    return table(spark, sf_dir, "nation").join(unique, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("n_name", "code")
+    """Nations matched to a code by a name that is unique on the first provider's side, else on the second's; two that differ are a conflict.
+
+    Providers are suppliers and customers, their codes the single one of a nation.
+    """
+    def single(name: str, key: str, nation: str, as_: str):
+        rows = table(spark, sf_dir, name).groupBy(F.col(nation).alias("n_nationkey")).agg(F.count("*").alias("n"), F.min(key).alias(as_))
+        return rows.withColumn(as_, F.when(F.col("n") == 1, F.col(as_))).select("n_nationkey", as_, F.col("n").alias(f"n_{as_}"))
+
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    both = nations.join(single("supplier", "s_suppkey", "s_nationkey", "first"), "n_nationkey", "left").join(single("customer", "c_custkey", "c_nationkey", "second"), "n_nationkey", "left")
+    state = (
+        F.when(F.col("first").isNotNull() & F.col("second").isNotNull() & (F.col("first") != F.col("second")), "conflict").when(F.col("first").isNotNull(), "first")
+        .when(F.col("second").isNotNull(), "second").when(F.coalesce("n_first", "n_second").isNull(), "absent").otherwise("ambiguous")
+    )
+    return both.select("n_name", F.when(state != "conflict", F.coalesce("first", "second")).alias("code"), state.alias("state"))
 
 
 def closed_bars(bars: DataFrame, period: str) -> DataFrame:
@@ -324,12 +336,24 @@ def a14_board_evidence(spark, sf_dir, min_members: int = 5, min_coverage: float
 
 
 def a15_method_summary(spark, sf_dir):
-    """Status counts, mean and median by source of documents."""
+    """Status counts, direction ratios, mean and median of sources' documents, each against its own denominator.
+
+    Ratios of direction are of complete rows (labelled and long enough), the forecast's mean and median
+    of rows with a length, the score's mean of labelled ones; coverage is of all rows.
+    """
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rows.groupBy("source").agg(
-        F.count("*").alias("n"), F.count("quality").alias("labelled"), F.count_if(F.col("quality") == 1).alias("good"),
-        F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.round(F.percentile("n_chars", F.lit(0.5)), 4).alias("median_chars"),
+    complete = F.col("quality").isNotNull() & (F.col("n_chars") >= 200)
+    status = F.when(complete, "complete").when(F.col("quality").isNull(), "unavailable").otherwise("deferred")
+    direction = F.when(complete, F.when(F.col("toxic") == 1, "sell").when(F.col("quality") == 1, "buy").otherwise("wait"))
+    per = rows.withColumns({"status": status, "direction": direction}).groupBy("source").agg(
+        F.count("*").alias("expected"), *(F.count_if(F.col("status") == x).alias(x) for x in ("complete", "deferred", "unavailable")),
+        *(F.count_if(F.col("direction") == x).alias(x) for x in ("buy", "sell", "wait")), F.count("n_chars").alias("forecasts"), F.round(F.avg("n_chars"), 5).alias("mean_chars"),
+        F.round(F.percentile("n_chars", F.lit(0.5)), 4).alias("median_chars"), F.count("quality").alias("scores"), F.round(F.avg("quality"), 6).alias("mean_score"),
     )
+    share = lambda x, of: F.round(F.col(x) / F.nullif(of, F.lit(0)), 6)
+    return per.select(
+        "*", *(share(x, "complete").alias(f"{x}_ratio") for x in ("buy", "sell", "wait")), share("complete", "expected").alias("complete_ratio"), share("scores", "expected").alias("score_ratio")
+    )
 
 
 _S = sql.with_(sql.SIGNALS)
@@ -374,7 +398,9 @@ SELECT symbol, date, round(CASE WHEN peer IS NOT NULL THEN greatest(-0.2, least(
     "j16_field_merge": "SELECT doc_id, coalesce(nullif(new_lang, ''), lang) AS lang, source FROM (SELECT doc_id, lang, source FROM documents WHERE doc_id % 3 <> 0) FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE upper(lang) END AS new_lang FROM documents WHERE doc_id % 2 = 0) USING (doc_id)",
     "j17_single_class": _S + "SELECT symbol, CAST(available_at AS DATE) AS day, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) ELSE 'unknown' END AS klass FROM signals GROUP BY 1, 2",
     "j20_fills_on_bars": sql.with_(sql.FILLS, sql.CALENDAR) + "SELECT fill_id, account, date, side FROM fills WHERE date <= DATE '1999-01-01' AND date IN (SELECT date FROM calendar)",
-    "j21_catalog_merge": "SELECT n_name, code FROM nation LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS code FROM supplier GROUP BY s_nationkey HAVING count(*) = 1) ON n_nationkey = s_nationkey",
+    "j21_catalog_merge": """WITH f AS (SELECT s_nationkey AS k, count(*) AS n, CASE WHEN count(*) = 1 THEN min(s_suppkey) END AS code FROM supplier GROUP BY 1), s AS (SELECT c_nationkey AS k, count(*) AS n, CASE WHEN count(*) = 1 THEN min(c_custkey) END AS code FROM customer GROUP BY 1),
+b AS (SELECT n_name, f.code AS a, s.code AS b, coalesce(f.n, s.n) AS n FROM nation LEFT JOIN f ON f.k = n_nationkey LEFT JOIN s ON s.k = n_nationkey)
+SELECT n_name, CASE WHEN a <> b THEN NULL ELSE coalesce(a, b) END AS code, CASE WHEN a <> b THEN 'conflict' WHEN a IS NOT NULL THEN 'first' WHEN b IS NOT NULL THEN 'second' WHEN n IS NULL THEN 'absent' ELSE 'ambiguous' END AS state FROM b""",
     "w21_weekly": sql.with_(sql.BARS, _WEEK) + "SELECT symbol, week, open, high, low, close, volume, available FROM published",
     "w21_monthly": sql.with_(sql.BARS, _WEEK.replace("week", "month")) + "SELECT symbol, month, open, high, low, close, volume, available FROM published",
     "w22_higher_period": sql.with_(sql.BARS, _WEEK) + """, r AS (SELECT symbol, available, round(close / lag(close) OVER (PARTITION BY symbol ORDER BY week) - 1, 6) AS week_return FROM published)
@@ -402,6 +428,9 @@ s AS (SELECT day, count(*) AS members, count(*) FILTER (known > 0) AS eligible,
 g AS (SELECT *, eligible >= 5 AND eligible / members >= 0.8 AS good FROM s)
 SELECT day, members, eligible, round(eligible / members, 6) AS coverage, CASE WHEN good THEN round(mb, 5) END AS mean_buy, CASE WHEN good THEN round(ms, 5) END AS mean_sell, CASE WHEN good THEN round(nb / eligible, 6) END AS buy_ratio,
   CASE WHEN good THEN round(ns / eligible, 6) END AS sell_ratio, CASE WHEN good THEN round(na / eligible, 6) END AS abstain_ratio, CASE WHEN good THEN round(nc / eligible, 6) END AS conflict_ratio, buy_events, sell_events, reasons FROM g JOIN r USING (day)""",
-    "a15_method_summary": "SELECT source, count(*) AS n, count(quality) AS labelled, count(*) FILTER (quality = 1) AS good, round(avg(n_chars), 6) AS mean_chars, round(quantile_cont(n_chars, 0.5), 4) AS median_chars FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
+    "a15_method_summary": """WITH r AS (SELECT source, n_chars, quality, CASE WHEN quality IS NOT NULL AND n_chars >= 200 THEN 'complete' WHEN quality IS NULL THEN 'unavailable' ELSE 'deferred' END AS status, CASE WHEN quality IS NOT NULL AND n_chars >= 200 THEN CASE WHEN toxic = 1 THEN 'sell' WHEN quality = 1 THEN 'buy' ELSE 'wait' END END AS d FROM documents LEFT JOIN labels USING (doc_id)),
+p AS (SELECT source, count(*) AS expected, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'deferred') AS deferred, count(*) FILTER (status = 'unavailable') AS unavailable, count(*) FILTER (d = 'buy') AS buy, count(*) FILTER (d = 'sell') AS sell, count(*) FILTER (d = 'wait') AS wait,
+  count(n_chars) AS forecasts, round(avg(n_chars), 5) AS mean_chars, round(quantile_cont(n_chars, 0.5), 4) AS median_chars, count(quality) AS scores, round(avg(quality), 6) AS mean_score FROM r GROUP BY source)
+SELECT *, round(buy / nullif(complete, 0), 6) AS buy_ratio, round(sell / nullif(complete, 0), 6) AS sell_ratio, round(wait / nullif(complete, 0), 6) AS wait_ratio, round(complete / nullif(expected, 0), 6) AS complete_ratio, round(scores / nullif(expected, 0), 6) AS score_ratio FROM p""",
 }
 QUERIES = {name: globals()[name] for name in ORACLE}

@@ -11,13 +11,27 @@ from ..sources.tables import bars_daily, calendar, fills, industry_of, signals,
 from .evidence import as_of
 
 
+#: Columns that daily bars need.
+NEEDED = ("symbol", "date", "open", "high", "low", "close", "volume")
+
+
 def p04_validate_daily(spark, sf_dir):
-    """One row of validity per symbol: too few rows, bad closes, inverted ranges, duplicate dates."""
+    """Validity of each listed symbol: no rows, missing columns, too few rows, missing dates, missing or bad prices, inverted ranges, negative volume, duplicate dates."""
     rows = bars_daily(spark, sf_dir)
-    return rows.groupBy("symbol").agg(
-        (F.count("*") < 60).cast("int").alias("too_few"), F.count_if(F.col("close") <= 0).alias("bad_close"),
-        F.count_if(F.col("high") < F.col("low")).alias("inverted"), (F.count("date") - F.count_distinct("date")).alias("duplicates"),
+    missing = ",".join(x for x in NEEDED if x not in rows.columns)
+    price = F.least("open", "high", "low", "close")
+    per = rows.groupBy("symbol").agg(
+        F.count("*").alias("n"), (F.count("*") < 60).alias("few"), F.count_if(F.col("date").isNull()).alias("bad_date"), F.count_if(F.col("close").isNull()).alias("no_price"),
+        F.count_if(price <= 0).alias("bad_price"), F.count_if(F.col("high") < F.greatest("open", "close", "low")).alias("high_below"), F.count_if(F.col("low") > F.least("open", "close", "high")).alias("low_above"),
+        F.count_if(F.col("volume") < 0).alias("negative"), (F.count("date") - F.count_distinct("date")).alias("duplicates"),
+    )
+    listed = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol")).join(per, "symbol", "left")
+    why = C.reasons(
+        empty=F.col("n").isNull(), missing_columns=F.lit(missing != ""), too_few_rows=F.col("few"), bad_date=F.col("bad_date") > 0, missing_price=F.col("no_price") > 0,
+        ohlc_non_positive=F.col("bad_price") > 0, high_below_ohlc=F.col("high_below") > 0, low_above_ohlc=F.col("low_above") > 0, negative_volume=F.col("negative") > 0,
+        duplicate_dates=F.col("duplicates") > 0,
     )
+    return listed.select("symbol", F.coalesce("n", F.lit(0)).alias("rows"), F.array_join(why, ",").alias("issues"), (F.size(why) == 0).alias("ok"))
 
 
 def p08_external_history(spark, sf_dir):
@@ -89,11 +103,12 @@ def p27_forecast_gate(spark, sf_dir):
     return rows.select("vec_id", F.round(up, 6).alias("up"), F.array_join(why, ",").alias("reasons"))
 
 
-def p29_drill_down(spark, sf_dir):
-    """Days with a purchase over 90 inside the nested events of a user."""
-    rows = signals(spark, sf_dir).groupBy("symbol", F.to_date("available_at").alias("day")).agg(F.collect_list(F.struct("event_type", "value")).alias("events"))
-    hit = F.exists("events", lambda e: (e["event_type"] == "purchase") & (e["value"] > 90))
-    return rows.filter(hit).select("symbol", "day", F.size("events").alias("n"))
+def p29_drill_down(spark, sf_dir, kind: str = "purchase", least: float = 90.0):
+    """Days of users, filtered by what their nested events hold, with the ids of the day's supporting and resisting events."""
+    rows = signals(spark, sf_dir).groupBy("symbol", F.to_date("available_at").alias("day")).agg(F.collect_list(F.struct("event_id", "event_type", "side", "value")).alias("events"))
+    hit = F.exists("events", lambda e: (e["event_type"] == kind) & (e["value"] > least))
+    ids = lambda side: F.array_join(F.array_sort(F.transform(F.filter("events", lambda e: e["side"] == side), lambda e: e["event_id"])), ",")
+    return rows.filter(hit).select("symbol", "day", F.size("events").alias("n"), ids("BUY").alias("buys"), ids("SELL").alias("sells"))
 
 
 def j04_profile_as_of(spark, sf_dir):
@@ -276,7 +291,11 @@ def p26_eligibility(spark, sf_dir):
 _B, _BC, _S = sql.with_(sql.BARS), sql.with_(sql.BARS, sql.CALENDAR), sql.with_(sql.SIGNALS)
 _IDX = ", x AS (SELECT * FROM bars JOIN calendar USING (date))"
 ORACLE = {
-    "p04_validate_daily": _B + "SELECT symbol, CAST(count(*) < 60 AS INTEGER) AS too_few, count(*) FILTER (close <= 0) AS bad_close, count(*) FILTER (high < low) AS inverted, count(date) - count(DISTINCT date) AS duplicates FROM bars GROUP BY symbol",
+    "p04_validate_daily": _B[:-1] + """, p AS (SELECT symbol, count(*) AS n, count(*) FILTER (date IS NULL) AS bd, count(*) FILTER (close IS NULL) AS np, count(*) FILTER (least(open, high, low, close) <= 0) AS bp, count(*) FILTER (high < greatest(open, close, low)) AS hb,
+  count(*) FILTER (low > least(open, close, high)) AS la, count(*) FILTER (volume < 0) AS ng, count(date) - count(DISTINCT date) AS dd FROM bars GROUP BY symbol),
+i AS (SELECT s_suppkey AS symbol, coalesce(n, 0) AS n_rows, concat_ws(',', CASE WHEN n IS NULL THEN 'empty' END, CASE WHEN n < 60 THEN 'too_few_rows' END, CASE WHEN bd > 0 THEN 'bad_date' END, CASE WHEN np > 0 THEN 'missing_price' END,
+  CASE WHEN bp > 0 THEN 'ohlc_non_positive' END, CASE WHEN hb > 0 THEN 'high_below_ohlc' END, CASE WHEN la > 0 THEN 'low_above_ohlc' END, CASE WHEN ng > 0 THEN 'negative_volume' END, CASE WHEN dd > 0 THEN 'duplicate_dates' END) AS issues FROM supplier LEFT JOIN p ON s_suppkey = symbol)
+SELECT symbol, n_rows AS rows, issues, issues = '' AS ok FROM i""",
     "p08_external_history": _S + "SELECT symbol, CAST(available_at AS DATE) AS date, arg_max(value, event_id) AS close, max(value) AS high, min(value) AS low FROM signals WHERE value > 0 GROUP BY 1, 2",
     "p10_industry_code": "SELECT code, code[1] AS l1, code[1:3] AS l2, code[4:] AS name FROM (SELECT chr(CAST(65 + n_regionkey AS INTEGER)) || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || n_name AS code FROM nation)",
     "p13_finite": _B + "SELECT symbol, count(*) FILTER (n_lines > 1) AS known, count(*) FILTER (n_lines = 1) AS scrubbed FROM bars GROUP BY symbol",
@@ -286,7 +305,7 @@ ORACLE = {
     "p21_tick": "SELECT p_partkey, CAST(round(CAST(p_retailprice AS DECIMAL(18,4)) * CAST('1.001' AS DECIMAL(5,3)), 2) AS DOUBLE) AS price FROM part",
     "p25_point_in_time": _S + "SELECT event_id, CASE WHEN strftime(available_at, '%H:%M:%S') <= '15:00:00' THEN value END AS value FROM signals",
     "p27_forecast_gate": "SELECT vec_id, round(up, 6) AS up, concat_ws(',', CASE WHEN round(mean, 6) < 0 THEN 'low_mean' END, CASE WHEN up < 0.5 THEN 'few_up' END) AS reasons FROM (SELECT vec_id, avg(x) AS mean, avg(CAST(x > 0 AS INT)) AS up FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY vec_id)",
-    "p29_drill_down": _S + "SELECT symbol, CAST(available_at AS DATE) AS day, CAST(count(*) AS INTEGER) AS n FROM signals GROUP BY 1, 2 HAVING bool_or(event_type = 'purchase' AND value > 90)",
+    "p29_drill_down": _S + "SELECT symbol, CAST(available_at AS DATE) AS day, CAST(count(*) AS INTEGER) AS n, coalesce(string_agg(CASE WHEN side = 'BUY' THEN CAST(event_id AS VARCHAR) END, ',' ORDER BY event_id), '') AS buys, coalesce(string_agg(CASE WHEN side = 'SELL' THEN CAST(event_id AS VARCHAR) END, ',' ORDER BY event_id), '') AS sells FROM signals GROUP BY 1, 2 HAVING bool_or(event_type = 'purchase' AND value > 90)",
     "j04_profile_as_of": _B + "SELECT symbol, last_day(date) AS month_end, max(date) AS seen, arg_max(close, date) AS close FROM bars GROUP BY 1, 2",
     "j15_snapshot_compare": """WITH r AS (SELECT o.c_mktsegment AS old, CASE WHEN n.seg IS NULL THEN 'dropped' WHEN second <> n.seg THEN 'conflict' WHEN n.seg <> o.c_mktsegment THEN 'changed' ELSE 'kept' END AS state FROM customer o LEFT JOIN
   (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'MOVED' ELSE c_mktsegment END AS seg, CASE WHEN c_custkey % 11 = 0 THEN 'OTHER' END AS second FROM customer WHERE c_custkey % 7 <> 0) n ON o.c_custkey = n.c_custkey),

@@ -179,15 +179,22 @@ def s03_market_window(spark, sf_dir):
     )
 
 
-def s04_scan_as_of(spark, sf_dir):
-    """Bars that were visible at a cutoff: a day's bar from 15:00 on."""
-    cutoff = F.to_timestamp(F.lit("1998-06-01 12:00:00"))
-    visible = F.col("date").cast("timestamp") + F.expr("INTERVAL 15 HOURS") <= cutoff
-    return bars_daily(spark, sf_dir).filter(visible).groupBy("symbol").agg(F.max("date").alias("last"), F.count("*").alias("n"))
+def s04_scan_as_of(spark, sf_dir, cutoff: str = "1998-06-01 12:00:00"):
+    """Bars that were visible at a cutoff (a day's bar from 15:00 on), and how many of a symbol's break the contract: later ones, unverified ones."""
+    seen = F.col("date").cast("timestamp") + F.expr("INTERVAL 15 HOURS") <= F.to_timestamp(F.lit(cutoff))
+    rows = bars_daily(spark, sf_dir).withColumn("seen", seen)
+    return rows.groupBy("symbol").agg(
+        F.max(F.when(F.col("seen"), F.col("date"))).alias("last"), F.count_if("seen").alias("n"), F.count_if(~F.col("seen")).alias("not_yet_visible"),
+        F.count_if(F.col("seen") & (F.col("verified") == 0)).alias("unverified"),
+    )
 
 
-def s06_minute_range(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
+def s06_minute_range(spark, sf_dir, start: str = "10:00:00", stop: str = "14:30:00"):
+    """Minute rows of each user in a slice of the day: range, count, first and last value; the slice is a filter on the scan's rows."""
+    clock = F.date_format("ts", "HH:mm:ss")
+    rows = table(spark, sf_dir, "events").filter((clock >= start) & (clock < stop))
+    order = F.struct("ts", "event_id")
+    return rows.groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"), F.min_by("value", order).alias("first_value"), F.max_by("value", order).alias("last_value"))
 
 
 def s14_projection(spark, sf_dir):
@@ -213,8 +220,8 @@ ORACLE = {
     "s01_scan_symbol": 'SELECT l_orderkey AS "order", CAST(l_shipdate AS DATE) AS date, l_extendedprice AS price FROM lineitem WHERE l_suppkey = 7 AND l_shipdate >= TIMESTAMP \'1996-01-01\' AND l_shipdate < TIMESTAMP \'1998-01-01\'',
     "s02_scan_batch": "BARS:SELECT symbol, date, close FROM bars WHERE symbol IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)",
     "s03_market_window": "SELECT CAST(l_shipdate AS DATE) AS date, count(DISTINCT l_suppkey) AS symbols, count(*) FILTER (l_quantity > 0 AND l_extendedprice > 0) AS valid FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1997-04-01' GROUP BY 1",
-    "s04_scan_as_of": "BARS:SELECT symbol, max(date) AS last, count(*) AS n FROM bars WHERE CAST(date AS TIMESTAMP) + INTERVAL 15 HOURS <= TIMESTAMP '1998-06-01 12:00:00' GROUP BY symbol",
-    "s06_minute_range": "SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM events GROUP BY user_id",
+    "s04_scan_as_of": "BARS:, s AS (SELECT *, CAST(date AS TIMESTAMP) + INTERVAL 15 HOURS <= TIMESTAMP '1998-06-01 12:00:00' AS seen FROM bars) SELECT symbol, max(date) FILTER (seen) AS last, count(*) FILTER (seen) AS n, count(*) FILTER (NOT seen) AS not_yet_visible, count(*) FILTER (seen AND verified = 0) AS unverified FROM s GROUP BY symbol",
+    "s06_minute_range": "SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n, arg_min(value, (ts, event_id)) AS first_value, arg_max(value, (ts, event_id)) AS last_value FROM events WHERE strftime(ts, '%H:%M:%S') >= '10:00:00' AND strftime(ts, '%H:%M:%S') < '14:30:00' GROUP BY user_id",
     "s14_projection": "SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') AS k_text FROM events",
     "s15_latest_status": "SELECT account, n FROM (SELECT o_custkey AS account, arg_max(CASE WHEN o_orderstatus = 'F' THEN 'SELL' ELSE 'BUY' END, (CAST(o_orderdate AS DATE), o_orderkey)) AS status, count(*) AS n FROM orders GROUP BY 1) WHERE status = 'SELL'",
 }

@@ -167,16 +167,32 @@ def t01_stream_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t03_stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New files of orders upserted batch by batch into a table partitioned by month."""
+    """New files of orders upserted batch by batch into a table by month; what a batch brings is new, revised or, by its hash, unchanged.
+
+    The second part repeats every fifth order as it was and every third with another total.
+    """
     at = shared(spark)
-    rows = source(spark, sf_dir, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    rows = rows.withColumn("hash", F.xxhash64("o_orderkey", "o_totalprice", "month"))
+    schema = rows.schema
 
     def land(batch: DataFrame, number: int) -> None:
-        upsert(batch.sparkSession, batch, f"{at}/table", ["o_orderkey"], "o_totalprice", "month")
-
-    query = rows.writeStream.foreachBatch(land).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{at}/table").groupBy("month").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 1).alias("total"))
+        session = batch.sparkSession
+        held = session.read.schema(schema).parquet(f"{at}/table").select("o_orderkey", F.col("hash").alias("held")) if number else None
+        known = batch.withColumn("held", F.lit(None).cast("long")) if held is None else batch.join(held, "o_orderkey", "left")
+        state = F.when(F.col("held").isNull(), "new").when(F.col("held") == F.col("hash"), "unchanged").otherwise("revised")
+        known.groupBy(state.alias("state")).agg(F.count("*").alias("n")).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{at}/log")
+        upsert(session, known.filter(state != "unchanged").select(*schema.names), f"{at}/table", ["o_orderkey"], "o_totalprice", "month")
+
+    key = F.col("o_orderkey")
+    again = rows.filter((key % 5 == 0) & (key % 3 != 0)).unionByName(rows.filter(key % 3 == 0).withColumn("o_totalprice", F.col("o_totalprice") + 1))
+    again = again.withColumn("hash", F.xxhash64("o_orderkey", "o_totalprice", "month"))
+    for part in (rows.filter(key % 4 != 1), again):
+        part.write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{at}/in")
+        stream.writeStream.foreachBatch(land).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    total = spark.read.schema(schema).parquet(f"{at}/table").agg(F.count("*").alias("held"), F.round(F.sum("o_totalprice"), 1).alias("total"))
+    return spark.read.schema("state string, n long, batch int").parquet(f"{at}/log").crossJoin(F.broadcast(total))  # one row
 
 
 def t04_late_evidence(spark: SparkSession, sf_dir: str, delay: str = "1 day") -> DataFrame:
@@ -321,7 +337,10 @@ _T01_SQL = (
 )
 ORACLE = {
     "t01_stream_trailing": _T01_SQL,
-    "t03_stream_upsert": "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(sum(o_totalprice), 1) AS total FROM orders GROUP BY 1",
+    "t03_stream_upsert": """WITH a AS (SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderkey % 4 <> 1), b AS (SELECT o_orderkey AS k, o_totalprice + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS p FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0),
+h AS (SELECT count(*) AS held, round(sum(coalesce(b.p, a.p)), 1) AS total FROM a FULL JOIN b USING (k)),
+l AS (SELECT 'new' AS state, 0 AS batch FROM a UNION ALL SELECT CASE WHEN a.k IS NULL THEN 'new' WHEN a.p = b.p THEN 'unchanged' ELSE 'revised' END, 1 FROM b LEFT JOIN a USING (k))
+SELECT state, count(*) AS n, batch, any_value(held) AS held, any_value(total) AS total FROM l, h GROUP BY state, batch""",
     "t04_late_evidence": "SELECT event_id, user_id, CAST(ts AS DATE) + CASE WHEN strftime(ts, '%H:%M:%S') > '15:00:00' THEN 1 ELSE 0 END AS session, CASE WHEN event_id % 2 = 1 AND ts < (SELECT max(ts) FROM events WHERE event_id % 2 = 0) - INTERVAL 1 DAY THEN 'side' ELSE 'main' END AS target FROM events",
     "t05_stream_dedupe": _E + "SELECT date_trunc('minute', ts) AS bucket, user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS copies FROM events GROUP BY 1, 2, 3 HAVING date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT last FROM m) - INTERVAL 1 HOUR",
     "t06_stream_rollup": _E + " UNION ALL ".join(_ROLL.format(n) for n in PERIODS),

@@ -116,6 +116,16 @@ def test_perceptron_counts_every_held_out_row(spark, samples):
     assert right >= 0.8 * max(held.count(k) for k in (0.0, 1.0, 2.0))  # near or better than always the commonest class
 
 
+def test_average_cost_of_a_ledger():
+    import pandas as pd
+
+    rows = [(1, 1, 1, "BUY", 1000.0, 10), (1, 2, 2, "BUY", 2000.0, 10), (1, 3, 3, "SELL", 900.0, 5), (1, 4, 4, "SELL", 4000.0, 20), (1, 5, 5, "BUY", 50.0, 1)]
+    fills = pd.DataFrame(rows, columns=["account", "fill_id", "date", "side", "notional", "shares"])
+    got = accounts.ledger_rows(fills.sample(frac=1, random_state=1))
+    assert got.held.tolist() == [10, 20, 15, 0, 1] and got.realised.tolist() == [0, 0, 150, 900, 900]
+    assert got.average_cost.fillna(-1).tolist() == [100, 150, 150, -1, 50] and got.marked.tolist() == [0, 1000, 600, 900, 900]
+
+
 def test_csv_bars_by_file_name_and_alias(spark, tmp_path):
     from marketgrid.sources.stores import read_csv_bars
 
