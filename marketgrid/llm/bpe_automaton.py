@@ -36,7 +36,7 @@ SPLIT_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-_START = -1
+_START, _HEAD = -1, 4
 #: Encoded chunks, and states of the byte automaton, that a worker keeps.
 MAX_CHUNKS, MAX_STATES = 1_000_000, 120_000
 
@@ -93,29 +93,32 @@ class BpeAutomaton:
         self._arcs: dict[int, bool] = {}
 
     def _trie(self) -> None:
-        """Byte trie of the vocabulary: ``(node << 8 | byte) -> node``, and the token that each node spells or -1."""
-        self.trie: dict[int, int] = {}
+        """Byte trie of the vocabulary: for each byte, node -> deeper node; the token that each node spells or -1."""
+        self.trie: list[dict[int, int]] = [{} for _ in range(256)]
         self.ends = [-1]
+        self.grows = [False]  # whether longer tokens go through a node
         specials = set(self.special.values())
         for ident, label in enumerate(self.labels):
             if not label or ident in specials:
                 continue
             node = 0
             for byte in label:
-                key = node << 8 | byte
-                deeper = self.trie.get(key)
+                deeper = self.trie[byte].get(node)
                 if deeper is None:
-                    deeper = self.trie[key] = len(self.ends)
+                    deeper = self.trie[byte][node] = len(self.ends)
                     self.ends.append(-1)
+                    self.grows.append(False)
+                    self.grows[node] = True
                 node = deeper
             self.ends[node] = ident
         self.length = list(map(len, self.labels))
 
     def _start(self) -> None:
         """The byte automaton's start state: nothing read, no token before."""
-        start = ((_START, 0),)
+        start = ((0,), (_START,))  # nodes under way, and the token before each
         self.table: dict[int, int] = {}
         self.last, self.under_way, self._states = [_START], [start], {start: 0}
+        self.heads: dict[bytes, list[int]] = {}
 
     def _arc(self, p: int, t: int) -> bool:
         """Whether token ``t`` may follow token ``p`` once all gadgets are in place."""
@@ -139,25 +142,27 @@ class BpeAutomaton:
 
     def _transition(self, state: int, byte: int) -> int:
         """Add the row of ``table`` for a state and a byte by the subset construction."""
-        trie, ends, arcs = self.trie, self.ends, self._arcs
-        going, token = [], _START
-        for before, node in self.under_way[state]:
-            deeper = trie.get(node << 8 | byte)
-            if deeper is None:
+        ends, arcs, grows = self.ends, self._arcs, self.grows
+        at, tokens = self.under_way[state]
+        nodes, before, token = [], [], _START
+        for p, node in zip(tokens, map(self.trie[byte].get, at), strict=True):
+            if node is None:
                 continue
-            going.append((before, deeper))
-            ended = ends[deeper]
-            if token < 0 <= ended:
-                if before < 0:
-                    token = ended
-                else:
-                    key = before * self.size + ended
-                    allowed = arcs.get(key)
+            if grows[node]:
+                nodes.append(node)
+                before.append(p)
+            if token < 0:
+                ended = ends[node]
+                if ended >= 0:
+                    key = p * self.size + ended
+                    allowed = p < 0 or arcs.get(key)
                     if allowed is None:
-                        allowed = arcs[key] = self._arc(before, ended)
+                        allowed = arcs[key] = self._arc(p, ended)
                     if allowed:
                         token = ended
-        name = (*going, (token, 0))
+        nodes.append(0)
+        before.append(token)
+        name = (tuple(nodes), tuple(before))
         made = self._states.get(name)
         if made is None:
             made = self._states[name] = len(self.last)
@@ -167,16 +172,30 @@ class BpeAutomaton:
         return made
 
     def encode_word(self, word: bytes) -> list[int]:
-        """Ids of one pre-split word: transitions forward, then the tokens from the end."""
+        """Ids of one pre-split word: transitions forward, then the tokens from the end.
+
+        The states after the first ``_HEAD`` bytes of a word are kept together, as words share beginnings.
+        """
         if len(self.last) > MAX_STATES:
             self._arcs.clear()
             self._start()
-        table, last, length, state, passed = self.table, self.last, self.length, 0, []
-        for byte in word:
-            deeper = table.get(state << 8 | byte)
-            state = self._transition(state, byte) if deeper is None else deeper
-            passed.append(state)
+        look, last, length = self.table.get, self.last, self.length
+        head = word[:_HEAD]
+        passed = self.heads.get(head)
+        if passed is None:
+            passed, state = [], 0
+            for byte in head:
+                deeper = look(state << 8 | byte)
+                state = self._transition(state, byte) if deeper is None else deeper
+                passed.append(state)
+            self.heads[head] = passed
         ids, at = [], len(word)
+        if at > _HEAD:
+            passed, state = passed.copy(), passed[-1]
+            for byte in word[_HEAD:]:
+                deeper = look(state << 8 | byte)
+                state = self._transition(state, byte) if deeper is None else deeper
+                passed.append(state)
         while at:
             token = last[passed[at - 1]]
             ids.append(token)
