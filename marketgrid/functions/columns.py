@@ -54,14 +54,23 @@ def tick(x: Column) -> Column:
     return F.round(x, 2)
 
 
+# Upper ends of the 20-day mean traded amount and the slippage per side there; beyond them the last; and the fee rates.
+IMPACT_TIERS = ((20_000_000, 0.0025), (50_000_000, 0.0015), (200_000_000, 0.0008), (1_000_000_000, 0.0005))
+DEEPEST = 0.0003
+COMMISSION, MIN_COMMISSION, SELL_TAX = 0.0003, 5.0, 0.0005
+
+
 def slippage_rate(mean_amount: Column) -> Column:
-    """Slippage by liquidity tier of the mean traded amount."""
-    return F.when(mean_amount >= 300_000, 0.0005).when(mean_amount >= 150_000, 0.001).otherwise(0.002)
+    """Slippage by liquidity tier of the mean traded amount; an unknown or invalid amount pays as the least liquid."""
+    rate = F.when(mean_amount.isNull() | F.isnan(mean_amount) | (mean_amount <= 0), IMPACT_TIERS[0][1])
+    for most, of in IMPACT_TIERS:
+        rate = rate.when(mean_amount <= most, of)
+    return rate.otherwise(DEEPEST)
 
 
-def fee(side: Column, notional: Column) -> Column:
-    """Commission with a minimum, and tax on sells only."""
-    return F.greatest(notional * 0.00025, F.lit(5.0)) + F.when(side == "SELL", notional * 0.0005).otherwise(0.0)
+def fee(side: Column, notional: Column, times: Column | float = 1.0) -> Column:
+    """Commission with a minimum, and tax on sells only; stress scales the commission, never the tax."""
+    return F.greatest(notional * COMMISSION * times, F.lit(MIN_COMMISSION)) + F.when(side == "SELL", notional * SELL_TAX).otherwise(0.0)
 
 
 def direction(down: Column, flat: Column, up: Column) -> Column:

@@ -89,9 +89,14 @@ def p14_reason_codes(spark, sf_dir):
     return rows.select("symbol", "date", F.array_join(codes, ",").alias("reasons"))
 
 
+#: Money units of the ledger's amounts.
+THOUSAND = 1000.0
+
+
 def p22_costs(spark, sf_dir):
+    """Slippage tier, fee and execution price of each fill; its own size stands for the traded amount."""
     rows = fills(spark, sf_dir)
-    rate = C.slippage_rate(F.col("notional"))
+    rate = C.slippage_rate(F.col("notional") * THOUSAND)
     sign = F.when(F.col("side") == "BUY", 1).otherwise(-1)
     return rows.select(
         "fill_id", "side", rate.alias("slippage"), C.fee(F.col("side"), F.col("notional")).alias("fee"),
@@ -100,10 +105,11 @@ def p22_costs(spark, sf_dir):
 
 
 def p23_cost_stress(spark, sf_dir):
-    """Costs under each stress multiplier; the multipliers are a fixed short table."""
+    """Costs under each stress multiplier: commission and slippage grow, tax doesn't; the multipliers are a fixed short table."""
     stress = F.explode(F.array(*(F.struct(F.lit(n).alias("scenario"), F.lit(m).alias("times")) for n, m in (("base", 1.0), ("double", 2.0), ("severe", 3.5)))))
-    rows = fills(spark, sf_dir).select("side", C.fee(F.col("side"), F.col("notional")).alias("fee"), stress.alias("s"))
-    return rows.groupBy(F.col("s.scenario").alias("scenario"), "side").agg(F.round(F.sum(F.col("fee") * F.col("s.times")), 2).alias("cost"))
+    rows = fills(spark, sf_dir).select("side", "notional", C.slippage_rate(F.col("notional") * THOUSAND).alias("slippage"), stress.alias("s"))
+    cost = C.fee(F.col("side"), F.col("notional"), F.col("s.times")) + F.col("notional") * F.col("slippage") * F.col("s.times")
+    return rows.groupBy(F.col("s.scenario").alias("scenario"), "side").agg(F.round(F.sum(cost), 1).alias("cost"))
 
 
 def p17_direction(spark, sf_dir):
@@ -305,8 +311,8 @@ def a46_funnel(spark, sf_dir):
 
 _B, _BC = sql.with_(sql.BARS), sql.with_(sql.BARS, sql.CALENDAR)
 _BEST = "row_number() OVER (PARTITION BY symbol, date ORDER BY {0}s1 DESC, s2 DESC, s3 DESC, s4 DESC)"
-_FEE = "greatest(notional * 0.00025, 5.0) + CASE WHEN side = 'SELL' THEN notional * 0.0005 ELSE 0 END"
-_RATE = "CASE WHEN notional >= 300000 THEN 0.0005 WHEN notional >= 150000 THEN 0.001 ELSE 0.002 END"
+_FEE = "greatest(notional * 0.0003::DOUBLE * {0}, 5.0) + CASE WHEN side = 'SELL' THEN notional * 0.0005::DOUBLE ELSE 0 END"
+_RATE = "CASE WHEN notional * 1000 <= 20000000 THEN 0.0025::DOUBLE WHEN notional * 1000 <= 50000000 THEN 0.0015::DOUBLE WHEN notional * 1000 <= 200000000 THEN 0.0008::DOUBLE WHEN notional * 1000 <= 1000000000 THEN 0.0005::DOUBLE ELSE 0.0003::DOUBLE END"
 _A05 = """, p AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS before FROM bars),
 cal AS (SELECT DISTINCT date FROM bars WHERE symbol IN (SELECT symbol FROM bars GROUP BY symbol HAVING count(*) >= 3)),
 per AS (SELECT symbol, count(*) AS n_rows, count(*) FILTER (open <= 0 OR high <= 0 OR low <= 0 OR close <= 0 OR high < greatest(open, close, low) OR low > least(open, close, high)) AS invalid,
@@ -335,8 +341,8 @@ ORACLE = {
 FROM lineitem JOIN (VALUES ('A', 100.0::DOUBLE, 1000.0::DOUBLE), ('N', 1.0, 1.0), ('R', 100.0, 10000.0)) u(flag, lots, money) ON l_returnflag = flag GROUP BY flag""",
     "p14_reason_codes": _B + """SELECT symbol, date, concat_ws(',', CASE WHEN verified = 0 THEN 'unverified' END, CASE WHEN n_lines = 1 THEN 'single_line' END,
   CASE WHEN volume < 10 THEN 'thin' END, CASE WHEN high = low THEN 'flat' END) AS reasons FROM bars""",
-    "p22_costs": sql.with_(sql.FILLS) + f"SELECT fill_id, side, CAST({_RATE} AS DOUBLE) AS slippage, {_FEE} AS fee, notional * (1 + CASE WHEN side = 'BUY' THEN 1 ELSE -1 END * CAST({_RATE} AS DOUBLE)) AS executed FROM fills",
-    "p23_cost_stress": sql.with_(sql.FILLS) + f"SELECT scenario, side, round(sum(({_FEE}) * times), 2) AS cost FROM fills, (VALUES ('base', 1.0::DOUBLE), ('double', 2.0), ('severe', 3.5)) s(scenario, times) GROUP BY scenario, side",
+    "p22_costs": sql.with_(sql.FILLS) + f"SELECT fill_id, side, {_RATE} AS slippage, {_FEE.format('1.0')} AS fee, notional * (1 + CASE WHEN side = 'BUY' THEN 1 ELSE -1 END * {_RATE}) AS executed FROM fills",
+    "p23_cost_stress": sql.with_(sql.FILLS) + f"SELECT scenario, side, round(sum({_FEE.format('times')} + notional * ({_RATE}) * times), 1) AS cost FROM fills, (VALUES ('base', 1.0::DOUBLE), ('double', 2.0), ('severe', 3.5)) s(scenario, times) GROUP BY scenario, side",
     "p17_direction": f"""SELECT doc_id, CASE WHEN abs(d + f + u - 1) >= 1e-6 OR least(d, f, u) < 0 OR (d = {_TOP})::INT + (f = {_TOP})::INT + (u = {_TOP})::INT > 1 THEN 'WAIT'
   WHEN u = {_TOP} THEN 'BUY' WHEN d = {_TOP} THEN 'SELL' ELSE 'WAIT' END AS direction
 FROM (SELECT doc_id, round(a, 4) AS d, round(b, 4) AS f, round(1 - a - b, 4) AS u FROM (SELECT doc_id, (n_chars % 7) / 10.0::DOUBLE AS a, (n_chars % 3) / 10.0::DOUBLE AS b FROM documents))""",

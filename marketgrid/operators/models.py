@@ -10,19 +10,32 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.windows import full, later, ratio
 from ..sources.scratch import Scratch
+from ..sources.tables import bars_daily
 from .components import components
-from .trailing import PLANS
+from .trailing import AVERAGES, RETURNS
 
-FEATURES = ["ret_5", "vol_ratio"]
+#: Features with the limits that clip them.
+LIMITS = {"ret_1": 2.0, "ret_5": 2.0, "ret_20": 2.0, "bias20": 2.0, "volatility20": 3.0, "vol_ratio": 5.0}
+FEATURES = list(LIMITS)
+STAGES = (
+    RETURNS | {"ma20": AVERAGES["ma20"], "vol_ratio": ratio("volume", full("avg", "volume", 20, 1)), "target": f"{ratio(later('close', 5), 'close')} - 1"},
+    {
+        "bias20": "close / ma20 - 1", "volatility20": full("stddev_pop", "ret_1", 20),
+        "klass": "CASE WHEN target > 0.03 THEN 2 WHEN target < -0.03 THEN 0 WHEN target IS NOT NULL THEN 1 END",
+    },
+)
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clipped features, class and chronological half of bars with a mature label."""
-    rows = PLANS["w25_observations"].frame(spark, sf_dir)
-    clip = lambda x, n: F.greatest(F.lit(-n), F.least(F.lit(n), F.col(x)))
-    return rows.select(
-        "symbol", "date", clip("ret_5", 2.0).alias("ret_5"), clip("vol_ratio", 5.0).alias("vol_ratio"), F.col("klass").cast("double").alias("label"),
+    """Clipped features, class and chronological half of bars with all features and a mature label."""
+    rows = bars_daily(spark, sf_dir)
+    for stage in STAGES:
+        rows = rows.selectExpr("*", *(f"{e} AS {name}" for name, e in stage.items()))
+    clip = lambda x, n: F.greatest(F.lit(-n), F.least(F.lit(n), F.col(x))).alias(x)
+    return rows.dropna(subset=[*FEATURES, "klass"]).select(
+        "symbol", "date", *(clip(x, n) for x, n in LIMITS.items()), F.col("klass").cast("double").alias("label"),
         (F.col("date") < F.to_date(F.lit("1999-01-01"))).alias("train"),
     )
 
@@ -89,7 +102,7 @@ def m04_platt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m06_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small three-class perceptron (sigmoid layers) scored on the later half."""
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(samples(spark, sf_dir))
-    model = MultilayerPerceptronClassifier(layers=[2, 6, 3], seed=5, maxIter=40).fit(rows.filter("train"))
+    model = MultilayerPerceptronClassifier(layers=[len(FEATURES), 8, 3], seed=5, maxIter=40).fit(rows.filter("train"))
     scored = model.transform(rows.filter("NOT train"))
     return scored.groupBy("label", "prediction").agg(F.count("*").alias("n"))
 

@@ -78,11 +78,31 @@ def clamp(x: str, low: str = "0", high: str = "1") -> str:
     return f"CASE WHEN ({x}) IS NOT NULL THEN greatest({low}, least({high}, {x})) END"
 
 
-_ACTIVITY = clamp("relative_volume20 - 1")
-SCORE = {
-    "demand": clamp(f"0.3 * close_location + 0.2 * ({clamp('body_atr')}) + 0.2 * lower_shadow + 0.2 * ({_ACTIVITY}) + 0.1 * (1 - range_position)"),
-    "supply": clamp(f"0.3 * (1 - close_location) + 0.2 * ({clamp('-body_atr')}) + 0.2 * upper_shadow + 0.2 * ({_ACTIVITY}) + 0.1 * range_position"),
-}
+# Weights of location, change, body and wick, and what a reversal and a dry-up add.
+WEIGHTS, REVERSAL, DRY_UP, LIVELY = (0.35, 0.30, 0.20, 0.15), 0.15, 0.10, 0.8
+
+
+def _pressure(side: int) -> str:
+    """Score of one side in [0, 1]: how the bar leans, by how much takes part, plus a turn against the bar before and a quiet bar that holds."""
+    lean, (place, change, body, wick) = ("" if side > 0 else "-"), WEIGHTS
+    shadow = "lower_shadow" if side > 0 else "upper_shadow"
+    leaning = " + ".join(f"{w} * greatest({lean}{x}, 0)" for w, x in ((place, "placed"), (change, "changed"), (body, "bodied")))
+    turn = "close > prev_high AND prev_close < prev_open" if side > 0 else "close < prev_low AND prev_close > prev_open"
+    quiet = "close < prev_close AND placed >= 0 AND low >= low20" if side > 0 else "close > prev_close AND placed <= 0 AND high <= high20"
+    score = f"({leaning} + {wick} * {shadow}) * (0.5 + 0.25 * greatest(0, least(2, relative_volume20)))"
+    score += f" + CASE WHEN {turn} AND relative_volume20 >= {LIVELY} THEN {REVERSAL} ELSE 0 END"
+    score += f" + CASE WHEN {quiet} AND relative_volume20 <= {LIVELY} THEN {DRY_UP} ELSE 0 END"
+    return f"CASE WHEN atr > 0 AND relative_volume20 > 0 AND changed IS NOT NULL THEN greatest(0, least(1, {score})) END"
+
+
+SCORE_STAGES = (
+    {
+        "prev_high": prior("high"), "prev_low": prior("low"), "prev_open": prior("open"),
+        "placed": "CASE WHEN high > low THEN (2 * close - high - low) / (high - low) ELSE 0 END",
+        "changed": clamp("(close - prev_close) / atr", "-1"), "bodied": clamp("(close - open) / atr", "-1"),
+    },
+    {"demand": _pressure(1), "supply": _pressure(-1)},
+)
 
 PLANS: dict[str, Staged] = {
     "w01_returns": bars(list(RETURNS), RETURNS),
@@ -235,7 +255,7 @@ PLANS: dict[str, Staged] = {
             "prev_low": prior("low"),
         },
     ),
-    "w43_demand_supply": bars(["demand", "supply"], *RANGE_STAGES, BAR_SHAPE, SCORE),
+    "w43_demand_supply": bars(["demand", "supply"], *RANGE_STAGES, BAR_SHAPE, *SCORE_STAGES),
     "w46_entry_plan": bars(
         ["stop", "distance", "weight"],
         *RANGE_STAGES,
@@ -263,7 +283,7 @@ PLANS: dict[str, Staged] = {
         ["close", "high20", "relative_volume20", "demand", "supply"],
         *RANGE_STAGES,
         BAR_SHAPE,
-        SCORE,
+        *SCORE_STAGES,
         where="close > high20 AND relative_volume20 >= 1.2 AND demand > supply",
     ),
     "p12_geometry": bars(
@@ -277,16 +297,29 @@ PLANS: dict[str, Staged] = {
         plain=("priced", "bounded", "mismatch", "suspended"),
     ),
     "p19_price_plan": bars(
-        ["buy_limit", "sell_limit", "offset_ratio"],
+        ["atr_pct", "target_price", "price_low", "price_high"],
         PREVIOUS,
-        TRUE_RANGE,
-        {"offset_ratio": clamp(f"0.25 * ({full('avg', 'true_range', 14)}) / close", "0.002", "0.03")},
+        TRUE_RANGE
+        | AVERAGES
+        | {"ret_1": RETURNS["ret_1"], "vol_ratio20": ratio("volume", full("avg", "volume", 20, 1))},
+        {
+            # Shares of the mean true range, and limits, of the plan's distances from the close.
+            "atr_pct": f"coalesce(({full('avg', 'true_range', 20, 0, 2)}) / nullif(close, 0), 0.012)",
+            "side": "CASE WHEN close < ma20 AND ret_1 < 0 AND vol_ratio20 >= 1.2 THEN 'SELL'"
+            " WHEN close > ma20 AND ma5 > ma20 AND ret_1 > 0 AND vol_ratio20 >= 1.2 THEN 'BUY' ELSE '' END",
+        },
+        {"distance": "least(0.025, greatest(0.003, atr_pct * 0.35))"},
+        {"far": "least(0.05, greatest(distance, atr_pct * 0.65))", "near": "least(0.025, greatest(0.0015, distance * 0.6))"},
+        {
+            "order_type": "CASE WHEN side = '' THEN '' WHEN side = 'SELL' AND close < 0.5 * ma20 THEN 'NEXT_DAY_MARKET' ELSE 'NEXT_DAY_LIMIT' END",
+            "toward": "CASE side WHEN 'BUY' THEN -1 WHEN 'SELL' THEN 1 END",
+        },
         {
-            "buy_limit": "CASE WHEN offset_ratio IS NOT NULL THEN round(least(close * (1 + offset_ratio), close * 1.1) + 1e-7, 2) END",
-            "sell_limit": "CASE WHEN offset_ratio IS NOT NULL THEN round(greatest(close * (1 - offset_ratio), close * 0.9) + 1e-7, 2) END",
-            "order_type": "CASE WHEN offset_ratio IS NULL THEN 'none' WHEN offset_ratio > 0.02 THEN 'limit_wide' ELSE 'limit' END",
+            "target_price": "CASE WHEN order_type = 'NEXT_DAY_MARKET' THEN close ELSE close * (1 + toward * distance) END",
+            "price_low": "CASE WHEN order_type = 'NEXT_DAY_MARKET' THEN close WHEN side = 'BUY' THEN close * (1 - far) WHEN side = 'SELL' THEN close * (1 + near) END",
+            "price_high": "CASE WHEN order_type = 'NEXT_DAY_MARKET' THEN close WHEN side = 'BUY' THEN close * (1 - near) WHEN side = 'SELL' THEN close * (1 + far) END",
         },
-        plain=("order_type",),
+        plain=("side", "order_type"),
     ),
     "p20_limit_fill": bars(
         ["limit_price", "fill_price"],
