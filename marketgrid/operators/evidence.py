@@ -143,8 +143,8 @@ def j17_single_class(spark, sf_dir):
     return rows.select("symbol", "day", F.when(F.col("n") == 1, F.col("one")).otherwise("unknown").alias("klass"))
 
 
-def j20_fills_on_bars(spark, sf_dir):
-    rows = fills(spark, sf_dir).filter("date <= DATE '1999-01-01'")
+def j20_fills_on_bars(spark, sf_dir, cutoff: str = "1999-01-01"):
+    rows = fills(spark, sf_dir).filter(F.col("date") <= F.to_date(F.lit(cutoff)))
     days = calendar(spark, sf_dir).select("date")
     return rows.join(days, "date", "left_semi").select("fill_id", "account", "date", "side")
 
@@ -293,10 +293,10 @@ def a18_event_types(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.count("*").alias("new_total"), F.count_distinct("symbol", F.to_date("available_at")).alias("active_days"))
 
 
-def k04_page(spark, sf_dir):
-    """Third page of facts, newest first."""
+def k04_page(spark, sf_dir, page: int = 3, size: int = 50):
+    """A page of facts, newest first."""
     rows = bars_daily(spark, sf_dir).select("date", "symbol", "close")
-    return rows.orderBy(F.desc("date"), "symbol").offset(100).limit(50)
+    return rows.orderBy(F.desc("date"), "symbol").offset((page - 1) * size).limit(size)
 
 
 def a14_board_evidence(spark, sf_dir, min_members: int = 5, min_coverage: float = 0.8):

@@ -64,14 +64,14 @@ def p13_finite(spark, sf_dir):
     return bars_daily(spark, sf_dir).withColumn("x", C.finite(ratio)).groupBy("symbol").agg(F.count("x").alias("known"), F.count_if(F.col("x").isNull()).alias("scrubbed"))
 
 
-def p15_filter_page(spark, sf_dir):
-    """Documents of two sources with a word, second page of ten."""
-    rows = table(spark, sf_dir, "documents").filter(F.col("source").isin("src1", "src2", "src3") & F.contains(F.lower("text"), F.lit("the")))
-    return rows.orderBy("doc_id").offset(10).limit(10).select("doc_id", "source")
+def p15_filter_page(spark, sf_dir, sources: tuple[str, ...] = ("src1", "src2", "src3"), word: str = "the", page: int = 2, size: int = 10):
+    """A page of the documents of some sources that hold a word."""
+    rows = table(spark, sf_dir, "documents").filter(F.col("source").isin(*sources) & F.contains(F.lower("text"), F.lit(word)))
+    return rows.orderBy("doc_id").offset((page - 1) * size).limit(size).select("doc_id", "source")
 
 
-def p16_search(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter(F.contains("p_name", F.lit("ring"))).select("p_partkey", "p_name")
+def p16_search(spark, sf_dir, part: str = "ring"):
+    return table(spark, sf_dir, "part").filter(F.contains("p_name", F.lit(part))).select("p_partkey", "p_name")
 
 
 def p18_row_class(spark, sf_dir):
@@ -136,8 +136,8 @@ def j15_snapshot_compare(spark, sf_dir, least_coverage: float = 0.8):
     )
 
 
-def k05_latest_date(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").filter("l_shipdate <= TIMESTAMP_NTZ '1998-09-02'").agg(F.max(F.col("l_shipdate").cast("date")).alias("last"))
+def k05_latest_date(spark, sf_dir, end: str = "1998-09-02"):
+    return table(spark, sf_dir, "lineitem").filter(f"l_shipdate <= TIMESTAMP_NTZ '{end}'").agg(F.max(F.col("l_shipdate").cast("date")).alias("last"))
 
 
 def a16_ranking_eligibility(spark, sf_dir):
@@ -215,9 +215,9 @@ def u06_pool(spark, sf_dir):
     return pool.join(last, "p_partkey", "left").select("p_partkey", "p_brand", "supplier")
 
 
-def s07_read_many(spark, sf_dir):
+def s07_read_many(spark, sf_dir, symbols: tuple[int, ...] = tuple(range(0, 150, 10))):
     """Daily closes of a list of outside instruments in one scan."""
-    wanted = spark.range(0, 150, 10).withColumnRenamed("id", "symbol")  # a fixed short list
+    wanted = spark.createDataFrame([(x,) for x in symbols], "symbol long")  # a short list
     rows = signals(spark, sf_dir).join(F.broadcast(wanted), "symbol", "left_semi")
     return rows.groupBy("symbol", F.to_date("available_at").alias("date")).agg(F.max_by("value", F.struct("available_at", "event_id")).alias("close"))
 

@@ -161,9 +161,9 @@ def s13_import(spark, sf_dir):
     return spark.read.parquet(at).select("symbol", "s_name")
 
 
-def s01_scan_symbol(spark, sf_dir):
+def s01_scan_symbol(spark, sf_dir, symbol: int = 7, start: str = "1996-01-01", stop: str = "1998-01-01"):
     """One symbol's range; the filters on the raw columns reach the parquet scan."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_suppkey = 7 AND l_shipdate >= TIMESTAMP_NTZ '1996-01-01' AND l_shipdate < TIMESTAMP_NTZ '1998-01-01'")
+    rows = table(spark, sf_dir, "lineitem").filter(f"l_suppkey = {symbol} AND l_shipdate >= TIMESTAMP_NTZ '{start}' AND l_shipdate < TIMESTAMP_NTZ '{stop}'")
     return rows.select(F.col("l_orderkey").alias("order"), F.col("l_shipdate").cast("date").alias("date"), F.col("l_extendedprice").alias("price"))
 
 
@@ -172,8 +172,8 @@ def s02_scan_batch(spark, sf_dir):
     return bars_daily(spark, sf_dir).join(wanted, "symbol", "left_semi").select("symbol", "date", "close")
 
 
-def s03_market_window(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_shipdate >= TIMESTAMP_NTZ '1997-01-01' AND l_shipdate < TIMESTAMP_NTZ '1997-04-01'")
+def s03_market_window(spark, sf_dir, start: str = "1997-01-01", stop: str = "1997-04-01"):
+    rows = table(spark, sf_dir, "lineitem").filter(f"l_shipdate >= TIMESTAMP_NTZ '{start}' AND l_shipdate < TIMESTAMP_NTZ '{stop}'")
     return rows.groupBy(F.col("l_shipdate").cast("date").alias("date")).agg(
         F.count_distinct("l_suppkey").alias("symbols"), F.count_if((F.col("l_quantity") > 0) & (F.col("l_extendedprice") > 0)).alias("valid")
     )
