@@ -267,7 +267,7 @@ def a35_loss_funnel(spark, sf_dir):
     late = F.when(F.col("date") >= F.to_date(F.lit("1997-01-01")), "late").otherwise("early")
     large = F.when(F.col("notional") >= 150000, "large").otherwise("small")
     return rows.groupBy(gate.alias("gate"), F.concat_ws("_", large, late).alias("quadrant")).agg(
-        F.count("*").alias("n"), *(F.round(F.percentile("notional", F.lit(q)), 2).alias(name) for q, name in ((0.25, "p25"), (0.5, "median"), (0.75, "p75")))
+        F.count("*").alias("n"), *(F.round(F.percentile("notional", F.lit(q)), 1).alias(name) for q, name in ((0.25, "p25"), (0.5, "median"), (0.75, "p75")))
     )
 
 
@@ -355,7 +355,7 @@ def a19_sentiment(spark, sf_dir, min_coverage: float = 0.8):
     group = F.when(F.col("board") != "", F.col("score"))
     out = rows.groupBy("date").agg(market("score").alias("score"), market("one").alias("one"), market("five").alias("five"), F.avg(group).alias("mean"), F.count(group).alias("known"))
     coverage = F.col("known") / F.col("groups")
-    text = lambda x: F.coalesce(F.format_string("%.4f", F.col(x)), F.lit("null"))
+    text = lambda x: F.coalesce(F.format_string("%.6f", F.col(x)), F.lit("null"))
     parts = F.map_from_arrays(F.array(F.lit("one"), F.lit("five")), F.array(text("one"), text("five")))
     return out.crossJoin(F.broadcast(size)).select(  # one row
         "date", F.round("score", 5).alias("score"), F.round("mean", 5).alias("group_mean"), F.round(coverage, 6).alias("coverage"),
@@ -598,8 +598,8 @@ p AS (SELECT vec_id, avg(abs(x - mid)) AS mae, stddev_pop(x) AS sd, avg(CAST(x >
 SELECT vec_id, round(mae, 5) AS mae, round(mae / nullif(sd, 0), 5) AS normalised_mae, round(brier, 5) AS brier, round(coverage, 5) AS coverage, round(width, 5) AS width, round(mae / nullif(sd, 0) + brier + abs(coverage - 0.8), 5) AS loss FROM p""",
     "a33_sufficiency": _F[:-1] + ", p AS (SELECT account, count(*) AS n, count(DISTINCT side) AS sides, sum(notional) AS amount, max(date) - min(date) AS span, max(notional) AS largest, count(*) - count(DISTINCT fill_id) AS doubled FROM fills GROUP BY account) SELECT account, 'enough_fills' AS check_name, n >= 5 AS passed FROM p UNION ALL SELECT account, 'both_sides', sides = 2 FROM p UNION ALL SELECT account, 'turnover', amount > 500000 FROM p UNION ALL SELECT account, 'long_enough', span >= 365 FROM p UNION ALL SELECT account, 'not_one_fill', largest < 0.8 * amount FROM p UNION ALL SELECT account, 'unique_fills', doubled = 0 FROM p",
     "a35_loss_funnel": _F + """SELECT CASE WHEN side <> 'BUY' THEN 'not_entry' WHEN notional < 50000 THEN 'too_small' WHEN date < DATE '1996-01-01' THEN 'too_early' ELSE 'kept' END AS gate,
-  CASE WHEN notional >= 150000 THEN 'large' ELSE 'small' END || '_' || CASE WHEN date >= DATE '1997-01-01' THEN 'late' ELSE 'early' END AS quadrant, count(*) AS n, round(quantile_cont(notional, 0.25), 2) AS p25,
-  round(quantile_cont(notional, 0.5), 2) AS median, round(quantile_cont(notional, 0.75), 2) AS p75 FROM fills GROUP BY 1, 2""",
+  CASE WHEN notional >= 150000 THEN 'large' ELSE 'small' END || '_' || CASE WHEN date >= DATE '1997-01-01' THEN 'late' ELSE 'early' END AS quadrant, count(*) AS n, round(quantile_cont(notional, 0.25), 1) AS p25,
+  round(quantile_cont(notional, 0.5), 1) AS median, round(quantile_cont(notional, 0.75), 1) AS p75 FROM fills GROUP BY 1, 2""",
     "a36_maturity": _BC + "SELECT symbol, count(*) FILTER (session + 10 <= (SELECT max(session) FROM calendar)) AS mature, count(*) FILTER (session + 10 > (SELECT max(session) FROM calendar)) AS immature FROM bars JOIN calendar USING (date) GROUP BY symbol",
     "a37_source_audit": """WITH d AS (SELECT d.*, quality, toxic, count(DISTINCT source) OVER t AS sources, count(DISTINCT lang) OVER t AS langs, count(DISTINCT quality) OVER t AS verdicts FROM documents d LEFT JOIN labels USING (doc_id) WINDOW t AS (PARTITION BY text)),
 p AS (SELECT source, count(*) FILTER (sources > 1 AND text IS NOT NULL) AS several_sources, count(*) FILTER (langs > 1 AND text IS NOT NULL) AS several_languages, count(*) FILTER (verdicts > 1 AND text IS NOT NULL) AS several_verdicts,
@@ -620,7 +620,7 @@ s AS (SELECT *, 0.6 * one + 0.4 * five AS score FROM p),
 d AS (SELECT date, max(score) FILTER (board = '') AS score, max(one) FILTER (board = '') AS one, max(five) FILTER (board = '') AS five, avg(score) FILTER (board <> '') AS mean, count(score) FILTER (board <> '') AS known FROM s GROUP BY date),
 e AS (SELECT *, known / (SELECT count(DISTINCT board) FROM industry) AS coverage FROM d)
 SELECT date, round(score, 5) AS score, round(mean, 5) AS group_mean, round(coverage, 6) AS coverage, CASE WHEN score IS NULL THEN 'unavailable' WHEN coverage < 0.8 THEN 'partial' ELSE 'available' END AS status,
-  'one=' || coalesce(printf('%.4f', one), 'null') || ',five=' || coalesce(printf('%.4f', five), 'null') AS parts FROM e""",
+  'one=' || coalesce(printf('%.6f', one), 'null') || ',five=' || coalesce(printf('%.6f', five), 'null') AS parts FROM e""",
     "m01_preprocessing": """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 > 0 THEN o_totalprice END AS x, o_orderkey % 2 = 0 AS train FROM orders),
 f AS (SELECT quantile_cont(x, 0.5) AS mid, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM r WHERE train), c AS (SELECT *, least(hi, greatest(lo, coalesce(x, mid))) AS c FROM r, f),
 s AS (SELECT avg(c) AS mean, stddev_pop(c) AS sd FROM c WHERE train) SELECT o_orderkey, round((c - mean) / sd, 5) AS z, CAST(x IS NULL AS INTEGER) AS missing FROM c, s""",
