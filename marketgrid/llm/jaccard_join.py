@@ -26,6 +26,8 @@ from .common import Scratch, arrow_schema, read
 WIDTH, PERCENT = 4, 85
 #: Sets that a comparing task holds from either side of a large group, and pivots that all its tasks share.
 BLOCK, PIVOTS = 256, 4
+#: Blocks that a task takes at most where sets outside a group's main component meet all others, and characters of their texts.
+OPEN_BLOCKS, OPEN_CHARS = 4, 8_000_000
 #: Sets of small groups that one task takes one group after the other.
 SMALL_PER_TASK = 400
 #: Least and most bits of a bitmap; in between, four for each shingle of the largest set at hand.
@@ -186,17 +188,30 @@ class _Ties:
         return x != y
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+def bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
     """Hashed bitmaps of sets as rows of zeros and ones."""
-    width = BITS[0]
-    while width < BITS[1] and width < 4 * max(map(len, sets), default=0):
-        width *= 2
     out = np.zeros((len(sets), width), np.float32)
     for k, hashes in enumerate(sets):
         out[k, (hashes % np.uint64(width)).astype(np.int64)] = 1
     return out
 
 
+def candidates(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of a left and a right set whose bitmaps leave room for a link, ``BLOCK`` by ``BLOCK`` sets at a time."""
+    width, largest = BITS[0], max((len(sets[k]) for k in (*left, *right)), default=0)
+    while width < BITS[1] and width < 4 * largest:
+        width *= 2
+    size = np.array([len(x) for x in sets], np.int64)
+    for a in range(0, len(left), BLOCK):
+        rows = left[a : a + BLOCK]
+        bits = bitmaps([sets[k] for k in rows], width)
+        for b in range(0, len(right), BLOCK):
+            columns = right[b : b + BLOCK]
+            other = bits if columns is rows else bitmaps([sets[k] for k in columns], width)
+            for i, j in may_link(bits, size[rows], other, size[columns], percent):
+                yield int(rows[i]), int(columns[j])
+
+
 def may_link(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray, percent: int) -> np.ndarray:
     """Pairs whose bit counts leave room for a link.
 
@@ -230,11 +245,9 @@ def _compare(width: int, percent: int):
             nodes, tied, asked = part.node.tolist(), _Ties(), part.asked.to_numpy()
             for node, before in zip(nodes, part.tied, strict=True):
                 tied.tie(("node", node), ("tied", before))
-            bits, sizes = bitmaps(sets), np.array([len(s) for s in sets], np.int64)
             left = np.flatnonzero(asked) if asked.any() else np.arange(len(sets))
             right = np.flatnonzero(~asked) if asked.any() else left
-            for i, j in may_link(bits[left], sizes[left], bits[right], sizes[right], percent):
-                x, y = left[i], right[j]
+            for x, y in candidates(sets, left, right, percent):
                 if not asked.any() and x >= y or nodes[x] == nodes[y]:
                     continue
                 a, b = ("node", nodes[x]), ("node", nodes[y])
@@ -248,7 +261,7 @@ def _compare(width: int, percent: int):
 
 def _ties(scratch: Scratch, work: DataFrame, texts: DataFrame, name: str, width: int, percent: int) -> DataFrame:
     """Linking pairs (a < b) with the same components, from rows (task, label, node, tied, asked)."""
-    full = work.join(texts, "node")
+    full = work.join(texts.drop("chars"), "node")
     edges = full.groupBy("task").applyInPandas(_compare(width, percent), "a long, b long")
     return scratch.write(edges, name)
 
@@ -303,7 +316,7 @@ def _linked(frame: DataFrame, id_col: str, text_col: str, width: int, percent: i
     group = components(scratch, found.filter("not outer").select("a", "b").union(across.select("a", "b")), "groups")
     # Texts travel once, and only those of sets that share a tile are kept at hand.
     wanted = group.select("node").join(classes.select("node", "rep", "h1"), "node")
-    texts = scratch.write(wanted.join(keyed.hint("merge"), F.col("rep") == F.col(KEY)).select("node", "h1", "text"), "texts")
+    texts = scratch.write(wanted.join(keyed.hint("merge"), F.col("rep") == F.col(KEY)).select("node", "h1", "text", F.length("text").alias("chars")), "texts")
     scratch.drop("found")
     edges = _first_ties(scratch, group, texts, width, percent)
     label = components(scratch, edges, "linked")
@@ -346,10 +359,15 @@ def _open_ties(
     """Links of large groups' sets outside their largest component with all others of the group; None if there are none."""
     sizes = group.groupBy("label").agg(F.count("*").alias("n")).filter(f"n > {BLOCK}")
     tied = group.join(sizes, "label").join(label.select("node", F.col("label").alias("tied")), "node", "left")
-    tied = scratch.write(tied.withColumn("tied", F.coalesce("tied", "node")), "tied")
-    counts = tied.groupBy("label", "tied").agg(F.count("*").alias("m"))
-    main = counts.groupBy("label").agg(F.max_by("tied", F.struct("m", "tied")).alias("main"), F.sum("m").alias("n"), F.max("m").alias("m"))
-    main = main.filter("m < n").select("label", "main", F.ceil((F.col("n") - F.col("m")) / BLOCK).alias("few"), F.ceil(F.col("n") / BLOCK).alias("all"))
+    chars = texts.groupBy("node").agg(F.max("chars").alias("chars"))
+    tied = scratch.write(tied.withColumn("tied", F.coalesce("tied", "node")).join(chars, "node"), "tied")
+    counts = tied.groupBy("label", "tied").agg(F.count("*").alias("m"), F.sum("chars").alias("chars"))
+    main = counts.groupBy("label").agg(
+        F.max_by("tied", F.struct("m", "tied")).alias("main"), F.sum("m").alias("n"), F.max("m").alias("m"), (F.sum("chars") / F.sum("m")).alias("mean")
+    )
+    # A task takes as many sets of either side as their texts allow: the larger, the fewer tasks each set goes to.
+    block = F.greatest(F.lit(BLOCK), F.least(F.lit(OPEN_BLOCKS * BLOCK), F.floor(OPEN_CHARS / F.greatest("mean", F.lit(1.0)))))
+    main = main.filter("m < n").select("label", "main", F.ceil((F.col("n") - F.col("m")) / block).alias("few"), F.ceil(F.col("n") / block).alias("all"))
     rows = scratch.write(tied.select("label", "node", "tied").join(main, "label"), "open")
     if rows.isEmpty():
         return None
