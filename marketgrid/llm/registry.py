@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jaccard_join, licenses, packing, quality, secrets, site_style, substring_dedup, topk
+from . import bpe, chat, jaccard_join, licenses, merkle, packing, quality, secrets, site_style, substring_dedup, topk
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         quality.op8_quality_rules,
         packing.op9_best_fit_packing,
         licenses.op10_license_scan,
+        merkle.op11_merkle_manifest,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op6_exact_topk": topk.OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_exact_topk": topk.OP6_SQL, "op11_merkle_manifest": merkle.OP11_SQL}
