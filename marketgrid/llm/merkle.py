@@ -245,7 +245,7 @@ def manifest(frame: DataFrame, key: str = "doc_id", group: str = "source", leaf:
     spark = frame.sparkSession
     scratch = Scratch(spark)
     inner = frame.select(F.col(group).alias("grp"), F.col(key).alias("key"), F.col(leaf).alias("digest"), F.struct(*(F.col(c) for c in frame.columns)).alias("carry"))
-    leaves = _placed(scratch, inner, "leaves").drop("key")
+    leaves = _placed(scratch, scratch.write(inner, "digests"), "leaves").drop("key")
     rounds = _rise(scratch, leaves, "groups")
     subroots = scratch.write(_roots(rounds), "subroots")
     tops = _placed(scratch, subroots.select(F.lit(None).cast("string").alias("grp"), F.col("grp").alias("key"), "digest"), "tops")
