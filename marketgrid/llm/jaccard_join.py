@@ -10,7 +10,8 @@ not compared again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,8 @@ from .common import Scratch, arrow_schema, read
 WIDTH, PERCENT = 4, 85
 #: Sets that a comparing task holds from either side of a large group, and pivots that all its tasks share.
 BLOCK, PIVOTS = 256, 4
-#: Blocks that a task takes at most where sets outside a group's main component meet all others, and characters of their texts.
-OPEN_BLOCKS, OPEN_CHARS = 4, 8_000_000
+#: Blocks that a task takes at most where sets outside a group's main component meet all others, and characters of a task's texts.
+OPEN_BLOCKS, TASK_CHARS = 4, 8_000_000
 #: Sets of small groups that one task takes one group after the other.
 SMALL_PER_TASK = 400
 #: Least and most bits of a bitmap; in between, four for each shingle of the largest set at hand.
@@ -116,23 +117,38 @@ def _digest(hashes: np.ndarray) -> tuple[int, int]:
     return (both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _sets(keyed: DataFrame, width: int, percent: int) -> DataFrame:
-    spark_schema, schema = arrow_schema(f"id long, {KEY} long, n_shingles long, h1 long, h2 long, tiles array<long>")
+@dataclass(frozen=True)
+class Scheme:
+    """Where sets meet that may link: ``name`` gives a set's tiles and, if ``ordered``, its place in the order within each of them."""
+
+    name: Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray | None]]
+    ordered: bool = False
+
+
+BANDS = Scheme(lambda hashes, percent: (tiles(hashes, percent), None))
+
+
+def _sets(keyed: DataFrame, width: int, percent: int, scheme: Scheme) -> DataFrame:
+    places = ", places array<long>" if scheme.ordered else ""
+    spark_schema, schema = arrow_schema(f"id long, {KEY} long, n_shingles long, h1 long, h2 long, tiles array<long>{places}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                n, digests, named = [], [], []
+                n, digests, named, placed = [], [], [], []
                 for text in batch.column(2).to_pylist():
                     hashes = shingles(text, width)
                     n.append(len(hashes))
                     digests.append(_digest(hashes))
-                    named.append(tiles(hashes, percent))
+                    of, places = scheme.name(hashes, percent)
+                    named.append(of)
+                    placed.append(places)
+                arrays = [named, placed] if scheme.ordered else [named]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), batch.column(1), pa.array(n, pa.int64()),
-                        *(pa.array(x, pa.int64()) for x in zip(*digests, strict=True)), pa.array(named, schema.field("tiles").type),
+                        *(pa.array(x, pa.int64()) for x in zip(*digests, strict=True)), *(pa.array(x, schema.field("tiles").type) for x in arrays),
                     ],
                     schema=schema,
                 )
@@ -143,30 +159,54 @@ def _sets(keyed: DataFrame, width: int, percent: int) -> DataFrame:
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ties of each tile's sets to its first one; the first sets of a task's outer tiles, which may go on elsewhere.
 
-    Rows come sorted by tile and set, so a task holds one batch at a time.
+    Rows come sorted by tile, place and set, so a task holds one batch at a time.  Where sets have
+    places, those that are next to each other there are given besides.
     """
-    outer, tile_before, first_before = None, 0, 0
+    outer, tile_before, first_before, held = None, 0, 0, np.empty((3, 0), np.int64)
     for batch in batches:
         if not batch.num_rows:
             continue
         tile, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if batch.num_columns == 3:
+            rows = np.concatenate([held, np.stack([tile, node, batch.column(2).to_numpy()])], axis=1)
+            yield _near(rows)
+            held = rows[:, -3:]
         new = np.r_[outer is None or tile[0] != tile_before, tile[1:] != tile[:-1]]
         at = np.maximum.accumulate(np.where(new, np.arange(len(tile)), -1))
         first = np.where(at < 0, first_before, node[at])
         ties = np.stack([first, node])[:, first != node]
         if ties.shape[1]:
             a, b = np.unique(ties, axis=1)
-            yield _rows(np.zeros(len(a), np.int64), False, a, b)
+            yield _rows(np.zeros(len(a), np.int64), "tie", a, b)
         outer = outer or (tile[0], node[0])
         tile_before, first_before = tile[-1], first[-1]
     if outer is not None:
         ends, sets = np.array([outer[0], tile_before]), np.array([outer[1], first_before])
-        yield _rows(ends, True, sets, sets)
+        yield _rows(ends, "outer", sets, sets)
+
+
+#: Levels that the places within a tile have, and bits of each.
+LEVELS, LEVEL_BITS = 4, 15
+
+
+def _near(rows: np.ndarray) -> pa.RecordBatch:
+    """For each set of sorted (tile, node, place) the neighbour with which it shares the longest prefix.
+
+    How deep that is depends on how many sets stand around it.
+    """
+    tile, node, place = rows
+    apart, depth = place[1:] ^ place[:-1], np.full(len(place) - 1, LEVELS, np.int64)
+    for level in range(LEVELS):
+        depth[(apart >> (LEVEL_BITS * level)) != 0] = LEVELS - 1 - level
+    shared = np.r_[0, np.where(tile[1:] == tile[:-1], depth + 1, 0), 0]
+    with_next = (shared[1:-1] > 0) & ((shared[1:-1] >= shared[:-2]) | (shared[1:-1] >= shared[2:])) & (node[1:] != node[:-1])
+    a, b = np.minimum(node[1:], node[:-1])[with_next], np.maximum(node[1:], node[:-1])[with_next]
+    return _rows(np.zeros(len(a), np.int64), "near", a, b)
 
 
-def _rows(tile: np.ndarray, outer: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(tile), pa.array(np.full(len(a), outer)), pa.array(a), pa.array(b)]
-    return pa.RecordBatch.from_arrays(columns, names=["tile", "outer", "a", "b"])
+def _rows(tile: np.ndarray, what: str, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(tile), pa.array([what] * len(a), pa.string()), pa.array(a), pa.array(b)]
+    return pa.RecordBatch.from_arrays(columns, names=["tile", "what", "a", "b"])
 
 
 class _Ties:
@@ -266,12 +306,12 @@ def _ties(scratch: Scratch, work: DataFrame, texts: DataFrame, name: str, width:
     return scratch.write(edges, name)
 
 
-def _piece(of: str, pieces: str, seed: int) -> Column:
-    return F.expr(f"pmod(xxhash64({of}, {seed}), {pieces})")
+def _piece(of: Column, pieces: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(of, F.lit(seed)), pieces)
 
 
 def link(
-    frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT
+    frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, scheme: Scheme = BANDS
 ) -> DataFrame:
     """``id_col``, ``n_shingles`` and ``component_id`` (smallest id reachable by links) of each row.
 
@@ -279,13 +319,15 @@ def link(
     words link with nothing.  Rows without id have a null component but link others; rows that
     repeat an id with another text are judged by their own text.  An empty table gives no rows.
     """
-    rows, classes = _linked(frame, id_col, text_col, width, percent)
+    rows, classes = _linked(frame, id_col, text_col, width, percent, scheme)
     named = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
     joined = rows.join(classes, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
     return joined.select(F.col("id").alias(id_col), "n_shingles", named.alias("component_id"))
 
 
-def _linked(frame: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _linked(
+    frame: DataFrame, id_col: str, text_col: str, width: int, percent: int, scheme: Scheme = BANDS
+) -> tuple[DataFrame, DataFrame]:
     """Rows (id, n_shingles, h1, h2), and classes of equal sets (c1, c2) with their component.
 
     ``component`` is its smallest id, ``winner`` the first of its sets by (no id, id, digest).
@@ -293,37 +335,41 @@ def _linked(frame: DataFrame, id_col: str, text_col: str, width: int, percent: i
     spark = frame.sparkSession
     scratch = Scratch(spark)
     keyed = _keyed(frame, id_col, text_col)
-    made = scratch.write(_sets(keyed, width, percent), "sets")
+    made = scratch.write(_sets(keyed, width, percent, scheme), "sets")
     known = made.filter("n_shingles > 0")
     by_set = known.groupBy("h1", "h2").agg(
         F.min("id").alias("first"), F.min(F.struct(F.col("id").isNull().alias("none"), F.col(KEY).alias("key"))).getField("key").alias("rep")
     )
     classes = scratch.write(by_set.withColumn("node", F.monotonically_increasing_id()), "classes")
     one = classes.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "rep", "node")
+    met = F.explode(F.arrays_zip("tiles", "places") if scheme.ordered else F.arrays_zip("tiles"))
     named = (
         known.filter(F.size("tiles") > 0)
         .join(one, (F.col(KEY) == F.col("rep")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")))
-        .select(F.explode("tiles").alias("tile"), "node")
+        .select(met.alias("met"), "node")
+        .select(F.col("met.tiles").alias("tile"), "node", *([F.col("met.places").alias("place")] if scheme.ordered else []))
     )
-    # Ranges of (tile, node) are even however many sets share a tile.
+    # Ranges of (tile, place, node) are even however many sets share a tile.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = named.repartitionByRange(parts, "tile", "node").sortWithinPartitions("tile", "node")
-    found = scratch.write(ranges.mapInArrow(_within, "tile long, outer boolean, a long, b long"), "found")
-    slim = scratch.write(made.drop("tiles", KEY), "slim")
-    scratch.drop("sets")
-    outer = found.filter("outer").select("tile", "a")  # two rows for each task
+    order = ["tile", "place", "node"] if scheme.ordered else ["tile", "node"]
+    ranges = named.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    found = scratch.write(ranges.mapInArrow(_within, "tile long, what string, a long, b long"), "found")
+    slim = scratch.write(made.drop("tiles", "places", KEY), "slim")
+    outer = found.filter("what = 'outer'").select("tile", "a")  # two rows for each task
     across = outer.join(outer.groupBy("tile").agg(F.min("a").alias("b")), "tile").filter("a <> b")
-    group = components(scratch, found.filter("not outer").select("a", "b").union(across.select("a", "b")), "groups")
+    group = components(scratch, found.filter("what = 'tie'").select("a", "b").union(across.select("a", "b")), "groups")
+    near = components(scratch, found.filter("what = 'near'").select("a", "b"), "near") if scheme.ordered else None
     # Texts travel once, and only those of sets that share a tile are kept at hand.
     wanted = group.select("node").join(classes.select("node", "rep", "h1"), "node")
     texts = scratch.write(wanted.join(keyed.hint("merge"), F.col("rep") == F.col(KEY)).select("node", "h1", "text", F.length("text").alias("chars")), "texts")
     scratch.drop("found")
-    edges = _first_ties(scratch, group, texts, width, percent)
+    sized = _sized(scratch, group, texts)
+    edges = _first_ties(scratch, sized, near, texts, width, percent)
     label = components(scratch, edges, "linked")
-    more = _open_ties(scratch, group, label, texts, width, percent)
+    more = _open_ties(scratch, sized, label, named, texts, width, percent)
     if more is not None:
         label = components(scratch, edges.union(more), "linked-again")
-    scratch.drop("texts")
+    scratch.drop("texts", "sets")
     tied = classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     whole = tied.groupBy("label").agg(
         F.min("first").alias("component"), F.min(F.struct(F.col("first").isNull().alias("none"), "first", "h1", "h2")).alias("winner")
@@ -332,53 +378,86 @@ def _linked(frame: DataFrame, id_col: str, text_col: str, width: int, percent: i
     return slim, scratch.write(of, "named")
 
 
-def _first_ties(scratch: Scratch, group: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """All links of small groups; of large ones those within a block and with the group's pivots."""
-    sizes = scratch.write(group.groupBy("label").agg(F.count("*").alias("n")), "sizes")
-    n_small = sizes.filter(f"n <= {BLOCK}").agg(F.sum("n")).first()[0] or 0
-    tasks = max(1, n_small // SMALL_PER_TASK)
-    sized = group.join(sizes.withColumn("pieces", F.ceil(F.col("n") / BLOCK)), "label")
-    task = F.when(F.col("n") <= BLOCK, _piece("label", str(tasks), 1)).otherwise(
-        F.xxhash64("label", _piece("node", "pieces", 2))
-    )
-    members = sized.select(task.alias("task"), "label", "node")
-    big = sized.filter(f"n > {BLOCK}")
-    pivots = big.groupBy("label", "pieces").agg(
+def _sized(scratch: Scratch, group: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members (label, node, chars) of groups with their group's sets ``n``, ``pieces``, and whether it is too ``big`` for one task."""
+    chars = texts.groupBy("node").agg(F.max("chars").alias("chars"))
+    members = scratch.write(group.join(chars, "node", "left").withColumn("chars", F.coalesce("chars", F.lit(0))), "members")
+    sizes = members.groupBy("label").agg(F.count("*").alias("n"), F.sum("chars").alias("all_chars"))
+    pieces = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all_chars") / TASK_CHARS))
+    return scratch.write(members.join(sizes.withColumn("pieces", pieces).withColumn("big", F.col("pieces") > 1), "label"), "sized")
+
+
+def _first_ties(scratch: Scratch, sized: DataFrame, near: DataFrame | None, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """All links of small groups; of large ones those within a piece and with the group's pivots.
+
+    Neighbours in an order share a piece where there are orders.
+    """
+    small = sized.filter("not big").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).first()
+    tasks = max(1, small["n"] // SMALL_PER_TASK, (small["chars"] or 0) // TASK_CHARS)
+    big = sized.filter("big")
+    # Parts of a group that are too large for a piece themselves are dealt by set.
+    unit = F.col("node")
+    if near is not None:
+        beside = near.select("node", F.col("label").alias("near"))
+        kept = beside.join(beside.groupBy("near").agg(F.count("*").alias("m")), "near").filter(f"m <= {BLOCK // 2}").drop("m")
+        big, unit = big.join(kept, "node", "left"), F.coalesce("near", "node")
+    inside = sized.filter("not big").select(_piece(F.col("label"), F.lit(tasks), 1).alias("task"), "label", "node")
+    members = big.select(F.xxhash64("label", _piece(unit, F.col("pieces"), 2)).alias("task"), "label", "node")
+    pivots = sized.filter("big").groupBy("label", "pieces").agg(
         *(F.min_by("node", F.xxhash64("node", F.lit(3 + k))).alias(f"p{k}") for k in range(PIVOTS))
     )
     pivots = pivots.select(
         "label", F.explode(F.expr("sequence(0L, pieces - 1)")).alias("piece"), F.array(*(f"p{k}" for k in range(PIVOTS))).alias("p")
     ).select(F.xxhash64("label", "piece").alias("task"), "label", F.explode("p").alias("node"))
-    work = members.union(pivots).distinct().withColumn("tied", F.col("node")).withColumn("asked", F.lit(False))
+    work = inside.union(members).union(pivots).distinct().withColumn("tied", F.col("node")).withColumn("asked", F.lit(False))
     return _ties(scratch, scratch.write(work, "work"), texts, "first-ties", width, percent)
 
 
 def _open_ties(
-    scratch: Scratch, group: DataFrame, label: DataFrame, texts: DataFrame, width: int, percent: int
+    scratch: Scratch, sized: DataFrame, label: DataFrame, named: DataFrame, texts: DataFrame, width: int, percent: int
 ) -> DataFrame | None:
-    """Links of large groups' sets outside their largest component with all others of the group; None if there are none."""
-    sizes = group.groupBy("label").agg(F.count("*").alias("n")).filter(f"n > {BLOCK}")
-    tied = group.join(sizes, "label").join(label.select("node", F.col("label").alias("tied")), "node", "left")
-    chars = texts.groupBy("node").agg(F.max("chars").alias("chars"))
-    tied = scratch.write(tied.withColumn("tied", F.coalesce("tied", "node")).join(chars, "node"), "tied")
+    """Links of big groups' sets outside their largest component with the others that share a tile with them; None if there are none.
+
+    Where meeting by tile makes more rows than a grid of blocks over the whole group, the grid is taken.
+    """
+    tied = sized.filter("big").join(label.select("node", F.col("label").alias("tied")), "node", "left")
+    tied = scratch.write(tied.withColumn("tied", F.coalesce("tied", "node")), "tied")
     counts = tied.groupBy("label", "tied").agg(F.count("*").alias("m"), F.sum("chars").alias("chars"))
     main = counts.groupBy("label").agg(
         F.max_by("tied", F.struct("m", "tied")).alias("main"), F.sum("m").alias("n"), F.max("m").alias("m"), (F.sum("chars") / F.sum("m")).alias("mean")
     )
     # A task takes as many sets of either side as their texts allow: the larger, the fewer tasks each set goes to.
-    block = F.greatest(F.lit(BLOCK), F.least(F.lit(OPEN_BLOCKS * BLOCK), F.floor(OPEN_CHARS / F.greatest("mean", F.lit(1.0)))))
-    main = main.filter("m < n").select("label", "main", F.ceil((F.col("n") - F.col("m")) / block).alias("few"), F.ceil(F.col("n") / block).alias("all"))
-    rows = scratch.write(tied.select("label", "node", "tied").join(main, "label"), "open")
+    block = F.greatest(F.lit(1.0), F.least(F.lit(OPEN_BLOCKS * BLOCK), F.floor(TASK_CHARS / F.greatest("mean", F.lit(1.0)))))
+    main = main.filter("m < n").select("label", "main", "n", "m", F.ceil((F.col("n") - F.col("m")) / block).alias("few"), F.ceil(F.col("n") / block).alias("all"))
+    rows = scratch.write(tied.select("label", "node", "tied").join(main, "label").withColumn("asked", F.col("tied") != F.col("main")), "open")
     if rows.isEmpty():
         return None
-    asked = rows.filter("tied <> main").select(
-        "label", "node", "tied", _piece("node", "few", 8).alias("x"), F.explode(F.expr("sequence(0L, all - 1)")).alias("y"), F.lit(True).alias("asked")
+    met = named.select("tile", "node").distinct().join(rows.select("node", "label", "tied", "asked"), "node")
+    met = scratch.write(met, "open-tiles")
+    shared = met.groupBy("tile", "label").agg(F.count("*").alias("here"), F.sum(F.col("asked").cast("long")).alias("askers"), F.min("tied").alias("low"), F.max("tied").alias("high"))
+    shared = scratch.write(shared.filter("askers > 0 AND low <> high").select("tile", "label", (F.col("here") * F.col("askers")).alias("pairs")), "open-shared")
+    grid = (F.first("n") - F.first("m")) * F.first("all") + F.first("n") * F.first("few")
+    by_tile = rows.groupBy("label").agg(grid.alias("grid")).join(shared.groupBy("label").agg(F.sum("pairs").alias("pairs")), "label")
+    by_tile = scratch.write(by_tile.select("label", (F.col("pairs") <= F.col("grid")).alias("by_tile")), "open-ways")
+
+    few = met.join(shared.select("tile"), "tile").join(by_tile.filter("by_tile").select("label"), "label")
+    askers = few.filter("asked").select("tile", F.col("node").alias("asker"), F.col("tied").alias("asker_tied"))
+    pairs = askers.join(few, "tile").filter("asker_tied <> tied").select("asker", "asker_tied", "node", "tied").distinct()
+    pairs = scratch.write(pairs, "open-pairs")
+    tasks = max(1, pairs.count() // SMALL_PER_TASK)
+    task = _piece(F.col("asker"), F.lit(tasks), 5).alias("task")
+    beside = pairs.select(task, F.col("asker").alias("label"), "node", "tied", F.lit(False).alias("asked"))
+    beside = beside.union(pairs.select(task, F.col("asker").alias("label"), F.col("asker").alias("node"), F.col("asker_tied").alias("tied"), F.lit(True).alias("asked")).distinct())
+
+    rows = rows.join(by_tile.filter("not by_tile").select("label"), "label")
+    asked = rows.filter("asked").select(
+        "label", "node", "tied", _piece(F.col("node"), F.col("few"), 8).alias("x"), F.explode(F.expr("sequence(0L, all - 1)")).alias("y"), F.lit(True).alias("asked")
     )
     others = rows.select(
-        "label", "node", "tied", F.explode(F.expr("sequence(0L, few - 1)")).alias("x"), _piece("node", "all", 9).alias("y"), F.lit(False).alias("asked")
+        "label", "node", "tied", F.explode(F.expr("sequence(0L, few - 1)")).alias("x"), _piece(F.col("node"), F.col("all"), 9).alias("y"), F.lit(False).alias("asked")
     )
     work = asked.union(others).select(F.xxhash64("label", "x", "y").alias("task"), "label", "node", "tied", "asked")
-    return _ties(scratch, work, texts, "open-ties", width, percent)
+    return _ties(scratch, beside.union(work), texts, "open-ties", width, percent)
 
 
 def keep_one(
