@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, chat, jaccard_join, licenses, merkle, packing, quality, secrets, site_style, substring_dedup, topk
+from . import alignment, bpe, chat, jaccard_join, licenses, lsh_forest, merkle, packing, quality, secrets, site_style, substring_dedup, topk
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         packing.op9_best_fit_packing,
         licenses.op10_license_scan,
         merkle.op11_merkle_manifest,
+        lsh_forest.op12_lsh_forest,
         alignment.op13_tokenizer_alignment,
     )
 }
