@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..plans import sql
 from ..sources.tables import bars_daily, calendar, fills, industry_of, signals, table
+from .sliding import PriceWeights, profiles
 from .trailing import PLANS
 
 
@@ -56,13 +57,14 @@ def a28_fifo(spark, sf_dir):
 
     Buys and sells are intervals of cumulative shares.  Their ends, in one order, cut the shares into
     stretches, each of which lies in one lot and one sale: the next ones that end.  One shuffle on the
-    account, linear in its fills.
+    account; the ends run from the last to the first, so that the next one is the last one seen, and
+    the pass is linear in the fills.
     """
     so_far = Window.partitionBy("account", "side").orderBy("date", "fill_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = fills(spark, sf_dir).withColumn("stop", F.sum("shares").over(so_far))
     by = Window.partitionBy("account").orderBy("stop", "side", "date", "fill_id")
-    ahead = by.rowsBetween(0, Window.unboundedFollowing)
-    of = lambda side: F.first(F.when(F.col("side") == side, F.struct("fill_id", "date")), ignorenulls=True).over(ahead)
+    back = Window.partitionBy("account").orderBy(*(F.desc(x) for x in ("stop", "side", "date", "fill_id"))).rowsBetween(Window.unboundedPreceding, 0)
+    of = lambda side: F.last(F.when(F.col("side") == side, F.struct("fill_id", "date")), ignorenulls=True).over(back)
     cut = rows.select(
         "account", (F.col("stop") - F.coalesce(F.lag("stop").over(by), F.lit(0))).alias("shares"), of("BUY").alias("lot"), of("SELL").alias("sale")
     ).filter("shares > 0 AND lot IS NOT NULL AND sale IS NOT NULL")
@@ -478,17 +480,22 @@ def w50_target_path(spark, sf_dir):
     return rows.groupBy("symbol").applyInPandas(run, "symbol long, date date, target double, stop double, why string")
 
 
+#: Weights are whole hundredths of a share, as volumes have two decimals.
+SHARE_PARTS = 100
+
+
 def _profiles(spark, sf_dir, ddl: str, of, window: int = 120):
-    """Rows of ``of(prices, volumes)`` for each bar of a symbol from the ``window``-th on, over the last ``window`` bars with volume."""
+    """Rows of ``of(prices in order, weights by rank)`` for each bar of a symbol from the ``window``-th on, over the last ``window`` bars with volume.
+
+    A symbol's bars, some thousands, are one ordered group; the window's weights are kept in a tree by
+    rank of price, into which a bar goes once and out of which it goes once.
+    """
 
     def run(bars: pd.DataFrame) -> pd.DataFrame:
         bars = bars.sort_values("date")
-        prices, volumes = ((bars.high + bars.low + bars.close) / 3).to_numpy(float), bars.volume.to_numpy(float)
-        out = []
-        for k, day in enumerate(bars.date.tolist()[window - 1 :]):
-            p, v = prices[k : k + window], volumes[k : k + window]
-            if (v > 0).any():
-                out += [(bars.symbol.iloc[0], day, *x) for x in of(p[v > 0], v[v > 0])]
+        prices, volumes = ((bars.high + bars.low + bars.close) / 3).to_numpy(float), np.rint(bars.volume.to_numpy(float) * SHARE_PARTS).astype(np.int64)
+        symbol, days = bars.symbol.iloc[0], bars.date.tolist()
+        out = [(symbol, days[k], *x) for k, ordered, held in profiles(prices, volumes, window) for x in of(ordered, held)]
         return pd.DataFrame(out, columns=[x.split()[0] for x in ddl.split(", ")])
 
     bars = bars_daily(spark, sf_dir).select("symbol", "date", "high", "low", "close", "volume")
@@ -498,48 +505,34 @@ def _profiles(spark, sf_dir, ddl: str, of, window: int = 120):
 def w16_weighted_quantiles(spark, sf_dir):
     """Volume-weighted quantiles of typical prices over 120 bars, at every bar from the 120th on."""
 
-    def quantiles(p, v):
-        order = np.argsort(p, kind="stable")
-        c = np.cumsum(v[order])
-        return [tuple(round(float(p[order][np.searchsorted(c, c[-1] * q)]), 6) for q in (0.15, 0.5, 0.85))]
+    def quantiles(ordered, held):
+        return [tuple(round(float(ordered[held.at(q)]), 6) for q in (0.15, 0.5, 0.85))]
 
     return _profiles(spark, sf_dir, "symbol long, as_of date, low double, mid double, high double", quantiles)
 
 
-def w16_quantiles_all(spark, sf_dir):
-    """An earlier name of :func:`w16_weighted_quantiles`."""
-    return w16_weighted_quantiles(spark, sf_dir)
-
-
-def _bins(p: np.ndarray, v: np.ndarray, bins: int) -> tuple[float, float, np.ndarray]:
-    """Range of the prices and the volume in each of its equal bins; a range without width gets some."""
-    low, high = float(p.min()), float(p.max())
+def _bins(ordered: np.ndarray, held: PriceWeights, bins: int) -> tuple[float, float, np.ndarray]:
+    """Range of the window's prices and the volume in each of its equal bins; a range without width gets some."""
+    first, last = held.at(0.0) if held.below(np.array([1]))[0] else held.at(0.5 / held.total), held.at(1.0)
+    low, high = float(ordered[first]), float(ordered[last])
     if low == high:
         half = max(abs(low) * 0.005, 0.005)
         low, high = low - half, high + half
-    at = np.minimum(np.floor((p - low) / (high - low) * bins), bins - 1).astype(int)
-    return low, high, np.bincount(at, v, bins)
+    bin_of = np.minimum(np.floor((ordered[first : last + 1] - low) / (high - low) * bins), bins - 1)
+    edges = first + np.searchsorted(bin_of, np.arange(bins + 1))
+    return low, high, np.diff(held.below(edges)) / SHARE_PARTS
 
 
 def w17_volume_histogram(spark, sf_dir, bins: int = 32):
     """Volume by bin of typical prices over 120 bars, at every bar from the 120th on; the bins' volumes in one text."""
 
-    def histogram(p, v):
-        low, high, volume = _bins(p, v, bins)
+    def histogram(ordered, held):
+        low, high, volume = _bins(ordered, held, bins)
         return [(round(low, 6), round(high, 6), ",".join(str(round(x)) for x in volume.tolist()))]
 
     return _profiles(spark, sf_dir, "symbol long, as_of date, low double, high double, volumes string", histogram)
 
 
-def w17_histogram_all(spark, sf_dir, bins: int = 32):
-    """As :func:`w17_volume_histogram`, one row for each bin."""
-
-    def histogram(p, v):
-        return [(k, round(float(x), 2)) for k, x in enumerate(_bins(p, v, bins)[2])]
-
-    return _profiles(spark, sf_dir, "symbol long, as_of date, bin int, volume double", histogram)
-
-
 def w11_robust_volume(spark, sf_dir):
     """Volume against the median and the median absolute deviation of the 60 bars before."""
     before = Window.partitionBy("symbol").orderBy("date").rowsBetween(-60, -1)
@@ -640,4 +633,4 @@ FROM n a JOIN n b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 60 AND a.i - 1 WH
     "w18_liquidity": _BC[:-1] + """, x AS (SELECT * FROM bars JOIN calendar USING (date)), q AS (SELECT symbol, date, count(*) OVER w AS n, quantile_cont(amount, 0.5) OVER w AS mid, max(1 - verified) OVER w AS bad, session - lag(session, 19) OVER (PARTITION BY symbol ORDER BY session) - 19 AS missing FROM x WINDOW w AS (PARTITION BY symbol ORDER BY session ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
 SELECT symbol, date, round(CASE WHEN n = 20 THEN mid END, 4) AS median_amount, missing, CASE WHEN n < 20 THEN 'short' WHEN missing > 0 THEN 'sessions_missing' WHEN bad = 1 THEN 'unverified' WHEN mid < 30000 THEN 'thin' ELSE 'ok' END AS reason FROM q""",
 }
-QUERIES = {name: globals()[name] for name in ORACLE} | {"a27_average_cost": a27_average_cost, "a31_bootstrap": a31_bootstrap, "w50_target_path": w50_target_path, "w16_quantiles_all": w16_quantiles_all, "w17_histogram_all": w17_histogram_all}
+QUERIES = {name: globals()[name] for name in ORACLE} | {"a27_average_cost": a27_average_cost, "a31_bootstrap": a31_bootstrap, "w50_target_path": w50_target_path}

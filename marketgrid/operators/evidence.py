@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.windows import full, prior, ratio
 from ..plans import sql
 from ..sources.tables import bars_daily, calendar, fills, industry_of, signals, table, trades
+from .sliding import first_breaks
 from .trailing import AVERAGES, RETURNS
 
 
@@ -43,20 +45,40 @@ def j03_as_of(spark, sf_dir):
     return out.select("event_id", "symbol", F.when(fresh, F.col("value")).alias("value"))
 
 
-def j05_membership(spark, sf_dir, cutoff: str = "1998-01-01"):
-    """Newest snapshot of each board of which every clock stands at or before the cutoff: orders as snapshots, customers as boards.
+def snapshots(spark, sf_dir) -> DataFrame:
+    """Orders as snapshots of boards (customers), with the clocks from which each may be seen; those that no good run refers to are none.
 
-    A snapshot is available on its order's date, in force some days before or after, and its run
-    finished up to two days after it became available.
+    A snapshot is available on its order's date, in force some days before or after, and up to three
+    runs refer to it, of which some fail; it counts once the first good one has finished.
     """
-    key = F.col("o_orderkey")
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    run = F.explode(F.expr("sequence(0, CAST(o_orderkey % 3 AS int))")).alias("run")
     rows = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("board"), key.alias("snapshot"), F.col("o_orderdate").cast("date").alias("available"), "o_totalprice",
-        F.date_add(F.col("o_orderdate").cast("date"), (key % 7 - 3).cast("int")).alias("effective"),
-        F.date_add(F.col("o_orderdate").cast("date"), (key % 3).cast("int")).alias("finished"),
-    ).filter(F.greatest("available", "effective", "finished") <= F.to_date(F.lit(cutoff)))
-    newest = F.max_by(F.struct("snapshot", "available", "effective", "o_totalprice"), F.struct("available", "effective", "snapshot"))
-    return rows.groupBy("board").agg(newest.alias("s")).select("board", "s.*")
+        F.col("o_custkey").alias("board"), key.alias("snapshot"), day.alias("available"), F.date_add(day, (key % 7 - 3).cast("int")).alias("effective"), "o_totalprice", run
+    )
+    good = rows.filter("(snapshot + run) % 4 <> 0").withColumn("finished", F.date_add("available", (F.col("run") * 5 + F.col("snapshot") % 3).cast("int")))
+    return good.groupBy("board", "snapshot", "available", "effective", "o_totalprice").agg(F.min("finished").alias("finished"))
+
+
+def newest_as_of(rows: DataFrame, asked: DataFrame, key: str, visible: Column, order: list[str], at: str) -> DataFrame:
+    """For each asked (key, time) the row of the key that ``order`` puts last among those visible by then; null if there is none.
+
+    A row becomes visible at one time and ranks by another, so the last one seen need not win: both
+    tables in one order of time, and a running maximum of the rank.  One shuffle on the key, linear.
+    """
+    rank = F.struct(*order, *(c for c in rows.columns if c not in (*order, key)))
+    a = rows.select(key, visible.alias("__t"), F.lit(0).alias("__side"), rank.alias("__rank"))
+    b = asked.select("*", F.col(at).alias("__t"), F.lit(1).alias("__side"))
+    by = Window.partitionBy(key).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = a.unionByName(b, allowMissingColumns=True).withColumn("__best", F.max("__rank").over(by)).filter("__side = 1")
+    return seen.select(*asked.columns, *(F.col(f"__best.{c}").alias(c) for c in rows.columns if c != key))
+
+
+def j05_membership(spark, sf_dir, lag_days: int = 45):
+    """Bitemporal membership: for each decision (an order, some days later) its board's newest snapshot of which every clock stands at or before that day."""
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("decision"), F.col("o_custkey").alias("board"), F.date_add(F.col("o_orderdate").cast("date"), lag_days - (F.col("o_orderkey") % 60).cast("int")).alias("cutoff"))
+    found = newest_as_of(snapshots(spark, sf_dir), asked, "board", F.greatest("available", "effective", "finished"), ["available", "effective", "snapshot"], "cutoff")
+    return found.select("decision", "board", "cutoff", "snapshot", "available", "effective", "o_totalprice")
 
 
 def j06_running_evidence(spark, sf_dir):
@@ -97,8 +119,8 @@ def j19_effective_session(spark, sf_dir):
     needs = rows.select("event_id", F.when(late, F.date_add("day", 1)).otherwise(F.col("day")).alias("need"))
     distinct = needs.select("need").distinct()
     both = distinct.select("need", F.lit(None).cast("date").alias("session")).unionByName(days.select(F.col("session").alias("need"), "session"))
-    after = Window.orderBy("need").rowsBetween(0, Window.unboundedFollowing)  # one row per day
-    by_day = both.groupBy("need").agg(F.max("session").alias("session")).select("need", F.first("session", ignorenulls=True).over(after).alias("session"))
+    after = Window.orderBy(F.desc("need")).rowsBetween(Window.unboundedPreceding, 0)  # one row per day, last day first
+    by_day = both.groupBy("need").agg(F.max("session").alias("session")).select("need", F.last("session", ignorenulls=True).over(after).alias("session"))
     return needs.join(by_day, "need").select("event_id", "session")
 
 
@@ -241,14 +263,38 @@ def w36_consensus(spark, sf_dir, cap: float = 0.6, min_margin: float = 0.1):
     )
 
 
-def w37_validity(spark, sf_dir):
-    """Breakouts stay valid for ten bars unless a close falls under the broken level."""
-    by = Window.partitionBy("symbol").orderBy("date")
-    rows = bars_daily(spark, sf_dir).withColumn("level", F.max("high").over(by.rowsBetween(-20, -1)))
-    ahead = F.collect_list("close").over(by.rowsBetween(1, 10))
-    hit = rows.withColumn("ahead", ahead).filter("close > level")
-    broken = F.array_position(F.transform("ahead", lambda c: c < F.col("level")), True)
-    return hit.select("symbol", "date", F.when(broken > 0, broken - 1).otherwise(F.size("ahead")).cast("int").alias("alive"))
+def alive_until_break(rows: DataFrame, valid_bars: int, touch: bool = False) -> DataFrame:
+    """``alive`` and ``broken_on`` of the rows with a ``side``: bars after it until a close lies beyond ``level``, ``valid_bars`` at most.
+
+    ``rows`` are all bars (symbol, date, close, level, side).  A symbol's bars are one ordered group; any
+    number of bars costs one pass, as the next break of each level comes from a stack of lows.
+    """
+
+    def run(bars: pd.DataFrame) -> pd.DataFrame:
+        bars = bars.sort_values("date").reset_index(drop=True)
+        closes, sides, levels = bars.close.tolist(), bars.side.tolist(), bars.level.tolist()
+        breaks = {}
+        for side, sign in (("BUY", 1.0), ("SELL", -1.0)):
+            asked = [sign * level if s == side else None for s, level in zip(sides, levels, strict=True)]
+            breaks[side] = first_breaks([sign * c for c in closes], asked, touch)
+        out, days = [], bars.date.tolist()
+        for k, side in enumerate(sides):
+            if side in breaks:
+                at, end = breaks[side][k], min(k + valid_bars, len(closes) - 1)
+                broke = at is not None and at <= end
+                out.append((bars.symbol[0], days[k], side, at - k - 1 if broke else end - k, days[at] if broke else None))
+        return pd.DataFrame(out, columns=["symbol", "date", "side", "alive", "broken_on"])
+
+    return rows.groupBy("symbol").applyInPandas(run, "symbol long, date date, side string, alive int, broken_on date")
+
+
+def w37_validity(spark, sf_dir, valid_bars: int = 120):
+    """Breakouts over 20 bars' highs, and under their lows, stay valid for 120 bars unless a close falls back beyond the broken level."""
+    before = Window.partitionBy("symbol").orderBy("date").rowsBetween(-20, -1)
+    rows = bars_daily(spark, sf_dir).select("symbol", "date", "close", F.max("high").over(before).alias("top"), F.min("low").over(before).alias("bottom"))
+    side = F.when(F.col("close") > F.col("top"), "BUY").when(F.col("close") < F.col("bottom"), "SELL")
+    rows = rows.withColumn("side", side).withColumn("level", F.when(side == "BUY", F.col("top")).when(side == "SELL", F.col("bottom")))
+    return alive_until_break(rows.drop("top", "bottom"), valid_bars)
 
 
 A17_STAGES = (
@@ -379,9 +425,12 @@ ORACLE = {
     "j03_as_of": _S + """SELECT event_id, symbol, CASE WHEN viewed >= available_at - INTERVAL 2 DAYS THEN value END AS value
 FROM (SELECT p.event_id, p.symbol, p.available_at, v.available_at AS viewed, v.value FROM (SELECT * FROM signals WHERE event_type = 'purchase') p
 ASOF LEFT JOIN (SELECT * FROM signals WHERE event_type = 'view') v ON p.symbol = v.symbol AND p.available_at >= v.available_at)""",
-    "j05_membership": """SELECT board, snapshot, available, effective, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY board ORDER BY available DESC, effective DESC, snapshot DESC) AS k
-FROM (SELECT o_custkey AS board, o_orderkey AS snapshot, d AS available, d + CAST(o_orderkey % 7 - 3 AS INTEGER) AS effective, d + CAST(o_orderkey % 3 AS INTEGER) AS finished, o_totalprice
-  FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders)) WHERE available <= DATE '1998-01-01' AND effective <= DATE '1998-01-01' AND finished <= DATE '1998-01-01') WHERE k = 1""",
+    "j05_membership": """WITH s AS (SELECT o_custkey AS board, o_orderkey AS snapshot, CAST(o_orderdate AS DATE) AS available, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 7 - 3 AS INTEGER) AS effective, o_totalprice,
+  CAST(o_orderdate AS DATE) + CAST(run * 5 + o_orderkey % 3 AS INTEGER) AS finished FROM orders, range(3) r(run) WHERE run <= o_orderkey % 3 AND (o_orderkey + run) % 4 <> 0),
+d AS (SELECT o_orderkey AS decision, o_custkey AS board, CAST(o_orderdate AS DATE) + CAST(45 - o_orderkey % 60 AS INTEGER) AS cutoff FROM orders),
+m AS (SELECT decision, d.board, cutoff, snapshot, available, effective, o_totalprice, row_number() OVER (PARTITION BY decision, d.board, cutoff ORDER BY available DESC NULLS LAST, effective DESC, snapshot DESC) AS nth
+  FROM d LEFT JOIN s ON s.board = d.board AND available <= cutoff AND effective <= cutoff AND finished <= cutoff)
+SELECT decision, board, cutoff, snapshot, available, effective, o_totalprice FROM m WHERE nth = 1""",
     "j06_running_evidence": _S + f"""SELECT event_id, symbol, balance, support, resistance, CAST(floor(epoch_us(available_at) / 1000000) - floor(epoch_us(buy_at) / 1000000) AS BIGINT) AS support_age, CAST(floor(epoch_us(available_at) / 1000000) - floor(epoch_us(sell_at) / 1000000) AS BIGINT) AS resistance_age
 FROM (SELECT event_id, symbol, available_at, CAST(sum(CASE WHEN side = 'BUY' THEN 1 ELSE -1 END) {_RUN} AS BIGINT) AS balance, last_value(CASE WHEN side = 'BUY' THEN value END IGNORE NULLS) {_RUN} AS support, last_value(CASE WHEN side = 'SELL' THEN value END IGNORE NULLS) {_RUN} AS resistance,
   last_value(CASE WHEN side = 'BUY' THEN available_at END IGNORE NULLS) {_RUN} AS buy_at, last_value(CASE WHEN side = 'SELL' THEN available_at END IGNORE NULLS) {_RUN} AS sell_at FROM signals WHERE side IS NOT NULL)""",
@@ -413,9 +462,10 @@ c AS (SELECT symbol, side, CASE WHEN count(*) OVER (PARTITION BY symbol, side) >
 t AS (SELECT symbol, count(*) AS sources, coalesce(sum(w) FILTER (side = 'BUY'), 0) AS buy, coalesce(sum(w) FILTER (side = 'SELL'), 0) AS sell, count(*) FILTER (side = 'BUY') AS nb, count(*) FILTER (side = 'SELL') AS ns FROM c GROUP BY symbol),
 m AS (SELECT *, (buy - sell) / nullif(buy + sell, 0) AS m FROM t)
 SELECT symbol, sources, round(m, 5) AS margin, CASE WHEN m > 0 THEN nb >= 2 ELSE ns >= 2 END AS independent, CASE WHEN m > 0.1 THEN 'BUY' WHEN m < -0.1 THEN 'SELL' ELSE 'WAIT' END AS direction FROM m""",
-    "w37_validity": _B + """, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, max(high) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS level FROM bars)
-SELECT a.symbol, a.date, CAST(coalesce(min(CASE WHEN b.close < a.level THEN b.i - a.i - 1 END), count(b.i)) AS INTEGER) AS alive
-FROM n a LEFT JOIN n b ON a.symbol = b.symbol AND b.i BETWEEN a.i + 1 AND a.i + 10 WHERE a.close > a.level GROUP BY a.symbol, a.date""",
+    "w37_validity": _B + """, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, max(high) OVER w AS top, min(low) OVER w AS bottom FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+a AS (SELECT *, CASE WHEN close > top THEN 'BUY' ELSE 'SELL' END AS side FROM n WHERE close > top OR close < bottom),
+x AS (SELECT a.symbol, a.date, a.side, a.i, min(b.i) FILTER (CASE WHEN a.side = 'BUY' THEN b.close < a.top ELSE b.close > a.bottom END) AS j, count(b.i) AS ahead FROM a LEFT JOIN n b ON a.symbol = b.symbol AND b.i BETWEEN a.i + 1 AND a.i + 120 GROUP BY ALL)
+SELECT x.symbol, x.date, side, CAST(coalesce(j - x.i - 1, ahead) AS INTEGER) AS alive, n.date AS broken_on FROM x LEFT JOIN n ON n.symbol = x.symbol AND n.i = j""",
     "a17_history": _A17_SQL,
     "a18_event_types": _S + "SELECT event_type, count(*) AS new_total, count(DISTINCT (symbol, CAST(available_at AS DATE))) AS active_days FROM signals GROUP BY event_type",
     "k04_page": _B + "SELECT date, symbol, close FROM bars ORDER BY date DESC, symbol LIMIT 50 OFFSET 100",

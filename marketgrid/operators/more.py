@@ -243,15 +243,6 @@ def w29_interval_return(spark, sf_dir):
     return own.join(mean, ["board", "date"]).select("symbol", "date", F.round(F.col("r") - F.col("peer"), 6).alias("relative"))
 
 
-def w32_adjusted(spark, sf_dir):
-    """Closes adjusted by the product of action factors after each day; an action is a doubling of price between bars."""
-    by = Window.partitionBy("symbol").orderBy("date")
-    rows = bars_daily(spark, sf_dir).select("symbol", "date", "close", "open", F.lag("close").over(by).alias("before"))
-    factor = F.when(F.col("open") / F.nullif("before", F.lit(0.0)) > 2, F.lit(0.5)).otherwise(F.lit(1.0))
-    after = F.sum(F.log2(factor)).over(by.rowsBetween(1, Window.unboundedFollowing))
-    return rows.select("symbol", "date", F.coalesce(after, F.lit(0.0)).cast("long").alias("log2_factor"))
-
-
 def w40_maturity_split(spark, sf_dir, parts: int = 4, horizon: int = 10, first: int = 5):
     """Bars by part of the sessions: used, left out as their outcome reaches into the next part, or as they lie in a part's first sessions; all are accounted for."""
     rows = _indexed(spark, sf_dir)
@@ -319,7 +310,6 @@ SELECT old, state, count(*) AS n, round(any_value(coverage), 6) AS coverage, CAS
     "s07_read_many": _S + "SELECT symbol, CAST(available_at AS DATE) AS date, arg_max(value, (available_at, event_id)) AS close FROM signals WHERE symbol % 10 = 0 AND symbol < 150 GROUP BY 1, 2",
     "w26_dependency": _BC[:-1] + _IDX + ", d AS (SELECT symbol, date, session - lag(session, 64) OVER w AS span, CAST(sum(1 - verified) OVER (PARTITION BY symbol ORDER BY session ROWS BETWEEN 64 PRECEDING AND CURRENT ROW) AS BIGINT) AS bad FROM x WINDOW w AS (PARTITION BY symbol ORDER BY session)) SELECT symbol, date, span, bad, coalesce(span = 64 AND bad = 0, false) AS complete FROM d",
     "w29_interval_return": sql.with_(sql.BARS, sql.INDUSTRY)[:-1] + ", o AS (SELECT symbol, date, board, close / lag(close, 5) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM bars JOIN industry USING (symbol)) SELECT symbol, date, round(r - avg(r) OVER (PARTITION BY board, date), 6) AS relative FROM o",
-    "w32_adjusted": _B[:-1] + ", f AS (SELECT symbol, date, CASE WHEN open / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY date), 0) > 2 THEN -1 ELSE 0 END AS l FROM bars) SELECT symbol, date, CAST(coalesce(sum(l) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS BIGINT) AS log2_factor FROM f",
     "w40_maturity_split": _BC[:-1] + """, n AS (SELECT max(session) AS n FROM calendar), p AS (SELECT CAST(floor((session - 1) * 4 / n) AS BIGINT) AS part, CAST(floor((least(session + 10, n) - 1) * 4 / n) AS BIGINT) AS e, CAST(floor((greatest(session - 5, 1) - 1) * 4 / n) AS BIGINT) AS s, session + 10 > n AS o FROM bars JOIN calendar USING (date), n),
 w AS (SELECT part, CASE WHEN o THEN 'immature' WHEN part <> e THEN 'maturity_gap' WHEN part > 0 AND part <> s THEN 'first_sessions' ELSE 'used' END AS why FROM p)
 SELECT part, count(*) FILTER (why = 'used') AS used, count(*) FILTER (why = 'maturity_gap') AS maturity_gap, count(*) FILTER (why = 'first_sessions') AS first_sessions, count(*) FILTER (why = 'immature') AS immature, count(*) AS bars FROM w GROUP BY part""",
