@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,7 +12,6 @@ from ..functions import columns as C
 from ..plans import sql
 from ..sources.tables import bars_daily, calendar, fills, industry_of, signals, table
 from .sliding import PriceWeights, profiles
-from .trailing import PLANS
 
 
 def a27_ledger(spark, sf_dir):
@@ -409,77 +406,6 @@ def w41_group_split(spark, sf_dir):
     return first.groupBy(part.alias("part")).agg(F.count("*").alias("accounts"), F.sum("n").alias("fills"))
 
 
-@dataclass(frozen=True)
-class Policy:
-    """Limits of the target path; all are parameters."""
-
-    max_weight: float = 0.2
-    step: float = 0.05
-    hysteresis: float = 0.01
-    wait_band: float = 0.02
-    edge_entry: float = 0.03
-    edge_full: float = 0.3
-
-
-@dataclass
-class Held:
-    """Target and frozen stop after the bars before."""
-
-    target: float = 0.0
-    stop: float | None = None
-
-
-def next_target(held: Held, up, down, cap, stop, close, policy: Policy = Policy()) -> tuple[Held, str]:
-    """The state after a bar, and why the target is what it is.
-
-    Without probabilities or a risk cap the target stays, unless the close is under the frozen stop.
-    Inside the wait band, or by a lower cap, it may only fall.  Outside it moves to the nearest step if
-    that is more than half a step and the hysteresis away.  A stop only rises while a target is held.
-    """
-    known = lambda x: x is not None and x == x
-    broke = held.stop is not None and known(close) and close < held.stop
-    if not (known(up) and known(down) and known(cap) and 0 <= cap <= 1):
-        return (Held(), "stop") if broke else (held, "stale")
-    cap = min(cap, policy.max_weight)
-    level, edge = math.floor((cap + 1e-12) / policy.step) * policy.step, up - down
-    wanted = cap * max(0.0, min(1.0, (edge - policy.edge_entry) / (policy.edge_full - policy.edge_entry)))
-    target, why = held.target, "hold"
-    if broke:
-        target, why = 0.0, "stop"
-    elif abs(edge) <= policy.wait_band:
-        target, why = min(target, level), "wait"
-    elif abs(wanted - target) + 1e-12 >= policy.step / 2 + policy.hysteresis:
-        target, why = max(0.0, math.floor(wanted / policy.step + 0.5) * policy.step), "moved"
-    if target > level:
-        target, why = level, "cap"
-    target = round(target, 10)
-    if target == 0:
-        return Held(), why
-    return Held(target, max(stop, held.stop or stop) if known(stop) else held.stop), why
-
-
-def w50_target_path(spark, sf_dir):
-    """Target fraction of each symbol with hysteresis, wait band, cap and frozen stop: each target depends on the one before.
-
-    A symbol's bars are one ordered group.  Probabilities are those of the batch score, cap and stop
-    those of the risk geometry.
-    """
-    z = F.round(F.col("close") / F.col("open") - 1, 6) * 5
-    odds = [F.exp(x / 1.5) for x in (z, F.lit(0.2), -z)]
-    total = odds[0] + odds[1] + odds[2]
-    risk = PLANS["w47_risk_geometry"].frame(spark, sf_dir).select("symbol", "date", F.col("floor_price").alias("stop"), F.when(F.col("verdict") == "ok", F.col("cap")).when(F.col("verdict") != "unavailable", 0.0).alias("cap"))
-    rows = bars_daily(spark, sf_dir).select("symbol", "date", "close", (odds[0] / total).alias("up"), (odds[2] / total).alias("down")).join(risk, ["symbol", "date"])
-
-    def run(bars: pd.DataFrame) -> pd.DataFrame:
-        held, out = Held(), []
-        for x in bars.sort_values("date").itertuples(index=False):
-            held, why = next_target(held, x.up, x.down, x.cap, x.stop, x.close)
-            out.append((x.symbol, x.date, held.target, held.stop, why))
-        return pd.DataFrame(out, columns=["symbol", "date", "target", "stop", "why"])
-
-    return rows.groupBy("symbol").applyInPandas(run, "symbol long, date date, target double, stop double, why string")
-
-
 #: Weights are whole hundredths of a share, as volumes have two decimals.
 SHARE_PARTS = 100
 
@@ -633,4 +559,4 @@ FROM n a JOIN n b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 60 AND a.i - 1 WH
     "w18_liquidity": _BC[:-1] + """, x AS (SELECT * FROM bars JOIN calendar USING (date)), q AS (SELECT symbol, date, count(*) OVER w AS n, quantile_cont(amount, 0.5) OVER w AS mid, max(1 - verified) OVER w AS bad, session - lag(session, 19) OVER (PARTITION BY symbol ORDER BY session) - 19 AS missing FROM x WINDOW w AS (PARTITION BY symbol ORDER BY session ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
 SELECT symbol, date, round(CASE WHEN n = 20 THEN mid END, 4) AS median_amount, missing, CASE WHEN n < 20 THEN 'short' WHEN missing > 0 THEN 'sessions_missing' WHEN bad = 1 THEN 'unverified' WHEN mid < 30000 THEN 'thin' ELSE 'ok' END AS reason FROM q""",
 }
-QUERIES = {name: globals()[name] for name in ORACLE} | {"a27_average_cost": a27_average_cost, "a31_bootstrap": a31_bootstrap, "w50_target_path": w50_target_path}
+QUERIES = {name: globals()[name] for name in ORACLE} | {"a27_average_cost": a27_average_cost, "a31_bootstrap": a31_bootstrap}

@@ -9,14 +9,16 @@ share one transition.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import frame as over
+from ..sources.scratch import Scratch
 from ..sources.tables import bars_daily
+from .evidence import alive_until_break
 from .trailing import BAR_SHAPE, RANGE_STAGES, SCORE_STAGES
 
 COLUMNS = ["date", "open", "high", "low", "close", "volume", "eligible", "atr", "relative_volume", "range_low", "range_high", "range_count"]
@@ -234,98 +236,93 @@ def w14_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(bars_daily(spark, sf_dir))
 
 
-@dataclass
-class Fact:
-    """An event that is still alive: where a close ends it, and whether it was confirmed."""
+#: What a symbol's walk gives for each bar, for the ledger: the event, the setup's day, the mirrored level, the stop.
+MOMENT_SCHEMA = "symbol long, date date, close double, event string, anchor date, level double, stop double, label string"
+#: Reasons why an event ends, in the order in which they are looked at on one bar.
+ENDS = ("close_broke_boundary", "input_quality_gap", "pending_confirmation_expired", "later_event_confirmed", "setup_invalidated")
+
+
+def moments(bars: DataFrame, config: Config = Config()) -> DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        state, out = State(), []
+        for bar in _bars(rows):
+            state, seen = transition(state, bar, config)
+            out.append((rows.symbol.iloc[0], bar["date"], bar["close"], seen.event, seen.anchor, state.level, seen.stop, state.label))
+        return pd.DataFrame(out, columns=[part.split()[0] for part in MOMENT_SCHEMA.split(", ")])
 
-    kind: str
-    day: object
-    anchor: object
-    boundary: float
-    stop: float
-    confirmed: bool
-    age: int = 0
+    return with_range(bars).groupBy("symbol").applyInPandas(run, MOMENT_SCHEMA)
 
-    @property
-    def side(self) -> int:
-        return 1 if self.kind in BUYS else -1
 
-    def strength(self, config: Config) -> float:
-        return WEIGHTS[self.kind] * max(0.0, 1 - self.age / config.decay_bars)
+def _fixed(values: dict, column: str):
+    """The value that each name stands for."""
+    return F.coalesce(*(F.when(F.col(column) == name, F.lit(value)) for name, value in values.items()))
 
 
-@dataclass
-class Ledger:
-    """Live events of a symbol and, by the day of their setup, those that may still be confirmed."""
-
-    live: list[Fact] = field(default_factory=list)
-    pending: dict = field(default_factory=dict)
-
-    def end(self, gone: list[Fact], why: str) -> list[str]:
-        self.live = [f for f in self.live if f not in gone]
-        return [f"{f.kind}:{f.day}:{why}" for f in gone]
-
-    def add(self, bar: dict, state: State, seen: Seen, config: Config) -> list[str]:
-        """Take a bar in: close breaks, quality gaps, expiry, then the bar's own event; what ended, and why."""
-        for fact in self.live:
-            fact.age += 1
-        close, known = bar["close"], seen.event != "unknown"
-        ended = self.end([f for f in self.live if close is not None and f.side * close < f.side * f.boundary], "close_broke_boundary")
-        if not known:
-            self.pending.clear()
-            return ended + self.end(list(self.live), "input_quality_gap")
-        late = [f for f in self.live if not f.confirmed and f.age > (config.test_max_bars if f.kind == "Spring" else config.retest_max_bars)]
-        ended += self.end(late, "pending_confirmation_expired")
-        if seen.event in WEIGHTS:
-            origin = self.pending.get(seen.anchor)
-            if seen.event in SETUPS:
-                boundary = SETUPS[seen.event].side * state.level
-            else:
-                boundary = origin.boundary if origin else None
-            if boundary is not None:
-                fact = Fact(seen.event, bar["date"], seen.anchor, boundary, boundary if seen.stop is None else seen.stop, seen.event not in ("Spring", "SOS"))
-                if fact.side * close >= fact.side * boundary:
-                    self.live.append(fact)
-                if seen.event in SETUPS:
-                    self.pending[bar["date"]] = fact
-                elif origin:
-                    del self.pending[seen.anchor]
-                    ended += self.end([f for f in self.live if f is origin], "later_event_confirmed")
-        elif seen.event.endswith("invalidated"):
-            ended += self.end([f for f in self.live if f.anchor == seen.anchor], "setup_invalidated")
-        return ended
-
-
-LEDGER_SCHEMA = (
-    "symbol long, date date, live_buy int, live_sell int, event_demand double, event_supply double, support_floor double,"
-    " resistance_ceiling double, confirmed_demand double, confirmed_supply double, ended array<string>, state string"
-)
+def facts(seen: DataFrame, config: Config = Config()) -> DataFrame:
+    """Events with their frozen boundary and stop; ``i`` is their bar, ``seen`` the numbered moments.
+
+    A setup's boundary is its level.  The event that confirms a setup takes over the setup's boundary,
+    and is none without it: if another confirmed the setup before or the input had a gap in between.
+    """
+    limit = {name: config.test_max_bars if name == "Spring" else config.retest_max_bars for name in SETUPS}
+    side = _fixed({name: 1 if name in BUYS else -1 for name in WEIGHTS}, "kind")
+    of = seen.withColumnRenamed("event", "kind").filter(F.col("kind").isin(*WEIGHTS)).withColumn("side", side)
+    setups = of.filter(F.col("kind").isin(*SETUPS)).withColumns({"boundary": F.col("side") * F.col("level"), "anchor": F.col("date"), "expires": F.when(F.col("kind").isin("Spring", "SOS"), F.col("i") + _fixed(limit, "kind") + 1)})
+    origin = setups.select("symbol", F.col("date").alias("anchor"), F.col("gaps").alias("gaps_then"), F.col("boundary").alias("origin_boundary"), F.col("i").alias("origin_i"))
+    nth = Window.partitionBy("symbol", "anchor").orderBy("i")
+    answers = of.filter(~F.col("kind").isin(*SETUPS)).join(origin, ["symbol", "anchor"]).filter("gaps = gaps_then").withColumn("nth", F.row_number().over(nth)).filter("nth = 1")
+    answers = answers.withColumns({"boundary": F.col("origin_boundary"), "expires": F.lit(None).cast("int")})
+    confirmed = answers.select("symbol", F.col("origin_i").alias("i"), F.col("i").alias("confirms"))
+    columns = ["symbol", "kind", "date", "anchor", "i", "side", "close", "boundary", "stop", "expires", "next_gap"]
+    both = setups.join(confirmed, ["symbol", "i"], "left").select(*columns, "confirms").unionByName(answers.select(*columns, F.lit(None).cast("int").alias("confirms")))
+    return both.withColumn("stop", F.coalesce("stop", "boundary")).filter("side * close >= side * boundary")
+
+
+def lifetimes(seen: DataFrame, config: Config = Config()) -> DataFrame:
+    """Each event with the bar ``end`` from which it no longer lives, and ``why``: the earliest of five ends."""
+    born = facts(seen, config)
+    level = born.select("symbol", "date", F.col("boundary").alias("level"), F.when(F.col("side") > 0, "BUY").otherwise("SELL").alias("side"))
+    held = alive_until_break(seen.select("symbol", "date", "close").join(level, ["symbol", "date"], "left"), 1 << 30)
+    broken = held.filter("broken_on IS NOT NULL").select("symbol", "date", F.col("alive").alias("held"))
+    failures = seen.filter(F.col("event").endswith("invalidated")).groupBy("symbol", "anchor").agg(F.min("i").alias("fails"))
+    rows = born.join(broken, ["symbol", "date"], "left").join(failures, ["symbol", "anchor"], "left")
+    at = (F.col("i") + F.col("held") + 1, F.col("next_gap"), F.col("expires"), F.col("confirms"), F.when(F.col("fails") > F.col("i"), F.col("fails")))
+    ends = F.array_compact(F.array(*(F.when(x.isNotNull(), F.struct(x.cast("int").alias("end"), F.lit(k).alias("order"))) for k, x in enumerate(at))))
+    return rows.withColumn("first", F.array_min(ends)).select(*born.columns, F.col("first.end").alias("end"), F.get(F.array(*map(F.lit, ENDS)), F.col("first.order")).alias("why"), F.col("first.order").alias("order"))
 
 
 def ledger(bars: DataFrame, config: Config = Config()) -> DataFrame:
     """For each bar the live events by side, their strongest decayed weight, the nearest stops, and what ended and why.
 
     An event lives until a close breaks its frozen boundary, a bar can't be judged, its confirmation is
-    overdue, a later event confirms it, or its setup fails.  ``confirmed_*`` leave pending events out.
+    overdue, a later event confirms it, or its setup fails, whichever comes first; then its lifetimes
+    meet their bars by number.  ``confirmed_*`` leave pending events out.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        state, book, out = State(), Ledger(), []
-        for bar in _bars(rows):
-            state, seen = transition(state, bar, config)
-            ended = book.add(bar, state, seen, config)
-            sides = {s: [f for f in book.live if f.side == s] for s in (1, -1)}
-            top = {s: max((f.strength(config) for f in of), default=0.0) for s, of in sides.items()}
-            sure = {s: max((f.strength(config) for f in of if f.confirmed), default=0.0) for s, of in sides.items()}
-            out.append((
-                bar["date"], len(sides[1]), len(sides[-1]), round(top[1], 6), round(top[-1], 6), max((f.stop for f in sides[1]), default=None),
-                min((f.boundary for f in sides[-1]), default=None), round(sure[1], 6), round(sure[-1], 6), ended, state.label,
-            ))
-        found = pd.DataFrame(out, columns=[part.split()[0] for part in LEDGER_SCHEMA.split(", ")][1:])
-        found.insert(0, "symbol", rows.symbol.iloc[0])
-        return found
-
-    return with_range(bars).groupBy("symbol").applyInPandas(run, LEDGER_SCHEMA)
+    spark = bars.sparkSession
+    scratch = Scratch(spark)
+    by = Window.partitionBy("symbol").orderBy("date")
+    back = Window.partitionBy("symbol").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    gap = F.col("event") == "unknown"
+    seen = moments(bars, config).withColumns({"i": F.row_number().over(by), "gaps": F.count_if(gap).over(by)})
+    seen = scratch.write(seen.withColumn("next_gap", F.min(F.when(gap, F.col("i"))).over(back)), "moments")
+    lives = scratch.write(lifetimes(seen, config), "lifetimes")
+    last = seen.groupBy("symbol").agg(F.max("i").alias("last"))
+    weight = _fixed(WEIGHTS, "kind") * F.greatest(F.lit(0.0), 1 - (F.col("at") - F.col("i")) / config.decay_bars)
+    days = lives.join(last, "symbol").withColumn("at", F.explode(F.expr("sequence(i, least(coalesce(end, last + 1), last + 1) - 1)"))).withColumn("weight", weight)
+    buy, sell, sure = F.col("side") > 0, F.col("side") < 0, ~F.col("kind").isin("Spring", "SOS")
+    top = lambda of: F.round(F.coalesce(F.max(F.when(of, F.col("weight"))), F.lit(0.0)), 6)
+    per = days.groupBy("symbol", F.col("at").alias("i")).agg(
+        F.count_if(buy).cast("int").alias("live_buy"), F.count_if(sell).cast("int").alias("live_sell"), top(buy).alias("event_demand"), top(sell).alias("event_supply"),
+        F.max(F.when(buy, F.col("stop"))).alias("support_floor"), F.min(F.when(sell, F.col("boundary"))).alias("resistance_ceiling"), top(buy & sure).alias("confirmed_demand"), top(sell & sure).alias("confirmed_supply"),
+    )
+    said = F.concat_ws(":", "kind", F.col("date").cast("string"), "why")
+    gone = lives.filter("end IS NOT NULL").groupBy("symbol", F.col("end").alias("i")).agg(F.array_sort(F.collect_list(F.struct("order", F.col("i").alias("born"), said.alias("said")))).alias("gone"))
+    rows = seen.join(per, ["symbol", "i"], "left").join(gone, ["symbol", "i"], "left")
+    none = {"live_buy": 0, "live_sell": 0, "event_demand": 0.0, "event_supply": 0.0, "confirmed_demand": 0.0, "confirmed_supply": 0.0}
+    return rows.fillna(none).select(
+        "symbol", "date", "live_buy", "live_sell", "event_demand", "event_supply", "support_floor", "resistance_ceiling", "confirmed_demand", "confirmed_supply",
+        F.coalesce(F.col("gone.said"), F.array().cast("array<string>")).alias("ended"), F.col("label").alias("state"),
+    )
 
 
 def w44_event_strength(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,40 +1,67 @@
 """Target path, bootstraps, fitted models and CSV bars against plain versions."""
 
+import datetime
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketgrid.operators import accounts, models, more
-from marketgrid.operators.accounts import Held, Policy, next_target
+from marketgrid.operators import accounts, models, more, targets
 from marketgrid.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_target_path_rules():
-    policy = Policy()
-    held, why = next_target(Held(), 0.6, 0.2, 0.2, 9.0, 10.0)  # edge 0.4: the whole cap
-    assert (held.target, held.stop, why) == (0.2, 9.0, "moved")
-    assert next_target(held, 0.41, 0.4, 0.2, 9.5, 10.0)[0] == Held(0.2, 9.5)  # wait band holds, the stop rises
-    assert next_target(Held(0.2, 9.5), 0.6, 0.2, 0.2, 9.0, 10.0)[0].stop == 9.5  # and never falls
-    # Half a step and the hysteresis: 0.2 against 0.17 holds, against 0.16 moves.
+def follow(spark, *bars, policy=targets.Policy()):
+    """Path over bars of (up, down, cap, stop, close[, passed])."""
+    rows = [(1, datetime.date(2024, 1, 1) + datetime.timedelta(k), *(b if len(b) == 6 else (*b, True))) for k, b in enumerate(bars)]
+    frame = spark.createDataFrame(rows, "symbol long, date date, up double, down double, cap double, stop double, close double, passed boolean")
+    return [(r.target, r.stop, r.why) for r in targets.target_path(targets.asked(frame, policy), policy).orderBy("date").collect()]
+
+
+def test_target_path_rules(spark):
+    policy = targets.Policy()
+    full = (0.6, 0.2, 0.2, 9.0, 10.0)  # edge 0.4: the whole cap
     edge = lambda wanted: policy.edge_entry + wanted / 0.2 * (policy.edge_full - policy.edge_entry)
-    assert next_target(Held(0.2, None), edge(0.17), 0.0, 0.2, None, 10.0) == (Held(0.2, None), "hold")
-    assert next_target(Held(0.2, None), edge(0.16), 0.0, 0.2, None, 10.0)[0].target == 0.15
-    assert next_target(Held(0.2, 9.0), 0.41, 0.4, 0.12, 8.0, 10.0)[0].target == 0.1  # a lower cap, in whole steps
-    assert next_target(Held(0.2, 9.0), None, None, None, None, 9.5) == (Held(0.2, 9.0), "stale")
-    assert next_target(Held(0.2, 9.0), None, None, None, None, 8.9) == (Held(), "stop")
-    assert next_target(Held(0.2, 9.0), 0.6, 0.2, 0.2, 9.0, 8.9) == (Held(), "stop")
-    assert next_target(Held(0.2, 9.0), 0.1, 0.6, 0.2, 9.0, 10.0)[0] == Held()
+    cases = [
+        ((full,), (0.2, 9.0, "moved")),
+        ((full, (0.41, 0.4, 0.2, 9.5, 10.0)), (0.2, 9.5, "wait")),  # the wait band holds, the stop rises
+        ((full, (0.41, 0.4, 0.2, 9.5, 10.0), (0.6, 0.2, 0.2, 9.0, 10.0)), (0.2, 9.5, "hold")),  # and never falls
+        ((full, (edge(0.17), 0.0, 0.2, None, 10.0)), (0.2, 9.0, "hold")),  # half a step and the hysteresis: 0.17 holds
+        ((full, (edge(0.16), 0.0, 0.2, None, 10.0)), (0.15, 9.0, "moved")),  # 0.16 moves
+        ((full, (0.41, 0.4, 0.12, 8.0, 10.0)), (0.1, 9.0, "cap")),  # a lower cap, in whole steps
+        ((full, (None, None, None, None, 9.5)), (0.2, 9.0, "stale")),
+        ((full, (None, None, None, None, 8.9)), (0.0, None, "stop")),
+        ((full, (0.6, 0.2, 0.2, 9.0, 8.9)), (0.0, None, "stop")),
+        ((full, (0.1, 0.6, 0.2, 9.0, 10.0)), (0.0, None, "moved")),
+        ((full, (0.1, 0.6, 0.2, 9.8, 10.0, False)), (0.2, 9.0, "gate")),  # no gate: nothing bearish, the stop stays
+        ((full, (0.6, 0.2, 0.1, 9.8, 10.0, False)), (0.1, 9.0, "cap")),  # only the risk cap reduces
+        (((0.6, 0.2, 0.2, 9.0, 10.0, False),), (0.0, None, "gate")),
+        ((full, (0.6, 0.2, 0.2, 9.0, 8.0, False)), (0.0, None, "stop")),
+        (((0.6, 0.2, 0.2, None, 10.0),), (0.2, None, "moved")),
+    ]
+    for bars, want in cases:
+        assert follow(spark, *bars)[-1] == want, bars
+
+
+def test_gate_looks_only_at_known_closes(spark):
+    closes = [10.0 + (k % 7) * (-1) ** (k % 3) for k in range(90)]
+    ups = [0.6 if k % 2 else 0.2 for k in range(90)]
+    rows = [(1, datetime.date(2024, 1, 1) + datetime.timedelta(k), c, u, 0.4) for k, (c, u) in enumerate(zip(closes, ups))]
+    made = lambda of: [r.passed for r in targets.gate(spark.createDataFrame(of, "symbol long, date date, close double, up double, down double")).orderBy("date").collect()]
+    got = made(rows)  # as many bars as the gate looks back at most
+    for k in range(90):
+        hits = [np.sign(ups[j] - 0.4) == np.sign(closes[j + 1] - closes[j]) for j in range(k)]
+        assert bool(got[k]) == (len(hits) >= 20 and sum(hits) >= 0.5 * len(hits))
+    assert made(rows[:50]) == got[:50]
 
 
 def test_target_path_table(spark):
-    rows = accounts.w50_target_path(spark, SF).collect()
+    rows = targets.w50_target_path(spark, SF).collect()
     bars = registry.QUERIES["w47_risk_geometry"](spark, SF).count()
     assert len(rows) == bars and all(0 <= r.target <= 0.2 and math.isclose(r.target / 0.05, round(r.target / 0.05), abs_tol=1e-6) for r in rows)
-    assert all((r.target == 0) <= (r.stop is None) for r in rows) and {"moved", "wait", "stop"} <= {r.why for r in rows}
+    assert all((r.target == 0) <= (r.stop is None) for r in rows) and {"moved", "wait", "stop", "gate"} <= {r.why for r in rows}
 
 
 def test_paired_bootstrap_equals_numpy(spark):
