@@ -243,17 +243,11 @@ JOIN (SELECT date, sum(amount) AS market_amount FROM bars GROUP BY date) USING (
     "a10_compound_return": _W
     + f"SELECT kind, board, date, round(CASE WHEN {_FULL} THEN sum(ln(1 + mean_return)) {_BY} END, 6) AS log_return_20 FROM board_daily",
     "w27_volatility_drawdown": _W
-    + f""", numbered AS (SELECT *, row_number() OVER (PARTITION BY kind, board ORDER BY date) AS i,
-  CASE WHEN {_FULL} THEN stddev_samp(mean_return) {_BY} * sqrt(252.0) END AS vol FROM board_daily),
-path AS (SELECT a.kind, a.board, a.date, b.i, a.i AS last, sum(ln(1 + b.mean_return)) OVER w AS nav
-  FROM (SELECT kind, board, date, i, unnest(range(i - 19, i + 1)) AS j FROM numbered WHERE vol IS NOT NULL) a
-  JOIN numbered b ON a.kind = b.kind AND a.board = b.board AND b.i = a.j
-  WINDOW w AS (PARTITION BY a.kind, a.board, a.i ORDER BY b.i)),
-peaks AS (SELECT *, greatest(0, max(nav) OVER (PARTITION BY kind, board, last ORDER BY i)) AS peak FROM path),
-worst AS (SELECT kind, board, date, least(0, min(exp(nav - peak) - 1)) AS dd FROM peaks GROUP BY kind, board, date)
-SELECT n.kind, n.board, n.date, round(vol, 6) AS volatility_20,
-  round(CASE WHEN vol IS NOT NULL THEN dd END, 6) AS max_drawdown
-FROM numbered n LEFT JOIN worst w ON n.kind = w.kind AND n.board = w.board AND n.date = w.date""",
+    + f""", windows AS (SELECT kind, board, date, CASE WHEN {_FULL} THEN stddev_samp(mean_return) {_BY} * sqrt(252.0) END AS vol, CASE WHEN {_FULL} THEN list(mean_return) {_BY} END AS path FROM board_daily)
+SELECT kind, board, date, round(vol, 6) AS volatility_20, CASE WHEN path IS NOT NULL THEN round(list_reduce(
+  list_prepend({{'r': 0.0::DOUBLE, 'nav': 1.0::DOUBLE, 'peak': 1.0::DOUBLE, 'worst': 0.0::DOUBLE}}, list_transform(path, lambda r: {{'r': r, 'nav': 0.0::DOUBLE, 'peak': 0.0::DOUBLE, 'worst': 0.0::DOUBLE}})),
+  lambda x, y: {{'r': y.r, 'nav': x.nav * (1 + y.r), 'peak': greatest(x.peak, x.nav * (1 + y.r)), 'worst': least(x.worst, x.nav * (1 + y.r) / greatest(x.peak, x.nav * (1 + y.r)) - 1)}}).worst, 6) END AS max_drawdown
+FROM windows""",
     "w28_relative_amount": _W + f"SELECT kind, board, date, round({_REL}, 6) AS relative_amount20 FROM board_daily",
     "j10_peers": sql.with_(sql.BARS, sql.INDUSTRY, _DAILY_SQL)
     + """SELECT symbol, board, date, known - CAST(ret_1 IS NOT NULL AS INT) AS n_peers,

@@ -385,7 +385,7 @@ STATE_SCHEMA = (
 
 
 def stream_step(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-    """The same walk for ``applyInPandasWithState``: a micro-batch's bars of a symbol continue from its saved state."""
+    """The same walk in a stream: a micro-batch's bars of a symbol continue from its saved state."""
     state = State(*held.get) if held.exists else State()
     state, out = walk(state, pd.concat(list(batches)))
     held.update(tuple(asdict(state).values()))

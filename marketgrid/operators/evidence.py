@@ -153,7 +153,7 @@ def j14_regime_blend(spark, sf_dir):
 def j16_field_merge(spark, sf_dir):
     """New non-empty values override old ones, field by field; rows of either side stay."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    old = docs.filter("doc_id % 3 <> 0")
+    old = docs.filter("doc_id % 3 <> 0 OR doc_id % 2 <> 0")
     new = docs.filter("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.upper("lang")).alias("new_lang"))
     merged = old.join(new, "doc_id", "full")
     return merged.select("doc_id", F.coalesce(F.nullif("new_lang", F.lit("")), "lang").alias("lang"), "source")
@@ -444,7 +444,7 @@ SELECT c_custkey, 'no_orders' AS reason FROM s WHERE last IS NULL UNION ALL SELE
     "j14_regime_blend": sql.with_(sql.BARS, sql.INDUSTRY) + """, own AS (SELECT symbol, date, board, close / open - 1 AS r FROM bars JOIN industry USING (symbol)),
 peer AS (SELECT board, date, avg(r) AS peer FROM own GROUP BY board, date HAVING count(*) >= 2)
 SELECT symbol, date, round(CASE WHEN peer IS NOT NULL THEN greatest(-0.2, least(0.2, 0.7 * r + 0.3 * peer)) ELSE r END, 5) AS blended FROM own LEFT JOIN peer USING (board, date)""",
-    "j16_field_merge": "SELECT doc_id, coalesce(nullif(new_lang, ''), lang) AS lang, source FROM (SELECT doc_id, lang, source FROM documents WHERE doc_id % 3 <> 0) FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE upper(lang) END AS new_lang FROM documents WHERE doc_id % 2 = 0) USING (doc_id)",
+    "j16_field_merge": "SELECT doc_id, coalesce(nullif(new_lang, ''), lang) AS lang, source FROM (SELECT doc_id, lang, source FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 <> 0) FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE upper(lang) END AS new_lang FROM documents WHERE doc_id % 2 = 0) USING (doc_id)",
     "j17_single_class": _S + "SELECT symbol, CAST(available_at AS DATE) AS day, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) ELSE 'unknown' END AS klass FROM signals GROUP BY 1, 2",
     "j20_fills_on_bars": sql.with_(sql.FILLS, sql.CALENDAR) + "SELECT fill_id, account, date, side FROM fills WHERE date <= DATE '1999-01-01' AND date IN (SELECT date FROM calendar)",
     "j21_catalog_merge": """WITH f AS (SELECT s_nationkey AS k, count(*) AS n, CASE WHEN count(*) = 1 THEN min(s_suppkey) END AS code FROM supplier GROUP BY 1), s AS (SELECT c_nationkey AS k, count(*) AS n, CASE WHEN count(*) = 1 THEN min(c_custkey) END AS code FROM customer GROUP BY 1),

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import scratch_root
+from .scratch import Scratch
 from .tables import bars_daily, fills, signals, table
+from .versioned import coverage, read_table, replace, upsert
 
 
 def _where(spark: SparkSession, path: str):
@@ -16,9 +15,9 @@ def _where(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
 
 
-def shared(spark: SparkSession, kind: str = "store") -> str:
-    """A new folder in the one that driver and executors share."""
-    return f"{scratch_root(spark)}/{kind}-{uuid.uuid4().hex}"
+def shared(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share; it goes when the session ends."""
+    return Scratch(spark).base
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -31,30 +30,6 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return files.getFileStatus(where).isDirectory()
 
 
-def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str], order: str, partition: str) -> None:
-    """The later write wins; only the partitions that new rows touch are rewritten.
-
-    The touched partitions are read, merged with the new rows by key, and overwritten dynamically.
-    """
-    schema = new.schema
-    new = new.withColumn("__new", F.lit(1))
-    if exists(spark, path):
-        touched = new.select(partition).distinct()
-        old = spark.read.schema(schema).parquet(path).join(touched, partition, "left_semi").withColumn("__new", F.lit(0))
-        rows = new.unionByName(old)
-    else:
-        rows = new
-    rank = F.row_number().over(Window.partitionBy(*keys, partition).orderBy(F.desc("__new"), F.desc(order)))
-    merged = rows.withColumn("__k", rank).filter("__k = 1").drop("__k", "__new")
-    # What is overwritten was read lazily, so the merge is written aside first.
-    staged = f"{path}-staged"
-    merged.write.mode("overwrite").parquet(staged)
-    (
-        spark.read.schema(merged.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition).parquet(path)
-    )
-
-
 def append_run(spark: SparkSession, facts: DataFrame, path: str, run: str, expected: int) -> bool:
     """Append a run's facts and publish it only if all are there."""
     facts.withColumn("run_id", F.lit(run)).write.mode("append").partitionBy("run_id").parquet(f"{path}/facts")
@@ -83,20 +58,6 @@ def read_csv_bars(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def replace_snapshot(spark: SparkSession, rows: DataFrame, path: str, key: str, run: str) -> None:
-    """A whole new table beside the old one; readers follow the pointer's last row once keys are unique."""
-    rows.write.mode("errorifexists").parquet(f"{path}/{run}")
-    doubled = spark.read.parquet(f"{path}/{run}").groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    if doubled:
-        raise ValueError(f"{key} is not unique in snapshot {run}")
-    spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{path}/pointer")
-
-
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    run = spark.read.parquet(f"{path}/pointer").agg(F.max_by("run", "at")).first()[0]
-    return spark.read.parquet(f"{path}/{run}")
-
-
 def s05_csv_bars(spark, sf_dir):
     """Daily closes written as CSV by symbol and read back through the aliasing source."""
     at = shared(spark)
@@ -111,9 +72,9 @@ def s09_merge_minute(spark, sf_dir):
     order = F.struct("available_at", "event_id")
     minutes = signals(spark, sf_dir).groupBy("symbol", F.date_trunc("minute", "available_at").alias("minute")).agg(F.max_by("value", order).alias("value"), F.max("event_id").alias("event_id"))
     minutes = minutes.withColumn("day", F.date_format("minute", "yyyy-MM"))
-    upsert(spark, minutes.filter("event_id % 3 <> 0"), at, ["symbol", "minute"], "event_id", "day")
-    upsert(spark, minutes.filter("event_id % 2 = 0").withColumn("value", F.col("value") + 1), at, ["symbol", "minute"], "event_id", "day")
-    return spark.read.parquet(at).select("symbol", F.col("minute").cast("timestamp_ntz").alias("minute"), F.round("value", 4).alias("value"))
+    for part in (minutes.filter("event_id % 3 <> 0 OR event_id % 2 <> 0"), minutes.filter("event_id % 2 = 0").withColumn("value", F.col("value") + 1)):
+        upsert(spark, part, at, ["symbol", "minute"], "event_id", "day", moves=False)
+    return read_table(spark, at, minutes.schema, "day").select("symbol", F.col("minute").cast("timestamp_ntz").alias("minute"), F.round("value", 4).alias("value"))
 
 
 def s12_issue_sink(spark, sf_dir):
@@ -126,20 +87,33 @@ def s12_issue_sink(spark, sf_dir):
 
 
 def s08_upsert(spark, sf_dir):
-    """Orders upserted twice: the second write carries corrected totals of every third order."""
-    at = shared(spark)
+    """Orders upserted twice: the second write corrects the totals of every third order and moves every 21st to another year; a repeated commit changes nothing."""
+    at, key = shared(spark), F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy").alias("year"))
-    upsert(spark, rows, at, ["o_orderkey"], "o_totalprice", "year")
-    upsert(spark, rows.filter("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1), at, ["o_orderkey"], "o_totalprice", "year")
-    return spark.read.parquet(at).select("o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"))
+    upsert(spark, rows, at, ["o_orderkey"], "o_totalprice", "year", "first")
+    again = rows.filter(key % 3 == 0).withColumns({"o_totalprice": F.col("o_totalprice") + 1, "year": F.when(key % 21 == 0, "1990").otherwise(F.col("year"))})
+    for _ in range(2):
+        upsert(spark, again, at, ["o_orderkey"], "o_totalprice", "year", "second")
+    return read_table(spark, at, rows.schema, "year").select("o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"), "year")
+
+
+def s08_coverage(spark, sf_dir):
+    """Rows of each symbol and month in a store of bars, as its commits left them: bars land by half, the second half repeats the middle month."""
+    at = shared(spark)
+    rows = bars_daily(spark, sf_dir).select("symbol", "date", "close", F.date_format("date", "yyyy-MM").alias("month"))
+    for part in (rows.filter("month <= '1998-06'"), rows.filter("month >= '1998-06'")):
+        upsert(spark, part, at, ["symbol", "date"], "close", "month", cover="symbol", moves=False)
+    return coverage(spark, at, rows.schema["symbol"], "month")
 
 
 def s10_snapshot(spark, sf_dir):
+    """Customers replaced as a whole: the second run leaves out the excluded ones (odd keys)."""
     at = shared(spark)
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    replace_snapshot(spark, rows, at, "c_custkey", "run-1")
-    replace_snapshot(spark, rows.filter("c_custkey % 2 = 0"), at, "c_custkey", "run-2")
-    return read_snapshot(spark, at)
+    replace(spark, rows, at, "c_custkey", "c_mktsegment", "run-1")
+    excluded = rows.filter("c_custkey % 2 = 1").select("c_custkey")
+    replace(spark, rows.join(excluded, "c_custkey", "left_anti"), at, "c_custkey", "c_mktsegment", "run-2")
+    return read_table(spark, at, rows.schema, "c_mktsegment")
 
 
 def s11_publish(spark, sf_dir):
@@ -210,9 +184,10 @@ def s15_latest_status(spark, sf_dir):
 
 ORACLE = {
     "s05_csv_bars": "BARS:SELECT symbol, date, close FROM bars",
-    "s08_upsert": "SELECT o_orderkey, round(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END, 2) AS o_totalprice FROM orders",
+    "s08_upsert": "SELECT o_orderkey, round(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END, 2) AS o_totalprice, CASE WHEN o_orderkey % 21 = 0 THEN '1990' ELSE strftime(o_orderdate, '%Y') END AS year FROM orders",
+    "s08_coverage": "BARS:SELECT symbol, strftime(date, '%Y-%m') AS month, count(*) AS rows FROM bars GROUP BY 1, 2",
     "s09_merge_minute": """SELECT symbol, minute, round(value + CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END, 4) AS value FROM (SELECT user_id AS symbol, date_trunc('minute', ts) AS minute,
-  arg_max(value, (ts, event_id)) AS value, max(event_id) AS event_id FROM events GROUP BY 1, 2) WHERE event_id % 3 <> 0 OR event_id % 2 = 0""",
+  arg_max(value, (ts, event_id)) AS value, max(event_id) AS event_id FROM events GROUP BY 1, 2)""",
     "s12_issue_sink": "BARS:SELECT sha256('flat_bar|' || symbol || '|' || date) AS issue_id, 'flat_bar' AS category, CAST(symbol AS VARCHAR) AS entity, CAST(date AS VARCHAR) AS day FROM bars WHERE high = low",
     "s10_snapshot": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 0",
     "s11_publish": "SELECT 'full' AS run_id, count(*) AS n FROM labels",

@@ -8,11 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import events
-from ..sources.stores import is_folder, shared, upsert
+from ..sources.stores import is_folder, shared
 from ..sources.tables import bars_daily, table
+from ..sources.versioned import manifest, read_table, upsert
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +42,49 @@ def drain(spark: SparkSession, frame: DataFrame, mode: str = "append") -> DataFr
     return spark.read.schema(frame.schema).parquet(f"{at}/rows")
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Held:
+    """A key's value state, as a step sees it."""
+
+    def __init__(self, state) -> None:
+        self.state, self.update = state, state.update
+
+    @property
+    def exists(self) -> bool:
+        return self.state.exists()
+
+    @property
+    def get(self) -> tuple:
+        return tuple(self.state.get())
+
+
+class Stepping(StatefulProcessor):
+    """``step(key, batches, held)`` over one typed value for each key."""
+
+    def __init__(self, step, schema: str) -> None:
+        self.step, self.schema = step, T.StructType.fromDDL(schema)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues):
+        yield from self.step(key, rows, Held(self.held))
+
+    def close(self) -> None:
+        pass
+
+
+def stepped(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=T.StructType.fromDDL(schema), outputMode="Append", timeMode="None")
+
+
 def resumed(spark: SparkSession, parts: list[DataFrame], build) -> DataFrame:
     """Rows of ``build(stream)`` when ``parts`` arrive one after the other: each run continues from the saved state of the one before."""
     at, schema = shared(spark), parts[0].schema
     out = None
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)  # typed state needs it
     for part in parts:
         part.write.mode("append").parquet(f"{at}/in")
         out = build(spark.readStream.schema(schema).parquet(f"{at}/in"))
@@ -104,14 +145,14 @@ def t02_stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = events.with_range(bars_daily(spark, sf_dir))
     return resumed(
         spark, halves(bars),
-        lambda rows: rows.groupBy("symbol").applyInPandasWithState(
-            events.stream_step, events.SCHEMA, events.STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-        ),
+        lambda rows: stepped(rows, "symbol", Stepping(events.stream_step, events.STATE_SCHEMA), events.SCHEMA),
     )
 
 
 #: Bars that T01 keeps of each symbol: the longest window and the bar before it.
 KEPT = 61
+#: What is added before features are rounded, so that halves go up whatever their last bit.
+HALF = 1e-9
 _T01 = ("ret_1", "ret_5", "ret_20", "ma5", "ma10", "ma20", "ma60", "atr14_ratio", "volatility20", "drawdown20", "drawdown60", "vol_ratio20", "amount_ratio20")
 T01_SCHEMA = "symbol long, date date, " + ", ".join(f"{x} double" for x in _T01)
 
@@ -140,30 +181,62 @@ def trailing_rows(bars: pd.DataFrame) -> pd.DataFrame:
             **{f"drawdown{n}": close / _windows(close, n, np.max) - 1 for n in (20, 60)},
             "vol_ratio20": volume / _windows(volume, 20, np.mean, 1), "amount_ratio20": amount / _windows(amount, 20, np.mean, 1),
         }
-    return pd.DataFrame({"date": bars.date.to_numpy(), **{k: np.round(found[k], 6) for k in _T01}})
+    return pd.DataFrame({"date": bars.date.to_numpy(), **{k: np.round(found[k] + HALF, 5) for k in _T01}})
 
 
-def _trailing_step(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-    """Features of a micro-batch's bars from the last ``KEPT`` bars in state."""
-    columns = ["date", "high", "low", "close", "volume", "amount"]
-    past = pd.DataFrame(dict(zip(columns, held.get, strict=True))) if held.exists else None
-    new = pd.concat(list(batches)).sort_values("date")[columns]
-    both = new if past is None else pd.concat([past, new], ignore_index=True)
-    out = trailing_rows(both).iloc[len(both) - len(new) :]
-    keep = both.tail(KEPT)
-    held.update(tuple(keep[c].tolist() for c in columns))
-    out.insert(0, "symbol", key[0])
-    yield out
+class Trailing(StatefulProcessor):
+    """Features of a micro-batch's bars from the last ``KEPT`` bars in state.
+
+    The bars stand in a ring: a bar's slot is its number modulo ``KEPT``, so a batch writes no more than
+    its own bars and what is older goes as its slot is taken.
+    """
+
+    columns = ("date", "high", "low", "close", "volume", "amount")
+
+    def __init__(self) -> None:
+        self.kinds = [T.StructType.fromDDL(x) for x in ("n long", "slot int", "date date, high double, low double, close double, volume double, amount double")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        seen, slot, bar = self.kinds
+        self.seen, self.ring = handle.getValueState("seen", seen), handle.getMapState("ring", slot, bar)
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = pd.concat(list(rows)).sort_values("date")[list(self.columns)]
+        n = self.seen.get()[0] if self.seen.exists() else 0
+        past = [self.ring.getValue((k % KEPT,)) for k in range(max(0, n - KEPT), n)]
+        both = pd.concat([pd.DataFrame([tuple(x) for x in past], columns=self.columns), new], ignore_index=True) if past else new
+        for k, bar in enumerate(new.itertuples(index=False), n):
+            if k >= n + len(new) - KEPT:
+                self.ring.updateValue((k % KEPT,), tuple(bar))
+        self.seen.update((n + len(new),))
+        out = trailing_rows(both).iloc[len(both) - len(new) :]
+        out.insert(0, "symbol", key[0])
+        yield out
+
+    def close(self) -> None:
+        pass
 
 
 def t01_stream_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trailing features over bars that arrive in two parts."""
     bars = bars_daily(spark, sf_dir).select("symbol", "date", "high", "low", "close", "volume", "amount")
-    state = "date array<date>, high array<double>, low array<double>, close array<double>, volume array<double>, amount array<double>"
-    return resumed(
-        spark, halves(bars),
-        lambda rows: rows.groupBy("symbol").applyInPandasWithState(_trailing_step, T01_SCHEMA, state, "append", GroupStateTimeout.NoTimeout),
-    ).select("symbol", "date", *(F.nanvl(x, F.lit(None).cast("double")).alias(x) for x in _T01))
+    found = resumed(spark, halves(bars), lambda rows: stepped(rows, "symbol", Trailing(), T01_SCHEMA))
+    return found.select("symbol", "date", *(F.nanvl(x, F.lit(None).cast("double")).alias(x) for x in _T01))
+
+
+def in_batches(spark: SparkSession, parts: list[DataFrame], at: str, land) -> None:
+    """Let ``parts`` arrive one after the other; ``land(batch, name)`` takes each micro-batch.  A name comes again where a batch is replayed."""
+    schema = parts[0].schema
+    for part in parts:
+        part.write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{at}/in")
+        run = stream.writeStream.foreachBatch(lambda batch, number: land(batch, f"batch-{number}"))
+        run.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def _log(rows: DataFrame, at: str, name: str) -> None:
+    """A batch's log rows in a folder of its own, so that a replayed batch is there once."""
+    rows.write.mode("overwrite").parquet(f"{at}/log/batch={name}")
 
 
 def t03_stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,28 +244,27 @@ def t03_stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The second part repeats every fifth order as it was and every third with another total.
     """
-    at = shared(spark)
+    at, key = shared(spark), F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
-    rows = rows.withColumn("hash", F.xxhash64("o_orderkey", "o_totalprice", "month"))
-    schema = rows.schema
+    hashed = lambda x: x.withColumn("hash", F.xxhash64("o_orderkey", "o_totalprice", "month"))
+    schema = hashed(rows).schema
 
-    def land(batch: DataFrame, number: int) -> None:
+    def land(batch: DataFrame, name: str) -> None:
         session = batch.sparkSession
-        held = session.read.schema(schema).parquet(f"{at}/table").select("o_orderkey", F.col("hash").alias("held")) if number else None
-        known = batch.withColumn("held", F.lit(None).cast("long")) if held is None else batch.join(held, "o_orderkey", "left")
+        if name in manifest(session, f"{at}/table").commits:
+            return
+        held = read_table(session, f"{at}/table", schema, "month").select("o_orderkey", F.col("hash").alias("held"))
         state = F.when(F.col("held").isNull(), "new").when(F.col("held") == F.col("hash"), "unchanged").otherwise("revised")
-        known.groupBy(state.alias("state")).agg(F.count("*").alias("n")).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{at}/log")
-        upsert(session, known.filter(state != "unchanged").select(*schema.names), f"{at}/table", ["o_orderkey"], "o_totalprice", "month")
+        known = batch.join(held, "o_orderkey", "left").withColumn("state", state)
+        _log(known.groupBy("state").agg(F.count("*").alias("n")), at, name)
+        upsert(session, known.filter("state <> 'unchanged'").select(*schema.names), f"{at}/table", ["o_orderkey"], "o_totalprice", "month", name, moves=False)
 
-    key = F.col("o_orderkey")
     again = rows.filter((key % 5 == 0) & (key % 3 != 0)).unionByName(rows.filter(key % 3 == 0).withColumn("o_totalprice", F.col("o_totalprice") + 1))
-    again = again.withColumn("hash", F.xxhash64("o_orderkey", "o_totalprice", "month"))
-    for part in (rows.filter(key % 4 != 1), again):
-        part.write.mode("append").parquet(f"{at}/in")
-        stream = spark.readStream.schema(schema).parquet(f"{at}/in")
-        stream.writeStream.foreachBatch(land).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    total = spark.read.schema(schema).parquet(f"{at}/table").agg(F.count("*").alias("held"), F.round(F.sum("o_totalprice"), 1).alias("total"))
-    return spark.read.schema("state string, n long, batch int").parquet(f"{at}/log").crossJoin(F.broadcast(total))  # one row
+    first = rows.filter((key % 4 != 1) | (key % 3 != 0) & (key % 5 != 0))
+    in_batches(spark, [hashed(first), hashed(again)], at, land)
+    total = read_table(spark, f"{at}/table", schema, "month").agg(F.count("*").alias("held"), F.round(F.sum("o_totalprice"), 1).alias("total"))
+    log = spark.read.schema("state string, n long, batch string").parquet(f"{at}/log").withColumn("batch", F.substring_index("batch", "-", -1).cast("int"))
+    return log.crossJoin(F.broadcast(total))  # one row
 
 
 def t04_late_evidence(spark: SparkSession, sf_dir: str, delay: str = "1 day") -> DataFrame:
@@ -204,17 +276,14 @@ def t04_late_evidence(spark: SparkSession, sf_dir: str, delay: str = "1 day") ->
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     day = F.when(F.date_format("ts", "HH:mm:ss") > "15:00:00", F.date_add(F.to_date("ts"), 1)).otherwise(F.to_date("ts"))
 
-    def land(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        mark = session.read.parquet(f"{at}/mark").agg(F.max("ts")).first()[0] if number else None
+    def land(batch: DataFrame, name: str) -> None:
+        session, number = batch.sparkSession, int(name.rpartition("-")[2])
+        mark = session.read.parquet(f"{at}/mark").filter(F.col("batch") < number).agg(F.max("ts")).first()[0] if number else None
         late = F.lit(False) if mark is None else F.col("ts") < F.lit(mark) - F.expr(f"INTERVAL {delay}")
         batch.select("event_id", "user_id", day.alias("session"), late.alias("late")).write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
         batch.agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{at}/mark/batch={number}")
 
-    for part in (0, 1):
-        rows.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{at}/in")
-        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
-        stream.writeStream.foreachBatch(land).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    in_batches(spark, [rows.filter(F.col("event_id") % 2 == part) for part in (0, 1)], at, land)
     landed = spark.read.parquet(f"{at}/rows").select("event_id", "user_id", "session", F.when(F.col("late"), "side").otherwise("main").alias("target"))
     return landed
 
@@ -249,7 +318,7 @@ def t07_closed_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = "struct<bucket:date,open:double,high:double,low:double,close:double,volume:double>"
     found = resumed(
         spark, halves(bars),
-        lambda rows: rows.groupBy("symbol").applyInPandasWithState(_closing_step, BUCKETS, f"week {one}, month {one}", "append", GroupStateTimeout.NoTimeout),
+        lambda rows: stepped(rows, "symbol", Stepping(_closing_step, f"week {one}, month {one}"), BUCKETS),
     )
     return found.withColumn("volume", F.round("volume", 2))
 
@@ -272,34 +341,44 @@ def t09_daily_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = shared(spark)
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy").alias("year"))
 
-    def land(batch: DataFrame, number: int) -> None:
-        upsert(batch.sparkSession, batch, f"{at}/table", ["o_orderkey"], "o_totalprice", "year")
-        batch.groupBy("year").agg(F.count("*").alias("n")).withColumn("run", F.lit(number)).write.mode("append").parquet(f"{at}/log")
+    def land(batch: DataFrame, name: str) -> None:
+        _log(batch.groupBy("year").agg(F.count("*").alias("n")), at, name)
+        upsert(batch.sparkSession, batch, f"{at}/table", ["o_orderkey"], "o_totalprice", "year", name, moves=False)
 
-    for due in (F.col("year") < "1995", F.col("year") >= "1995"):
-        rows.filter(due).write.mode("append").parquet(f"{at}/in")
-        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
-        stream.writeStream.foreachBatch(land).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    held = spark.read.schema(rows.schema).parquet(f"{at}/table").groupBy("year").agg(F.count("*").alias("held"))
-    return spark.read.schema("year string, n long, run int").parquet(f"{at}/log").join(held, "year").select("run", "year", "n", "held")
+    in_batches(spark, [rows.filter("year < '1995'"), rows.filter("year >= '1995'")], at, land)
+    held = read_table(spark, f"{at}/table", rows.schema, "year").groupBy("year").agg(F.count("*").alias("held"))
+    log = spark.read.schema("year string, n long, batch string").parquet(f"{at}/log")
+    return log.join(held, "year").select(F.substring_index("batch", "-", -1).cast("int").alias("run"), "year", "n", "held")
 
 
-def t08_refresh_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only boards with changed members are recomputed, batch by batch, into their partitions."""
-    at = shared(spark, "stream")
-    rows = source(spark, sf_dir, "orders")
-    owner = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("board"))
+def add_sums(batch: DataFrame, owner: DataFrame, path: str, name: str) -> None:
+    """Add a batch's observations (o_custkey, o_totalprice) to the kept sums of their boards.
+
+    Only boards with observations in the batch are read and written, and no observation is read again;
+    the commit has the batch's name, so a replayed batch adds nothing.
+    """
+    schema = "board string, n long, total decimal(24,2), refreshed long"
+    fresh = batch.join(owner, "o_custkey").groupBy("board").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(12,2)")).cast("decimal(24,2)").alias("total"))
+    kept = read_table(batch.sparkSession, path, schema_of(schema), "board").select("board", F.col("n").alias("n_before"), F.col("total").alias("total_before"), "refreshed")
+    none = lambda x: F.coalesce(x, F.lit(0))
+    sums = fresh.join(kept, "board", "left").select(
+        "board", (F.col("n") + none("n_before")).alias("n"), (F.col("total") + none("total_before")).cast("decimal(24,2)").alias("total"), (none("refreshed") + 1).cast("long").alias("refreshed")
+    )
+    upsert(batch.sparkSession, sums, path, ["board"], "refreshed", "board", name, moves=False)
 
-    def land(batch: DataFrame, number: int) -> None:
-        batch.select("o_orderkey", "o_custkey", "o_totalprice").write.mode("overwrite").parquet(f"{at}/seen/batch={number}")
-        changed = batch.select("o_custkey").join(owner, "o_custkey").select("board").distinct()
-        seen = batch.sparkSession.read.parquet(f"{at}/seen").join(owner, "o_custkey").join(changed, "board", "left_semi")
-        fresh = seen.groupBy("board").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 1).alias("total"))
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("board").parquet(f"{at}/boards")
 
-    query = rows.writeStream.foreachBatch(land).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{at}/boards").select("board", "n", "total")
+def schema_of(ddl: str) -> T.StructType:
+    return T.StructType.fromDDL(ddl)
+
+
+def t08_refresh_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only boards with changed members are refreshed, batch by batch, from their kept sums; orders arrive by part of the month."""
+    at = shared(spark)
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", F.least(F.floor((F.dayofmonth("o_orderdate") - 1) / 10), F.lit(2)).alias("part"))
+    owner = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("board"))
+    in_batches(spark, [rows.filter(F.col("part") == k) for k in range(3)], at, lambda batch, name: add_sums(batch, owner, f"{at}/boards", name))
+    kept = read_table(spark, f"{at}/boards", schema_of("board string, n long, total decimal(24,2), refreshed long"), "board")
+    return kept.select("board", "n", F.round(F.col("total").cast("double"), 1).alias("total"))
 
 
 _E = "WITH m AS (SELECT max(ts) AS last FROM events) "
@@ -325,7 +404,7 @@ def _full(of: str, x: str, n: int, lag: int = 0) -> str:
 _T01_SQL = (
     "BARS:, p AS (SELECT *, lag(close) " + _BY + ") AS before FROM bars), r AS (SELECT *, close / before - 1 AS ret, greatest(high - low, abs(high - before), abs(low - before)) AS tr FROM p) SELECT symbol, date, "
     + ", ".join(
-        f"round({e}, 6) AS {name}"
+        f"round({e} + {HALF}, 5) AS {name}"
         for name, e in (
             *((f"ret_{n}", f"close / lag(close, {n}) {_BY}) - 1") for n in (1, 5, 20)), *((f"ma{n}", _full("avg", "close", n)) for n in (5, 10, 20, 60)),
             ("atr14_ratio", f"({_full('avg', 'tr', 14)}) / close"), ("volatility20", _full("stddev_pop", "ret", 20)),
@@ -337,7 +416,7 @@ _T01_SQL = (
 )
 ORACLE = {
     "t01_stream_trailing": _T01_SQL,
-    "t03_stream_upsert": """WITH a AS (SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderkey % 4 <> 1), b AS (SELECT o_orderkey AS k, o_totalprice + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS p FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0),
+    "t03_stream_upsert": """WITH a AS (SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderkey % 4 <> 1 OR (o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0)), b AS (SELECT o_orderkey AS k, o_totalprice + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS p FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0),
 h AS (SELECT count(*) AS held, round(sum(coalesce(b.p, a.p)), 1) AS total FROM a FULL JOIN b USING (k)),
 l AS (SELECT 'new' AS state, 0 AS batch FROM a UNION ALL SELECT CASE WHEN a.k IS NULL THEN 'new' WHEN a.p = b.p THEN 'unchanged' ELSE 'revised' END, 1 FROM b LEFT JOIN a USING (k))
 SELECT state, count(*) AS n, batch, any_value(held) AS held, any_value(total) AS total FROM l, h GROUP BY state, batch""",
@@ -346,7 +425,7 @@ SELECT state, count(*) AS n, batch, any_value(held) AS held, any_value(total) AS
     "t06_stream_rollup": _E + " UNION ALL ".join(_ROLL.format(n) for n in PERIODS),
     "t07_closed_buckets": "BARS:" + " UNION ALL ".join(_CLOSED.format(p) for p in ("week", "month")),
     "t07_closed_weeks": _E + "SELECT date_trunc('week', ts) AS week, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('week', ts) + INTERVAL 7 DAYS <= (SELECT last FROM m)",
-    "t08_refresh_boards": "SELECT c_mktsegment AS board, count(*) AS n, round(sum(o_totalprice), 1) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
+    "t08_refresh_boards": "SELECT c_mktsegment AS board, count(*) AS n, round(CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE), 1) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     "t09_daily_update": "SELECT CAST(strftime(o_orderdate, '%Y') >= '1995' AS INTEGER) AS run, strftime(o_orderdate, '%Y') AS year, count(*) AS n, count(*) AS held FROM orders GROUP BY 1, 2",
 }
 QUERIES = {name: globals()[name] for name in ORACLE} | {"t02_stream_events": t02_stream_events}

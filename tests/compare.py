@@ -33,7 +33,7 @@ def plain(x):
         return x
     if isinstance(x, (int, float)) or type(x).__module__ in ("numpy", "decimal"):
         f = float(x)
-        return None if math.isnan(f) else round(f, 4) + 0.0
+        return None if math.isnan(f) else round(f, 7) + 0.0
     return str(x)
 
 
