@@ -29,6 +29,8 @@ WIDTH, PERCENT = 4, 85
 BLOCK, PIVOTS = 256, 4
 #: Blocks that a task takes at most where sets outside a group's main component meet all others, and characters of a task's texts.
 OPEN_BLOCKS, TASK_CHARS = 4, 8_000_000
+#: Rows for each set of a group's grid beyond which meeting by tile is looked at: about as many as a set has tiles.
+WIDE = 64
 #: Sets of small groups that one task takes one group after the other.
 SMALL_PER_TASK = 400
 #: Least and most bits of a bitmap; in between, four for each shingle of the largest set at hand.
@@ -416,9 +418,10 @@ def _first_ties(scratch: Scratch, sized: DataFrame, near: DataFrame | None, text
 def _open_ties(
     scratch: Scratch, sized: DataFrame, label: DataFrame, named: DataFrame, texts: DataFrame, width: int, percent: int
 ) -> DataFrame | None:
-    """Links of big groups' sets outside their largest component with the others that share a tile with them; None if there are none.
+    """Links of big groups' sets outside their largest component with the others; None if there are none.
 
-    Where meeting by tile makes more rows than a grid of blocks over the whole group, the grid is taken.
+    They meet in a grid of blocks, or, in groups so large that a set would go to more blocks than it has
+    tiles, only sets with which they share a tile, if that makes fewer rows.
     """
     tied = sized.filter("big").join(label.select("node", F.col("label").alias("tied")), "node", "left")
     tied = scratch.write(tied.withColumn("tied", F.coalesce("tied", "node")), "tied")
@@ -432,32 +435,42 @@ def _open_ties(
     rows = scratch.write(tied.select("label", "node", "tied").join(main, "label").withColumn("asked", F.col("tied") != F.col("main")), "open")
     if rows.isEmpty():
         return None
-    met = named.select("tile", "node").distinct().join(rows.select("node", "label", "tied", "asked"), "node")
+    grid = (F.col("n") - F.col("m")) * F.col("all") + F.col("n") * F.col("few")
+    wide = scratch.write(main.select("label", "n", grid.alias("grid")).filter(F.col("grid") > WIDE * F.col("n")), "wide")
+    if wide.isEmpty():
+        return _ties(scratch, _grid(rows), texts, "open-ties", width, percent)
+    by_tile, beside = _by_tile(scratch, rows, wide, named)
+    work = beside.union(_grid(rows.join(by_tile, "label", "left_anti")))
+    return _ties(scratch, work, texts, "open-ties", width, percent)
+
+
+def _by_tile(scratch: Scratch, rows: DataFrame, wide: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels of the wide groups in which pairs that share a tile are fewer than the grid's rows, and their work: each asking set with the sets that it meets."""
+    met = named.select("tile", "node").distinct().join(rows.join(wide.select("label"), "label").select("node", "label", "tied", "asked"), "node")
     met = scratch.write(met, "open-tiles")
     shared = met.groupBy("tile", "label").agg(F.count("*").alias("here"), F.sum(F.col("asked").cast("long")).alias("askers"), F.min("tied").alias("low"), F.max("tied").alias("high"))
     shared = scratch.write(shared.filter("askers > 0 AND low <> high").select("tile", "label", (F.col("here") * F.col("askers")).alias("pairs")), "open-shared")
-    grid = (F.first("n") - F.first("m")) * F.first("all") + F.first("n") * F.first("few")
-    by_tile = rows.groupBy("label").agg(grid.alias("grid")).join(shared.groupBy("label").agg(F.sum("pairs").alias("pairs")), "label")
-    by_tile = scratch.write(by_tile.select("label", (F.col("pairs") <= F.col("grid")).alias("by_tile")), "open-ways")
-
-    few = met.join(shared.select("tile"), "tile").join(by_tile.filter("by_tile").select("label"), "label")
+    by_tile = wide.join(shared.groupBy("label").agg(F.sum("pairs").alias("pairs")), "label", "left").filter("coalesce(pairs, 0) <= grid").select("label")
+    by_tile = scratch.write(by_tile, "open-ways")
+    few = met.join(shared.select("tile"), "tile").join(by_tile, "label")
     askers = few.filter("asked").select("tile", F.col("node").alias("asker"), F.col("tied").alias("asker_tied"))
     pairs = askers.join(few, "tile").filter("asker_tied <> tied").select("asker", "asker_tied", "node", "tied").distinct()
     pairs = scratch.write(pairs, "open-pairs")
-    tasks = max(1, pairs.count() // SMALL_PER_TASK)
-    task = _piece(F.col("asker"), F.lit(tasks), 5).alias("task")
+    task = _piece(F.col("asker"), F.lit(max(1, pairs.count() // SMALL_PER_TASK)), 5).alias("task")
     beside = pairs.select(task, F.col("asker").alias("label"), "node", "tied", F.lit(False).alias("asked"))
-    beside = beside.union(pairs.select(task, F.col("asker").alias("label"), F.col("asker").alias("node"), F.col("asker_tied").alias("tied"), F.lit(True).alias("asked")).distinct())
+    own = pairs.select(task, F.col("asker").alias("label"), F.col("asker").alias("node"), F.col("asker_tied").alias("tied"), F.lit(True).alias("asked")).distinct()
+    return by_tile, beside.union(own)
+
 
-    rows = rows.join(by_tile.filter("not by_tile").select("label"), "label")
+def _grid(rows: DataFrame) -> DataFrame:
+    """Work in which every asking set meets every set of its group, block by block."""
     asked = rows.filter("asked").select(
         "label", "node", "tied", _piece(F.col("node"), F.col("few"), 8).alias("x"), F.explode(F.expr("sequence(0L, all - 1)")).alias("y"), F.lit(True).alias("asked")
     )
     others = rows.select(
         "label", "node", "tied", F.explode(F.expr("sequence(0L, few - 1)")).alias("x"), _piece(F.col("node"), F.col("all"), 9).alias("y"), F.lit(False).alias("asked")
     )
-    work = asked.union(others).select(F.xxhash64("label", "x", "y").alias("task"), "label", "node", "tied", "asked")
-    return _ties(scratch, beside.union(work), texts, "open-ties", width, percent)
+    return asked.union(others).select(F.xxhash64("label", "x", "y").alias("task"), "label", "node", "tied", "asked")
 
 
 def keep_one(

@@ -36,9 +36,10 @@ def brute_components(rows):
     return {ident: (len(s), find(ident)) for ident, s in sets}
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_jaccard_components_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "wide"), [(256, 64), (8, 64), (8, 0)])
+def test_jaccard_components_equal_brute_force(spark, monkeypatch, block, wide):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "WIDE", wide)  # 0: large groups meet by tile
     rng, texts = random.Random(3), []
     for n in (3, 4, 6, 9, 20, 60, 150, 400):
         base = prose(rng, n).split()

@@ -37,9 +37,10 @@ def near_copies(rng, base, n, most):
         yield " ".join(copy)
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_classes_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "wide"), [(256, 64), (8, 0)])
+def test_classes_equal_brute_force(spark, monkeypatch, block, wide):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "WIDE", wide)
     rng, texts = random.Random(11), []
     for n in (3, 5, 9, 12, 25, 60, 150, 400, 3000):
         base = prose(rng, n).split()
