@@ -26,7 +26,7 @@ BLOCKS = {
     "header", "hgroup", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "search", "section",
     "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-NOISE_TAGS = {"nav", "footer", "aside", "form", "menu", "select", "dialog", "button", "fieldset", "head", "search"}
+NOISE_TAGS = {"nav", "footer", "aside", "form", "menu", "select", "dialog", "button", "fieldset", "head", "search", "label", "legend"}
 NOISE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion",
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "sidebar", "aside", "widget",
@@ -50,7 +50,11 @@ _WORD = re.compile(r"[a-z]+")
 #: Elements that set a part of an article apart even without a class; lists, tables and paragraphs are its text.
 APART = {"div", "section", "header", "article", "details", "figure", "address", "center"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none""", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+#: Names of furniture that holds no articles of its own: around the page's article it is no more than a wrapper, as a form is.
+FURNITURE = {"menu", "nav", "navbar", "navigation", "search", "banner", "skip", "toolbar", "share", "social", "form", "header"}
+#: Elements that are the article; one of them inside a form or a named wrapper keeps the wrapper.
+ARTICLES = ("article", "main")
 # An element that ends an open one of its kind, and the elements beyond which it doesn't look.
 _LIKE = {"li": {"li"}, "tr": {"tr"}, "option": {"option"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _EDGES = {"ul", "ol", "menu", "table", "dl", "select", "tbody", "thead"}
@@ -66,24 +70,32 @@ def _named_noise(value: str, in_article: bool) -> bool:
     return False
 
 
-def _noisy(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element's presentation alone says that it is not the article."""
+def _noisy(tag: str, attributes: str, in_article: bool) -> str:
+    """Whether an element's presentation alone says that it is not the article: ``no``, ``yes``, or ``around`` if it may be a wrapper of it."""
     if tag in NOISE_TAGS or tag == "header" and not in_article:
-        return True
+        return "around" if tag == "form" and not in_article else "yes"
     if not attributes or attributes.isspace():
-        return False
-    if _HIDDEN.search(attributes):
-        return True
+        return "no"
+    if "hidden" in _ATTRIBUTE.sub(" ", attributes).lower().replace("/", " ").split():
+        return "yes"
+    said = "no"
     for name, value in _ATTRIBUTE.findall(attributes):
-        name = name.lower()
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "style" and _UNSEEN.search(value):
+            return "yes"
         if name in ("class", "id"):
-            if tag in ("html", "body", "article", "main") and not in_article:
+            if "hidden" in value.lower().split():
+                return "yes"
+            if tag in ("html", "body", *ARTICLES) and not in_article:
                 continue
             if _named_noise(value, in_article):
-                return True
-        elif name == "role" and value.strip("\"'").lower() in NOISE_ROLES:
-            return True
-    return False
+                words = set(_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
+                if in_article or words & NOISE_WORDS - FURNITURE or tag == "li":
+                    return "yes"
+                said = "around"
+        elif name == "role" and value.lower() in NOISE_ROLES:
+            return "yes"
+    return said
 
 
 def tags(source: str):
@@ -135,13 +147,15 @@ class Page:
         self.children: dict[int, list[str]] = {}
         self.inside: set[int] = set()  # nodes in an article
         under, known = [False], {}
-        # tag, node, in article, noisy, number of the element
-        stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
+        # tag, node, in article, noisy (-1: yes, or the number of what may be a wrapper), number of the element
+        stack: list[tuple[str, int, bool, int, int]] = [("", 0, False, 0, 0)]
         opened: dict[str, list[tuple[int, int]]] = {}  # places in the stack by tag, perhaps outdated ones above
         unclosed: set[str] = set()
+        wrappers: set[int] = set()  # elements that looked like noise and hold the article
         text: list[str] = []
         source = source or ""
         at = number = 0
+        muted, level, depth = "", 0, 0  # inline element whose text goes, blocks open around it, elements of its name in it
 
         def flush() -> None:
             if text:
@@ -165,15 +179,21 @@ class Page:
         for start, end, closing, tag, attributes in tags(source):
             if start < at:
                 continue  # in a raw element
-            text.append(source[at:start])
+            if not muted:
+                text.append(source[at:start])
             at = end
             if tag is None:
                 continue
+            if muted and tag == muted:
+                depth += -1 if closing else 1
+                muted = muted if depth else ""
+                continue
             if closing:
                 if tag in BLOCKS:
                     flush()
                     if place := last_open({tag}):
                         del stack[place:]
+                        muted = muted if len(stack) >= level else ""  # an inline element that is never closed ends with its block
                 continue
             if tag in RAW:
                 ending = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
@@ -186,6 +206,9 @@ class Page:
             if tag in VOID or tag not in BLOCKS:
                 if tag == "hr":
                     flush()
+                elif tag not in VOID and not muted and _noisy(tag, attributes, stack[-1][2]) != "no":
+                    text.append(" ")
+                    muted, level, depth = tag, len(stack), 1
                 continue
             flush()
             # A block ends an open paragraph; a list item, cell or row ends the one before it.
@@ -196,7 +219,13 @@ class Page:
                 if place > last_open(_EDGES | {"tr"} if tag in ("td", "th") else _EDGES):
                     del stack[place:]
             _, parent, article, noisy, _ = stack[-1]
-            noisy = noisy or _noisy(tag, attributes, article)
+            number += 1
+            if tag in ARTICLES and noisy > 0 and not muted:
+                wrappers.add(noisy)
+                noisy = 0
+            if noisy >= 0:
+                said = "yes" if muted else _noisy(tag, attributes, article)
+                noisy = -1 if said == "yes" else noisy or (number if said == "around" else 0)
             name = tag
             if "class" in attributes:
                 name += "." + next((v.strip("\"'") for n, v in _ATTRIBUTE.findall(attributes) if n.lower() == "class"), "")
@@ -209,14 +238,18 @@ class Page:
                 self.tags.append(tag)
                 self.apart.append(under[parent] and (self.apart[parent] or "." in name or tag in APART))
                 under.append(under[parent] or tag in ("article", "main"))
-            article = article or tag in ("article", "main") and not noisy
+            article = article or tag in ARTICLES and not noisy
             if article:
                 self.inside.add(node)
-            number += 1
             opened.setdefault(tag, []).append((len(stack), number))
             stack.append((tag, node, article, noisy, number))
-        text.append(source[at:])
+        if not muted:
+            text.append(source[at:])
         flush()
+        # Without an article, a form around the main heading is the page.
+        if not self.inside:
+            wrappers |= {b[3] for b in self.blocks if b[3] > 0 and self.tags[b[0]] == "h1"}
+        self.blocks = [(node, joined, inside, noisy < 0 or noisy > 0 and noisy not in wrappers) for node, joined, inside, noisy in self.blocks]
 
     def article(self) -> str | None:
         """What copies of the page's article have in common, also edited ones: the longest block of its fullest node."""

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from marketgrid.llm import chat, site_style, topk
 
@@ -208,3 +209,27 @@ def test_numbering_spans_ranges(spark):
     got = {r.turn: (r.position, r.reply_to) for r in chat.thread(frame).collect()}
     order = sorted(turns)
     assert got == {t: (k, order[k - 1] if k else None) for k, t in enumerate(order)}
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        # "hidden" hides as an attribute, a class or a style of its own, not inside other values.
+        ('<article title="the hidden truth"><p>A</p></article>', "A"),
+        ('<article data-x="a hidden gem"><p>A</p></article>', "A"),
+        ('<article><p>A</p><p hidden>B</p><p class="hidden">C</p><p style="display: none">D</p><p hidden="">E</p></article>', "A"),
+        # A form or menu around the article is a wrapper; its fields and a form inside an article go.
+        ('<form id="aspnetForm"><nav>N</nav><article><h1>T</h1><p>A</p></article><input><label>l</label></form>', "T\nA"),
+        ('<body><form id="aspnetForm"><h1>T</h1><p>A</p><select><option>x</select></form></body>', "T\nA"),
+        ("<article><p>A</p><form><p>Name</p><input></form><p>B</p></article>", "A\nB"),
+        ('<div id="menu-content"><article><p>A</p></article></div>', "A"),
+        ('<div class="menu"><ul><li>M</li></ul></div><article><p>A</p></article>', "A"),
+        # Inline noise goes with its text, also where it is never closed; comments stay out though they are articles.
+        ('<article><p>A</p><button>Share <b>this</b></button><p>B <span class="advert">Buy <span>now</span></span> C</p></article>', "A\nB C"),
+        ("<article><p>A <button>unclosed</p><p>B</p></article>", "A\nB"),
+        ('<article><p>A</p></article><div class="comments"><article><p>Comment</p></article></div>', "A"),
+        ('<article><p>A <span>b</span> <em class="x">c</em></p></article>', "A b c"),
+    ],
+)
+def test_presentation_rules_on_probes(source, text):
+    assert site_style.Page(source).text() == text
