@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from functools import lru_cache
@@ -101,6 +102,21 @@ TEMPLATES = {
     ),
     "Reserved": ("All rights reserved.", "Copyright 2020 Example Corporation. All rights reserved."),
 }
+# Public short identifiers and usual names of the families, for tags and one-line declarations.
+NAMES = {
+    "MIT": ("MIT", "MIT-0", "X11"), "Apache": ("Apache-2.0", "Apache 2.0", "Apache License 2.0", "ASL 2.0"), "GPL": ("GPL-3.0-or-later", "GPL-3.0-only", "GPL-2.0-or-later", "GPL-2.0", "GPL-3.0", "GNU GPL"),
+    "LGPL": ("LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-2.1", "GNU LGPL"), "AGPL": ("AGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0", "GNU AGPL"), "BSD": ("BSD-3-Clause", "BSD-2-Clause", "BSD"),
+    "CC-BY": ("CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-3.0"), "CC-BY-NC": ("CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0"), "MPL": ("MPL-2.0", "Mozilla Public License 2.0"), "Unlicense": ("Unlicense", "CC0-1.0", "CC0"), "ISC": ("ISC",),
+}
+# Forms of a declaration, and of talk about one that grants nothing.
+DECLARES = ("SPDX-License-Identifier: {0}", "License: {0}", "Code is {0} licensed.", "Distributed under the {0} license.", "Licensed under {0}.", "Released under the {0} license.", "This software is available under the {0} license.")
+REPORTS = (
+    "We compared code licensed under the {0} license with ours.", "Never write that your work is licensed under the {0} license unless you mean it.", "It is not licensed under the {0} license.",
+    "They asked whether the project was released under the {0} license.", "He would rather not have it distributed under the {0} license.", "If it were licensed under {0}, we could use it.",
+    "Many projects are licensed under {0} instead of another license.", "The difference between {0} and other licenses is explained here.", "Do not claim that this is released under the {0} license.",
+)
+#: Words that turn a sentence about a licence into talk, where its template doesn't have them itself.
+CUES = frozenset("not never unless whether compare compared comparing comparison difference claim claims instead rather versus asked if were misunderstand explained explains discuss discussed many".split())
 UNKNOWN = "unknown"
 # Sentences about licences and software that grant nothing.
 TALK = (
@@ -128,7 +144,14 @@ _HINTS = "(?i)licen|copyright|warrant|rights reserved|public domain|creative com
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Lower-case words; both spellings of license are one."""
+    return [w.replace("licenc", "licens") if "licenc" in w else w for w in _WORD.findall(text.lower())]
+
+
+def templates() -> dict[str, list[list[str]]]:
+    """Words of each family's sentences, tags and declarations."""
+    short = {f: [d.format(n) for n in names for d in DECLARES] for f, names in NAMES.items()}
+    return {f: [words(x) for x in (*sentences, *short.get(f, ()))] for f, sentences in TEMPLATES.items()}
 
 
 def grams(tokens: list[str]) -> list[str]:
@@ -140,17 +163,18 @@ def training_rows(prose: list[list[str]], seed: int = 7) -> list[tuple[str, list
     """(family, words) of the templates by a fixed generator: whole, with words left out, joined in twos, and inside ordinary words."""
     rng, rows = np.random.default_rng(seed), []
     around = [w for w in prose if len(w) >= 4] or [[]]
-    for family, sentences in TEMPLATES.items():
-        tokens = [words(x) for x in sentences]
+    for family, tokens in templates().items():
+        n_long = len(TEMPLATES[family])
         for k, own in enumerate(tokens):
             rows.append((family, own))
-            for turn in range(VARIANTS):
+            for turn in range(VARIANTS if k < n_long else 4):
                 more = tokens[rng.integers(len(tokens))] if turn % 4 == 1 else []
                 kept = [t for t in own + more if rng.random() > 0.1] or own
                 if turn % 4 >= 2:
                     ahead, behind = (around[rng.integers(len(around))] for _ in range(2))
                     kept = ahead[: rng.integers(6)] + kept + behind[: rng.integers(6)]
                 rows.append((family, kept))
+    rows += [(UNKNOWN, words(r.format(n))) for names in NAMES.values() for n in names for r in REPORTS]
     return rows
 
 
@@ -161,7 +185,7 @@ class Model:
         self.families, self.weights, self.bias = families, weights, bias
         self.unknown = families.index(UNKNOWN)
         self.temperature, self.least = 1.0, 0.5
-        self.pairs = {f: [set(zip(t, t[1:], strict=False)) for t in map(words, sentences)] for f, sentences in TEMPLATES.items()}
+        self.pairs = {f: [(set(zip(t, t[1:], strict=False)), set(t)) for t in own] for f, own in templates().items()}
         # By n-gram length, and for each gram the most that it can do for any family against unknown.
         self.by_size: list[dict[tuple[str, ...], str]] = [{}, {}, {}]
         for gram in weights:
@@ -203,8 +227,20 @@ class Model:
         return family, float(p[best])
 
     def confirmed(self, family: str, tokens: list[str]) -> bool:
-        own = set(zip(tokens, tokens[1:], strict=False))
-        return any(s and len(own & s) >= CONFIRM * len(s) for s in self.pairs[family])
+        """Whether a template of the family has most of its word pairs here, and nothing beside it says that this is only talk."""
+        own, cues = set(zip(tokens, tokens[1:], strict=False)), CUES.intersection(tokens)
+        return any(s and len(own & s) >= CONFIRM * len(s) and not cues - known for s, known in self.pairs[family])
+
+    def to_json(self) -> str:
+        kept = {g: w.tolist() for g, w in self.weights.items()}
+        return json.dumps({"families": self.families, "bias": self.bias.tolist(), "weights": kept, "temperature": self.temperature, "least": self.least})
+
+    @staticmethod
+    def from_json(text: str) -> Model:
+        held = json.loads(text)
+        model = Model(held["families"], {g: np.array(w) for g, w in held["weights"].items()}, np.array(held["bias"]))
+        model.temperature, model.least = held["temperature"], held["least"]
+        return model
 
     def calibrate(self, held: list[tuple[str, list[str]]]) -> None:
         """Temperature of least log loss on held-out rows; the threshold that all but ``FALSE_RATE`` of their unknown ones stay under."""
@@ -258,16 +294,26 @@ def train(frame: DataFrame, id_col: str, text_col: str) -> Model:
     return model
 
 
-def scan(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def save(model: Model, spark: SparkSession, path: str) -> None:
+    """Keep a model as one text row, for scans of other tables or later runs."""
+    spark.createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path, lineSep="\n")
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    return Model.from_json(spark.read.text(path, wholetext=True).first()[0])
+
+
+def scan(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """Licence families of each text with the sentences that show them.
 
-    A paragraph is a line; the classifier judges every sentence of every paragraph, so a licence line inside
-    running text is found.  ``families`` lists distinct families in order of appearance, ``spans``
+    The classifier judges every sentence of every line, so a licence line inside running text is found,
+    and every sentence that is wrapped over lines of one paragraph (lines without a blank one between).
+    ``families`` lists distinct families in order of appearance, ``spans``
     the sentences (start and end in code points, family, probability).  The model, whose size does
     not grow with the corpus, goes to every task; all texts are read whole.  Null and empty
     texts have no licences; repeated rows come out alike; an empty table gives no rows.
     """
-    model = train(frame, id_col, text_col)
+    model = model or train(frame, id_col, text_col)
 
     def make():
         @lru_cache(maxsize=20_000)
@@ -280,6 +326,13 @@ def scan(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 family, p = verdict(sentence)
                 if family != UNKNOWN:
                     spans.append({"start": start, "end": end, "family": family, "probability": round(p, 4)})
+            alone = len(spans)
+            for start, end, sentence in wrapped(text or ""):
+                family, p = verdict(sentence)
+                if family != UNKNOWN and not any(x["family"] == family and x["start"] < end and start < x["end"] for x in spans[:alone]):
+                    spans.append({"start": start, "end": end, "family": family, "probability": round(p, 4)})
+            if len(spans) > alone:
+                spans.sort(key=lambda x: (x["start"], x["end"]))
             return ident, list(dict.fromkeys(s["family"] for s in spans)), len(spans), spans
 
         return row
@@ -307,5 +360,19 @@ def sentences_of(text: str):
         at += len(line) + 1
 
 
+_PARAGRAPH = re.compile(r"[^\n]+(?:\n(?![^\S\n]*\n)[^\n]+)+")
+
+
+def wrapped(text: str):
+    """(start, end, text) of the sentences that run over line ends within a paragraph."""
+    for paragraph in _PARAGRAPH.finditer(text):
+        whole, at, start = paragraph[0], paragraph.start(), 0
+        for stop in (*_STOP.finditer(whole), None):
+            end = stop.start() if stop else len(whole)
+            if whole.find("\n", start, end) >= 0:
+                yield at + start, at + end, whole[start:end]
+            start = stop.end() if stop else end
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))

@@ -303,3 +303,39 @@ def test_licence_model_on_held_out_rows(spark):
         best = int(p.argmax())
         sure = model.families[best] != licenses.UNKNOWN and p[best] >= model.least and model.confirmed(model.families[best], tokens)
         assert (model.classify(tokens)[0] != licenses.UNKNOWN) == sure
+
+
+LICENCE_PROBES = [
+    ('Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software.', ["MIT"]),
+    ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.', ["MIT"]),
+    ("Distributed under the MIT licence.", ["MIT"]),
+    ("SPDX-License-Identifier: Apache-2.0", ["Apache"]),
+    ("License: GPL-3.0-or-later", ["GPL"]),
+    ("Code is Apache 2.0 licensed.", ["Apache"]),
+    ("# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:", ["BSD"]),
+    ("We compared code licensed under the MIT license with ours.", []),
+    ("Never write that your work is licensed under the MIT license unless you mean it.", []),
+    ("The project is not released under the GPL.", []),
+    ("He bought a house.\nShe sold it.", []),
+    ("word " * 50_000 + "\nReleased under the ISC License.\n" + "word\n" * 20_000, ["ISC"]),
+    (None, []),
+    ("", []),
+]
+
+
+def test_licences_as_they_stand_in_files(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = licenses.train(docs, "doc_id", "text")
+    licenses.save(model, spark, str(tmp_path / "model"))
+    kept = licenses.load(spark, str(tmp_path / "model"))
+    assert kept.to_json() == model.to_json()
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(LICENCE_PROBES)], "doc_id long, text string")
+    found = {r.doc_id: r for r in licenses.scan(frame, model=kept).collect()}
+    for k, (text, want) in enumerate(LICENCE_PROBES):
+        assert found[k].families == want, text and text[:80]
+        assert all(0 <= s.start < s.end <= len(text) for s in found[k].spans)
+
+
+def test_wrapped_sentences_have_original_offsets():
+    text = "One\ntwo. Three four.\n\nFive.\nSix\n  seven"
+    assert [text[a:b] == s and s for a, b, s in licenses.wrapped(text)] == ["One\ntwo.", "Six\n  seven"]
