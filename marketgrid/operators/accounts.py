@@ -437,6 +437,11 @@ def w16_weighted_quantiles(spark, sf_dir):
     return _profiles(spark, sf_dir, "symbol long, as_of date, low double, mid double, high double", quantiles)
 
 
+def w16_quantiles_all(spark, sf_dir):
+    """An earlier name of :func:`w16_weighted_quantiles`."""
+    return w16_weighted_quantiles(spark, sf_dir)
+
+
 def _bins(ordered: np.ndarray, held: PriceWeights, bins: int) -> tuple[float, float, np.ndarray]:
     """Range of the window's prices and the volume in each of its equal bins; a range without width gets some."""
     first, last = held.at(0.0) if held.below(np.array([1]))[0] else held.at(0.5 / held.total), held.at(1.0)
@@ -459,6 +464,15 @@ def w17_volume_histogram(spark, sf_dir, bins: int = 32):
     return _profiles(spark, sf_dir, "symbol long, as_of date, low double, high double, volumes string", histogram)
 
 
+def w17_histogram_all(spark, sf_dir, bins: int = 32):
+    """As :func:`w17_volume_histogram`, one row for each bin."""
+
+    def histogram(ordered, held):
+        return [(k, round(float(x), 2)) for k, x in enumerate(_bins(ordered, held, bins)[2])]
+
+    return _profiles(spark, sf_dir, "symbol long, as_of date, bin int, volume double", histogram)
+
+
 def w11_robust_volume(spark, sf_dir):
     """Volume against the median and the median absolute deviation of the 60 bars before."""
     before = Window.partitionBy("symbol").orderBy("date").rowsBetween(-60, -1)
@@ -559,4 +573,4 @@ FROM n a JOIN n b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 60 AND a.i - 1 WH
     "w18_liquidity": _BC[:-1] + """, x AS (SELECT * FROM bars JOIN calendar USING (date)), q AS (SELECT symbol, date, count(*) OVER w AS n, quantile_cont(amount, 0.5) OVER w AS mid, max(1 - verified) OVER w AS bad, session - lag(session, 19) OVER (PARTITION BY symbol ORDER BY session) - 19 AS missing FROM x WINDOW w AS (PARTITION BY symbol ORDER BY session ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
 SELECT symbol, date, round(CASE WHEN n = 20 THEN mid END, 4) AS median_amount, missing, CASE WHEN n < 20 THEN 'short' WHEN missing > 0 THEN 'sessions_missing' WHEN bad = 1 THEN 'unverified' WHEN mid < 30000 THEN 'thin' ELSE 'ok' END AS reason FROM q""",
 }
-QUERIES = {name: globals()[name] for name in ORACLE} | {"a27_average_cost": a27_average_cost, "a31_bootstrap": a31_bootstrap}
+QUERIES = {name: globals()[name] for name in ORACLE} | {"a27_average_cost": a27_average_cost, "a31_bootstrap": a31_bootstrap, "w16_quantiles_all": w16_quantiles_all, "w17_histogram_all": w17_histogram_all}

@@ -93,17 +93,6 @@ def p14_reason_codes(spark, sf_dir):
 THOUSAND = 1000.0
 
 
-def p22_costs(spark, sf_dir):
-    """Slippage tier, fee and execution price of each fill; its own size stands for the traded amount."""
-    rows = fills(spark, sf_dir)
-    rate = C.slippage_rate(F.col("notional") * THOUSAND)
-    sign = F.when(F.col("side") == "BUY", 1).otherwise(-1)
-    return rows.select(
-        "fill_id", "side", rate.alias("slippage"), C.fee(F.col("side"), F.col("notional")).alias("fee"),
-        (F.col("notional") * (1 + sign * rate)).alias("executed"),
-    )
-
-
 def p23_cost_stress(spark, sf_dir):
     """Costs under each stress multiplier: commission and slippage grow, tax doesn't; the multipliers are a fixed short table."""
     stress = F.explode(F.array(*(F.struct(F.lit(n).alias("scenario"), F.lit(m).alias("times")) for n, m in (("base", 1.0), ("double", 2.0), ("severe", 3.5)))))
@@ -341,7 +330,6 @@ ORACLE = {
 FROM lineitem JOIN (VALUES ('A', 100.0::DOUBLE, 1000.0::DOUBLE), ('N', 1.0, 1.0), ('R', 100.0, 10000.0)) u(flag, lots, money) ON l_returnflag = flag GROUP BY flag""",
     "p14_reason_codes": _B + """SELECT symbol, date, concat_ws(',', CASE WHEN verified = 0 THEN 'unverified' END, CASE WHEN n_lines = 1 THEN 'single_line' END,
   CASE WHEN volume < 10 THEN 'thin' END, CASE WHEN high = low THEN 'flat' END) AS reasons FROM bars""",
-    "p22_costs": sql.with_(sql.FILLS) + f"SELECT fill_id, side, {_RATE} AS slippage, {_FEE.format('1.0')} AS fee, notional * (1 + CASE WHEN side = 'BUY' THEN 1 ELSE -1 END * {_RATE}) AS executed FROM fills",
     "p23_cost_stress": sql.with_(sql.FILLS) + f"SELECT scenario, side, round(sum({_FEE.format('times')} + notional * ({_RATE}) * times), 1) AS cost FROM fills, (VALUES ('base', 1.0::DOUBLE), ('double', 2.0), ('severe', 3.5)) s(scenario, times) GROUP BY scenario, side",
     "p17_direction": f"""SELECT doc_id, CASE WHEN abs(d + f + u - 1) >= 1e-6 OR least(d, f, u) < 0 OR (d = {_TOP})::INT + (f = {_TOP})::INT + (u = {_TOP})::INT > 1 THEN 'WAIT'
   WHEN u = {_TOP} THEN 'BUY' WHEN d = {_TOP} THEN 'SELL' ELSE 'WAIT' END AS direction

@@ -131,3 +131,27 @@ def test_fifo_of_one_large_account_is_linear(spark):
         assert time.perf_counter() - began < 20
     finally:
         accounts.fills = kept
+
+
+def test_ranks_by_range_equal_ranks_in_one_order(spark):
+    from marketgrid.operators import tables
+
+    rng = np.random.default_rng(9)
+    scores, labels = np.round(rng.normal(size=3000), 2), rng.integers(0, 2, 3000)
+    got = tables.auc(spark.createDataFrame(list(zip(scores.tolist(), labels.tolist())), "s double, y int"), "s", "y").first()
+    pairs = scores[labels == 1][:, None] - scores[labels == 0][None, :]
+    assert (got.n, got.p) == (3000, labels.sum()) and math.isclose(got.auc, ((pairs > 0) + 0.5 * (pairs == 0)).mean(), rel_tol=1e-12)
+    assert tables.auc(spark.createDataFrame([(1.0, 1)], "s double, y int"), "s", "y").first().auc is None
+
+
+def test_fingerprint_is_updated_by_its_days(spark):
+    from marketgrid.operators import tables
+    from marketgrid.sources.tables import bars_daily
+
+    bars = bars_daily(spark, "/root/testdata/sf0.001")
+    dates = spark.createDataFrame([(dt.date(1996, 3, 4),), (dt.date(1997, 8, 9),)], "date date")
+    changed = bars.join(dates, "date", "left_semi").withColumn("close", F.col("close") + 1).select(bars.columns)
+    whole = bars.join(dates, "date", "left_anti").select(bars.columns).unionByName(changed)
+    first, full = (sorted(tables.fingerprint(tables.day_digests(x)).collect()) for x in (bars, whole))
+    assert sorted(tables.fingerprint(tables.refreshed(tables.day_digests(bars), changed, dates)).collect()) == full
+    assert {r.part for r in first} - {r.part for r in set(first) & set(full)} == {"1996-03", "1997-08", "*"}
