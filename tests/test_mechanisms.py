@@ -155,3 +155,45 @@ def test_fingerprint_is_updated_by_its_days(spark):
     first, full = (sorted(tables.fingerprint(tables.day_digests(x)).collect()) for x in (bars, whole))
     assert sorted(tables.fingerprint(tables.refreshed(tables.day_digests(bars), changed, dates)).collect()) == full
     assert {r.part for r in first} - {r.part for r in set(first) & set(full)} == {"1996-03", "1997-08", "*"}
+
+
+def test_episodes_by_hand(spark):
+    from marketgrid.operators import episodes
+
+    rows = [(1, 1, day(0), "BUY", 10_000.0, 1000), (1, 2, day(5), "SELL", 12_000.0, 1000), (1, 3, day(6), "BUY", 5_000.0, 500), (1, 4, day(7), "SELL", 2_000.0, 200), (2, 5, day(1), "BUY", 10.0, 1), (2, 6, day(2), "SELL", 11.0, 1), (3, 7, day(1), "BUY", 20_000.0, 1000), (3, 8, day(2), "SELL", 20_150.0, 1000)]
+    fills = spark.createDataFrame(rows, "account long, fill_id long, date date, side string, notional double, shares long")
+    matches = spark.createDataFrame([(2, 1, 1000), (4, 3, 200), (6, 5, 1), (8, 7, 1000)], "sell long, buy long, shares long")
+    got = {r.buy: r for r in episodes.episodes(fills, matches).collect()}
+    paid, received = 10_005.0, 12_000 - 5.0 - 6.0  # least commission on both sides, tax on the sale
+    stopped = 1000 * 9.18  # 10 less 8 % and slippage, to the tick
+    risk = paid - (stopped - 5.0 - stopped * 0.0005)
+    assert (got[1].klass, got[1].open_shares, got[1].exit_date) == ("high", 0, day(5)) and math.isclose(got[1].net_return, received / paid - 1, abs_tol=1e-6)
+    assert math.isclose(got[1].risk_cash, risk, abs_tol=1e-3) and math.isclose(got[1].r_multiple, (received - paid) / risk, abs_tol=1e-4)
+    assert (got[3].klass, got[3].open_shares, got[3].net_return, got[3].exit_date) == ("open", 300, None, None)
+    assert (got[5].klass, got[5].r_multiple) == ("no_risk", None)  # fees are most of it
+    assert (got[7].klass, got[7].low_return) == ("ordinary", True)
+
+
+def test_model_is_kept_by_version_and_guards_its_training_days(spark):
+    from marketgrid.operators import models, scoring
+    from marketgrid.sources.stores import shared
+
+    sf, at = "/root/testdata/sf0.01", shared(spark)
+    rows = models.samples(spark, sf)
+    one = scoring.fit(rows, "a", dt.date(1998, 1, 1))
+    other = scoring.Model("b", dt.date(1999, 1, 1), 2.0, {k: {f: k + 1.0 for f in (*models.FEATURES, "")} for k in range(3)})
+    assert scoring.save(spark, one, at) and scoring.save(spark, other, at) and not scoring.save(spark, other, at)
+    assert scoring.load(spark, at, "a") == one and scoring.load(spark, at) == other
+    with pytest.raises(LookupError):
+        scoring.load(spark, at, "c")
+    inputs = scoring.features(spark, sf).filter("symbol < 3")
+    for r in scoring.score(inputs, one).collect():
+        x = [r[f] for f in models.FEATURES]
+        want = "in_training" if r.date <= one.trained_until else "missing" if None in x else "scored"
+        assert r.status == want and (r.score is None) == (want != "scored")
+        if want == "scored":
+            z = np.array([sum(one.weights[k][f] * v for f, v in zip(models.FEATURES, x)) + one.weights[k][""] for k in range(3)]) / one.temperature
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            assert np.allclose([r.p0, r.p1, r.p2], p, atol=1e-6) and math.isclose(r.score, 100 * (p[2] + p[1] / 2), abs_tol=1e-3)
+    # Later bars don't change what training by an earlier day gives.
+    assert scoring.fit(rows.filter("date < '1998-06-01'"), "a", dt.date(1998, 1, 1)) == one
