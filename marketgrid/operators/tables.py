@@ -1,4 +1,4 @@
-"""Whole-table measures without a single task for all rows: global ranks (A22), fingerprints (A38), and costs by liquidity."""
+"""Whole-table measures without a single task for all rows: class metrics (A20), global ranks (A22), fingerprints (A38), costs by liquidity."""
 
 from __future__ import annotations
 
@@ -79,6 +79,37 @@ def a38_table_fingerprint(spark, sf_dir):
     return fingerprint(day_digests(bars_daily(spark, sf_dir)))
 
 
+def class_metrics(rows: DataFrame, by: str, label: str, p: list[str], priors: DataFrame) -> DataFrame:
+    """Loss, Brier score and accuracy of class probabilities by part, with the loss of always naming the training shares.
+
+    ``priors`` has one row with the shares ``s0``, ``s1``, ...; the first of equal probabilities is the class named.
+    """
+    own = F.get(F.array(*p), F.col(label))
+    named = F.array_position(F.array(*p), F.greatest(*p)) - 1
+    brier = sum((F.pow(F.col(x) - (F.col(label) == k).cast("double"), 2) for k, x in enumerate(p)), F.lit(0.0))
+    base = F.get(F.array(*(f"s{k}" for k in range(len(p)))), F.col(label))
+    loss = lambda x: F.avg(-F.ln(F.greatest(x, F.lit(1e-12))))
+    per = rows.crossJoin(F.broadcast(priors)).groupBy(by).agg(  # one row
+        F.count("*").alias("n"), loss(own).alias("log_loss"), F.avg(brier).alias("brier"), F.avg((named == F.col(label)).cast("double")).alias("accuracy"), loss(base).alias("prior_loss"),
+        *(F.count_if(F.col(label) == k).alias(f"n{k}") for k in range(len(p))),
+    )
+    return per.withColumn("skill", 1 - F.col("log_loss") / F.col("prior_loss"))
+
+
+def a20_class_metrics(spark, sf_dir, train_until: str = "1998-01-01"):
+    """Three classes of the return over the next five bars against the batch score's probabilities, by year after training, with the training shares as baseline."""
+    by = Window.partitionBy("symbol").orderBy("date")
+    ahead, z = F.lead("close", 5).over(by) / F.col("close") - 1, F.round(F.col("close") / F.col("open") - 1, 6) * 5
+    odds = [F.exp(x / 1.5) for x in (F.least(z, F.lit(20.0)), F.lit(0.2), F.greatest(-z, F.lit(-20.0)))]
+    total = odds[0] + odds[1] + odds[2]
+    klass = F.when(ahead > 0.03, 2).when(ahead < -0.03, 0).when(ahead.isNotNull(), 1)
+    rows = bars_daily(spark, sf_dir).select(F.col("date"), klass.alias("klass"), *((odds[k] / total).alias(f"p{k}") for k in range(3))).filter("klass IS NOT NULL")
+    early = F.col("date") < F.lit(train_until).cast("date")
+    shares = rows.filter(early).agg(*(F.avg((F.col("klass") == k).cast("double")).alias(f"s{k}") for k in range(3)))
+    found = class_metrics(rows.filter(~early).withColumn("year", F.year("date")), "year", "klass", ["p0", "p1", "p2"], shares)
+    return found.select("year", "n", "n0", "n1", "n2", *(F.round(x, 6).alias(x) for x in ("log_loss", "brier", "accuracy", "prior_loss", "skill")))
+
+
 #: The supplied amounts are thousandths of those that the cost tiers are for.
 THOUSAND = 1000.0
 
@@ -99,6 +130,14 @@ _RATE = "CASE WHEN m IS NULL OR m <= 0 THEN 0.0025::DOUBLE " + " ".join(f"WHEN m
 _FEE = f"greatest(notional * {C.COMMISSION}::DOUBLE, {C.MIN_COMMISSION}) + CASE WHEN side = 'SELL' THEN notional * {C.SELL_TAX}::DOUBLE ELSE 0 END"
 _LEAF = "sha256(concat_ws('|', symbol, date, CAST(floor(close * 100) AS BIGINT), CAST(floor(volume * 100) AS BIGINT), CAST(floor(amount * 100) AS BIGINT), verified))"
 ORACLE = {
+    "a20_class_metrics": sql.with_(sql.BARS)[:-1] + """, z AS (SELECT date, lead(close, 5) OVER (PARTITION BY symbol ORDER BY date) / close - 1 AS ahead, round(close / open - 1, 6) * 5 AS z FROM bars),
+o AS (SELECT date, CASE WHEN ahead > 0.03::DOUBLE THEN 2 WHEN ahead < -0.03::DOUBLE THEN 0 ELSE 1 END AS klass, exp(least(z, 20.0) / 1.5) AS a, exp(0.2::DOUBLE / 1.5) AS b, exp(greatest(-z, -20.0) / 1.5) AS c FROM z WHERE ahead IS NOT NULL),
+p AS (SELECT date, klass, a / (a + b + c) AS p0, b / (a + b + c) AS p1, c / (a + b + c) AS p2 FROM o),
+s AS (SELECT avg(CAST(klass = 0 AS INT)) AS s0, avg(CAST(klass = 1 AS INT)) AS s1, avg(CAST(klass = 2 AS INT)) AS s2 FROM p WHERE date < DATE '1998-01-01'),
+m AS (SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS n, count(*) FILTER (klass = 0) AS n0, count(*) FILTER (klass = 1) AS n1, count(*) FILTER (klass = 2) AS n2, avg(-ln(greatest([p0, p1, p2][klass + 1], 1e-12))) AS ll,
+  avg((p0 - CAST(klass = 0 AS INT)) ** 2 + (p1 - CAST(klass = 1 AS INT)) ** 2 + (p2 - CAST(klass = 2 AS INT)) ** 2) AS br, avg(CAST(list_position([p0, p1, p2], greatest(p0, p1, p2)) - 1 = klass AS INT)) AS ac, avg(-ln([s0, s1, s2][klass + 1])) AS pl
+  FROM p, s WHERE date >= DATE '1998-01-01' GROUP BY 1)
+SELECT year, n, n0, n1, n2, round(ll, 6) AS log_loss, round(br, 6) AS brier, round(ac, 6) AS accuracy, round(pl, 6) AS prior_loss, round(1 - ll / pl, 6) AS skill FROM m""",
     "a22_auc_fine": "WITH s AS (SELECT n_chars + doc_id / 1e9 AS score, quality FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL), r AS (SELECT quality, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM s)"
     " SELECT count(*) AS n, CAST(sum(quality) AS BIGINT) AS p, round((sum(r) FILTER (quality = 1) - sum(quality) * (sum(quality) + 1) / 2.0) / (sum(quality) * (count(*) - sum(quality))), 6) AS auc FROM r",
     "a38_table_fingerprint": sql.with_(sql.BARS)[:-1] + f", d AS (SELECT date, count(*) AS n, sha256(string_agg({_LEAF}, '' ORDER BY symbol)) AS digest FROM bars GROUP BY date), m AS (SELECT strftime(date, '%Y-%m') AS part, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(digest, '' ORDER BY date)) AS digest FROM d GROUP BY 1)"

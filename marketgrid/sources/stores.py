@@ -171,6 +171,39 @@ def s06_minute_range(spark, sf_dir, start: str = "10:00:00", stop: str = "14:30:
     return rows.groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"), F.min_by("value", order).alias("first_value"), F.max_by("value", order).alias("last_value"))
 
 
+#: Minutes of the periods that the minute store keeps.
+MINUTE_PERIODS = (1, 5, 60)
+
+
+def minute_bars(spark, sf_dir) -> DataFrame:
+    """Bars of users' events by period, in time order."""
+    order = F.struct("available_at", "event_id")
+    rows = signals(spark, sf_dir).select("symbol", "available_at", "event_id", "value", F.explode(F.array(*map(F.lit, MINUTE_PERIODS))).alias("minutes"))
+    start = F.timestamp_seconds(F.floor(F.unix_timestamp("available_at") / (F.col("minutes") * 60)) * F.col("minutes") * 60).cast("timestamp_ntz")
+    bars = rows.groupBy(F.col("symbol").alias("code"), F.col("minutes").cast("string").alias("period"), start.alias("at"))
+    return bars.agg(F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", order).alias("close"), F.max("event_id").alias("last_event"))
+
+
+def minute_slice(spark, path: str, schema, period: str, start: str, stop: str) -> DataFrame:
+    """Rows of a period of the store between two times, both included, and whether each code's rows reach over the whole range (``covers``)."""
+    low, high = (F.to_timestamp_ntz(F.lit(x)) for x in (start, stop))
+    rows = read_table(spark, path, schema, "period", [period])
+    reach = rows.groupBy("code").agg(((F.min("at") <= low) & (F.max("at") >= high)).alias("covers"))
+    return rows.filter((F.col("at") >= low) & (F.col("at") <= high)).join(reach, "code")
+
+
+def s06_minute_store(spark, sf_dir, start: str = "2024-01-05 00:00:00", stop: str = "2024-01-20 00:00:00"):
+    """The minute store by code and period: bars merged in two overlapping parts, then a range of each period by code."""
+    at, bars = shared(spark), minute_bars(spark, sf_dir)
+    for part in (bars.filter("dayofmonth(at) <= 15"), bars.filter("dayofmonth(at) >= 10")):
+        upsert(spark, part, at, ["code", "period", "at"], "last_event", "period", moves=False)
+    slices = [minute_slice(spark, at, bars.schema, str(p), start, stop) for p in MINUTE_PERIODS]
+    found = slices[0]
+    for more in slices[1:]:
+        found = found.unionByName(more)
+    return found.groupBy("code", "period", "covers").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"), F.max("high").alias("high"), F.max_by("close", "at").alias("close"))
+
+
 def s14_projection(spark, sf_dir):
     props = F.from_json("props", "k long")
     return table(spark, sf_dir, "events").select("event_id", "event_type", props["k"].alias("k"), F.get_json_object("props", "$.k").alias("k_text"))
@@ -197,6 +230,9 @@ ORACLE = {
     "s03_market_window": "SELECT CAST(l_shipdate AS DATE) AS date, count(DISTINCT l_suppkey) AS symbols, count(*) FILTER (l_quantity > 0 AND l_extendedprice > 0) AS valid FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1997-04-01' GROUP BY 1",
     "s04_scan_as_of": "BARS:, s AS (SELECT *, CAST(date AS TIMESTAMP) + INTERVAL 15 HOURS <= TIMESTAMP '1998-06-01 12:00:00' AS seen FROM bars) SELECT symbol, max(date) FILTER (seen) AS last, count(*) FILTER (seen) AS n, count(*) FILTER (NOT seen) AS not_yet_visible, count(*) FILTER (seen AND verified = 0) AS unverified FROM s GROUP BY symbol",
     "s06_minute_range": "SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n, arg_min(value, (ts, event_id)) AS first_value, arg_max(value, (ts, event_id)) AS last_value FROM events WHERE strftime(ts, '%H:%M:%S') >= '10:00:00' AND strftime(ts, '%H:%M:%S') < '14:30:00' GROUP BY user_id",
+    "s06_minute_store": """WITH b AS (SELECT user_id AS code, CAST(m AS VARCHAR) AS period, time_bucket(to_minutes(CAST(m AS INTEGER)), ts) AS t, max(value) AS high, arg_max(value, (ts, event_id)) AS close FROM events, (VALUES (1), (5), (60)) p(m) GROUP BY 1, 2, 3),
+r AS (SELECT code, period, min(t) <= TIMESTAMP '2024-01-05' AND max(t) >= TIMESTAMP '2024-01-20' AS covers FROM b GROUP BY 1, 2)
+SELECT code, period, covers, count(*) AS n, min(t) AS first, max(t) AS last, max(high) AS high, arg_max(close, t) AS close FROM b JOIN r USING (code, period) WHERE t BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' GROUP BY ALL""",
     "s14_projection": "SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') AS k_text FROM events",
     "s15_latest_status": "SELECT account, n FROM (SELECT o_custkey AS account, arg_max(CASE WHEN o_orderstatus = 'F' THEN 'SELL' ELSE 'BUY' END, (CAST(o_orderdate AS DATE), o_orderkey)) AS status, count(*) AS n FROM orders GROUP BY 1) WHERE status = 'SELL'",
 }
