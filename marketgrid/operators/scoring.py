@@ -17,7 +17,10 @@ from ..sources.versioned import manifest, read_table, upsert
 from .models import FEATURES, LIMITS, STAGES, log_loss, samples
 from .models import _probabilities as probabilities
 
-ROWS = T.StructType.fromDDL("version string, trained_until date, temperature double, klass int, feature string, weight double")
+ROWS = T.StructType([
+    T.StructField("version", T.StringType()), T.StructField("trained_until", T.DateType()), T.StructField("temperature", T.DoubleType()),
+    T.StructField("klass", T.IntegerType()), T.StructField("feature", T.StringType()), T.StructField("weight", T.DoubleType()),
+])
 #: Name of the constant among a class's weights; temperatures that are tried; days that a label looks ahead.
 CONSTANT, TEMPERATURES, HORIZON_DAYS = "", (0.5, 0.7, 1.0, 1.4, 2.0, 2.8), 5
 
