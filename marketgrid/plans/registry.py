@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import accounts, actions, boards, cleaning, episodes, events, evidence, models, more, scoring, tables, targets, trailing
+from ..operators import accounts, actions, boards, cleaning, episodes, events, evidence, gates, models, more, scoring, tables, targets, trailing
 from ..sources import stores
 from ..streaming import jobs
 from . import sql
@@ -10,7 +10,7 @@ from . import sql
 FLAGSHIP = "entry_board_ranking"
 QUERIES = {name: plan.frame for name, plan in trailing.PLANS.items()}
 ORACLE_SQL = {name: plan.oracle() for name, plan in trailing.PLANS.items()}
-for _module in (boards, cleaning, evidence, accounts, actions, episodes, more, models, scoring, tables, targets, stores):
+for _module in (boards, cleaning, evidence, accounts, actions, episodes, gates, more, models, scoring, tables, targets, stores):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE
 QUERIES |= events.QUERIES | jobs.QUERIES
