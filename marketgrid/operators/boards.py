@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import full, prior, ratio
 from ..plans import sql
-from ..sources.tables import bars_daily, concepts_of, industry_of, trades
+from ..sources.tables import bars_daily, bars_from_trades, concepts_of, industry_of, trades
 
 MIN_MEMBERS, TOP = 2, 30
 
@@ -157,19 +157,25 @@ def w30_peer_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOOKBACK = 41
 
 
-def _recent(spark: SparkSession, sf_dir: str, sessions: int = LOOKBACK) -> DataFrame:
-    """Board rows of the last ``sessions`` sessions; bars are cut to them before they multiply by their boards."""
-    days = trades(spark, sf_dir).select("date").distinct().orderBy(F.desc("date")).limit(sessions).agg(F.min("date").alias("since"))
-    rows = daily(spark, sf_dir).crossJoin(F.broadcast(days)).filter("date >= since").drop("since")  # one row
-    return board_daily(rows, members(spark, sf_dir))
+def _last_days(spark: SparkSession, sf_dir: str, sessions: int) -> tuple[Column, Column]:
+    """The first and the last of the last ``sessions`` sessions, as constants: one pass over a column, and frames that need them are not worked out twice."""
+    last = trades(spark, sf_dir).select("date").distinct().orderBy(F.desc("date")).limit(sessions).agg(F.min("date"), F.max("date")).first()
+    return tuple(F.lit(x).cast("date") for x in last)
 
 
-def _latest(frame: DataFrame) -> DataFrame:
-    return frame.join(F.broadcast(frame.agg(F.max("date").alias("date"))), "date")  # one row
+def _recent(spark: SparkSession, sf_dir: str, sessions: int = LOOKBACK) -> tuple[DataFrame, Column]:
+    """Board rows of the last ``sessions`` sessions, and the last one.
+
+    Bars are cut to them before they multiply by their boards; their own metrics look back over a symbol's
+    bars, however far apart those are, and so over the whole table.
+    """
+    since, last = _last_days(spark, sf_dir, sessions)
+    return board_daily(daily(spark, sf_dir).filter(F.col("date") >= since), members(spark, sf_dir)), last
 
 
 def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = _latest(_windows(_recent(spark, sf_dir)).drop("path"))
+    recent, day = _recent(spark, sf_dir)
+    last = _windows(recent).drop("path").filter(F.col("date") == day)
     active = last.filter("relative_amount20 IS NOT NULL AND mean_return IS NOT NULL")
     # Rounded, so that boards with the same members tie however their sums were ordered.
     active = active.withColumn("move", F.round(F.abs("mean_return"), 8)).withColumn("relative_amount20", F.round("relative_amount20", 8))
@@ -194,7 +200,7 @@ def w31_board_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def k03_top_capital(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("kind").orderBy(F.desc("amount"), "board")
-    last = _latest(_recent(spark, sf_dir, 1)).select("kind", "board", F.round("amount", 2).alias("amount"))
+    last = _recent(spark, sf_dir, 1)[0].select("kind", "board", F.round("amount", 2).alias("amount"))
     return last.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= TOP)
 
 
@@ -209,7 +215,7 @@ def a13_capital_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a11_concept_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean daily return of the concept boards that a symbol belongs to, on the latest session."""
-    last = _latest(_recent(spark, sf_dir, 1)).filter("kind = 'concept'").select("board", "mean_return")
+    last = _recent(spark, sf_dir, 1)[0].filter("kind = 'concept'").select("board", "mean_return")
     return concepts_of(spark, sf_dir).join(last, "board", "left").groupBy("symbol").agg(
         F.count("*").alias("n_concepts"), F.count("mean_return").alias("known"),
         F.round(F.avg("mean_return"), 6).alias("concept_return"),
@@ -218,8 +224,9 @@ def a11_concept_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j09_board_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of each board with their last bar; absent ones are labelled."""
-    last = _latest(bars_daily(spark, sf_dir)).select("symbol", "close")
+    """Members of each board with their bar of the last session, of which only the lines are read; absent ones are labelled."""
+    day = _last_days(spark, sf_dir, 1)[1]
+    last = bars_from_trades(trades(spark, sf_dir).filter(F.col("date") == day)).select("symbol", "close")
     return members(spark, sf_dir).join(last, "symbol", "left").select(
         "kind", "board", "symbol", F.when(F.col("close").isNull(), "not_in_scan").otherwise("scanned").alias("status"), "close"
     )
