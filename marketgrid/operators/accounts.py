@@ -408,6 +408,8 @@ def w41_group_split(spark, sf_dir):
 
 #: Weights are whole hundredths of a share, as volumes have two decimals.
 SHARE_PARTS = 100
+#: What is added before prices are rounded, so that halves go up in either engine.
+HALF = 1e-9
 
 
 def _profiles(spark, sf_dir, ddl: str, of, window: int = 120):
@@ -432,7 +434,7 @@ def w16_weighted_quantiles(spark, sf_dir):
     """Volume-weighted quantiles of typical prices over 120 bars, at every bar from the 120th on."""
 
     def quantiles(ordered, held):
-        return [tuple(round(float(ordered[held.at(q)]), 6) for q in (0.15, 0.5, 0.85))]
+        return [tuple(round(float(ordered[held.at(q)]) + HALF, 6) for q in (0.15, 0.5, 0.85))]
 
     return _profiles(spark, sf_dir, "symbol long, as_of date, low double, mid double, high double", quantiles)
 
@@ -459,7 +461,7 @@ def w17_volume_histogram(spark, sf_dir, bins: int = 32):
 
     def histogram(ordered, held):
         low, high, volume = _bins(ordered, held, bins)
-        return [(round(low, 6), round(high, 6), ",".join(str(round(x)) for x in volume.tolist()))]
+        return [(round(low + HALF, 6), round(high + HALF, 6), ",".join(str(round(x)) for x in volume.tolist()))]
 
     return _profiles(spark, sf_dir, "symbol long, as_of date, low double, high double, volumes string", histogram)
 
@@ -562,11 +564,11 @@ s AS (SELECT avg(c) AS mean, stddev_pop(c) AS sd FROM c WHERE train) SELECT o_or
     "w39_folds": _B + ", q AS (SELECT DISTINCT CAST(date_trunc('quarter', date) AS DATE) AS q FROM bars) SELECT q, count(*) FILTER (date < q - INTERVAL 20 DAYS) AS train, count(*) FILTER (date >= q) AS test FROM q JOIN bars ON date < q + INTERVAL 3 MONTHS GROUP BY q",
     "w41_group_split": _F + "SELECT part, count(*) AS accounts, CAST(sum(n) AS BIGINT) AS fills FROM (SELECT CASE WHEN min(date) < DATE '1993-01-01' THEN 'train' WHEN min(date) < DATE '1994-01-01' THEN 'tune' ELSE 'test' END AS part, count(*) AS n FROM fills GROUP BY account) GROUP BY part",
     "w16_weighted_quantiles": _B[:-1] + _W120 + """, c AS (SELECT *, sum(volume) OVER (PARTITION BY symbol, as_of ORDER BY price, i ROWS UNBOUNDED PRECEDING) AS c, sum(volume) OVER (PARTITION BY symbol, as_of) AS t FROM w)
-SELECT symbol, as_of, round(min(price) FILTER (c >= t * 0.15), 6) AS low, round(min(price) FILTER (c >= t * 0.5), 6) AS mid, round(min(price) FILTER (c >= t * 0.85), 6) AS high FROM c GROUP BY symbol, as_of""",
+SELECT symbol, as_of, round(min(price) FILTER (c >= t * 0.15) + 1e-9, 6) AS low, round(min(price) FILTER (c >= t * 0.5) + 1e-9, 6) AS mid, round(min(price) FILTER (c >= t * 0.85) + 1e-9, 6) AS high FROM c GROUP BY symbol, as_of""",
     "w17_volume_histogram": _B[:-1] + _W120 + """, e AS (SELECT symbol, as_of, min(price) AS lo, max(price) AS hi FROM w GROUP BY symbol, as_of),
 b AS (SELECT symbol, as_of, CAST(least(floor((price - lo) / (hi - lo) * 32), 31) AS INTEGER) AS bin, CAST(sum(volume) AS BIGINT) AS v FROM w JOIN e USING (symbol, as_of) GROUP BY 1, 2, 3),
 l AS (SELECT symbol, as_of, map(list(bin), list(v)) AS m FROM b GROUP BY 1, 2)
-SELECT symbol, as_of, round(lo, 6) AS low, round(hi, 6) AS high, list_aggregate(list_transform(range(32), lambda k: coalesce(CAST(m[k] AS VARCHAR), '0')), 'string_agg', ',') AS volumes FROM e JOIN l USING (symbol, as_of)""",
+SELECT symbol, as_of, round(lo + 1e-9, 6) AS low, round(hi + 1e-9, 6) AS high, list_aggregate(list_transform(range(32), lambda k: coalesce(CAST(m[k] AS VARCHAR), '0')), 'string_agg', ',') AS volumes FROM e JOIN l USING (symbol, as_of)""",
     "w11_robust_volume": _B + """, n AS (SELECT symbol, date, volume, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, quantile_cont(volume, 0.5) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS mid FROM bars)
 SELECT a.symbol, a.date, round((any_value(a.volume) - any_value(a.mid)) / greatest(1.4826 * quantile_cont(abs(b.volume - a.mid), 0.5), 1.0), 6) AS robust
 FROM n a JOIN n b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 60 AND a.i - 1 WHERE a.i > 60 GROUP BY a.symbol, a.date""",

@@ -57,5 +57,9 @@ class Staged:
         return text
 
 
+#: What is added before rounding, so that halves go up in either engine.
+HALF = "1e-9"
+
+
 def rounded(names: list[str], digits: int = 6) -> dict[str, str]:
-    return {name: f"round({name}, {digits})" for name in names}
+    return {name: f"round({name} + {HALF}, {digits})" for name in names}

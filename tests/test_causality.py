@@ -55,13 +55,14 @@ def test_stream_equals_batch(spark):
 
 
 def test_upsert_later_write_wins(spark, tmp_path):
-    from marketgrid.sources.stores import import_snapshot, upsert
+    from marketgrid.sources.stores import import_snapshot
+    from marketgrid.sources.versioned import read_table, upsert
 
     at = f"file://{tmp_path}/t"
     first = spark.createDataFrame([(1, 1.0, "a"), (2, 1.0, "b")], "k long, v double, p string")
     upsert(spark, first, at, ["k"], "v", "p")
     upsert(spark, spark.createDataFrame([(1, 0.5, "a"), (3, 9.0, "a")], first.schema), at, ["k"], "v", "p")
-    assert sorted((r.k, r.v) for r in spark.read.parquet(at).collect()) == [(1, 0.5), (2, 1.0), (3, 9.0)]
+    assert sorted((r.k, r.v) for r in read_table(spark, at, first.schema, "p").collect()) == [(1, 0.5), (2, 1.0), (3, 9.0)]
     for _ in range(2):
         import_snapshot(spark, first, f"{at}-s", ["k", "p"])
     assert spark.read.parquet(f"{at}-s").count() == 2
