@@ -194,6 +194,7 @@ PLANS: dict[str, Staged] = {
         ["sma20", "upper", "lower", "direction"],
         {"sma20": full("avg", "close", 20), "sd20": full("stddev_pop", "close", 20)},
         {"upper": "sma20 + 2 * sd20", "lower": "sma20 - 2 * sd20", "direction": f"sign(sma20 - {prior('sma20')})"},
+        digits=4,
     ),
     "w19_supplementary": bars(
         ["ret_10", "ret_60", "high_distance", "low_distance", "vol_std20", "body_mean5", "up_share20"],
