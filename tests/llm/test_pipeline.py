@@ -153,4 +153,4 @@ def test_stages_on_odd_tables(spark):
 
 
 def test_queries_cover_all_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
