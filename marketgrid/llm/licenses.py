@@ -360,7 +360,8 @@ def sentences_of(text: str):
         at += len(line) + 1
 
 
-_PARAGRAPH = re.compile(r"[^\n]+(?:\n(?![^\S\n]*\n)[^\n]+)+")
+#: Lines in a row; anchored at a line's start and without stepping back, so every character is read once.
+_PARAGRAPH = re.compile(r"^(?![^\S\n]*+$)[^\n]++(?:\n(?![^\S\n]*+\n)[^\n]++)+", re.M)
 
 
 def wrapped(text: str):
