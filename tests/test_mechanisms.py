@@ -102,6 +102,24 @@ def test_sliding_profiles_equal_fresh_ones(window):
             assert np.array_equal(volume, np.bincount(at, w, 32) / accounts.SHARE_PARTS)
 
 
+@pytest.mark.parametrize("window", [1, 5, 120])
+def test_blocks_of_windows_equal_the_sliding_ones(window):
+    rng = np.random.default_rng(window)
+    prices, weights = rng.integers(1, 40, 400) / 7, rng.integers(0, 5, 400)
+    weights[100:100 + window + 20] = 0
+    want = {k: ([ordered[held.at(q)] for q in (0.15, 0.5, 0.85)], *accounts._bins(ordered, held, 32)) for k, ordered, held in sliding.profiles(prices, weights, window)}
+    got = {k: list(x) for at, own in sliding.block_quantiles(prices, weights, window, (0.15, 0.5, 0.85)) for k, *x in zip(at.tolist(), *own, strict=True)}
+    assert got == {k: x[0] for k, x in want.items()}
+    seen = set()
+    for at, low, high, volume in sliding.block_histograms(prices, weights, window, 32):
+        assert len(at) <= sliding.BLOCK
+        for k, a, b, v in zip(at.tolist(), low, high, volume, strict=True):
+            seen.add(k)
+            assert (a, b) == want[k][1:3] and np.array_equal(v / accounts.SHARE_PARTS, want[k][3])
+    assert seen == set(want)
+    assert sliding.whole_weights(np.array([1.25, np.nan, -3.0]), 100).tolist() == [125, 0, 0]
+
+
 def test_newest_as_of_where_late_rows_do_not_win(spark):
     rows = [("a", 1, day(3), day(9)), ("a", 2, day(5), day(5)), ("a", 3, day(4), day(20)), ("b", 4, day(1), day(1))]
     asked = [("a", day(k)) for k in (4, 5, 9, 20)] + [("b", day(0)), ("b", day(1)), ("c", day(9))]
