@@ -7,6 +7,12 @@ sorts the bars once.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
 from ..functions.windows import BY_SYMBOL, ahead, frame, full, later, prior, ratio
 from ..plans import sql
 from ..plans.staged import Staged, rounded
@@ -17,9 +23,11 @@ KEY = {"symbol": "symbol", "date": "date"}
 
 def bars(select: list[str], *stages: dict[str, str], digits: int = 6, where: str | None = None, plain: tuple[str, ...] = ()) -> Staged:
     """A query on daily bars that returns the key, rounded ``select`` columns and ``plain`` ones."""
+    ready = ranged if stages[: len(RANGE_STAGES)] == RANGE_STAGES else None
     return Staged(
-        bars_daily, (sql.BARS,), "bars", KEY | rounded(select, digits) | {p: p for p in plain}, stages, where
-    )
+        bars_daily, (sql.BARS,), "bars", KEY | rounded(select, digits) | {p: p for p in plain}, stages, where,
+        ready=ready, ready_stages=len(RANGE_STAGES) if ready else 0,
+    )
 
 
 RETURNS = {f"ret_{n}": f"{ratio('close', prior('close', n))} - 1" for n in (1, 5, 20)}
@@ -71,6 +79,59 @@ BAR_SHAPE = {
     "up_probe": "CASE WHEN high60 IS NOT NULL THEN greatest(high - high60, 0) / atr END",
 }
 RANGE_STAGES = (PREVIOUS, TRUE_RANGE, ATR_PRIOR | PRIOR_RANGE, WIDTH)
+#: What :func:`ranged` adds: the columns of ``RANGE_STAGES``, and how many highs the prior range knows.
+RANGED = (
+    "prev_close double, true_range double, atr double, high60 double, low60 double, high20 double, low20 double, mean20 double, amount20 double,"
+    " up_volume double, down_volume double, up_day int, down_day int, vol5 double, vol5_before double, width double, up20 double, down20 double,"
+    " up_days long, down_days long, range_count int"
+)
+
+
+def _slid(x: np.ndarray, of: np.ufunc, n: int, lag: int = 0, least: int | None = None) -> np.ndarray:
+    """``of`` over the known ones of the last ``n`` values that end ``lag`` rows back, from the oldest to the newest; not a number below ``least`` (all) of them."""
+    rows, known = len(x), ~np.isnan(x)
+    past = np.r_[np.full(n - 1 + lag, np.nan), x][: rows + n - 1]
+    seen = np.r_[np.zeros(n + lag, np.int64), np.cumsum(known)]
+    count = seen[n : n + rows] - seen[:rows]
+    out = np.full(rows, 0.0 if of is np.add else np.nan)
+    for k in range(n):
+        step = past[k : k + rows]
+        out = out + np.where(np.isnan(step), 0.0, step) if of is np.add else of(out, step)
+    return np.where(count >= (n if least is None else least), out, np.nan)
+
+
+def range_columns(high: np.ndarray, low: np.ndarray, close: np.ndarray, volume: np.ndarray, amount: np.ndarray) -> dict[str, np.ndarray]:
+    """``RANGE_STAGES`` of a symbol's bars in date order, frame by frame for all bars at once; nulls are not numbers."""
+    mean = lambda x, n, lag=0: _slid(x, np.add, n, lag) / n
+    some = lambda x: np.where(x == 0, np.nan, x)
+    before = np.r_[np.nan, close[:-1]]
+    true_range = np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before)))
+    up, down = close > before, close < before
+    found = {
+        "prev_close": before, "true_range": true_range, "atr": some(mean(true_range, 14, 1)),
+        "high60": _slid(high, np.fmax, 60, 1, 40), "low60": _slid(low, np.fmin, 60, 1, 40), "high20": _slid(high, np.fmax, 20, 1), "low20": _slid(low, np.fmin, 20, 1),
+        "mean20": some(mean(volume, 20, 1)), "amount20": some(mean(amount, 20, 1)), "up_volume": np.where(up, volume, 0.0), "down_volume": np.where(down, volume, 0.0),
+        "up_day": up.astype(float), "down_day": down.astype(float), "vol5": mean(volume, 5), "vol5_before": mean(volume, 5, 5),
+    }
+    found["width"] = some(found["high60"] - found["low60"])
+    found |= {name: _slid(found[x], np.add, 20, 1) for name, x in (("up20", "up_volume"), ("down20", "down_volume"), ("up_days", "up_day"), ("down_days", "down_day"))}
+    return found | {"range_count": _slid((~np.isnan(high)).astype(float), np.add, 60, 1, 0)}
+
+
+def ranged(bars: DataFrame) -> DataFrame:
+    """Bars with the columns of ``RANGE_STAGES``, each frame once over a symbol's bars, some thousands, in place of once for each bar."""
+    schema = T.StructType([*bars.schema, *T.StructType.fromDDL(RANGED)])
+    kinds, given, added = to_arrow_schema(schema), bars.columns, [x.split()[0] for x in RANGED.split(", ")]
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("date")
+        found = range_columns(*(rows[c].to_numpy().astype(float) for c in ("high", "low", "close", "volume", "amount")))
+        columns = [pa.array(found[x], from_pandas=True).cast(kinds.field(x).type) for x in added]
+        return pa.Table.from_arrays([rows[c].combine_chunks() for c in given] + columns, schema=kinds)
+
+    return bars.groupBy("symbol").applyInArrow(run, schema)
+
+
 VALID_RANGE = {"in_range": "CASE WHEN width / atr <= 20 AND prev_close >= low60 AND prev_close <= high60 THEN 1 ELSE 0 END"}
 BAD = {"bad": "CASE WHEN verified = 1 AND volume > 0 AND high >= low AND close > 0 THEN 0 ELSE 1 END"}
 def clamp(x: str, low: str = "0", high: str = "1") -> str:

@@ -29,10 +29,15 @@ class Staged:
     where: str | None = None
     group: tuple[str, ...] = ()
     extra: dict[str, Source] = field(default_factory=dict)
+    #: Adds the columns of the first ``ready_stages`` stages at less cost than their windows.
+    ready: Callable[[DataFrame], DataFrame] | None = None
+    ready_stages: int = 0
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         out = self.source(spark, sf_dir)
-        for stage in self.stages:
+        if self.ready:
+            out = self.ready(out)
+        for stage in self.stages[self.ready_stages :]:
             out = out.selectExpr("*", *(f"{e} AS {name}" for name, e in stage.items()))
         if self.where:
             out = out.filter(self.where)

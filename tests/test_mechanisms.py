@@ -215,3 +215,21 @@ def test_model_is_kept_by_version_and_guards_its_training_days(spark):
             assert np.allclose([r.p0, r.p1, r.p2], p, atol=1e-6) and math.isclose(r.score, 100 * (p[2] + p[1] / 2), abs_tol=1e-3)
     # Later bars don't change what training by an earlier day gives.
     assert scoring.fit(rows.filter("date < '1998-06-01'"), "a", dt.date(1998, 1, 1)) == one
+
+
+def test_range_columns_equal_their_windows(spark):
+    """The kernel gives what the stages' SQL gives, bit for bit, also where values are missing and symbols are short; it adds no window."""
+    from marketgrid.operators import trailing
+
+    rng = random.Random(5)
+    maybe = lambda x: None if rng.random() < 0.03 else x
+    rows = [(s, day(k), *(maybe(round(rng.uniform(9, 12), 3)) for _ in range(3)), maybe(float(rng.randrange(4))), maybe(rng.uniform(0, 9))) for s, n in ((1, 200), (2, 3), (3, 61)) for k in range(n)]
+    bars = spark.createDataFrame(rows, "symbol long, date date, high double, low double, close double, volume double, amount double")
+    want = bars
+    for stage in trailing.RANGE_STAGES:
+        want = want.selectExpr("*", *(f"{e} AS {name}" for name, e in stage.items()))
+    want = want.selectExpr("*", f"CAST(count(high) {trailing.frame(60, 1)} AS int) AS range_count")
+    got = trailing.ranged(bars)
+    assert got.columns == want.columns and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == sorted(map(tuple, want.collect()), key=lambda r: r[:2])
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
