@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans import sql
 from ..sources.tables import bars_daily
@@ -39,9 +43,12 @@ def gate(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
     by = Window.partitionBy("symbol").orderBy("date")
     edge, ahead = F.col("up") - F.col("down"), F.lead("close").over(by) - F.col("close")
     rows = rows.withColumn("hit", F.when(F.abs(edge) > policy.wait_band, (F.signum(edge) == F.signum(ahead)).cast("int")))
-    past = by.rowsBetween(-policy.gate_bars, -1)
-    enough = (F.count("hit").over(past) >= policy.gate_least) & (F.sum("hit").over(past) >= policy.gate_rate * F.count("hit").over(past))
-    return rows.withColumn("passed", enough).drop("hit")
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"known": F.count("hit").over(so_far), "right": F.coalesce(F.sum("hit").over(so_far), F.lit(0))})
+    # Whole counts of the last bars are the difference of two counts from the start.
+    last = lambda x: F.coalesce(F.lag(x).over(by), F.lit(0)) - F.coalesce(F.lag(x, policy.gate_bars + 1).over(by), F.lit(0))
+    enough = (last("known") >= policy.gate_least) & (last("right") >= policy.gate_rate * last("known"))
+    return rows.withColumn("passed", enough).drop("hit", "known", "right")
 
 
 def asked(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -54,42 +61,51 @@ def asked(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
     return rows.withColumns({"mode": mode, "ceiling": F.floor(whole(cap) / PARTS).cast("int"), "wish": whole(cap * share)})
 
 
-def _next(held: Column, bar: Column, policy: Policy) -> Column:
-    """Level and frozen stop after a bar.
+def levels(bars: Iterable[tuple], policy: Policy = Policy()) -> Iterator[tuple]:
+    """Level, frozen stop and reason after each bar (close, mode, ceiling, wish, stop) of a symbol in order.
 
     A close under the frozen stop ends the position.  Without inputs the level stays; without the gate,
     or in the wait band, it may only fall to the ceiling; else it goes to the nearest step, if the
     wish is more than half a step and the hysteresis away.  The stop only rises while a level is held.
     """
     away = round((0.5 + policy.hysteresis / policy.step) * PARTS)
-    level, mode = held["level"], bar["mode"]
-    broke = F.coalesce(bar["close"] < held["stop"], F.lit(False))
-    nearest = F.floor((bar["wish"] + PARTS // 2) / PARTS).cast("int")
-    wanted = F.when((mode == "free") & (F.abs(bar["wish"] - level * PARTS) >= away), nearest).otherwise(level)
-    after = F.when(broke, 0).when(mode == "stale", level).otherwise(F.least(wanted, bar["ceiling"]))
-    judged = mode.isin("wait", "free") & bar["stop"].isNotNull()
-    stop = F.when(after > 0, F.when(judged, F.greatest(bar["stop"], held["stop"])).otherwise(held["stop"]))
-    why = F.when(broke, "stop").when(mode == "stale", "stale").when(wanted > bar["ceiling"], "cap").when(mode != "free", mode).when(after != level, "moved").otherwise("hold")
-    return F.struct(bar["date"].alias("date"), after.cast("int").alias("level"), stop.alias("stop"), why.alias("why"))
+    level, frozen = 0, None
+    for close, mode, ceiling, wish, stop in bars:
+        broke = frozen is not None and close is not None and close < frozen
+        wanted = level
+        if mode == "free" and abs(wish - level * PARTS) >= away:
+            wanted = (wish + PARTS // 2) // PARTS
+        over = ceiling is not None and wanted > ceiling
+        if broke:
+            after, why = 0, "stop"
+        elif mode == "stale":
+            after, why = level, "stale"
+        else:
+            after = ceiling if over else wanted
+            why = "cap" if over else mode if mode != "free" else "moved" if after != level else "hold"
+        if after <= 0:
+            frozen = None
+        elif mode in ("wait", "free") and stop is not None:
+            frozen = stop if frozen is None else max(stop, frozen)
+        level = after
+        yield level, frozen, why
 
 
 def target_path(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """``target``, frozen ``stop`` and ``why`` of each bar of rows (symbol, date, close, mode, ceiling, wish, stop).
 
-    Each target depends on the one before, so a symbol's bars, some thousands, are folded in order.
+    Each target depends on the one before, so a symbol's bars, some thousands, are one ordered group that is passed once.
     """
-    bars = F.array_sort(F.collect_list(F.struct("date", "close", "mode", "ceiling", "wish", "stop")))
-    none = "CAST(array() AS array<struct<date:date,level:int,stop:double,why:string>>)"
-    start = F.struct(F.lit(0).alias("level"), F.lit(None).cast("double").alias("stop"), F.expr(none).alias("path"))
-
-    def step(held, bar):
-        now = _next(held, bar, policy)
-        # One-element transforms name the new state, so that it is worked out once.
-        return F.get(F.transform(F.array(now), lambda n: F.struct(n["level"].alias("level"), n["stop"].alias("stop"), F.concat(held["path"], F.array(n)).alias("path"))), F.lit(0))
-
-    folded = rows.groupBy("symbol").agg(F.aggregate(bars, start, step)["path"].alias("path"))
-    out = folded.select("symbol", F.explode("path").alias("p"))
-    return out.select("symbol", "p.date", F.round(F.col("p.level") * policy.step, 6).alias("target"), "p.stop", "p.why")
+    kinds = to_arrow_schema(T.StructType.fromDDL("symbol long, date date, level int, stop double, why string"))
+
+    def run(bars: pa.Table) -> pa.Table:
+        bars = bars.sort_by("date")
+        found = levels(zip(*(bars[c].to_pylist() for c in ("close", "mode", "ceiling", "wish", "stop")), strict=True), policy)
+        return pa.Table.from_arrays([bars["symbol"].combine_chunks(), bars["date"].combine_chunks(), *map(pa.array, zip(*found, strict=True), kinds.types[2:])], schema=kinds)
+
+    asked_of = rows.select("symbol", "date", "close", "mode", "ceiling", "wish", "stop")
+    out = asked_of.groupBy("symbol").applyInArrow(run, "symbol long, date date, level int, stop double, why string")
+    return out.select("symbol", "date", F.round(F.col("level") * policy.step, 6).alias("target"), "stop", "why")
 
 
 def w50_target_path(spark, sf_dir):
