@@ -153,6 +153,21 @@ def test_average_cost_of_a_ledger():
     assert got.average_cost.fillna(-1).tolist() == [100, 150, 150, -1, 50] and got.marked.tolist() == [0, 1000, 600, 900, 900]
 
 
+def test_average_cost_goes_on_over_batches():
+    import pyarrow as pa
+
+    rows = [(a, 10 * a + k, "BUY" if k % 3 else "SELL", 100.0 * (k + a), k + 1) for a in range(3) for k in range(7)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(accounts.FILL, r, strict=True)) for r in rows[k : k + 4]]) for k in range(0, len(rows), 4)]
+    kinds = pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.float64()) for x in accounts.LEDGER.split(", ")])
+    got = [tuple(r.values()) for b in accounts.ledger_batches(iter(batches), kinds) for r in b.to_pylist()]
+    assert got == [x for a in range(3) for x in accounts.ledger_steps(r for r in rows if r[0] == a)]
+
+
+def test_a_registered_average_cost_has_no_grouped_frame(spark):
+    frame = accounts.a27_average_cost(spark, SF)
+    assert "FlatMapGroups" not in frame._jdf.queryExecution().executedPlan().toString() and frame.count() == accounts.fills(spark, SF).count()
+
+
 def test_csv_bars_by_file_name_and_alias(spark, tmp_path):
     from marketgrid.sources.stores import read_csv_bars
 
@@ -162,6 +177,18 @@ def test_csv_bars_by_file_name_and_alias(spark, tmp_path):
     assert rows == {("600519", "2024-01-02"): (10.5, 100.0), ("600519", "None"): (None, None), ("000001", "2024-01-03"): (7.0, 5.0)}
 
 
+def test_csv_bars_have_a_file_for_each_symbol(spark, tmp_path, monkeypatch):
+    from marketgrid.sources import stores
+
+    monkeypatch.setattr(stores, "shared", lambda _: f"file://{tmp_path}/bars")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several tasks write
+    try:
+        n = stores.s05_csv_bars(spark, SF).select("symbol").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list(tmp_path.glob("bars/*/*.csv"))) == len(list(tmp_path.glob("bars/symbol=*"))) == n
+
+
 def test_late_rows_of_the_second_part_go_aside(spark):
     from marketgrid.streaming import jobs
 
