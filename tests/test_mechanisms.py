@@ -233,3 +233,13 @@ def test_range_columns_equal_their_windows(spark):
     assert got.columns == want.columns and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
     assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == sorted(map(tuple, want.collect()), key=lambda r: r[:2])
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_window_medians():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 50, 90) / 4
+    x[rng.random(90) < 0.1] = np.nan
+    x[40:65] = np.nan
+    for n in (1, 4, 5, 20):
+        want = [np.nan if k < n - 1 or np.isnan(x[k - n + 1 : k + 1]).all() else np.nanmedian(x[k - n + 1 : k + 1]) for k in range(90)]
+        assert np.array_equal(accounts.window_medians(x, n), want, equal_nan=True)
