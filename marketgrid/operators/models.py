@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -28,11 +29,16 @@ STAGES = (
 )
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clipped features, class and chronological half of bars with all features and a mature label."""
+def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features, not clipped, and class of every bar."""
     rows = bars_daily(spark, sf_dir)
     for stage in STAGES:
         rows = rows.selectExpr("*", *(f"{e} AS {name}" for name, e in stage.items()))
+    return rows.select("symbol", "date", *FEATURES, "klass")
+
+
+def sampled(rows: DataFrame) -> DataFrame:
+    """Clipped features, class and chronological half of those rows of :func:`featured` that have all features and a mature label."""
     clip = lambda x, n: F.greatest(F.lit(-n), F.least(F.lit(n), F.col(x))).alias(x)
     return rows.dropna(subset=[*FEATURES, "klass"]).select(
         "symbol", "date", *(clip(x, n) for x, n in LIMITS.items()), F.col("klass").cast("double").alias("label"),
@@ -40,44 +46,65 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled(featured(spark, sf_dir))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Scratch]:
+    """Samples with their vector, made once: fits and losses pass over them many times, and each pass would make the bars and their windows anew."""
+    scratch = Scratch(spark)
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(scratch.write(samples(spark, sf_dir), "samples")), scratch
+
+
 def _probabilities(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select("symbol", "date", "label", vector_to_array("probability").alias("p"))
 
 
-def log_loss(rows: DataFrame, temperature: float = 1.0) -> float:
-    """Mean log loss after dividing log probabilities by a temperature; one aggregate."""
-    scaled = F.transform("p", lambda x: F.pow(F.greatest(x, F.lit(1e-12)), F.lit(1.0 / temperature)))
-    own = F.get(scaled, F.col("label").cast("int")) / F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x)
-    return rows.agg(F.avg(-F.ln(own))).first()[0]
+def log_ratios(rows: DataFrame, classes: int) -> DataFrame:
+    """Log of each class's probability over the own one's, all that log losses need; null where the own class was not fitted."""
+    log = lambda x: F.when(x.isNotNull(), F.ln(F.greatest(x, F.lit(1e-12))))
+    own = log(F.get("p", F.col("label").cast("int")))
+    return rows.select(*((log(F.get("p", F.lit(k))) - own).alias(f"r{k}") for k in range(classes)))
+
+
+def log_losses(ratios: DataFrame, temperatures: Sequence[float]) -> list[float | None]:
+    """Mean log loss after dividing log probabilities by each of the temperatures; one aggregate for all."""
+    own = lambda t: F.ln(sum((F.exp(F.col(r) * F.lit(1.0 / t)) for r in ratios.columns[1:]), F.exp(F.col(ratios.columns[0]) * F.lit(1.0 / t))))
+    return list(ratios.agg(*(F.avg(own(t)).alias(f"loss{k}") for k, t in enumerate(temperatures))).first())
+
+
+def log_loss(rows: DataFrame, classes: int) -> float | None:
+    return log_losses(log_ratios(rows, classes), [1.0])[0]
 
 
 def m02_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multinomial logistic models for three strengths, the best by log loss on the tuning half; its class shares."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(samples(spark, sf_dir)).cache()
+    rows, _ = _stored(spark, sf_dir)
     fit, tune = rows.filter("train"), rows.filter("NOT train")
     n = max(1, fit.count())
     models = [LogisticRegression(family="multinomial", regParam=1.0 / (c * n), maxIter=50).fit(fit) for c in (0.1, 1.0, 10.0)]
-    best = min(models, key=lambda m: log_loss(_probabilities(m, tune)))
-    rows.unpersist()
+    best = min(models, key=lambda m: log_loss(_probabilities(m, tune), m.numClasses))
     return _probabilities(best, tune).select("symbol", "date", *(F.round(F.get("p", F.lit(k)), 6).alias(f"p{k}") for k in range(3)))
 
 
 def m03_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A positive temperature by golden-section search; each step is one Spark aggregate."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(samples(spark, sf_dir))
+    rows, scratch = _stored(spark, sf_dir)
     model = LogisticRegression(family="multinomial", maxIter=30).fit(rows.filter("train"))
-    held = _probabilities(model, rows.filter("NOT train")).cache()
-    low, high, g = math.log(0.2), math.log(5.0), (math.sqrt(5) - 1) / 2
+    held = log_ratios(_probabilities(model, rows.filter("NOT train")), model.numClasses).cache()
+    n, low, high, g = held.count(), math.log(0.2), math.log(5.0), (math.sqrt(5) - 1) / 2
     for _ in range(12):
         a, b = high - g * (high - low), low + g * (high - low)
-        if log_loss(held, math.exp(a)) < log_loss(held, math.exp(b)):
+        at_a, at_b = log_losses(held, [math.exp(a), math.exp(b)])
+        if at_a < at_b:
             high = b
         else:
             low = a
     t = math.exp((low + high) / 2)
-    loss = log_loss(held, t)
+    loss = log_losses(held, [t])[0]
     held.unpersist()
-    return held.agg(F.count("*").alias("n")).select("n", F.lit(round(t, 4)).alias("temperature"), F.lit(round(loss, 6)).alias("log_loss"))
+    scratch.drop("samples")
+    return spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(round(t, 4)).alias("temperature"), F.lit(round(loss, 6)).alias("log_loss"))
 
 
 def m04_platt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +128,7 @@ def m04_platt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def m06_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small three-class perceptron (sigmoid layers) scored on the later half."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(samples(spark, sf_dir))
+    rows, _ = _stored(spark, sf_dir)
     model = MultilayerPerceptronClassifier(layers=[len(FEATURES), 8, 3], seed=5, maxIter=40).fit(rows.filter("train"))
     scored = model.transform(rows.filter("NOT train"))
     return scored.groupBy("label", "prediction").agg(F.count("*").alias("n"))

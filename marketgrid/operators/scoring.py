@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import Scratch
 from ..sources.stores import shared
-from ..sources.tables import bars_daily
 from ..sources.versioned import manifest, read_table, upsert
-from .models import FEATURES, LIMITS, STAGES, log_loss, samples
+from .models import FEATURES, LIMITS, featured, log_losses, log_ratios, sampled
 from .models import _probabilities as probabilities
 
 ROWS = T.StructType([
@@ -45,9 +45,8 @@ def fit(rows: DataFrame, version: str, until: dt.date, c: float = 1.0) -> Model:
     made = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(known)
     early = made.filter(F.col("date") <= F.lit(cut))
     fitted = LogisticRegression(family="multinomial", regParam=1.0 / (c * max(1, early.count())), maxIter=50).fit(early)
-    late = probabilities(fitted, made.filter(F.col("date") > F.lit(cut))).cache()
-    best = min(TEMPERATURES, key=lambda t: log_loss(late, t) or 0.0)
-    late.unpersist()
+    late = log_ratios(probabilities(fitted, made.filter(F.col("date") > F.lit(cut))), fitted.numClasses)
+    best = min(zip(log_losses(late, TEMPERATURES), TEMPERATURES, strict=True), key=lambda x: x[0] or 0.0)[1]
     matrix, constant = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
     weights = {k: dict(zip(FEATURES, map(float, matrix[k]), strict=True)) | {CONSTANT: float(constant[k])} for k in range(len(constant))}
     return Model(version, until, best, weights)
@@ -90,20 +89,21 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     return out.select(*rows.columns, "status", F.lit(model.version).alias("version"), *(shown(o / total, 6).alias(f"p{k}") for k, o in enumerate(odds)), shown(100 * (odds[2] + odds[1] / 2) / total, 4).alias("score"))
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clipped(rows: DataFrame) -> DataFrame:
     """Clipped features of every bar, whether its label is known or not."""
-    rows = bars_daily(spark, sf_dir)
-    for stage in STAGES:
-        rows = rows.selectExpr("*", *(f"{e} AS {name}" for name, e in stage.items()))
     clip = lambda x, n: F.when(F.col(x).isNotNull(), F.greatest(F.lit(-n), F.least(F.lit(n), F.col(x)))).alias(x)
     return rows.select("symbol", "date", *(clip(x, n) for x, n in LIMITS.items()))
 
 
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clipped(featured(spark, sf_dir))
+
+
 def m05_model_scores(spark: SparkSession, sf_dir: str, until: str = "1998-12-31") -> DataFrame:
-    """Every bar scored by a model that was fitted on labels known by a day, kept, and loaded again."""
-    at = shared(spark)
-    save(spark, fit(samples(spark, sf_dir), f"until-{until}", dt.date.fromisoformat(until)), at)
-    return score(features(spark, sf_dir), load(spark, at)).select("symbol", "date", "status", "version", "p0", "p1", "p2", "score")
+    """Every bar scored by a model that was fitted on labels known by a day, kept, and loaded again; the bars' features are made once for both."""
+    at, rows = shared(spark), Scratch(spark).write(featured(spark, sf_dir), "features")
+    save(spark, fit(sampled(rows), f"until-{until}", dt.date.fromisoformat(until)), at)
+    return score(clipped(rows), load(spark, at)).select("symbol", "date", "status", "version", "p0", "p1", "p2", "score")
 
 
 QUERIES = {"m05_model_scores": m05_model_scores}

@@ -194,3 +194,21 @@ def test_late_rows_of_the_second_part_go_aside(spark):
 
     rows = jobs.t04_late_evidence(spark, SF).collect()
     assert {r.target for r in rows} == {"main", "side"} and all(r.target == "main" for r in rows if r.event_id % 2 == 0)
+
+
+def test_samples_are_made_once(spark):
+    """What is counted and scored after a fit is read from what the fit read, not made again from the lines."""
+    from marketgrid.operators import scoring
+
+    assert models.m03_temperature(spark, SF).inputFiles() == []
+    scored = scoring.m05_model_scores(spark, SF)
+    assert scored.inputFiles() and not any("lineitem" in name for name in scored.inputFiles())
+    assert scored.count() == scoring.features(spark, SF).count()
+
+
+def test_losses_of_many_temperatures_are_one_aggregate(spark):
+    """Rows of a class that was not fitted are left out, as before; impossible ones count as 1e-12."""
+    rows = spark.createDataFrame([(0.0, [0.2, 0.8]), (1.0, [0.5, 0.5]), (0.0, [0.0, 1.0]), (2.0, [0.9, 0.1])], "label double, p array<double>")
+    for t, got in zip((0.5, 1.0, 3.0), models.log_losses(models.log_ratios(rows, 2), (0.5, 1.0, 3.0)), strict=True):
+        own = [max(p[k], 1e-12) ** (1 / t) / sum(max(x, 1e-12) ** (1 / t) for x in p) for k, p in ((0, [0.2, 0.8]), (1, [0.5, 0.5]), (0, [0.0, 1.0]))]
+        assert abs(got + np.mean(np.log(own))) < 1e-9
