@@ -110,20 +110,20 @@ def m03_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m04_platt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-parameter calibration by Newton steps from Spark sums."""
     rows = samples(spark, sf_dir).select(F.col("ret_5").alias("s"), (F.col("label") == 2).cast("double").alias("y")).cache()
-    a, b = 0.0, 0.0
+    a, b, n = 0.0, 0.0, 0
     for _ in range(8):
         p = 1 / (1 + F.exp(-(F.col("s") * a + b)))
         w = p * (1 - p)
         r = rows.agg(
-            F.sum((F.col("y") - p) * F.col("s")), F.sum(F.col("y") - p), F.sum(w * F.col("s") * F.col("s")), F.sum(w * F.col("s")), F.sum(w)
+            F.sum((F.col("y") - p) * F.col("s")), F.sum(F.col("y") - p), F.sum(w * F.col("s") * F.col("s")), F.sum(w * F.col("s")), F.sum(w), F.count("*")
         ).first()
-        ga, gb, haa, hab, hbb = r
-        det = haa * hbb - hab * hab
+        ga, gb, haa, hab, hbb, n = r
+        det = haa * hbb - hab * hab if n else 0.0
         if not det:
             break
         a, b = a + (hbb * ga - hab * gb) / det, b + (haa * gb - hab * ga) / det
     rows.unpersist()
-    return rows.agg(F.count("*").alias("n")).select("n", F.lit(round(a, 5)).alias("slope"), F.lit(round(b, 5)).alias("intercept"))
+    return spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(round(a, 5)).alias("slope"), F.lit(round(b, 5)).alias("intercept"))
 
 
 def m06_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:

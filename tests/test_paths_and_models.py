@@ -206,6 +206,10 @@ def test_samples_are_made_once(spark):
     assert scored.count() == scoring.features(spark, SF).count()
 
 
+def test_platt_counts_in_its_sums(spark):
+    assert models.m04_platt(spark, SF).inputFiles() == []
+
+
 def test_losses_of_many_temperatures_are_one_aggregate(spark):
     """Rows of a class that was not fitted are left out, as before; impossible ones count as 1e-12."""
     rows = spark.createDataFrame([(0.0, [0.2, 0.8]), (1.0, [0.5, 0.5]), (0.0, [0.0, 1.0]), (2.0, [0.9, 0.1])], "label double, p array<double>")
