@@ -33,26 +33,33 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return industry.unionByName(concepts_of(spark, sf_dir).select(F.lit("concept").alias("kind"), "symbol", "board"))
 
 
+def _alike(membership: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Symbols with the same boards as one class, named by a digest of these: (symbol, class) and (class, kind, board)."""
+    of = membership.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("kind", "board"))).alias("boards"))
+    of = of.withColumn("class", F.md5(F.to_json("boards")))
+    boards = of.groupBy("class").agg(F.first("boards").alias("boards")).select("class", F.explode("boards").alias("of"))
+    return of.select("symbol", "class"), boards.select("class", "of.kind", "of.board")
+
+
 def board_daily(bars: DataFrame, membership: DataFrame, least: int = MIN_MEMBERS) -> DataFrame:
     """Metrics of each (kind, board, date); ratios are null below ``least`` known members.
 
-    Membership is joined on symbol by Spark's own choice of join; the sums are partial before the
-    shuffle on (kind, board, date).
+    Symbols with the same boards are summed by date first, and only these sums multiply by their
+    boards: a bar is not repeated for each of its boards.  Spark chooses the joins.
     """
-    known = F.count("ret_1")
-    return (
-        bars.join(membership, "symbol")
-        .groupBy("kind", "board", "date")
-        .agg(
-            F.count("*").alias("n_members"),
-            known.alias("n_known"),
-            F.when(known >= least, F.avg("ret_1")).alias("mean_return"),
-            F.when(known >= least, F.avg((F.col("ret_1") > 0).cast("double"))).alias("advance_ratio"),
-            F.when(F.count("ma20") >= least, F.avg((F.col("close") > F.col("ma20")).cast("double"))).alias("above_ma20"),
-            F.when(F.count("high20") >= least, F.avg((F.col("close") > F.col("high20")).cast("double"))).alias("breakout"),
-            F.sum("amount").alias("amount"),
-        )
-    )
+    alike, boards = _alike(membership)
+    above = {"advance_ratio": ("ret_1", F.col("ret_1") > 0), "above_ma20": ("ma20", F.col("close") > F.col("ma20")), "breakout": ("high20", F.col("close") > F.col("high20"))}
+    counts = {"n_members": F.count("*"), "total": F.sum("ret_1"), "amount": F.sum("amount")}
+    for name, (of, holds) in above.items():
+        counts |= {f"{name}_of": F.count(of), f"{name}_known": F.count(holds), f"{name}_true": F.count_if(holds)}
+    sums = bars.join(alike, "symbol").groupBy("class", "date").agg(*(x.alias(name) for name, x in counts.items()))
+    rows = sums.join(boards, "class").groupBy("kind", "board", "date").agg(*(F.sum(name).alias(name) for name in counts))
+    known = F.col("advance_ratio_of")
+    ratio_of = lambda name: F.when(F.col(f"{name}_of") >= least, F.try_divide(f"{name}_true", f"{name}_known")).alias(name)
+    return rows.select(
+        "kind", "board", "date", "n_members", known.alias("n_known"), F.when(known >= least, F.col("total") / known).alias("mean_return"),
+        *map(ratio_of, above), "amount",
+    )
 
 
 _BOARD_SQL = f"""board_daily AS (

@@ -243,3 +243,31 @@ def test_window_medians():
     for n in (1, 4, 5, 20):
         want = [np.nan if k < n - 1 or np.isnan(x[k - n + 1 : k + 1]).all() else np.nanmedian(x[k - n + 1 : k + 1]) for k in range(90)]
         assert np.array_equal(accounts.window_medians(x, n), want, equal_nan=True)
+
+
+def test_bars_of_symbols_with_the_same_boards_are_summed_before_they_multiply(spark):
+    """Metrics equal those of bars repeated for each board; symbols 1, 2 and 3 are one class."""
+    from marketgrid.operators import boards
+
+    of = {1: "AB", 2: "BA", 3: "AB", 4: "B", 5: "BB"}
+    membership = spark.createDataFrame([("concept", s, b) for s, bs in of.items() for b in bs] + [("industry", 4, None)], "kind string, symbol long, board string")
+    alike, named = boards._alike(membership)
+    assert alike.select("class").distinct().count() == 3 and named.count() == 2 + 2 + 2
+    bars = [(s, d, None if (s + d) % 4 == 0 else s - 2.5 + d, float(s), 3.0 if s != 2 else None, 2.5 if s < 5 else None, None if s == 3 else 10.0 * s + d) for s in range(1, 7) for d in range(3)]
+    got = boards.board_daily(spark.createDataFrame(bars, "symbol long, date int, ret_1 double, close double, ma20 double, high20 double, amount double"), membership).collect()
+    want = {}
+    for bar in bars:
+        for kind, board in [("concept", b) for b in of.get(bar[0], "")] + [("industry", None)] * (bar[0] == 4):
+            want.setdefault((kind, board, bar[1]), []).append(bar)
+    mean = lambda xs, n: sum(xs) / len(xs) if n >= boards.MIN_MEMBERS and xs else None
+    assert {(r.kind, r.board, r.date) for r in got} == set(want) and len(got) == len(want)
+    for r in got:
+        rows = want[r.kind, r.board, r.date]
+        known = [x[2] for x in rows if x[2] is not None]
+        assert (r.n_members, r.n_known) == (len(rows), len(known))
+        assert r.mean_return == pytest.approx(mean(known, len(known))) and r.advance_ratio == mean([x > 0 for x in known], len(known))
+        for k, value in ((4, r.above_ma20), (5, r.breakout)):
+            over = [x[3] > x[k] for x in rows if x[k] is not None]
+            assert value == mean(over, len(over))
+        amounts = [x[6] for x in rows if x[6] is not None]
+        assert r.amount == (sum(amounts) if amounts else None)
