@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import events
+from ..sources.scratch import Scratch
 from ..sources.stores import is_folder, shared
 from ..sources.tables import bars_daily, table
 from ..sources.versioned import manifest, read_table, upsert
@@ -93,7 +94,7 @@ def resumed(spark: SparkSession, parts: list[DataFrame], build) -> DataFrame:
 
 
 def halves(bars: DataFrame) -> list[DataFrame]:
-    """Bars before and from the middle day on."""
+    """Bars before and from the middle day on; ``bars`` are read three times, so they should be stored."""
     days = bars.agg(F.min("date").alias("a"), F.max("date").alias("b")).select(F.date_add("a", F.expr("CAST(datediff(b, a) / 2 AS int)"))).first()[0]
     return [bars.filter(F.col("date") < F.lit(days)), bars.filter(F.col("date") >= F.lit(days))]
 
@@ -187,28 +188,22 @@ def trailing_rows(bars: pd.DataFrame) -> pd.DataFrame:
 class Trailing(StatefulProcessor):
     """Features of a micro-batch's bars from the last ``KEPT`` bars in state.
 
-    The bars stand in a ring: a bar's slot is its number modulo ``KEPT``, so a batch writes no more than
-    its own bars and what is older goes as its slot is taken.
+    The bars stand in one list, fetched and put in one call each: a call to the state's server costs more than a bar.
     """
 
     columns = ("date", "high", "low", "close", "volume", "amount")
 
     def __init__(self) -> None:
-        self.kinds = [T.StructType.fromDDL(x) for x in ("n long", "slot int", "date date, high double, low double, close double, volume double, amount double")]
+        self.kind = T.StructType.fromDDL("date date, high double, low double, close double, volume double, amount double")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        seen, slot, bar = self.kinds
-        self.seen, self.ring = handle.getValueState("seen", seen), handle.getMapState("ring", slot, bar)
+        self.kept = handle.getListState("kept", self.kind)
 
     def handleInputRows(self, key, rows, timerValues):
         new = pd.concat(list(rows)).sort_values("date")[list(self.columns)]
-        n = self.seen.get()[0] if self.seen.exists() else 0
-        past = [self.ring.getValue((k % KEPT,)) for k in range(max(0, n - KEPT), n)]
+        past = list(self.kept.get())
         both = pd.concat([pd.DataFrame([tuple(x) for x in past], columns=self.columns), new], ignore_index=True) if past else new
-        for k, bar in enumerate(new.itertuples(index=False), n):
-            if k >= n + len(new) - KEPT:
-                self.ring.updateValue((k % KEPT,), tuple(bar))
-        self.seen.update((n + len(new),))
+        self.kept.put(list(both[-KEPT:].itertuples(index=False, name=None)))
         out = trailing_rows(both).iloc[len(both) - len(new) :]
         out.insert(0, "symbol", key[0])
         yield out
@@ -219,7 +214,7 @@ class Trailing(StatefulProcessor):
 
 def t01_stream_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trailing features over bars that arrive in two parts."""
-    bars = bars_daily(spark, sf_dir).select("symbol", "date", "high", "low", "close", "volume", "amount")
+    bars = Scratch(spark).write(bars_daily(spark, sf_dir).select("symbol", "date", "high", "low", "close", "volume", "amount"), "bars")
     found = resumed(spark, halves(bars), lambda rows: stepped(rows, "symbol", Trailing(), T01_SCHEMA))
     return found.select("symbol", "date", *(F.nanvl(x, F.lit(None).cast("double")).alias(x) for x in _T01))
 

@@ -97,3 +97,36 @@ def test_streams_restarted_between_batches_equal_the_batch(spark):
     batch = events.detect(bars_daily(spark, SF)).filter("symbol < 4")
     key = lambda r: (r.symbol, r.date)
     assert sorted(stream.collect(), key=key) == sorted(batch.collect(), key=key)
+
+
+def test_trailing_state_is_fetched_and_put_once_a_batch(spark):
+    """However many bars a batch brings; features go on from the kept bars."""
+    import datetime as dt
+
+    import pandas as pd
+
+    from marketgrid.streaming import jobs
+
+    class Kept:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def get(self):
+            self.calls += 1
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows, self.calls = rows, self.calls + 1
+
+    class Handle:
+        kept = Kept()
+
+        def getListState(self, name, schema):
+            return self.kept
+
+    bars = pd.DataFrame([(dt.date(2020, 1, 1) + dt.timedelta(k), 11.0 + k % 7, 9.0 + k % 5, 10.0 + k % 6, 100.0 + k % 9, 5.0 + k % 4) for k in range(150)], columns=jobs.Trailing.columns)
+    processor = jobs.Trailing()
+    processor.init(Handle())
+    out = pd.concat([x for part in (bars[:70], bars[70:73], bars[73:]) for x in processor.handleInputRows((1,), iter([part]), None)])
+    assert Handle.kept.calls == 6 and len(Handle.kept.rows) == jobs.KEPT
+    pd.testing.assert_frame_equal(out.drop(columns="symbol").reset_index(drop=True), jobs.trailing_rows(bars))
