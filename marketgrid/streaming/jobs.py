@@ -143,7 +143,7 @@ def t06_stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t02_stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The detector over bars that arrive in two parts; a symbol's saved state continues it."""
-    bars = events.with_range(bars_daily(spark, sf_dir))
+    bars = Scratch(spark).write(events.with_range(bars_daily(spark, sf_dir)), "bars")
     return resumed(
         spark, halves(bars),
         lambda rows: stepped(rows, "symbol", Stepping(events.stream_step, events.STATE_SCHEMA), events.SCHEMA),

@@ -130,3 +130,12 @@ def test_trailing_state_is_fetched_and_put_once_a_batch(spark):
     out = pd.concat([x for part in (bars[:70], bars[70:73], bars[73:]) for x in processor.handleInputRows((1,), iter([part]), None)])
     assert Handle.kept.calls == 6 and len(Handle.kept.rows) == jobs.KEPT
     pd.testing.assert_frame_equal(out.drop(columns="symbol").reset_index(drop=True), jobs.trailing_rows(bars))
+
+
+def test_streamed_bars_are_made_once(spark, monkeypatch):
+    """Both parts of the detector's stream are read from stored bars."""
+    from marketgrid.streaming import jobs
+
+    monkeypatch.setattr(jobs, "resumed", lambda spark, parts, build: parts)
+    for part in jobs.t02_stream_events(spark, "/root/testdata/sf0.001"):
+        assert not any("lineitem" in name for name in part.inputFiles())
