@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import kind
-from .bpe_automaton import automaton
 from .common import Scratch, arrow_schema, read, vocabulary_path
+from .ranks import encoder, ranks_suffice
 
 CAPACITY = 2048
 END_ID = 0
@@ -71,9 +71,10 @@ def pieces(
     """One row for each piece, with the task that made it and its rank there among pieces of its length."""
     ddl = f"{id_col} {kind(frame, id_col)}, piece int, start long, length long, ids_crc32 long, task int, rank long"
     spark_schema, schema = arrow_schema(ddl)
+    by_ranks = ranks_suffice(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, task, seen = automaton(vocabulary).encode_packed, TaskContext.get().partitionId(), Counter()
+        pack, task, seen = encoder(vocabulary, by_ranks), TaskContext.get().partitionId(), Counter()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out = []

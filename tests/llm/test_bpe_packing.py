@@ -132,3 +132,68 @@ def test_op9_packs_every_token_once(spark, library):
             want[ident, piece, a, b - a, zlib.crc32(np.array(tokens[a:b], "<u4").tobytes())] += 1
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
     assert packing.pack(frame.limit(0)).count() == 0
+
+
+def small_vocabulary(folder, merges):
+    """A vocabulary file of the bytes and the given merges, whose ids follow ``merges``' own numbers."""
+    import json
+
+    from marketgrid.llm.bpe_automaton import _visible_bytes
+
+    vocab = {c: k for k, c in enumerate(_visible_bytes())} | {a + b: k for (a, b), k in merges}
+    path = folder / "vocabulary.json"
+    pre = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    model = {"type": "BPE", "vocab": vocab, "merges": [list(m) for m, _ in merges]}
+    path.write_text(json.dumps({"version": "1.0", "added_tokens": [], "pre_tokenizer": pre, "decoder": pre, "model": model}))
+    return str(path)
+
+
+def test_ranks_give_the_library_s_ids(library):
+    from marketgrid.llm import ranks
+
+    path, rng = vocabulary_path(), random.Random(8)
+    assert ranks.ranks_suffice(path)
+    pack = ranks.encoder(path, True)
+    letters = "aaabe thTHE  \n\t'sll12３é日\x85 ​😀.,!?-ſ٣\x1c﻿ "
+    texts = [t or "" for t in ODD] + ["".join(rng.choice(letters) for _ in range(rng.randrange(50))) for _ in range(2000)]
+    texts += ["x" + " " * 200_000 + "y<|endoftext|>", "\n" * 200_000, "é" * 50_000, " <|endoftext|><|endoftext|> \n"]
+    for text in texts:
+        assert pack(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text[:60])
+
+
+@pytest.mark.parametrize(
+    "merges, suffice",
+    [
+        ([(("b", "c"), 256), (("a", "b"), 257), (("ab", "c"), 258)], False),  # abc is never made: bc is
+        ([(("a", "b"), 257), (("b", "c"), 256)], False),  # ids in another order than merges
+        ([(("a", "b"), 256), (("ab", "c"), 257), (("b", "c"), 258)], True),
+    ],
+)
+def test_op9_follows_the_merges_of_any_vocabulary(spark, tmp_path, merges, suffice):
+    from marketgrid.llm import ranks
+
+    path = small_vocabulary(tmp_path, merges)
+    assert ranks.ranks_suffice(path) is suffice
+    texts = ["abc", "abcbcab", "xbcabc abab", "", "bcbc é"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(frame, vocabulary=path).collect()}
+    other = Tokenizer.from_file(path)
+    want = [other.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert got == {k: (len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for k, w in enumerate(want)}
+
+
+def test_op9_encodes_new_words_at_half_the_automaton_s_cost():
+    import time
+
+    from marketgrid.llm.bpe_automaton import BpeAutomaton
+
+    rng = random.Random(6)
+    parts = "the an re tion ed ing er ble ly of ei ch en un".split()
+    text = " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(3, 8))) for _ in range(60_000))
+    path, seconds = vocabulary_path(), []
+    for pack in (packing.encoder(path, True), BpeAutomaton(path).encode_packed):
+        began = time.process_time()
+        packed = pack(text)
+        seconds.append((time.process_time() - began, zlib.crc32(packed)))
+    assert seconds[0][1] == seconds[1][1]
+    assert seconds[0][0] < seconds[1][0] / 2
