@@ -29,12 +29,14 @@ WIDTH, PERCENT = 4, 85
 BLOCK, PIVOTS = 256, 4
 #: Blocks that a task takes at most where sets outside a group's main component meet all others, and characters of a task's texts.
 OPEN_BLOCKS, TASK_CHARS = 4, 8_000_000
-#: Rows for each set of a group's grid beyond which meeting by tile is looked at: about as many as a set has tiles.
-WIDE = 64
+#: Texts for each set of a group's grid beyond which bitmaps meet first, and how many times ``BLOCK`` of them a task holds from either side.
+WIDE, SKETCH_BLOCKS = 8, 8
 #: Sets of small groups that one task takes one group after the other.
 SMALL_PER_TASK = 400
-#: Least and most bits of a bitmap; in between, four for each shingle of the largest set at hand.
-BITS = (1024, 65536)
+#: Least and most bits of a bitmap; in between, four for each shingle of the largest set at hand.  Cells of bitmaps that are spread out at once.
+BITS, CELLS = (1024, 65536), 1 << 22
+#: Least bits of a set's own bitmap; beyond, two to four for each of its shingles.
+SKETCH_BITS = 64
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -239,16 +241,16 @@ def bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
 
 
 def candidates(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of a left and a right set whose bitmaps leave room for a link, ``BLOCK`` by ``BLOCK`` sets at a time."""
+    """Pairs of a left and a right set whose bitmaps leave room for a link, at most ``BLOCK`` by ``BLOCK`` sets at a time."""
     width, largest = BITS[0], max((len(sets[k]) for k in (*left, *right)), default=0)
     while width < BITS[1] and width < 4 * largest:
         width *= 2
-    size = np.array([len(x) for x in sets], np.int64)
-    for a in range(0, len(left), BLOCK):
-        rows = left[a : a + BLOCK]
+    size, block = np.array([len(x) for x in sets], np.int64), min(BLOCK, CELLS // width)
+    for a in range(0, len(left), block):
+        rows = left[a : a + block]
         bits = bitmaps([sets[k] for k in rows], width)
-        for b in range(0, len(right), BLOCK):
-            columns = right[b : b + BLOCK]
+        for b in range(0, len(right), block):
+            columns = right[b : b + block]
             other = bits if columns is rows else bitmaps([sets[k] for k in columns], width)
             for i, j in may_link(bits, size[rows], other, size[columns], percent):
                 yield int(rows[i]), int(columns[j])
@@ -266,6 +268,49 @@ def may_link(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: n
     return np.argwhere(100 * most >= percent * (n_left[:, None] + n_right[None, :] - most))
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """A set's hashed bitmap, of a power of two bits, so that wider ones fold to narrower ones."""
+    width = SKETCH_BITS
+    while width < BITS[1] and width < 2 * len(hashes):
+        width *= 2
+    bits = np.zeros(width, np.uint8)
+    bits[(hashes % np.uint64(width)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Rows of packed bitmaps at a width of ``size`` bytes: halves laid over each other."""
+    while bits.shape[1] > size:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
+def sketches_may_link(left: list[bytes], n_left: np.ndarray, right: list[bytes], n_right: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs whose bitmaps leave room for a link, as arrays; a pair is held against each other at the narrower one's width."""
+    of_left, of_right = (np.array([len(x) for x in side]) for side in (left, right))
+    for a in np.unique(of_left):
+        rows = np.flatnonzero(of_left == a)
+        for b in np.unique(of_right):
+            columns = np.flatnonzero(of_right == b)
+            x, y = n_left[rows], n_right[columns]
+            if 100 * x.max() < percent * y.min() or 100 * y.max() < percent * x.min():
+                continue
+            size = min(a, b)
+            block = CELLS // (8 * size)
+            for i in range(0, len(rows), block):
+                one = _spread([left[k] for k in rows[i : i + block]], size)
+                for j in range(0, len(columns), block):
+                    other = _spread([right[k] for k in columns[j : j + block]], size)
+                    found = may_link(one, x[i : i + block], other, y[j : j + block], percent)
+                    yield rows[i + found[:, 0]], columns[j + found[:, 1]]
+
+
+def _spread(packed: list[bytes], size: int) -> np.ndarray:
+    bits = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
+    return np.unpackbits(folded(bits, size), axis=1, bitorder="little").astype(np.float32)
+
+
 def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sorted sets link."""
     if not len(x) or not len(y):
@@ -420,8 +465,8 @@ def _open_ties(
 ) -> DataFrame | None:
     """Links of big groups' sets outside their largest component with the others; None if there are none.
 
-    They meet in a grid of blocks, or, in groups so large that a set would go to more blocks than it has
-    tiles, only sets with which they share a tile, if that makes fewer rows.
+    They meet in a grid of blocks.  In groups so large that a text would go to many blocks, bitmaps of
+    the sets meet first, and texts only where these leave room for a link.
     """
     tied = sized.filter("big").join(label.select("node", F.col("label").alias("tied")), "node", "left")
     tied = scratch.write(tied.withColumn("tied", F.coalesce("tied", "node")), "tied")
@@ -432,34 +477,105 @@ def _open_ties(
     # A task takes as many sets of either side as their texts allow: the larger, the fewer tasks each set goes to.
     block = F.greatest(F.lit(1.0), F.least(F.lit(OPEN_BLOCKS * BLOCK), F.floor(TASK_CHARS / F.greatest("mean", F.lit(1.0)))))
     main = main.filter("m < n").select("label", "main", "n", "m", F.ceil((F.col("n") - F.col("m")) / block).alias("few"), F.ceil(F.col("n") / block).alias("all"))
-    rows = scratch.write(tied.select("label", "node", "tied").join(main, "label").withColumn("asked", F.col("tied") != F.col("main")), "open")
+    rows = scratch.write(tied.select("label", "node", "tied", "chars").join(main, "label").withColumn("asked", F.col("tied") != F.col("main")), "open")
     if rows.isEmpty():
         return None
     grid = (F.col("n") - F.col("m")) * F.col("all") + F.col("n") * F.col("few")
-    wide = scratch.write(main.select("label", "n", grid.alias("grid")).filter(F.col("grid") > WIDE * F.col("n")), "wide")
+    wide = main.select("label", "n", grid.alias("grid"), ((F.col("n") - F.col("m")) * F.col("n")).alias("meetings"))
+    wide = scratch.write(wide.filter(F.col("grid") > WIDE * F.col("n")), "wide")
     if wide.isEmpty():
         return _ties(scratch, _grid(rows), texts, "open-ties", width, percent)
-    by_tile, beside = _by_tile(scratch, rows, wide, named)
-    work = beside.union(_grid(rows.join(by_tile, "label", "left_anti")))
+    pairs = _candidates(scratch, rows, wide, named, texts, width, percent)
+    # Where most sets of a group may link, their pairs are more than its grid's rows.
+    few = wide.join(pairs.groupBy("label").agg(F.count("*").alias("pairs")), "label", "left").filter("coalesce(pairs, 0) <= grid").select("label")
+    few = scratch.write(few, "open-ways")
+    work = _beside(scratch, rows, pairs.join(few, "label")).union(_grid(rows.join(few, "label", "left_anti")))
     return _ties(scratch, work, texts, "open-ties", width, percent)
 
 
-def _by_tile(scratch: Scratch, rows: DataFrame, wide: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Labels of the wide groups in which pairs that share a tile are fewer than the grid's rows, and their work: each asking set with the sets that it meets."""
-    met = named.select("tile", "node").distinct().join(rows.join(wide.select("label"), "label").select("node", "label", "tied", "asked"), "node")
-    met = scratch.write(met, "open-tiles")
-    shared = met.groupBy("tile", "label").agg(F.count("*").alias("here"), F.sum(F.col("asked").cast("long")).alias("askers"), F.min("tied").alias("low"), F.max("tied").alias("high"))
-    shared = scratch.write(shared.filter("askers > 0 AND low <> high").select("tile", "label", (F.col("here") * F.col("askers")).alias("pairs")), "open-shared")
-    by_tile = wide.join(shared.groupBy("label").agg(F.sum("pairs").alias("pairs")), "label", "left").filter("coalesce(pairs, 0) <= grid").select("label")
-    by_tile = scratch.write(by_tile, "open-ways")
-    few = met.join(shared.select("tile"), "tile").join(by_tile, "label")
-    askers = few.filter("asked").select("tile", F.col("node").alias("asker"), F.col("tied").alias("asker_tied"))
-    pairs = askers.join(few, "tile").filter("asker_tied <> tied").select("asker", "asker_tied", "node", "tied").distinct()
-    pairs = scratch.write(pairs, "open-pairs")
-    task = _piece(F.col("asker"), F.lit(max(1, pairs.count() // SMALL_PER_TASK)), 5).alias("task")
-    beside = pairs.select(task, F.col("asker").alias("label"), "node", "tied", F.lit(False).alias("asked"))
+def _candidates(scratch: Scratch, rows: DataFrame, wide: DataFrame, named: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (label, asker, asker_tied, node, tied) of wide groups whose bitmaps leave room for a link, each once.
+
+    Bitmaps meet at tiles that asking sets share with others, or, where tiles have more pairs than the
+    group itself, by group; either in blocks, so that a tile that very many sets share is in many tasks.
+    """
+    mine = rows.join(wide.select("label"), "label").select("label", "node", "tied", "asked")
+    met = scratch.write(named.select("tile", "node").distinct().join(mine, "node"), "open-tiles")
+    here = (F.count("*").alias("here"), F.sum(F.col("asked").cast("long")).alias("askers"), F.min("tied").alias("low"), F.max("tied").alias("high"))
+    shared = scratch.write(met.groupBy("tile", "label").agg(*here).filter("askers > 0 AND low <> high").drop("low", "high"), "open-shared")
+    pairs = shared.groupBy("label").agg(F.sum(F.col("here") * F.col("askers")).alias("pairs"))
+    by_tile = scratch.write(wide.join(pairs, "label", "left").filter("coalesce(pairs, 0) <= meetings").select("label"), "open-tiled")
+    at_tiles = met.join(shared.join(by_tile, "label").drop("label"), "tile").withColumn("place", F.xxhash64("tile", F.lit(1)))
+    whole = mine.join(by_tile, "label", "left_anti")
+    at_groups = whole.join(whole.groupBy("label").agg(*here[:2]), "label").withColumn("place", F.xxhash64("label", F.lit(2)))
+    columns = ["place", "label", "node", "tied", "asked", "here", "askers"]
+    side = SKETCH_BLOCKS * BLOCK
+    places = at_tiles.select(*columns).union(at_groups.select(*columns)).withColumns({"few": F.ceil(F.col("askers") / side), "all": F.ceil(F.col("here") / side)})
+    places = scratch.write(places.drop("here", "askers"), "open-places")
+    small = F.lit(max(1, places.filter("few * all = 1").count() // side))
+
+    def block(frame: DataFrame, role: bool, x: Column, y: Column) -> DataFrame:
+        dealt = frame.select("place", "label", "node", "tied", F.col("asked").alias("asks"), F.lit(role).alias("asked"), "few", "all", x.alias("x"), y.alias("y"))
+        task = F.when(F.col("few") * F.col("all") == 1, _piece(F.col("place"), small, 7)).otherwise(F.xxhash64("place", "x", "y"))
+        return dealt.select(task.alias("task"), "place", "x", "y", "label", "node", "tied", "asks", "asked")
+
+    asking = block(places.filter("asked"), True, _piece(F.col("node"), F.col("few"), 8), F.explode(F.expr("sequence(0L, all - 1)")))
+    others = block(places, False, F.explode(F.expr("sequence(0L, few - 1)")), _piece(F.col("node"), F.col("all"), 9))
+    bits = scratch.write(_sketched(texts.join(mine.select("node"), "node"), width).dropDuplicates(["node"]), "open-sketches")
+    full = asking.union(others).join(bits, "node")
+    found = full.groupBy("task").applyInPandas(_meet(percent), "label long, asker long, asker_tied long, node long, tied long")
+    return scratch.write(found.distinct(), "open-pairs")
+
+
+def _sketched(texts: DataFrame, width: int) -> DataFrame:
+    """``node``, number of shingles and bitmap of each set; another text of the set's id is left out."""
+    spark_schema, schema = arrow_schema("node long, n_shingles long, bits binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                nodes, digests, texts = (c.to_pylist() for c in whole.slice(at, 500).columns)
+                out = [(node, len(s), sketch(s)) for node, h1, s in zip(nodes, digests, (shingles(t, width) for t in texts), strict=True) if _digest(s)[0] == h1]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return texts.select("node", "h1", "text").mapInArrow(run, spark_schema)
+
+
+def _meet(percent: int):
+    """Pairs of an asking set and another of the same block whose bitmaps leave room for a link; of two that both ask, from the lesser only."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["place", "x", "y"], ignore_index=True)
+        where = rows[["place", "x", "y"]].to_numpy()
+        ends = np.r_[0, np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1, len(rows)]
+        label, node, tied, n = (rows[c].to_numpy() for c in ("label", "node", "tied", "n_shingles"))
+        asks, asked, bits, out = rows.asks.to_numpy(), rows.asked.to_numpy(), rows.bits.to_numpy(), [np.empty((5, 0), np.int64)]
+        for start, end in zip(ends[:-1], ends[1:], strict=True):
+            left, right = start + np.flatnonzero(asked[start:end]), start + np.flatnonzero(~asked[start:end])
+            if not len(left) or not len(right):
+                continue
+            for a, b in sketches_may_link(list(bits[left]), n[left], list(bits[right]), n[right], percent):
+                a, b = left[a], right[b]
+                new = (tied[a] != tied[b]) & (~asks[b] | (node[a] < node[b]))
+                a, b = a[new], b[new]
+                out.append(np.stack([label[a], node[a], tied[a], node[b], tied[b]]))
+        return pd.DataFrame(np.concatenate(out, axis=1).T, columns=["label", "asker", "asker_tied", "node", "tied"]).drop_duplicates()
+
+    return run
+
+
+def _beside(scratch: Scratch, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Work in which each asking set meets the sets it has pairs with; one that has very many is in several tasks."""
+    sized = pairs.join(rows.select("node", "chars"), "node")
+    of = sized.groupBy("asker").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("chars") / TASK_CHARS)).alias("pieces"))
+    pairs = scratch.write(sized.join(of, "asker"), "open-beside")
+    total = pairs.agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).first()
+    tasks = max(1, total["n"] // SMALL_PER_TASK, (total["chars"] or 0) // TASK_CHARS)
+    task = F.when(F.col("pieces") > 1, F.xxhash64("asker", _piece(F.col("node"), F.col("pieces"), 6))).otherwise(_piece(F.col("asker"), F.lit(tasks), 5)).alias("task")
+    others = pairs.select(task, F.col("asker").alias("label"), "node", "tied", F.lit(False).alias("asked"))
     own = pairs.select(task, F.col("asker").alias("label"), F.col("asker").alias("node"), F.col("asker_tied").alias("tied"), F.lit(True).alias("asked")).distinct()
-    return by_tile, beside.union(own)
+    return others.union(own)
 
 
 def _grid(rows: DataFrame) -> DataFrame:

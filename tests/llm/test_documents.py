@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from marketgrid.llm import jaccard_join, licenses, quality, secrets, substring_dedup
@@ -339,3 +340,39 @@ def test_licences_as_they_stand_in_files(spark, tmp_path):
 def test_wrapped_sentences_have_original_offsets():
     text = "One\ntwo. Three four.\n\nFive.\nSix\n  seven"
     assert [text[a:b] == s and s for a, b, s in licenses.wrapped(text)] == ["One\ntwo.", "Six\n  seven"]
+
+
+def test_texts_of_a_large_group_travel_only_where_bitmaps_leave_room(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng, rows, worked = random.Random(12), [], {}
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(60))  # in common, so that the sets hang together
+    for k in range(0, 300, 2):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        rows.append((k, f"{passage} {' '.join(own)}"))
+        if k % 30 == 0:
+            rows.append((k + 1, f"{passage} {' '.join([*own[:-2], 'other', 'end'])}"))
+    ties = jaccard_join._ties
+
+    def counted(scratch, work, texts, name, *rest):
+        worked[name] = work.count()
+        return ties(scratch, work, texts, name, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_ties", counted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.link(frame).collect()}
+    assert got == {k: k - k % 2 for k, _ in rows}
+    assert worked.get("open-ties", 0) <= len(rows)
+
+
+def test_bitmaps_leave_room_for_every_link():
+    rng, left, right, links = np.random.default_rng(4), [], [], set()
+    for n in (1, 3, 15, 16, 17, 31, 33, 60, 64, 70, 500, 40000):
+        for apart in (0, 1, 2, n // 9, n // 6):
+            both = rng.integers(1 << 62, size=max(1, n - apart), dtype=np.uint64)
+            left.append(np.unique(both))
+            right.append(np.unique(np.concatenate([both, rng.integers(1 << 62, size=apart, dtype=np.uint64)])))
+    links = {(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if jaccard_join.linked(x, y, 80)}
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    packed = [[jaccard_join.sketch(x) for x in side] for side in (left, right)]
+    found = {(int(i), int(j)) for a, b in jaccard_join.sketches_may_link(packed[0], sizes[0], packed[1], sizes[1], 80) for i, j in zip(a, b, strict=True)}
+    assert links and links <= found and len(found) < len(left) * len(right) // 4
