@@ -189,6 +189,19 @@ def test_csv_bars_have_a_file_for_each_symbol(spark, tmp_path, monkeypatch):
     assert len(list(tmp_path.glob("bars/*/*.csv"))) == len(list(tmp_path.glob("bars/symbol=*"))) == n
 
 
+def test_csv_bars_go_through_in_parts_of_symbols(spark, tmp_path, monkeypatch):
+    from marketgrid.sources import stores, tables
+
+    monkeypatch.setattr(stores, "shared", lambda _: f"file://{tmp_path}/bars")
+    monkeypatch.setattr(stores, "FILES", 3, raising=False)
+    got = stores.s05_csv_bars(spark, SF)
+    want = tables.bars_daily(spark, SF).select("symbol", "date", "close")
+    assert not [x for x in got.inputFiles() if x.endswith(".csv")]  # the plan, which the driver holds, names no symbol's file
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    n = want.select("symbol").distinct().count()
+    assert n > 3 and len(list(tmp_path.glob("bars/*/*.csv"))) == len(list(tmp_path.glob("bars/symbol=*"))) == n
+
+
 def test_late_rows_of_the_second_part_go_aside(spark):
     from marketgrid.streaming import jobs
 
